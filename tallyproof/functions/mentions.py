@@ -104,6 +104,11 @@ _LISTED = "({}|{}|(?:{}){}\\s*)".format(
 )
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def status_mentions(text: Column) -> Column:
     """``struct<wanted, excluded>`` of sorted status codes.
 
@@ -113,34 +118,46 @@ def status_mentions(text: Column) -> Column:
     """
     phrases = [(p, s) for s, words in V.STATUS_VOCABULARY.items() for p in words]
     phrases.sort(key=lambda item: -len(item[0]))
-    rest = F.lower(text)
-    wanted: dict[str, Column] = {}
-    excluded: dict[str, Column] = {}
-
-    def note(found: dict[str, Column], status: str, hit: Column) -> None:
-        found[status] = found[status] | hit if status in found else hit
+    none = F.array().cast("array<string>")
 
-    for phrase, status in phrases:
+    def note(phrase: str, status: str):
+        """Note and mask the mentions of one phrase; texts without it pass unchanged."""
         bounded = rf"\b{re.escape(phrase)}\b"
-        positive = rf"(?U)(?<!{_HYPHEN}){bounded}"
-        for cue in (_NEGATED, _LISTED):
-            negative = f"(?U){cue}{bounded}"
-            note(excluded, status, rest.rlike(negative))
-            rest = F.regexp_replace(rest, negative, " $1 ")
-        note(wanted, status, rest.rlike(positive))
-        rest = F.regexp_replace(rest, positive, " ")
-
-    def codes(hits: dict[str, Column]) -> Column:
-        return F.array_sort(
-            F.array_compact(F.array(*[F.when(hits[s], F.lit(s)) for s in V.STATUS_VOCABULARY]))
-        )
+        negated, listed = f"(?U){_NEGATED}{bounded}", f"(?U){_LISTED}{bounded}"
+        plain = rf"(?U)(?<!{_HYPHEN}){bounded}"
+
+        def apply(state: Column) -> Column:
+            rest = state["rest"]
+            unnegated = F.regexp_replace(rest, negated, " $1 ")
+            unlisted = F.regexp_replace(unnegated, listed, " $1 ")
+            out = rest.rlike(negated) | unnegated.rlike(listed)
+            mention = F.array(F.lit(status))
+            changed = F.struct(
+                F.regexp_replace(unlisted, plain, " ").alias("rest"),
+                F.concat(state["wanted"], F.when(unlisted.rlike(plain), mention).otherwise(none)).alias("wanted"),
+                F.concat(state["excluded"], F.when(out, mention).otherwise(none)).alias("excluded"),
+            )
+            return F.when(F.contains(rest, F.lit(phrase)), changed).otherwise(state)
+
+        return apply
+
+    state = F.struct(F.lower(text).alias("rest"), none.alias("wanted"), none.alias("excluded"))
+    for phrase, status in phrases:
+        state = _bind(state, note(phrase, status))
 
-    out = codes(excluded)
-    found = F.struct(F.array_except(codes(wanted), out).alias("wanted"), out.alias("excluded"))
-    none = F.array().cast("array<string>")
+    def codes(found: Column) -> Column:
+        return F.array_sort(F.array_distinct(found))
+
+    result = _bind(
+        state,
+        lambda s: F.struct(
+            codes(F.array_except(s["wanted"], s["excluded"])).alias("wanted"),
+            codes(s["excluded"]).alias("excluded"),
+        ),
+    )
     # Most texts name no status at all; one pattern spares them all the others.
     any_phrase = F.lower(text).rlike(rf"(?U)\b(?:{_options(p for p, _ in phrases)})\b")
-    return F.when(any_phrase, found).otherwise(
+    return F.when(any_phrase, result).otherwise(
         F.struct(none.alias("wanted"), none.alias("excluded"))
     )
 

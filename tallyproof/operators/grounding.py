@@ -36,10 +36,11 @@ def _distinct_numbers(column: Column, df: DataFrame) -> list[int]:
     return sorted(row[0] for row in df.select(column).distinct().collect())
 
 
-def _run_starts(words: Column, n: int) -> Column:
-    """1-based start of every run of ``n`` words; none when there are fewer."""
+def _runs(words: Column, n: int, build) -> Column:
+    """``build`` of every run of ``n`` words; none when there are fewer."""
     last = F.size(words) - n + 1
-    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: build(F.slice(words, i, n)))
 
 
 def exact_matches(
@@ -60,10 +61,7 @@ def exact_matches(
         .withColumn("_gram", F.xxhash64(F.slice("_words", F.lit(1), F.col("_n"))))
     )
     words = F.col("_words")
-    grams = [
-        F.transform(_run_starts(words, n), lambda i, n=n: F.xxhash64(F.slice(words, i, n)))
-        for n in _distinct_numbers(F.col("_n"), wanted)
-    ]
+    grams = [_runs(words, n, F.xxhash64) for n in _distinct_numbers(F.col("_n"), wanted)]
     if not grams:
         grams = [F.array().cast("array<bigint>")]
     met = (
@@ -128,15 +126,11 @@ def inflected_matches(
     )
     names = wanted.select("name", "_n").distinct()
     words = F.col("_words")
-    runs_of = [
-        F.transform(
-            _run_starts(words, n),
-            lambda i, n=n: F.struct(
-                F.concat_ws(" ", F.slice(words, i, n)).alias("run"), F.lit(n).alias("_n")
-            ),
-        )
-        for n in _distinct_numbers(F.col("_n"), names)
-    ]
+
+    def entry(n: int):
+        return lambda run: F.struct(F.concat_ws(" ", run).alias("run"), F.lit(n).alias("_n"))
+
+    runs_of = [_runs(words, n, entry(n)) for n in _distinct_numbers(F.col("_n"), names)]
     if not runs_of:
         runs_of = [F.array().cast("array<struct<run:string,_n:int>>")]
     runs = (

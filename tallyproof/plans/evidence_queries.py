@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tallyproof import schema as S
@@ -13,6 +16,7 @@ from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.plans import star
 from tallyproof.plans.job import Job, run
 from tallyproof.plans.registry import query
+from tallyproof.session import durable
 
 NATION = DIMENSIONS["country"]
 
@@ -21,13 +25,13 @@ def _sample_sql(members: str, limit: int) -> str:
     """Rows of ``members(key, id)`` at the cited positions."""
     return f"""
 ranked as (
-  select key, id, row_number() over (partition by key order by id) - 1 as at,
+  select key, id, row_number() over (partition by key order by id) - 1 as place,
          count(*) over (partition by key) as total from {members}
 ),
 cited as (
-  select key, id, total, row_number() over (partition by key order by at) as ordinal
+  select key, id, total, row_number() over (partition by key order by place) as ordinal
   from ranked
-  where total <= {limit} or at in (
+  where total <= {limit} or place in (
     select cast(round_even(i * (total - 1) / {float(limit - 1)}, 0) as bigint)
     from generate_series(0, {limit - 1}) as steps(i))
 )
@@ -148,8 +152,8 @@ def render_evidence(spark, sf):
 
 def _published(spark, sf):
     """Bucket rows with citations over customers' nations, and what they rest on."""
-    members = _nation_members(spark, sf)
-    rows = measure.bucket_counts(members, NATION, V.TOP_N["country"])
+    members = _nation_members(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = durable(measure.bucket_counts(members, NATION, V.TOP_N["country"]))
     evidence = measure.restrict(
         members.select("key", "entity_id"), rows.select("key"), V.TOP_N["country"]
     )
@@ -166,7 +170,8 @@ _URL = "order/%s"
 
 
 def _quoted(evidence, excerpts):
-    return quote(cite(evidence, ["key"], 3), excerpts, "entity_id", F.col("excerpt"), _URL)
+    cited = cite(evidence, ["key"], 3)
+    return durable(quote(cited, excerpts, "entity_id", F.col("excerpt"), _URL))
 
 
 def _row_checks(rows, computed, evidence, citations, excerpts):
@@ -210,12 +215,12 @@ def check_clean(spark, sf):
     kept as (select key, count(*) as value from members group by 1 order by 2 desc, 1 limit 20),
     {_sample_sql("members", 3)},
     quoted as (select * from cited where key in (select key from kept))
-    select 'value_is_contributors' as "check", count(*) as n from kept where key < 'J'
-    union all select 'rows_are_computed', count(*) from kept where key < 'J'
+    select 'value_is_contributors' as "check", count(*) as n from kept where key < 'NATION_15'
+    union all select 'rows_are_computed', count(*) from kept where key < 'NATION_15'
     union all select 'cited_non_contributor', count(*) from (
-      select q.key, q.id from quoted q where q.key >= 'R'
+      select q.key, q.id from quoted q where q.key >= 'NATION_20'
         and not exists (select 1 from members m where m.key = q.key and m.id = q.id + 1))
-    union all select 'supporting_total', count(*) from kept where key like 'I%'
+    union all select 'supporting_total', count(*) from kept where key like 'NATION_1%'
     union all select 'excerpt', count(*) from quoted where ordinal = 2
     union all select 'link', count(*) from quoted where ordinal = 3
     """
@@ -224,13 +229,13 @@ def check_tampered(spark, sf):
     """One kind of damage per check, each found as often as it was done."""
     rows, evidence, excerpts = _published(spark, sf)
     key, ordinal = F.col("key"), F.col("ordinal")
-    damaged = rows.withColumn("value", F.when(key < "J", F.col("value") + 1).otherwise(F.col("value")))
+    damaged = rows.withColumn("value", F.when(key < "NATION_15", F.col("value") + 1).otherwise(F.col("value")))
     citations = _quoted(evidence, excerpts)
     moved = citations.withColumn(
-        "entity_id", F.when(key >= "R", F.col("entity_id") + 1).otherwise(F.col("entity_id"))
+        "entity_id", F.when(key >= "NATION_20", F.col("entity_id") + 1).otherwise(F.col("entity_id"))
     )
     miscounted = citations.withColumn(
-        "total", F.when(key.startswith("I"), F.col("total") + 1).otherwise(F.col("total"))
+        "total", F.when(key.startswith("NATION_1"), F.col("total") + 1).otherwise(F.col("total"))
     )
     misquoted = citations.withColumn(
         "excerpt", F.when(ordinal == 2, F.lit("something else")).otherwise(F.col("excerpt"))
@@ -286,6 +291,12 @@ drawn as (
 def check_graph_tampered(spark, sf):
     """Blue nodes are lost, red ones grow by one and edges from hot ones weigh one more."""
     graph = _graph(spark, sf)
+    graph = replace(
+        graph,
+        nodes=durable(graph.nodes),
+        edges=durable(graph.edges),
+        edge_evidence=graph.edge_evidence.persist(StorageLevel.MEMORY_AND_DISK),
+    )
     red = F.col("id").startswith("part:red")
     nodes = graph.nodes.where(~F.col("id").startswith("part:blue")).withColumn(
         "size", F.when(red, F.col("size") + 1).otherwise(F.col("size"))
