@@ -36,7 +36,7 @@ def status_code(text: Column) -> Column:
 
 def leading_year(partial_date: Column) -> Column:
     """Year of ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD`` as text; NULL when there is none."""
-    return F.nullif(F.regexp_extract(strip(partial_date), r"^([0-9]{4})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(partial_date, r"(?U)^\s*([0-9]{4})", 1), F.lit(""))
 
 
 def finite_score(value: Column) -> Column:

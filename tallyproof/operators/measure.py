@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.functions import fixed_values as V
 from tallyproof.operators.dimensions import Dimension
-from tallyproof.session import number_report_rows, number_rows, one_row, small
+from tallyproof.session import durable, number_report_rows, number_rows, one_row, small
 
 NO_SERIES = None
 
@@ -75,22 +75,28 @@ def _charted(members: DataFrame, include_unknown: bool) -> DataFrame:
     return members if include_unknown else members.where(~F.col("is_unknown"))
 
 
-def _counts(members: DataFrame, include_unknown: bool) -> DataFrame:
+def bucket_sizes(members: DataFrame, include_unknown: bool = True) -> DataFrame:
+    """``(series, key, value, unknown)``: entities per bucket, and how many of them lack a key."""
     return (
         _charted(members, include_unknown)
         .groupBy("series", "key")
-        .agg(F.count("*").alias("value"))
+        .agg(F.count("*").alias("value"), F.count_if("is_unknown").alias("unknown"))
     )
 
 
-def top_keys(counts: DataFrame, n: int) -> DataFrame:
-    """The ``n`` keys with the largest totals over all series; ties by raw key."""
+def top_rows(counts: DataFrame, n: int) -> DataFrame:
+    """Rows of the ``n`` keys with the largest totals over all series; ties by raw key.
+
+    Ranked in place: a semi-join with the kept keys would be pushed below the counting and make
+    Spark count everything twice. The rank limit applies in every task before rows come together.
+    """
+    total = F.sum("value").over(Window.partitionBy("key"))
+    nth = F.dense_rank().over(Window.orderBy(F.desc("_total"), "key"))
     return (
-        counts.groupBy("key")
-        .agg(F.sum("value").alias("_total"))
-        .orderBy(F.desc("_total"), "key")
-        .limit(n)
-        .select("key")
+        counts.withColumn("_total", total)
+        .withColumn("_nth", nth)
+        .where(F.col("_nth") <= n)
+        .drop("_total", "_nth")
     )
 
 
@@ -111,9 +117,9 @@ def bucket_counts(
     top-N nor a closed vocabulary the report can be as large as the data, and positions come from
     a distributed sort.
     """
-    counts = _counts(members, include_unknown)
+    counts = bucket_sizes(members, include_unknown)
     if top_n is not None:
-        counts = restrict(counts, top_keys(counts, top_n), top_n)
+        counts = top_rows(counts, top_n)
     is_unknown = F.col("key") == dimension.unknown_label
     rows = counts.select(
         "series",
@@ -142,28 +148,46 @@ def bucket_totals(
     dimension: Dimension,
     top_n: int | None = None,
     include_unknown: bool = True,
+    entities: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: distinct entities matched and unbucketed, categories in total and displayed."""
-    entities = (
-        members.groupBy("entity_id")
-        .agg(F.bool_or("is_unknown").alias("unknown"))
-        .agg(F.count("*").alias("matched"), F.count_if("unknown").alias("unbucketed"))
+    """One row: distinct entities matched and unbucketed, categories in total and displayed.
+
+    The per-category totals are written once and read for every figure about categories.
+    ``entities`` (one row per id), where there are no series, spares the shuffle by entity: all of
+    them matched, and each unbucketed one has exactly one membership row.
+    """
+    if entities is None:
+        matched = (
+            members.groupBy("entity_id")
+            .agg(F.bool_or("is_unknown").alias("unknown"))
+            .agg(F.count("*").alias("matched"), F.count_if("unknown").alias("unbucketed"))
+        )
+    else:
+        matched = one_row(
+            entities.agg(F.count("*").alias("matched")),
+            members.agg(F.count_if("is_unknown").alias("unbucketed")),
+        )
+    categories = durable(
+        bucket_sizes(members, include_unknown)
+        .groupBy("key")
+        .agg(F.sum("value").alias("value"), F.sum("unknown").alias("unknown"))
     )
-    counts = _counts(members, include_unknown)
-    shown = top_keys(counts, top_n) if top_n is not None else counts.select("key").distinct()
-    # An entity-level flag rather than the label: a real key may be spelled like the label.
-    emitted = _charted(members, include_unknown).where("is_unknown").select("key").limit(1)
-    categories = counts.select("key").distinct().agg(F.count("*").alias("total_categories"))
-    displayed = shown.agg(
-        F.count("*").alias("displayed_categories"),
-        F.count_if(F.col("key") == dimension.unknown_label).alias("_label_shown"),
+    shown = categories
+    if top_n is not None:
+        shown = categories.orderBy(F.desc("value"), "key").limit(top_n)
+    # Counted by entity rather than by label: a real key may be spelled like the label.
+    one = one_row(
+        matched,
+        categories.agg(F.count("*").alias("total_categories")),
+        shown.agg(
+            F.count("*").alias("displayed_categories"),
+            F.coalesce(F.sum("unknown"), F.lit(0)).alias("_unknown"),
+        ),
     )
-    flag = emitted.agg(F.count("*").alias("_emitted"))
-    one = one_row(entities, categories, displayed, flag)
     return one.select(
         "matched",
         "unbucketed",
-        ((F.col("_emitted") > 0) & (F.col("_label_shown") > 0)).alias("unknown_shown"),
+        (F.col("_unknown") > 0).alias("unknown_shown"),
         F.lit(dimension.multi_valued).alias("multi_valued"),
         "total_categories",
         "displayed_categories",

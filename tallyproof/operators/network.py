@@ -6,8 +6,9 @@ edge's weight are counts of distinct entities; the entities themselves stay in e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from tallyproof.functions import fixed_values as V
 from tallyproof.functions.names import is_agent
 from tallyproof.functions.text import is_control_name, normalize_name, strip
 from tallyproof.operators.measure import restrict
-from tallyproof.session import durable, one_row, small
+from tallyproof.session import durable, keep, one_row, small
 
 MERGED_PREFIX = "rxcui:"
 
@@ -30,6 +31,12 @@ class Graph:
     edges: DataFrame
     edge_evidence: DataFrame
     totals: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop what was kept for reading the graph more than once."""
+        for table in self.held:
+            table.unpersist()
 
     @property
     def node_evidence(self) -> DataFrame:
@@ -267,6 +274,8 @@ def cooccurrence(
     than ``max_nodes`` of them turn out to be connected, no smaller key can be drawn, and the
     answer is exact. Otherwise the pool grows fourfold, up to all keys.
     """
+    held: list[DataFrame] = []
+    names = keep(names, held)
     ranked = sizes(names)
     pool = first_pool or max(4 * max_nodes, V.CANDIDATE_POOL)
     while True:
@@ -275,21 +284,27 @@ def cooccurrence(
             small(hubs.select("key", F.lit(True).alias("_hub")), pool), "key", "left"
         )
         lists = key_lists(flagged, max_entities, F.coalesce("_hub", F.lit(False)))
+        lists = lists.persist(StorageLevel.MEMORY_AND_DISK)
         counted = weights(hub_pairs(lists), min_weight)
         # Only what touches a hub was counted, so only hubs are known to be connected or not.
-        connected = small(hubs, pool).join(_ends(counted), "key", "left_semi")
+        connected = small(hubs, pool).join(_ends(counted).distinct(), "key")
         best = durable(connected.orderBy(F.desc("size"), "key").limit(max_nodes + 1))
         found = best.count()
         if found > max_nodes or hubs.count() < pool:
             break
+        lists.unpersist()
         pool *= 4
     kept = best.orderBy(F.desc("size"), "key").limit(max_nodes).withColumn("kind", F.lit(kind))
-    drawable = key_lists(names, max_entities)
-    mine = F.explode("keys").alias("key")
-    among = restrict(
-        drawable.where(~F.col("is_dense")).select("entity_id", mine), kept, max_nodes
+    mine = lists.where(~F.col("is_dense")).select(
+        "entity_id", F.explode(F.filter("keys", lambda k: k["hub"])["key"]).alias("key")
+    )
+    # At most ``max_nodes`` keys are left per entity.
+    drawn = (
+        restrict(mine, kept, max_nodes)
+        .groupBy("entity_id")
+        .agg(F.sort_array(F.collect_list("key")).alias("keys"))
     )
-    evidence = pairs(key_lists(among, max_nodes))
+    evidence = pairs(drawn.withColumn("is_dense", F.lit(False)))
     edges = durable(weights(evidence, min_weight))
     n_edges = max_nodes * max_nodes
     evidence = evidence.join(
@@ -298,7 +313,7 @@ def cooccurrence(
     evidence = _prefixed(evidence, kind, kind)
     nodes = _published_nodes(evidence, {kind: names}, kept, max_nodes)
     totals = one_row(
-        dense_skipped(drawable),
+        dense_skipped(lists),
         nodes.agg(F.count("*").alias("nodes")),
         edges.agg(F.count("*").alias("edges")),
     ).select(
@@ -308,7 +323,7 @@ def cooccurrence(
         F.lit(min_weight).cast("bigint").alias("min_edge_weight"),
         "dense_records_skipped",
     )
-    return Graph(nodes, _numbered_edges(_prefixed(edges, kind, kind)), evidence, totals)
+    return Graph(nodes, _numbered_edges(_prefixed(edges, kind, kind)), evidence, totals, [*held, lists])
 
 
 def bipartite(
@@ -325,6 +340,8 @@ def bipartite(
     side is cut to its kept keys before the join, so an entity contributes at most ``max_left``
     rows per right name.
     """
+    held: list[DataFrame] = []
+    left, right = keep(left, held), keep(right, held)
     top_left = candidate_names(left, max_left).select("key")
     ours = restrict(left, top_left, max_left).select("entity_id", F.col("key").alias("source"))
     links = ours.join(right.select("entity_id", F.col("key").alias("target")), "entity_id")
@@ -364,4 +381,4 @@ def bipartite(
         F.lit(1).cast("bigint").alias("min_edge_weight"),
         F.lit(0).cast("bigint").alias("dense_records_skipped"),
     )
-    return Graph(nodes, _numbered_edges(edges), evidence, totals)
+    return Graph(nodes, _numbered_edges(edges), evidence, totals, held)

@@ -70,6 +70,14 @@ class Result:
     violations: DataFrame
     graph: network.Graph | None = None
     merged_from: DataFrame | None = None
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop what was kept for reading the result more than once."""
+        for table in self.held:
+            table.unpersist()
+        if self.graph is not None:
+            self.graph.release()
 
     def tables(self) -> dict[str, DataFrame]:
         out = {"citations": self.citations, "manifest": self.manifest}
@@ -207,7 +215,8 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
     ).select("position", "entity_id")
     cited = cite(evidence, ["position"], job.max_citations)
     citations = quote(cited, records, S.ID_PATH, study_excerpt(dimension.name))
-    totals = measure.bucket_totals(members, dimension, top_n, show_unknown)
+    entities = records if series is None else None
+    totals = measure.bucket_totals(members, dimension, top_n, show_unknown, entities)
     final = _manifest(job, records, totals, rows.count(), facts)
     ids = records.select(F.col(S.ID_PATH).alias("entity_id"))
     found = [
@@ -230,7 +239,8 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
         promised = rows.sparkSession.createDataFrame([(s,) for s in job.compare], "series string")
         if rows.where("value > 0").limit(1).count():
             found.append(checks.series_complete(rows, promised))
-    return Result(rows, citations, final, checks.violations(*found))
+    held = [records, members, rows]
+    return Result(rows, citations, final, checks.violations(*found), held=held)
 
 
 def _graph_result(job, records, _series, candidates, ingredients, provenance, facts) -> Result:
@@ -284,4 +294,5 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
     ]
     if provenance is not None:
         found.append(checks.processed_count(final, records, provenance))
-    return Result(None, citations, final, checks.violations(*found), graph, merged)
+    held = [records, agents]
+    return Result(None, citations, final, checks.violations(*found), graph, merged, held)

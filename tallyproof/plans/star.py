@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyproof import schema as S
 from tallyproof.operators.dimensions import Dimension, listed_order
 from tallyproof.functions.text import single
+from tallyproof.session import spread
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -76,8 +77,9 @@ def part_names(spark: SparkSession, sf: str) -> DataFrame:
     """``(entity_id, key, label)``: distinct part names of an order."""
     return (
         parts_of_orders(spark, sf, "p_name")
-        .select("entity_id", F.col("p_name").alias("key"), F.col("p_name").alias("label"))
+        .select("entity_id", F.col("p_name").alias("key"))
         .distinct()
+        .withColumn("label", F.col("key"))
     )
 
 
@@ -129,7 +131,7 @@ def studies(spark: SparkSession, sf: str) -> DataFrame:
             F.repeat(F.concat(priority, F.lit("  ")), F.lit(11)),
         )
     )
-    orders = table(spark, sf, "orders").join(
+    orders = spread(table(spark, sf, "orders")).join(
         table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"),
         F.col("o_custkey") == F.col("c_custkey"),
     )
