@@ -36,6 +36,7 @@ def empty_reason(
     return NOT_CHARTABLE if result_rows == 0 else None
 
 
-def provenance(df: DataFrame) -> DataFrame:
-    """``(source)``: every file read."""
-    return df.select(F.col("_metadata.file_path").alias("source")).distinct()
+def provenance(pages: DataFrame) -> DataFrame:
+    """``(source)``: every file read. File tables without that column have ``_metadata``."""
+    source = "source" if "source" in pages.columns else "_metadata.file_path"
+    return pages.select(F.col(source).alias("source")).distinct()

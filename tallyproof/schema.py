@@ -34,7 +34,8 @@ PAGE = T.StructType(
         T.StructField("pageNo", T.IntegerType(), True),
         T.StructField("series", _TEXT, True),
         T.StructField("totalCount", T.LongType(), True),
-        T.StructField("nextPageToken", _TEXT, True),
+        # As delivered, so that anything but a string can be told from one.
+        T.StructField("nextPageToken", T.VariantType(), True),
         T.StructField("dataTimestamp", _TEXT, True),
         T.StructField("studies", T.ArrayType(STUDY), True),
         T.StructField(CORRUPT, _TEXT, True),

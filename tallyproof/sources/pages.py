@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyproof import schema as S
 from tallyproof.functions import fixed_values as V
@@ -17,19 +18,34 @@ from tallyproof.session import number_rows
 ORDERED_LIMIT_ROWS = 100_000
 
 
+def parse_pages(documents: DataFrame, strict: bool = False) -> DataFrame:
+    """Pages of a table of whole JSON documents ``(value, source)``.
+
+    Parsed by an expression over all fields of the schema: a file reader would skip fields that a
+    query does not use, and with them the faults in those fields.
+    """
+    options = {
+        "mode": "FAILFAST" if strict else "PERMISSIVE",
+        "columnNameOfCorruptRecord": S.CORRUPT,
+    }
+    schema = T.StructType([f for f in S.PAGE if not strict or f.name != S.CORRUPT])
+    page = F.from_json("value", schema, options)
+    return documents.select("source", F.inline(F.array(page)))
+
+
 def read_pages(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """One row per page, with the file it came from. ``strict`` fails on a malformed page."""
-    reader = spark.read.schema(S.PAGE).option("columnNameOfCorruptRecord", S.CORRUPT)
-    reader = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    pages = reader.json(path, multiLine=True)
-    return pages.withColumn("source", F.col("_metadata.file_path"))
+    documents = spark.read.text(path, wholetext=True)
+    return parse_pages(documents.select("value", F.col("_metadata.file_path").alias("source")), strict)
 
 
 def malformed_pages(pages: DataFrame) -> DataFrame:
     """``(source, problem)`` of pages whose shape is not the documented one."""
-    return pages.where(F.col(S.CORRUPT).isNotNull()).select(
-        "source", F.lit("wrong type or not an object").alias("problem")
+    token = F.schema_of_variant("nextPageToken")
+    problem = F.when(F.col(S.CORRUPT).isNotNull(), "wrong type or not an object").when(
+        ~token.isin("STRING", "VOID"), "page token is not a string"
     )
+    return pages.select("source", problem.alias("problem")).where("problem is not null")
 
 
 def studies_of_pages(pages: DataFrame) -> DataFrame:

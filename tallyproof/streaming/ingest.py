@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyproof import schema as S
 from tallyproof.functions import fixed_values as V
-from tallyproof.sources.pages import admit, first_writer, studies_of_pages
+from tallyproof.sources.pages import admit, first_writer, parse_pages, studies_of_pages
 
 SOURCE_ORDER = ["search_no", "page_no", "pos"]
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Pages as they land."""
-    return (
-        spark.readStream.schema(S.PAGE)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", S.CORRUPT)
+    documents = (
+        spark.readStream.option("wholetext", True)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .json(path)
+        .text(path)
     )
+    return parse_pages(documents.select("value", F.col("_metadata.file_path").alias("source")))
 
 
 def append_new(batch: DataFrame, table: str, batch_id: int, pattern: str = V.STUDY_ID_PATTERN) -> None:
