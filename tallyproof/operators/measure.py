@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.functions import fixed_values as V
 from tallyproof.operators.dimensions import Dimension
-from tallyproof.session import durable, number_report_rows, number_rows, one_row, small
+from tallyproof.session import durable, keep, number_report_rows, number_rows, one_row, small
 
 NO_SERIES = None
 
@@ -153,25 +153,33 @@ def bucket_totals(
     """One row: distinct entities matched and unbucketed, categories in total and displayed.
 
     The per-category totals are written once and read for every figure about categories.
-    ``entities`` (one row per id), where there are no series, spares the shuffle by entity: all of
-    them matched, and each unbucketed one has exactly one membership row.
+    ``entities`` (one row per id), where there are no series, spares a pass and a shuffle by
+    entity: all of them matched, and each unbucketed one has exactly one membership row.
     """
+    held: list[DataFrame] = []
     if entities is None:
-        matched = (
+        members = keep(members, held)
+    categories = durable(
+        bucket_sizes(members)
+        .groupBy("key")
+        .agg(F.sum("value").alias("value"), F.sum("unknown").alias("unknown"))
+    )
+    if entities is None:
+        matched = durable(
             members.groupBy("entity_id")
             .agg(F.bool_or("is_unknown").alias("unknown"))
             .agg(F.count("*").alias("matched"), F.count_if("unknown").alias("unbucketed"))
         )
+        for table in held:
+            table.unpersist()
     else:
         matched = one_row(
             entities.agg(F.count("*").alias("matched")),
-            members.agg(F.count_if("is_unknown").alias("unbucketed")),
+            categories.agg(F.coalesce(F.sum("unknown"), F.lit(0)).alias("unbucketed")),
         )
-    categories = durable(
-        bucket_sizes(members, include_unknown)
-        .groupBy("key")
-        .agg(F.sum("value").alias("value"), F.sum("unknown").alias("unknown"))
-    )
+    if not include_unknown:
+        known = categories.withColumn("value", F.col("value") - F.col("unknown"))
+        categories = known.where(F.col("value") > 0).withColumn("unknown", F.lit(0).cast("bigint"))
     shown = categories
     if top_n is not None:
         shown = categories.orderBy(F.desc("value"), "key").limit(top_n)
@@ -196,32 +204,46 @@ def bucket_totals(
     )
 
 
+def _report_row(**changed: Column) -> Column:
+    """A report row as a struct, with some columns replaced."""
+    names = ["series", "raw_key", "key", "value", "is_unknown"]
+    return F.struct(*[changed.get(name, F.col(name)).alias(name) for name in names])
+
+
 def zero_fill_series(rows: DataFrame, promised: list[str]) -> DataFrame:
     """Append zero rows for promised series that have no row at all, over the keys shown.
 
     Series with only some keys missing are left alone. The zero rows follow all others, series by
-    series in the promised order, keys in display order.
+    series in the promised order, keys in display order. The first row of each key brings them
+    along, so the report is read once.
     """
-    keys = rows.groupBy("key").agg(
-        F.min("position").alias("_first"),
-        F.first("raw_key").alias("raw_key"),
-        F.first("is_unknown").alias("is_unknown"),
-        F.lit(0).cast("bigint").alias("value"),
+    whole = Window.partitionBy()
+    first = F.row_number().over(Window.partitionBy("key").orderBy("position")) == 1
+    absent = F.array_except(
+        F.array(*[F.lit(s) for s in promised]), F.collect_set("series").over(whole)
     )
-    labels = F.array(
-        *[
-            F.struct(F.lit(i).alias("_nth"), F.lit(s).alias("series"))
-            for i, s in enumerate(promised)
-        ]
-    )
-    absent = (
-        keys.withColumn("_s", F.explode(labels))
-        .select("*", "_s._nth", "_s.series")
-        .join(rows.select("series").distinct(), "series", "left_anti")
+    zeros = F.transform(F.col("_absent"), lambda s: _placed(s, promised))
+    none = F.slice(zeros, 1, 0)
+    marked = rows.withColumn("_absent", absent).withColumn("_is_first", first)
+    filled = marked.select(
+        "position",
+        F.inline(
+            F.concat(
+                F.array(F.struct(F.lit(0).alias("_nth"), _report_row().alias("_row"))),
+                F.when(F.col("_is_first"), zeros).otherwise(none),
+            )
+        ),
     )
-    filled = rows.withColumn("_nth", F.lit(-1)).withColumn("_first", F.col("position"))
-    merged = filled.drop("position").unionByName(absent.drop("_s"))
-    return number_report_rows(merged, F.col("_nth"), F.col("_first")).select(*rows.columns)
+    return number_report_rows(
+        filled.select(F.col("position").alias("_first"), "_nth", "_row.*"), F.col("_nth"), F.col("_first")
+    ).select(*rows.columns)
+
+
+def _placed(series: Column, promised: list[str]) -> Column:
+    """Zero row of a series, with the place of the series in the promised order."""
+    nth = F.array_position(F.array(*[F.lit(s) for s in promised]), series).cast("int")
+    zero = _report_row(series=series, value=F.lit(0).cast("bigint"))
+    return F.struct(nth.alias("_nth"), zero.alias("_row"))
 
 
 def zero_fill_years(
@@ -231,58 +253,46 @@ def zero_fill_years(
 
     The axis runs over the given bounds, else over what was observed. With fewer than two dated
     rows both bounds are needed. A reversed or longer than 120-year axis is refused, and the
-    rows come back unchanged.
+    rows come back unchanged. The missing years of a series come along with its first row, so the
+    report is read once.
     """
     year = F.when(F.col("key").rlike("^[0-9]+$"), F.col("key").try_cast("int"))
-    everything = Window.partitionBy()
-    spanned = rows.select(
-        "*",
-        year.alias("_year"),
-        F.count(year).over(everything).alias("_dated"),
-        F.coalesce(F.lit(start), F.min(year).over(everything)).alias("_low"),
-        F.coalesce(F.lit(end), F.max(year).over(everything)).alias("_high"),
-    )
+    whole, one_series = Window.partitionBy(), Window.partitionBy("series")
+    low = F.coalesce(F.lit(start), F.min("_year").over(whole))
+    high = F.coalesce(F.lit(end), F.max("_year").over(whole))
     needed = 1 if start is not None and end is not None else 2
     fillable = (
-        (F.col("_dated") >= needed)
-        & (F.col("_high") >= F.col("_low"))
-        & (F.col("_high") - F.col("_low") + 1 <= V.MAX_FILLED_YEARS)
-    )
-    axis = (
-        spanned.where(fillable)
-        .groupBy("series")
-        .agg(F.first("_low").alias("_low"), F.first("_high").alias("_high"))
-        .select("series", F.explode(F.sequence("_low", "_high")).alias("_year"))
-    )
-    observed = spanned.where(F.col("_year").isNotNull()).select("series", "_year")
-    empty = axis.join(
-        observed,
-        axis["series"].eqNullSafe(observed["series"]) & (axis["_year"] == observed["_year"]),
-        "left_anti",
+        (F.count("_year").over(whole) >= needed)
+        & (high >= low)
+        & (high - low + 1 <= V.MAX_FILLED_YEARS)
     )
-    text = F.col("_year").cast("string")
-    zeros = empty.select(
-        "series",
-        text.alias("raw_key"),
-        text.alias("key"),
-        F.lit(0).cast("bigint").alias("value"),
-        F.lit(False).alias("is_unknown"),
-        "_year",
-        F.lit(0).alias("_unchanged"),
+    first = F.row_number().over(one_series.orderBy("position")) == 1
+    marked = rows.withColumn("_year", year).select(
+        "*",
+        fillable.alias("_fillable"),
+        F.when(fillable, F.sequence(low, high)).alias("_axis"),
+        F.collect_set("_year").over(one_series).alias("_observed"),
+        first.alias("_is_first"),
     )
-    kept = spanned.select(
-        "series",
-        "raw_key",
-        "key",
-        "value",
-        "is_unknown",
-        "_year",
-        F.when(fillable, F.lit(0)).otherwise(F.col("position")).alias("_unchanged"),
+
+    def zero(missing: Column) -> Column:
+        text = missing.cast("string")
+        row = _report_row(
+            raw_key=text, key=text, value=F.lit(0).cast("bigint"), is_unknown=F.lit(False)
+        )
+        return F.struct(missing.alias("_at"), row.alias("_row"))
+
+    zeros = F.transform(F.array_except("_axis", "_observed"), zero)
+    itself = F.array(F.struct(F.col("_year").alias("_at"), _report_row().alias("_row")))
+    fill = F.col("_fillable") & F.col("_is_first")
+    filled = marked.select(
+        F.when(F.col("_fillable"), F.lit(0)).otherwise(F.col("position")).alias("_unchanged"),
+        F.inline(F.when(fill, F.concat(itself, zeros)).otherwise(itself)),
     )
     return number_report_rows(
-        kept.unionByName(zeros),
+        filled.select("_unchanged", "_at", "_row.*"),
         F.col("_unchanged"),
-        F.col("_year").isNull(),
-        F.col("_year"),
+        F.col("_at").isNull(),
+        F.col("_at"),
         F.coalesce("series", F.lit("")),
     ).select(*rows.columns)

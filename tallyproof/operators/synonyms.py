@@ -17,11 +17,9 @@ def surface_forms(raw: DataFrame) -> DataFrame:
     Rows rather than sets, so a name with very many spellings is not one row. Only exact control
     phrases are removed here.
     """
+    spelled = raw.where(F.col("type").isin(V.RESOLVABLE_TYPES)).select("name").distinct()
     return (
-        raw.where(
-            F.col("type").isin(V.RESOLVABLE_TYPES)
-            & (F.coalesce(strip(F.col("name")), F.lit("")) != "")
-        )
+        spelled.where(F.coalesce(strip(F.col("name")), F.lit("")) != "")
         .select(normalize_name(F.col("name")).alias("name"), strip(F.col("name")).alias("surface"))
         .where((F.col("name") != "") & ~F.col("name").isin(V.CONTROL_NAMES))
         .distinct()

@@ -87,7 +87,9 @@ def dist_multivalued_nation_all(spark, sf):
     """
 )
 def dist_totals(spark, sf):
-    totals = measure.bucket_totals(_nation_members(spark, sf), NATION, top_n=V.TOP_N["country"])
+    totals = measure.bucket_totals(
+        _nation_members(spark, sf), NATION, V.TOP_N["country"], entities=star.order_ids(spark, sf)
+    )
     return totals.withColumns(
         {c: F.col(c).cast("bigint") for c in ("unknown_shown", "multi_valued")}
     )

@@ -9,6 +9,7 @@ from tallyproof.functions import text as X
 from tallyproof.operators import filters, series
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
+from tallyproof.session import spread
 from tallyproof.sources import pages
 
 
@@ -207,7 +208,7 @@ def _landed(spark, sf):
     whole = orders.where(F.col("o_orderstatus") != "O").select(
         entity_id, *place(1, F.floor(F.col("o_custkey") / 100), F.col("o_orderkey"))
     )
-    lines = star.table(spark, sf, "lineitem").join(
+    lines = spread(star.table(spark, sf, "lineitem")).join(
         orders, F.col("l_orderkey") == F.col("o_orderkey")
     )
     copies = lines.select(entity_id, *place(2, F.col("l_linenumber"), F.col("l_partkey")))

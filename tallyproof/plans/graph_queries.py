@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tallyproof.functions import text as X
 from tallyproof.operators import network, synonyms
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
-from tallyproof.session import spread
+from tallyproof.session import durable, spread
 
 # --- names -----------------------------------------------------------------------------------
 
@@ -405,7 +406,7 @@ keyed as (
 def _crosswalk(spark, sf):
     forms = synonyms.surface_forms(_brands(spark, sf))
     candidates, ingredients = _lookup_tables(spark, sf)
-    return forms, synonyms.resolve_names(forms, candidates, ingredients)
+    return forms, durable(synonyms.resolve_names(forms, candidates, ingredients))
 
 
 @query(
@@ -420,7 +421,7 @@ def synonym_merge(spark, sf):
     """Names merged before they are counted, with the number of names behind each merge."""
     forms, crosswalk = _crosswalk(spark, sf)
     rows = network.merge_names(network.agent_rows(_brands(spark, sf)), crosswalk)
-    names = network.first_surface(rows)
+    names = network.first_surface(rows).persist(StorageLevel.MEMORY_AND_DISK)
     sources = synonyms.merge_sources(forms, crosswalk).select("key", "sources").distinct()
     return (
         network.sizes(names)

@@ -15,7 +15,7 @@ from tallyproof.operators import checks, filters, manifest, measure, network, sy
 from tallyproof.operators.citations import cite, quote, study_excerpt
 from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.operators.series import series_where
-from tallyproof.session import one_row
+from tallyproof.session import durable, one_row
 from tallyproof.sources.pages import capped
 from tallyproof.streaming.ingest import SOURCE_ORDER
 
@@ -248,7 +248,7 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
     if candidates is not None and ingredients is not None:
         forms = synonyms.study_surface_forms(records)
         pool = network.candidate_names(network.study_agents(records)).withColumnRenamed("key", "name")
-        crosswalk = synonyms.resolve_names(forms, candidates, ingredients, pool=pool)
+        crosswalk = durable(synonyms.resolve_names(forms, candidates, ingredients, pool=pool))
         merged = synonyms.merge_sources(forms, crosswalk)
     agents = network.study_agents(records, crosswalk).persist(StorageLevel.MEMORY_AND_DISK)
     if job.graph == "sponsor_drug":
