@@ -9,7 +9,7 @@ from tallyproof import schema as S
 from tallyproof.functions import fixed_values as V
 from tallyproof.functions import text as X
 from tallyproof.functions.names import agent_labels
-from tallyproof.session import durable
+from tallyproof.session import durable, small
 
 
 def sample_positions(total: Column, limit: int) -> Column:
@@ -43,8 +43,10 @@ def cite(evidence: DataFrame, datum: list[str], limit: int = V.DEFAULT_CITATIONS
     rows = durable(evidence.select(*datum, "entity_id").orderBy(*datum, "entity_id"))
     mid = F.monotonically_increasing_id()
     rows = rows.withColumn("_mid", mid).withColumn("_part", F.shiftright(mid, 33))
-    groups = rows.groupBy(*datum, "_part").agg(
-        F.min("_mid").alias("_first"), F.count("*").alias("_rows")
+    groups = durable(
+        rows.groupBy(*datum, "_part").agg(
+            F.min("_mid").alias("_first"), F.count("*").alias("_rows")
+        )
     )
     whole = Window.partitionBy(*datum)
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,6 +68,7 @@ def cite(evidence: DataFrame, datum: list[str], limit: int = V.DEFAULT_CITATIONS
     )
     ordinal = F.row_number().over(Window.partitionBy(*datum).orderBy("_at"))
     chosen = wanted.select("_mid", "total", ordinal.cast("bigint").alias("ordinal"))
+    chosen = small(chosen, groups.count() * limit)
     return rows.join(chosen, "_mid").select(*datum, "ordinal", "entity_id", "total")
 
 

@@ -7,6 +7,7 @@ pairs that met.
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tallyproof.functions import fixed_values as V
 from tallyproof.functions.text import strip
+from tallyproof.session import durable
 
-#: Tokens of a candidate used as its join key. Longer candidates meet on their first tokens and
-#: are verified in full.
+#: Words of a candidate hashed into its join key. Longer candidates are verified in full.
 ANCHOR_TOKENS = 8
 
 
@@ -43,6 +44,35 @@ def _runs(words: Column, n: int, build) -> Column:
     return F.transform(starts, lambda i: build(F.slice(words, i, n)))
 
 
+def _anchored(names: DataFrame, anchor: int) -> DataFrame:
+    """``(name, _n, _gram)``: one run of words per name, hashed, to look it up by.
+
+    Of all its runs of ``anchor`` words (or all its words, when there are fewer) a name gets the
+    one that the fewest names share, so that names opening with the same boilerplate do not all
+    meet the same texts.
+    """
+    cut = names.withColumn("_words", _words(F.col("name"))).where(F.size("_words") > 0)
+    cut = cut.withColumn("_n", F.least(F.size("_words"), F.lit(anchor)))
+    starts = F.sequence(F.lit(1), F.size("_words") - F.col("_n") + 1)
+    runs = cut.select(
+        "name",
+        "_n",
+        F.explode(
+            F.array_distinct(
+                F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, F.col("_n"))))
+            )
+        ).alias("_gram"),
+    )
+    shared = runs.groupBy("_n", "_gram").agg(F.count("*").alias("_names"))
+    rarest = F.min(F.struct("_names", "_gram")).alias("_rarest")
+    return (
+        runs.join(shared, ["_n", "_gram"])
+        .groupBy("name", "_n")
+        .agg(rarest)
+        .select("name", "_n", F.col("_rarest._gram").alias("_gram"))
+    )
+
+
 def exact_matches(
     texts: DataFrame, candidates: DataFrame, anchor: int = ANCHOR_TOKENS
 ) -> DataFrame:
@@ -50,25 +80,19 @@ def exact_matches(
     characters, any case. ``texts(text_id, text)``, ``candidates(candidate_id, candidate)``.
 
     An occurrence is bounded by non-word characters, so its words are whole words of the text:
-    meeting on the hash of the first words loses nothing.
+    meeting on the hash of some of them loses nothing. Equal candidates are looked up once.
     """
-    name = F.lower(strip(F.col("candidate")))
-    wanted = (
-        candidates.select("candidate_id", name.alias("name"))
-        .withColumn("_words", _words(F.col("name")))
-        .where(F.size("_words") > 0)
-        .withColumn("_n", F.least(F.size("_words"), F.lit(anchor)))
-        .withColumn("_gram", F.xxhash64(F.slice("_words", F.lit(1), F.col("_n"))))
-    )
+    wanted = candidates.select("candidate_id", F.lower(strip(F.col("candidate"))).alias("name"))
+    names = durable(_anchored(wanted.select("name").distinct(), anchor))
     words = F.col("_words")
-    grams = [_runs(words, n, F.xxhash64) for n in _distinct_numbers(F.col("_n"), wanted)]
+    grams = [_runs(words, n, F.xxhash64) for n in _distinct_numbers(F.col("_n"), names)]
     if not grams:
         grams = [F.array().cast("array<bigint>")]
     met = (
         texts.select("text_id", _words(F.lower("text")).alias("_words"))
         .select("text_id", F.explode(F.array_distinct(F.concat(*grams))).alias("_gram"))
-        .join(wanted.select("_gram", "candidate_id"), "_gram")
-        .select("text_id", "candidate_id")
+        .join(names.select("_gram", "name"), "_gram")
+        .select("text_id", "name")
     )
     # \Q..\E takes the candidate literally.
     literal = F.concat(
@@ -77,9 +101,10 @@ def exact_matches(
         F.lit(r"\E(?!\w)"),
     )
     return (
-        met.join(wanted.select("candidate_id", "name"), "candidate_id")
-        .join(texts.select("text_id", F.lower("text").alias("_text")), "text_id")
+        met.join(texts.select("text_id", F.lower("text").alias("_text")), "text_id")
         .where(F.contains("_text", "name") & F.rlike(F.col("_text"), literal))
+        .select("text_id", "name")
+        .join(wanted, "name")
         .select("text_id", "candidate_id")
     )
 
@@ -105,11 +130,9 @@ def _trigrams(text: Column) -> Column:
     )
 
 
-def inflected_matches(
-    texts: DataFrame, candidates: DataFrame, threshold: float = V.FUZZY_THRESHOLD
-) -> DataFrame:
+def inflected_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """``(text_id, candidate_id)`` where some run of as many tokens as the candidate has is at
-    least ``threshold`` similar to it, both of six or more characters.
+    least 0.87 similar to it, both of six or more characters.
 
     Equal runs are compared once, whatever texts they stand in. Pairs are found through shared
     3-grams. With similarity 2M/T >= 0.87 for M matching of T characters, the matching blocks
@@ -124,21 +147,30 @@ def inflected_matches(
         .select("candidate_id", name.alias("name"), F.size("_words").alias("_n"))
         .where(F.length("name") >= shortest)
     )
-    names = wanted.select("name", "_n").distinct()
+    names = durable(wanted.select("name", "_n").distinct())
     words = F.col("_words")
 
     def entry(n: int):
         return lambda run: F.struct(F.concat_ws(" ", run).alias("run"), F.lit(n).alias("_n"))
 
-    runs_of = [_runs(words, n, entry(n)) for n in _distinct_numbers(F.col("_n"), names)]
+    # One row per number of tokens among the names: how long a run of so many can usefully be.
+    length = F.length("name")
+    spans = names.groupBy("_n").agg(F.min(length).alias("low"), F.max(length).alias("high")).collect()
+    runs_of = [_runs(words, s["_n"], entry(s["_n"])) for s in spans]
     if not runs_of:
         runs_of = [F.array().cast("array<struct<run:string,_n:int>>")]
+    fits = F.lit(False)
+    for s in spans:
+        span = F.length("run").between(
+            F.lit(max(shortest, math.floor(s["low"] * 0.769))), F.lit(math.ceil(s["high"] * 1.3))
+        )
+        fits = fits | ((F.col("_n") == s["_n"]) & span)
     runs = (
         texts.select("text_id", tokens(F.col("text")).alias("_words"))
         .select("text_id", F.inline(F.array_distinct(F.concat(*runs_of))))
-        .where(F.length("run") >= shortest)
+        .where(fits)
     )
-    vocabulary = runs.select("run", "_n").distinct()
+    vocabulary = durable(runs.select("run", "_n").distinct())
     run_grams = vocabulary.select("run", "_n", F.explode(_trigrams(F.col("run"))).alias("gram"))
     frequency = run_grams.groupBy("gram").agg(F.count("*").alias("_f"))
     positions = names.select(
@@ -159,12 +191,14 @@ def inflected_matches(
         .select("name", "_n", "gram")
         .distinct()
     )
-    close = F.length("run") * 0.435 <= F.length("name") * 0.565
-    close = close & (F.length("name") * 0.435 <= F.length("run") * 0.565)
+    longer = F.greatest(F.length("run"), F.length("name"))
+    close = longer * 0.435 <= F.least(F.length("run"), F.length("name")) * 0.565 + 1e-6
     pairs = run_grams.join(looked_up, ["gram", "_n"]).where(close).select(
         "run", "name", "_n"
     ).distinct()
-    alike = pairs.where(similarity()(F.col("name"), F.col("run")) >= threshold)
+    # The edit distance is at most T - 2M, so this spares the slow function most pairs.
+    edits = F.levenshtein("name", "run") <= (F.length("name") + F.length("run")) * 0.13 + 1e-6
+    alike = pairs.where(edits).where(similarity()(F.col("name"), F.col("run")) >= V.FUZZY_THRESHOLD)
     matched = alike.join(wanted, ["name", "_n"]).select("run", "_n", "candidate_id")
     return runs.join(matched, ["run", "_n"]).select("text_id", "candidate_id").distinct()
 

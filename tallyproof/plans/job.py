@@ -16,7 +16,7 @@ from tallyproof.operators.citations import cite, quote, study_excerpt
 from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.operators.series import series_where
 from tallyproof.session import durable, one_row
-from tallyproof.sources.pages import capped
+from tallyproof.sources.pages import capped, split_cap
 from tallyproof.streaming.ingest import SOURCE_ORDER
 
 
@@ -128,11 +128,16 @@ def predicates(job: Job) -> dict[str, Column]:
     return steps
 
 
-def _series(job: Job, studies: DataFrame) -> DataFrame | None:
-    if not job.compare:
-        return None
+def _compared(job: Job, population: DataFrame) -> tuple[DataFrame, dict[str, dict]]:
+    """``(series, entity_id)``, and with a cap the facts of sharing it over the series."""
     build = _SCOPES[job.compare_kind][1]
-    return series_where(studies, S.ID_PATH, {label: build([label]) for label in job.compare})
+    tests = {label: build([label]) for label in job.compare}
+    if job.max_studies is None:
+        return series_where(population, S.ID_PATH, tests), {}
+    listed = population.select(F.col(S.ID_PATH).alias("entity_id"), *SOURCE_ORDER, "protocolSection")
+    searches = {label: listed.where(test) for label, test in tests.items()}
+    rows, facts = split_cap(searches, "entity_id", SOURCE_ORDER, job.max_studies)
+    return durable(rows.select("series", "entity_id")), facts
 
 
 def run(
@@ -145,8 +150,9 @@ def run(
 ) -> Result:
     """Compute ``job`` over ``studies``, one row per id (see ``first_writer``)."""
     population = studies.where(scope_filter(job))
-    series = _series(job, population)
-    if series is not None:
+    series, facts = None, {}
+    if job.compare:
+        series, facts = _compared(job, population)
         # A comparison reads exactly the studies its series name.
         population = population.join(
             series.select(F.col("entity_id").alias("_id")).distinct(),
@@ -154,10 +160,15 @@ def run(
             "left_semi",
         )
     matching = population.count()
-    fetched = matching
-    if job.max_studies is not None:
+    if facts:
+        fetched, truncated = matching, any(f["capped"] for f in facts.values())
+        matching = max(f["total_matching"] for f in facts.values())
+    elif job.max_studies is not None:
         population = capped(population, SOURCE_ORDER, job.max_studies)
         fetched = min(matching, job.max_studies)
+        truncated = fetched < matching
+    else:
+        fetched, truncated = matching, False
     steps = predicates(job)
     kept = F.lit(True)
     for step in steps.values():
@@ -167,9 +178,10 @@ def run(
     return compute(job, records, series, candidates, ingredients, provenance, {
         "fetched": fetched,
         "total_matching": matching,
-        "truncated": fetched < matching,
+        "truncated": truncated,
         "data_as_of": data_as_of,
         "cap": job.max_studies,
+        "shares": {label: f["share"] for label, f in facts.items()},
     })
 
 
@@ -185,6 +197,9 @@ def _manifest(job: Job, records: DataFrame, totals: DataFrame, n_rows: int, fact
         "total_matching": F.lit(facts["total_matching"]).cast("bigint"),
         "truncated": F.lit(facts["truncated"]),
         "cap": F.lit(facts["cap"]).cast("bigint"),
+        "series_shares": (X.literal_map(facts["shares"]) if facts["shares"] else F.lit(None)).cast(
+            "map<string,bigint>"
+        ),
         "unscoped_sample": F.lit(facts["truncated"] and not scoped),
         "capped_before_filter": F.lit(facts["truncated"] and scoped and job.has_local_filter),
         "data_as_of": F.lit(facts["data_as_of"]).cast("string"),

@@ -8,8 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A table may be broadcast when its row count is bounded by a parameter no larger than this.
-BROADCAST_ROWS = 10_000
+#: A table of keys or numbers may be broadcast when it is known to have no more rows than this.
+BROADCAST_ROWS = 100_000
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -50,7 +50,7 @@ TEXTS = [
 ]
 CANDIDATES = [
     "ALL", "SCLC", "nsclc", "5-fu", "5 fu", "lung cancer", "sarcoma", " élan ", "été", "a.b", "axb", "\\E c++",
-    "one two three four five six seven eight nine ten eleven", "one two", "pembrolizumab", "cell lung",
+    "one two three four five six seven eight nine ten eleven", "one two", "pembrolizumab", "cell lung", "ONE two", "six seven eight nine ten",
 ]
 
 

@@ -77,6 +77,18 @@ def test_cap_is_disclosed(studies):
     assert none.rows.count() == 0 and none.violations.count() == 0
 
 
+def test_cap_is_shared_by_series(studies):
+    job = Job(compare_kind="drug", compare=["cisplatin", "nivolumab", "aspirin"], max_studies=7, group_by="status")
+    result = run(job, studies)
+    assert fact(result, "series_shares") == {"cisplatin": 2, "nivolumab": 2, "aspirin": 3}
+    assert (fact(result, "processed"), fact(result, "total_matching"), fact(result, "truncated")) == (4, 6, True)
+    by_series = {}
+    for series, value in ordered(result, "series", "value"):
+        by_series[series] = by_series.get(series, 0) + value
+    assert by_series == {"cisplatin": 2, "nivolumab": 2, "aspirin": 0}
+    assert result.violations.count() == 0
+
+
 def test_empty_results_say_why(studies):
     assert fact(run(Job(drugs=["aspirin"]), studies), "empty_reason") == "NO_MATCHING_TRIALS"
     undated = studies.where("protocolSection.statusModule.startDateStruct.date is null")
