@@ -55,35 +55,40 @@ def first_surface(rows: DataFrame) -> DataFrame:
     )
 
 
-def merge_names(rows: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
+def merge_names(names: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
     """Replace resolved keys by the shared identity, and their labels by the canonical name.
 
-    Done before anything is counted, so that fragments of one compound add up. A left join keeps
-    unmatched names, and it can be split when one name holds a large share of the rows.
+    Done before anything is counted, so that fragments of one compound add up. Names without an
+    identity keep their own key.
     """
     if crosswalk is None:
-        return rows
+        return names
     known = crosswalk.select(
         F.col("name").alias("key"), F.col("rxcui").alias("_id"), "canonical_name"
     )
     merged = F.concat(F.lit(MERGED_PREFIX), F.col("_id"))
-    return rows.join(known, "key", "left").select(
-        "entity_id",
+    others = [c for c in names.columns if c not in ("key", "label")]
+    return names.join(known, "key", "left").select(
+        *others,
         F.coalesce(merged, F.col("key")).alias("key"),
         F.coalesce("canonical_name", "label").alias("label"),
-        "pos",
     )
 
 
-def agent_rows(raw: DataFrame) -> DataFrame:
-    """``(entity_id, name, pos)`` -> ``(entity_id, key, label, pos)`` without control arms."""
-    keyed = raw.select(
-        "entity_id",
+def agent_rows(raw: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
+    """``(entity_id, name, pos)`` -> ``(entity_id, key, label, pos)`` without control arms.
+
+    Each spelling is cleaned and merged once, however many rows have it.
+    """
+    spelled = raw.select("name").distinct()
+    cleaned = spelled.select(
+        "name",
         normalize_name(F.col("name")).alias("key"),
         strip(F.col("name")).alias("label"),
-        "pos",
+    ).where((F.col("key") != "") & ~is_control_name(F.col("key")))
+    return raw.join(merge_names(cleaned, crosswalk), "name").select(
+        "entity_id", "key", "label", "pos"
     )
-    return keyed.where((F.col("key") != "") & ~is_control_name(F.col("key")))
 
 
 def study_agents(studies: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
@@ -94,7 +99,7 @@ def study_agents(studies: DataFrame, crosswalk: DataFrame | None = None) -> Data
     raw = listed.where(is_agent(F.col("_i.type"), F.col("_i.name"))).select(
         "entity_id", F.col("_i.name").alias("name"), "pos"
     )
-    return first_surface(merge_names(agent_rows(raw), crosswalk))
+    return first_surface(agent_rows(raw, crosswalk))
 
 
 def sponsor_rows(entities: DataFrame, id_col: str | Column, name: str | Column) -> DataFrame:

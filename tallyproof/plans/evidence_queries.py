@@ -314,6 +314,67 @@ def check_graph_tampered(spark, sf):
     return found.groupBy("check").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""
+    with {_GRAPH_SQL},
+    members as (
+      select 'part:' || source || '|part:' || target as key, id
+      from pairs join drawn using (source, target)
+    ),
+    {_sample_sql("members", 3)}
+    select key, ordinal, id as entity_id, total,
+      '"' || o_orderpriority || '" — customer: "' || c_name || '"; parts.name: not reported' as excerpt
+    from cited join orders on id = o_orderkey join customer on o_custkey = c_custkey
+    """
+)
+def cite_edges(spark, sf):
+    """Edges of a pruned graph, each with sampled orders and evidence from two fields."""
+    evidence = _graph(spark, sf).edge_evidence
+    cited = cite(evidence, ["source", "target"], 3)
+    orders = star.table(spark, sf, "orders").join(
+        star.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    excerpt = X.excerpt(
+        F.col("o_orderpriority"),
+        X.render_text("customer", F.col("c_name")),
+        X.render_list("parts.name", F.lit(None).cast("array<string>")),
+    )
+    return quote(cited, orders, "o_orderkey", excerpt, _URL).select(
+        F.concat_ws("|", "source", "target").alias("key"), "ordinal", "entity_id", "total", "excerpt"
+    )
+
+
+@query(
+    """
+    select 'merge_of_one' as "check", count(*) as n from part where p_type = 'PROMO'
+    union all select 'merge_without_identity', count(*) from part where p_type = 'LARGE'
+    union all select 'processed_count', 1
+    union all select 'series_complete', count(distinct c_mktsegment) from customer
+      where c_mktsegment like '%E'
+    """
+)
+def check_claims_tampered(spark, sf):
+    """Wrong merge claims, a manifest that is one off, and series left out of the rows."""
+    kind = F.col("p_type")
+    nodes = star.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.when(kind != "LARGE", F.col("p_brand")).alias("rxcui"),
+        F.when(kind == "PROMO", 1).when(kind.isin("LARGE", "SMALL"), 2).alias("merged_names"),
+    )
+    orders = star.table(spark, sf, "orders")
+    counted = orders.agg(F.count("*").alias("n")).select(
+        (F.col("n") + 1).alias("processed"), F.lit(None).cast("string").alias("empty_reason")
+    )
+    promised = star.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("series")).distinct()
+    found = checks.violations(
+        checks.merge_claims(nodes),
+        checks.processed_count(counted, orders, orders.select(F.col("_metadata.file_path").alias("source"))),
+        checks.series_complete(promised.where(~F.col("series").endswith("E")), promised),
+        checks.not_empty(orders, counted),
+    )
+    return found.groupBy("check").agg(F.count("*").alias("n"))
+
+
 # --- whole jobs ------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyproof import schema as S
 from tallyproof.functions import text as X
-from tallyproof.operators import filters, series
+from tallyproof.operators import filters, manifest, series
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
 from tallyproof.session import spread
@@ -289,3 +289,33 @@ def series_table(spark, sf):
         .groupBy("series")
         .agg(F.count("*").alias("orders"))
     )
+
+
+@query(
+    """
+    with searches as (
+      select c_nationkey, count(*) as fetched, count(*) > 600 as capped,
+             case when c_nationkey % 5 > 0 then count(*) + c_nationkey % 2 end as total_matching
+      from orders join customer on o_custkey = c_custkey group by 1
+    )
+    select max(total_matching) as total_matching,
+           max(cast(coalesce(fetched < total_matching, capped) as integer)) as truncated
+    from searches
+    """
+)
+def fetch_completeness(spark, sf):
+    """Customers' nations as searches: some complete, some short of their total, some without."""
+    orders = star.table(spark, sf, "orders").join(
+        star.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    nation = F.col("c_nationkey")
+    searches = (
+        orders.groupBy("c_nationkey")
+        .agg(F.count("*").alias("fetched"))
+        .select(
+            "fetched",
+            (F.col("fetched") > 600).alias("capped"),
+            F.when(nation % 5 > 0, F.col("fetched") + nation % 2).alias("total_matching"),
+        )
+    )
+    return manifest.fetch_totals(searches).withColumn("truncated", F.col("truncated").cast("int"))

@@ -9,7 +9,7 @@ from tallyproof.functions import text as X
 from tallyproof.operators import network, synonyms
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
-from tallyproof.session import durable, spread
+from tallyproof.session import durable
 
 # --- names -----------------------------------------------------------------------------------
 
@@ -23,7 +23,7 @@ def _decorated(spark, sf):
         .otherwise(F.concat(F.lit(" "), F.initcap(name), F.lit("  Tablets ")))
     )
     kind = F.when(F.col("p_type") == "PROMO", F.lit("PROCEDURE")).otherwise(F.lit("DRUG"))
-    return spread(star.parts_of_orders(spark, sf, "p_name", "p_type")).select(
+    return star.parts_of_orders(spark, sf, "p_name", "p_type").select(
         "entity_id", kind.alias("type"), spelled.alias("name"), "pos"
     )
 
@@ -323,7 +323,7 @@ def _brands(spark, sf):
     first = F.substring_index("p_name", " ", 1)
     word = F.substring_index("p_name", " ", -1)
     qualifier = X.literal_map(_QUALIFIERS)[first]
-    return spread(star.parts_of_orders(spark, sf, "p_name")).select(
+    return star.parts_of_orders(spark, sf, "p_name").select(
         "entity_id",
         F.lit("DRUG").alias("type"),
         F.concat(word, F.lit(" "), qualifier).alias("name"),
@@ -420,7 +420,7 @@ def _crosswalk(spark, sf):
 def synonym_merge(spark, sf):
     """Names merged before they are counted, with the number of names behind each merge."""
     forms, crosswalk = _crosswalk(spark, sf)
-    rows = network.merge_names(network.agent_rows(_brands(spark, sf)), crosswalk)
+    rows = network.agent_rows(_brands(spark, sf), crosswalk)
     names = network.first_surface(rows).persist(StorageLevel.MEMORY_AND_DISK)
     sources = synonyms.merge_sources(forms, crosswalk).select("key", "sources").distinct()
     return (
@@ -462,6 +462,6 @@ def synonym_totals(spark, sf):
 def synonym_graph(spark, sf):
     """A graph over merged names."""
     _forms, crosswalk = _crosswalk(spark, sf)
-    rows = network.merge_names(network.agent_rows(_brands(spark, sf)), crosswalk)
+    rows = network.agent_rows(_brands(spark, sf), crosswalk)
     graph = network.cooccurrence(network.first_surface(rows), max_nodes=10, kind="part")
     return graph.nodes.select("position", "id", "size", "rxcui")

@@ -35,17 +35,14 @@ def order_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def nations_of_orders(spark: SparkSession, sf: str) -> DataFrame:
     """``(entity_id, key)``: supplier nations, one row per line item."""
-    suppliers = (
-        table(spark, sf, "supplier")
-        .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_name").alias("key"))
-    )
-    return (
-        table(spark, sf, "lineitem")
-        .select(F.col("l_orderkey").alias("entity_id"), "l_suppkey")
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select("entity_id", "key")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("entity_id"), "l_suppkey")
+    supplied = lines.join(
+        table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"),
+        F.col("l_suppkey") == F.col("s_suppkey"),
     )
+    return supplied.join(
+        table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    ).select("entity_id", F.col("n_name").alias("key"))
 
 
 def parts_of_orders(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
