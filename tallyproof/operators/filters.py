@@ -83,11 +83,16 @@ def free_text(query: str, *texts: Column) -> Column:
     return condition
 
 
-def filter_accounting(entities: DataFrame, steps: dict[str, Column]) -> DataFrame:
-    """Rows before and after each predicate, applied in order, in one pass."""
+def filter_accounting(
+    entities: DataFrame, steps: dict[str, Column], missing: dict[str, Column] | None = None
+) -> DataFrame:
+    """``(step, filter, before, after, missing)``: rows around each predicate, applied in order,
+    in one pass. ``missing`` tells, for some predicates, which rows lack the value asked for."""
     passed = F.lit(True)
     measures = [F.count("*").alias("_0")]
-    for i, predicate in enumerate(steps.values(), 1):
+    for i, (name, predicate) in enumerate(steps.items(), 1):
+        lacking = (missing or {}).get(name, F.lit(False))
+        measures.append(F.count_if(passed & lacking).alias(f"_missing_{i}"))
         passed = passed & F.coalesce(predicate, F.lit(False))
         measures.append(F.count_if(passed).alias(f"_{i}"))
     stages = F.array(
@@ -97,6 +102,7 @@ def filter_accounting(entities: DataFrame, steps: dict[str, Column]) -> DataFram
                 F.lit(name).alias("filter"),
                 F.col(f"_{i - 1}").alias("before"),
                 F.col(f"_{i}").alias("after"),
+                F.col(f"_missing_{i}").alias("missing"),
             )
             for i, name in enumerate(steps, 1)
         ]

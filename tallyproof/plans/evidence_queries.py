@@ -431,8 +431,8 @@ def job_compare_sponsors(spark, sf):
     f"""
     with {star.STUDIES_SQL},
     kept as (select * from studies where status = 'O')
-    select (select count(*) from kept) as processed, (select count(*) from studies) as fetched,
-           (select count(*) from studies) as total_matching, (select count(*) from kept) as matched,
+    select (select count(*) from kept) as processed, (select count(*) from kept) as fetched,
+           (select count(*) from kept) as total_matching, (select count(*) from kept) as matched,
            cast(0 as bigint) as unbucketed, (select count(distinct c_name) from kept) as total_categories,
            cast(15 as bigint) as displayed_categories,
            (select count(distinct c_name) from kept) - 15 as omitted_categories,

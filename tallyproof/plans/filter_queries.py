@@ -18,16 +18,19 @@ from tallyproof.sources import pages
     with {star.STUDIES_SQL},
     flags as (
       select coalesce(status <> 'F', true) as p1,
-             coalesce(cast(left(start_date, 4) as integer) >= 1997, false) as p2
+             coalesce(cast(left(start_date, 4) as integer) >= 1997, false) as p2,
+             start_date is null as undated
       from studies
     ),
     totals as (
       select count(*) as n0, count(*) filter (where p1) as n1,
-             count(*) filter (where p1 and p2) as n2 from flags
+             count(*) filter (where p1 and p2) as n2,
+             count(*) filter (where p1 and undated) as undated from flags
     )
-    select cast(1 as bigint) as step, 'status_excluded' as filter, n0 as before, n1 as after
+    select cast(1 as bigint) as step, 'status_excluded' as filter, n0 as before, n1 as after,
+           cast(0 as bigint) as missing
     from totals
-    union all select 2, 'year', n1, n2 from totals
+    union all select 2, 'year', n1, n2, undated from totals
     """
 )
 def filter_status_exclude_nulls(spark, sf):
@@ -39,6 +42,7 @@ def filter_status_exclude_nulls(spark, sf):
             "status_excluded": filters.status_not_in([" f "], F.col(S.STATUS_PATH)),
             "year": filters.year_between(year, 1997, None),
         },
+        {"year": year.isNull()},
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -54,9 +54,9 @@ class Job:
 
     @property
     def has_local_filter(self) -> bool:
+        """Whether rows are dropped after the cap rather than before it."""
         return bool(
-            self.statuses
-            or self.excluded_statuses
+            self.excluded_statuses
             or self.start_year is not None
             or self.end_year is not None
         )
@@ -70,6 +70,7 @@ class Result:
     violations: DataFrame
     graph: network.Graph | None = None
     merged_from: DataFrame | None = None
+    accounting: DataFrame | None = None
     held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
@@ -81,6 +82,8 @@ class Result:
 
     def tables(self) -> dict[str, DataFrame]:
         out = {"citations": self.citations, "manifest": self.manifest}
+        if self.accounting is not None:
+            out["accounting"] = self.accounting
         if self.graph is None:
             return {"rows": self.rows, **out}
         out |= {"nodes": self.graph.nodes, "edges": self.graph.edges}
@@ -107,24 +110,34 @@ def scope_filter(job: Job) -> Column:
         condition = condition & filters.free_text(
             job.free_text, F.col(S.TITLE_PATH), names, F.col(S.SPONSOR_PATH)
         )
+    return condition
+
+
+def asked_filter(job: Job) -> Column:
+    """Requested phases and statuses, which hold before the cap is applied."""
+    condition = F.lit(True)
     if job.phases:
-        condition = condition & F.coalesce(
-            filters.phases_in(job.phases, F.col(S.PHASES_PATH)), F.lit(False)
-        )
+        wanted = filters.phases_in(job.phases, F.col(S.PHASES_PATH))
+        condition = condition & F.coalesce(wanted, F.lit(False))
+    if job.statuses:
+        wanted = filters.status_in(job.statuses, F.col(S.STATUS_PATH))
+        condition = condition & F.coalesce(wanted, F.lit(False))
     return condition
 
 
+def _year() -> Column:
+    return X.leading_year(F.col(S.DATE_PATH)).try_cast("int")
+
+
 def predicates(job: Job) -> dict[str, Column]:
-    """Named predicates in the order they are accounted for."""
-    status = F.col(S.STATUS_PATH)
+    """Named predicates after the cap, in the order they are accounted for."""
     steps = {}
-    if job.statuses:
-        steps["status"] = filters.status_in(job.statuses, status)
     if job.excluded_statuses:
-        steps["status_excluded"] = filters.status_not_in(job.excluded_statuses, status)
+        steps["status_excluded"] = filters.status_not_in(
+            job.excluded_statuses, F.col(S.STATUS_PATH)
+        )
     if job.start_year is not None or job.end_year is not None:
-        year = X.leading_year(F.col(S.DATE_PATH)).try_cast("int")
-        steps["year"] = filters.year_between(year, job.start_year, job.end_year)
+        steps["year"] = filters.year_between(_year(), job.start_year, job.end_year)
     return steps
 
 
@@ -149,7 +162,8 @@ def run(
     data_as_of: str | None = None,
 ) -> Result:
     """Compute ``job`` over ``studies``, one row per id (see ``first_writer``)."""
-    population = studies.where(scope_filter(job))
+    scoped = studies.where(scope_filter(job))
+    population = scoped.where(asked_filter(job))
     series, facts = None, {}
     if job.compare:
         series, facts = _compared(job, population)
@@ -169,20 +183,28 @@ def run(
         truncated = fetched < matching
     else:
         fetched, truncated = matching, False
+    unfiltered = None
+    if matching == 0 and (job.phases or job.statuses):
+        unfiltered = scoped.count()
     steps = predicates(job)
     kept = F.lit(True)
     for step in steps.values():
         kept = kept & F.coalesce(step, F.lit(False))
     records = population.where(kept).persist(StorageLevel.MEMORY_AND_DISK)
     compute = _graph_result if job.graph else _rows_result
-    return compute(job, records, series, candidates, ingredients, provenance, {
+    result = compute(job, records, series, candidates, ingredients, provenance, {
         "fetched": fetched,
         "total_matching": matching,
         "truncated": truncated,
         "data_as_of": data_as_of,
         "cap": job.max_studies,
         "shares": {label: f["share"] for label, f in facts.items()},
+        "unfiltered": unfiltered,
     })
+    if not steps:
+        return result
+    accounting = filters.filter_accounting(population, steps, {"year": _year().isNull()})
+    return replace(result, accounting=accounting)
 
 
 def _manifest(job: Job, records: DataFrame, totals: DataFrame, n_rows: int, facts: dict) -> DataFrame:
@@ -203,6 +225,8 @@ def _manifest(job: Job, records: DataFrame, totals: DataFrame, n_rows: int, fact
         "unscoped_sample": F.lit(facts["truncated"] and not scoped),
         "capped_before_filter": F.lit(facts["truncated"] and scoped and job.has_local_filter),
         "data_as_of": F.lit(facts["data_as_of"]).cast("string"),
+        # What the scope alone would have matched, when the requested phases or statuses leave none.
+        "unfiltered_matching": F.lit(facts["unfiltered"]).cast("bigint"),
         "empty_reason": F.lit(reason).cast("string"),
     }
     return totals.select(*[v.alias(k) for k, v in literal.items()], "*")
@@ -310,4 +334,6 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
     if provenance is not None:
         found.append(checks.processed_count(final, records, provenance))
     held = [records, agents]
-    return Result(None, citations, final, checks.violations(*found), graph, merged, held)
+    return Result(
+        None, citations, final, checks.violations(*found), graph, merged, held=held
+    )

@@ -54,6 +54,10 @@ def test_scope_status_and_years(studies):
     assert ordered(result, "key", "value") == [
         (str(y), 1 if y in (2021, 2023) else 0) for y in range(2018, 2025)
     ]
+    assert values(result.accounting, "filter", "before", "after", "missing") == [
+        ("status_excluded", 6, 4, 0),
+        ("year", 4, 2, 2),
+    ]
     assert result.violations.count() == 0
 
 
@@ -72,7 +76,7 @@ def test_cap_is_disclosed(studies):
     result = run(Job(max_studies=5, group_by="country"), studies)
     assert (fact(result, "fetched"), fact(result, "total_matching"), fact(result, "truncated")) == (5, 12, True)
     assert fact(result, "unscoped_sample") and not fact(result, "capped_before_filter")
-    none = run(Job(sponsors=["merck"], max_studies=2, statuses=["withdrawn"]), studies)
+    none = run(Job(sponsors=["merck"], max_studies=2, start_year=2050), studies)
     assert fact(none, "empty_reason") == "NO_MATCHES_IN_FETCHED_SAMPLE" and fact(none, "capped_before_filter")
     assert none.rows.count() == 0 and none.violations.count() == 0
 
@@ -91,6 +95,8 @@ def test_cap_is_shared_by_series(studies):
 
 def test_empty_results_say_why(studies):
     assert fact(run(Job(drugs=["aspirin"]), studies), "empty_reason") == "NO_MATCHING_TRIALS"
+    unheard = run(Job(sponsors=["merck"], statuses=["withdrawn"]), studies)
+    assert (fact(unheard, "empty_reason"), fact(unheard, "unfiltered_matching")) == ("NO_MATCHING_TRIALS", 6)
     undated = studies.where("protocolSection.statusModule.startDateStruct.date is null")
     result = run(Job(group_by="start_year", time_series=True), undated)
     assert fact(result, "empty_reason") == "NO_CHARTABLE_DATA"
