@@ -9,7 +9,7 @@ from tallyproof.functions import text as X
 from tallyproof.operators import network, synonyms
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
-from tallyproof.session import durable
+from tallyproof.session import durable, spread
 
 # --- names -----------------------------------------------------------------------------------
 
@@ -23,7 +23,7 @@ def _decorated(spark, sf):
         .otherwise(F.concat(F.lit(" "), F.initcap(name), F.lit("  Tablets ")))
     )
     kind = F.when(F.col("p_type") == "PROMO", F.lit("PROCEDURE")).otherwise(F.lit("DRUG"))
-    return star.parts_of_orders(spark, sf, "p_name", "p_type").select(
+    return spread(star.parts_of_orders(spark, sf, "p_name", "p_type")).select(
         "entity_id", kind.alias("type"), spelled.alias("name"), "pos"
     )
 
@@ -323,7 +323,7 @@ def _brands(spark, sf):
     first = F.substring_index("p_name", " ", 1)
     word = F.substring_index("p_name", " ", -1)
     qualifier = X.literal_map(_QUALIFIERS)[first]
-    return star.parts_of_orders(spark, sf, "p_name").select(
+    return spread(star.parts_of_orders(spark, sf, "p_name")).select(
         "entity_id",
         F.lit("DRUG").alias("type"),
         F.concat(word, F.lit(" "), qualifier).alias("name"),
@@ -404,7 +404,7 @@ keyed as (
 
 
 def _crosswalk(spark, sf):
-    forms = synonyms.surface_forms(_brands(spark, sf))
+    forms = durable(synonyms.surface_forms(_brands(spark, sf)))
     candidates, ingredients = _lookup_tables(spark, sf)
     return forms, durable(synonyms.resolve_names(forms, candidates, ingredients))
 

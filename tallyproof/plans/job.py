@@ -285,7 +285,7 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
 def _graph_result(job, records, _series, candidates, ingredients, provenance, facts) -> Result:
     crosswalk = forms = merged = None
     if candidates is not None and ingredients is not None:
-        forms = synonyms.study_surface_forms(records)
+        forms = durable(synonyms.study_surface_forms(records))
         pool = network.candidate_names(network.study_agents(records)).withColumnRenamed("key", "name")
         crosswalk = durable(synonyms.resolve_names(forms, candidates, ingredients, pool=pool))
         merged = synonyms.merge_sources(forms, crosswalk)
