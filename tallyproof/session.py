@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,16 +12,48 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and every executor reach, as ``spark.checkpoint.dir`` names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tallyproof-checkpoint-")
-    context.setCheckpointDir(folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor reach")
+    return folder.rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """``path`` and its file system, as Hadoop objects of the driver."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the application ends if not before."""
+    path = f"{shared_folder(spark)}/tallyproof-{name}-{uuid.uuid4().hex}"
+    at, files = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at, files = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+def stored(df: DataFrame, name: str = "table", made: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back. It is computed once,
+    survives a lost executor and is noted in ``made``, whose paths `delete_path` removes."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if made is not None:
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def durable(df: DataFrame) -> DataFrame:

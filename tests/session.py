@@ -1,6 +1,7 @@
 """The Spark session of tests and benchmarks."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,5 +20,7 @@ def make_session(cores: str | None = None, **settings: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyproof-tests-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
