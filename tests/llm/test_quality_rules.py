@@ -10,7 +10,7 @@ from tallyproof.llm import queries, quality_rules
 
 SF = "/root/testdata/sf0.001"
 SENTENCE = "Many readers enjoy long stories about ships, storms and distant islands. "
-PROSE = "\n".join(f"{SENTENCE}Chapter {a} tells of captain {a * 7} and the {a * 11} sailors of port {a * 13}." for a in range(8))
+PROSE = "\n".join(" ".join(f"w{a}x{b}" for b in range(12)) + "." for a in range(9))
 
 
 def expected(text):
@@ -84,7 +84,6 @@ def test_edges(spark):
     ).withColumn("n_words", F.lit("clash"))
     rows = {(r.doc_id, r.n_words): r.kept for r in quality_rules.verdicts(docs).collect()}
     n = len(PROSE.split())
-    # repeated copies of the same prose are all three-word windows found again
     assert rows == {(1, 0): False, (2, 0): False, (None, n): True, (4, n): True, (5, len((PROSE * 3000).split())): False}
     kept = quality_rules.clean(docs, length_col="absent").collect()
     assert [(r.doc_id, r.text, r.kept, r.n_words) for r in kept] == [(None, PROSE, "x", "clash"), *2 * [(4, PROSE, None, "clash")]]
