@@ -89,15 +89,17 @@ def _partition_and_row():
     return F.shiftright(mid, 33), mid.bitwiseAND(F.lit((1 << 33) - 1))
 
 
-def number_rows(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+def number_rows(
+    df: DataFrame, *order: Column | str, name: str = "position", made: list[str] | None = None
+) -> DataFrame:
     """1-based position of every row in the total order ``order``, without a one-task window.
 
-    A range-partitioned sort is checkpointed, which fixes its partitions; a row's position is its
-    index in its partition plus the sizes of the partitions before it. Only that list of sizes,
-    one row per partition, is broadcast.
+    A range-partitioned sort is written with each row's partition and place in it, so that the
+    places hold whoever reads them; a row's position is its place plus the sizes of the partitions
+    before it. Only that list of sizes, one row per partition, is broadcast.
     """
     part, row = _partition_and_row()
-    ordered = durable(df.orderBy(*order)).withColumn("_part", part).withColumn("_row", row)
+    ordered = stored(df.orderBy(*order).withColumns({"_part": part, "_row": row}), "numbered", made)
     sizes = ordered.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
