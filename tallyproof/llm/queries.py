@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import quality_rules, simhash
+from tallyproof.llm import exact_dedup, quality_rules, simhash
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -26,3 +26,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+@query(
+    """
+    with documents_ as (
+        select doc_id, length(coalesce(text, '')) as chars,
+               regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') as plain
+        from documents
+    ), ranked as (
+        select doc_id, sha256(plain) as text_sha256, count(*) over (partition by plain) as group_size,
+               first_value(doc_id) over (partition by plain order by chars desc, doc_id) as keep_id,
+               row_number() over (partition by plain order by chars desc, doc_id) = 1 as kept
+        from documents_
+    )
+    select doc_id, keep_id, group_size, kept, text_sha256 from ranked
+    """
+)
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_dedup.groups(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("_k_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
