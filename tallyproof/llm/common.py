@@ -54,19 +54,22 @@ def content_keys(id_col: str, text_col: str, prefix: str = "_k") -> list[Column]
 
 
 def pick(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One whole row of ``docs`` for each row of ``chosen``, whose columns are ``_k_id, _k_a, _k_b``
-    (`content_keys`), ``_k_n`` (how many rows of ``docs`` have this key) and any payload, which is
-    appended. Rows equal in id and text are repeats: any one of them is taken.
+    """The whole row of ``docs`` for each row of ``chosen``, whose columns are ``_k_id, _k_a, _k_b``
+    (`content_keys`), ``_k_n`` (how many rows of ``docs`` have this key) and, if a row may be wanted
+    more than once, ``_k_copies``. Rows equal in id and text are repeats: any one of them is taken.
 
     Only keys that occur more than once, if there are any, are reduced by an aggregate; it combines
-    before its shuffle, so that a row repeated very often stays small.
+    before its shuffle, so that a row repeated very often stays small. Whole rows travel as one
+    struct, so that no column of ``docs`` can clash with a key.
     """
-    mine = docs.select("*", *content_keys(id_col, text_col, "_d"))
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *content_keys(id_col, text_col, "_d"))
     same = (F.col("_d_a") == F.col("_k_a")) & (F.col("_d_b") == F.col("_k_b")) & F.col("_d_id").eqNullSafe(F.col("_k_id"))
-    payload = [c for c in chosen.columns if not c.startswith("_k_")]
-    columns = [f"`{c}`" for c in docs.columns] + [f"`{c}`" for c in payload]
     if chosen.filter("_k_n > 1").isEmpty():
-        return mine.join(chosen, same).select(*columns)
-    single = mine.join(chosen.filter("_k_n = 1"), same)
-    repeated = mine.join(chosen.filter("_k_n > 1"), same).dropDuplicates(["_d_id", "_d_a", "_d_b"])
-    return single.unionByName(repeated).select(*columns)
+        rows = mine.join(chosen, same)
+    else:
+        single = mine.join(chosen.filter("_k_n = 1"), same)
+        repeated = mine.join(chosen.filter("_k_n > 1"), same).dropDuplicates(["_d_id", "_d_a", "_d_b"])
+        rows = single.unionByName(repeated)
+    if "_k_copies" in chosen.columns:
+        rows = rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("_k_copies").cast("int"))))
+    return rows.select("doc.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import exact_dedup, quality_rules, simhash
+from tallyproof.llm import exact_dedup, mixing, quality_rules, simhash
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -46,3 +46,50 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.groups(table(spark, sf_dir, "documents"))
     return rows.select(F.col("_k_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    """
+    with docs as (
+        select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+               md5(concat('42-', coalesce(cast(doc_id as varchar), 'null'), '-', md5(coalesce(text, '')))) as shuffled
+        from documents
+    ), sources as (
+        select source, cast(sum(size) as bigint) as source_size,
+               list_extract([5.0::double, 2.0::double, 1.0::double],
+                            cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as bigint)) as weight
+        from docs group by source
+    ), caps as (
+        select *, cast(3 * source_size as double) as cap,
+               row_number() over (order by 3 * source_size / weight, source nulls last) as place
+        from sources
+    ), rates as (
+        -- the rate when the sources before this place are capped
+        select place, cap, weight,
+               ((select sum(source_size) from sources)
+                - coalesce(sum(cap) over (order by place rows between unbounded preceding and 1 preceding), 0))
+               / sum(weight) over (order by place rows between current row and unbounded following) as rate
+        from caps
+    ), fair as (
+        select rate from rates where rate * weight <= cap order by place limit 1
+    ), targets as (
+        select source, source_size, least((select rate from fair) * weight, cap) as target from caps
+    ), queued as (
+        select docs.*, sum(size) over (partition by source order by shuffled) as upto from docs where size > 0
+    ), packets as (
+        select doc_id, source, size, shuffled, turn, (turn * source_size + upto) / target as finish
+        from queued join targets using (source), range(3) as turns(turn)
+        where target > 0 and turn < least(3, floor(target / source_size) + 1)
+    ), sent as (
+        select *, sum(size) over (order by finish, source nulls last, shuffled, turn) as used from packets
+    ), takes as (
+        select doc_id, cast(sum(size) as bigint) as taken from sent
+        where used <= (select sum(source_size) from sources) group by doc_id
+    )
+    select doc_id, size, source_size, target, coalesce(taken, 0) as taken
+    from docs join targets using (source) left join takes using (doc_id)
+    """
+)
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("_k_id").alias("doc_id"), "size", "source_size", "target", "taken")
