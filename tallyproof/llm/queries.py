@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import exact_dedup, mixing, quality_rules, simhash
+from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_rules, simhash, token_count
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -93,3 +93,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select(F.col("_k_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_count.counts(table(spark, sf_dir, "documents"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query()
+def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.digests(bpe_chunks.encode(table(spark, sf_dir, "documents"), decoded=True))
