@@ -121,6 +121,7 @@ def groups(
     groups = groups.select(
         "round", "name", "group_size", F.col("_best._k_id").alias("keep_id"), F.col("_best.row").alias("_kept_row")
     )
+    groups = stored(groups, "groups")  # apart from the aggregate, the join can be split
     return rows.join(groups, ["round", "name"]).select(
         "_k_id", "_k_a", "_k_b", "keep_id", "group_size", (F.col("row") == F.col("_kept_row")).alias("kept"), "text_sha256"
     )
