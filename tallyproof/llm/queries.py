@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_rules, simhash, token_count
+from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_rules, simhash, token_count, warc
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -104,3 +104,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digests(bpe_chunks.encode(table(spark, sf_dir, "documents"), decoded=True))
+
+
+@query(
+    """
+    with payloads as (
+        select page_id, coalesce(html, '') as payload,
+               max(page_id) over (partition by coalesce(html, '')) as largest
+        from pages
+    ), typed as (
+        select *, octet_length(encode(payload)) as size,
+               case when octet_length(encode(payload)) >= 1000 and largest is distinct from page_id then largest end as refers_to
+        from payloads
+    )
+    select page_id, size as payload_bytes, sha1(payload) as payload_digest,
+           case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
+    from typed
+    """
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.archive(pages)
+    return warc.summary(warc.read(archives, with_chunks=False), pages.schema["page_id"].dataType.simpleString())
