@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_rules, simhash, token_count, warc
+from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_rules, simhash, token_count, token_file, warc
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -126,3 +126,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archives = warc.archive(pages)
     return warc.summary(warc.read(archives, with_chunks=False), pages.schema["page_id"].dataType.simpleString())
+
+
+@query()
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.read(token_file.write(table(spark, sf_dir, "documents")))
