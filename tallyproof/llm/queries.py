@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_rules, simhash, token_count, token_file, warc
+from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -131,3 +131,16 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(token_file.write(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = quality_knn.remainder(F.col("doc_id"), 4) != 2
+    voters = quality_knn.fit(docs, table(spark, sf_dir, "labels"), learn=learn)
+    return quality_knn.score(docs, voters).select(
+        "doc_id",
+        (quality_knn.remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
