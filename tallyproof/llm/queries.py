@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe_chunks, exact_dedup, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc
+from tallyproof.llm import bpe_chunks, exact_dedup, lm_score, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -144,3 +144,18 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = lm_score.fit(docs, lambda ident: lm_score.remainder(ident, 5) != 1)
+    return lm_score.score(docs, fitted).select(
+        "doc_id",
+        (lm_score.remainder(F.col("doc_id"), 5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(fitted.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
