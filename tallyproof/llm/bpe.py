@@ -6,15 +6,25 @@ The tokenizer's file is read by the driver and broadcast; it has the size of its
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Words that a worker remembers; when there are more it starts anew.
-REMEMBERED = 300_000
+#: Words in a generation of what a worker remembers; there are two.
+REMEMBERED = 200_000
+
+#: Words or pre-tokens that are encoded in one call.
+TOGETHER = 256
+#: Blanks, visible ASCII, Latin letters and signs, common punctuation: lower-casing and character classes
+#: are the same in every Unicode version, and composition changes nothing. U+0130 lower-cases to two.
+SAFE = re.compile(r"[\t-\r -~¡-įı-ſ‐-‧‰-⁞€]*")
 
 _loaded: dict[str, Encoder] = {}
 
@@ -53,14 +63,56 @@ def load(text: str):
     return tokenizer
 
 
+def splitting(tokenizer, text: str) -> tuple[regex.Pattern, np.ndarray | None, re.Pattern]:
+    """The pre-tokenizer's pattern; which ids end a pre-token, if the vocabulary marks them; and a
+    pattern of the special tokens' strings."""
+    spec = json.loads(text)
+    steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+    pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
+    if pattern is None:
+        raise ValueError("the tokenizer does not split by a pattern")
+    end = spec["model"].get("end_of_word_suffix")
+    tokens = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size(with_added_tokens=True)))
+    last = np.array([t is not None and t.endswith(end) for t in tokens]) if end else None
+    special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)"
+    return regex.compile(pattern), last, re.compile(special)
+
+
+class Recent:
+    """Results of words, of which the recently used stay: words live in two generations, and when the
+    young one is full it becomes the old one, which is forgotten."""
+
+    def __init__(self, make: Callable[[list], list]):
+        self.make = make
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: list) -> list:
+        """The result of each word; those not remembered are made in one call."""
+        found = list(map(self.young.get, words))
+        if None in found:
+            missing = {w for w, x in zip(words, found) if x is None}
+            if len(self.young) + len(missing) > REMEMBERED:
+                self.old, self.young = self.young, {}
+            old = self.old
+            results = {w: old[w] for w in missing if w in old}
+            new = [w for w in missing if w not in results]
+            if new:
+                results.update(zip(new, self.make(new)))
+            self.young.update(results)
+            found = [results[w] if x is None else x for w, x in zip(words, found)]
+        return found
+
+
 class Encoder:
     """Encodes texts word by word. The pre-tokenizer never joins what blanks separate and composition
     never crosses a blank, so the ids of a text are those of its words in order."""
 
     def __init__(self, text: str):
         self.tokenizer = load(text)
-        self.words: dict[bytes, bytes] = {}
+        self.recent = Recent(self._encode)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.pattern, self.last, self.special = splitting(self.tokenizer, text)
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
     def ids(self, text: bytes) -> bytes:
@@ -68,18 +120,28 @@ class Encoder:
         found = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
         return np.array(found, dtype="<u4").tobytes()
 
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words not met before, many in one call: the vocabulary marks the last token of a
+        pre-token, so with the number of its pre-tokens a word's ids can be told from the next one's."""
+        result: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = [w.decode() for w in words[at : at + TOGETHER]]
+            if self.last is not None and all(map(SAFE.fullmatch, some)):
+                pieces = np.cumsum([len(self.pattern.findall(w.lower())) for w in some])
+                joined = " ".join(some)
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == pieces[-1] and ends[-1] == len(ids) and not self.special.search(joined):
+                    cuts = np.concatenate(([0], ends))[np.concatenate(([0], pieces))].tolist()
+                    result += [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+                    continue
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            result += [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
+        return result
+
     def ids_of_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word; those not met before are encoded in one call."""
-        known = self.words
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(words))
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for word, encoding in zip(new, found):
-                known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
-        return [known[w] for w in words]
+        """The ids of each word."""
+        return self.recent.of(words)
 
     def decode(self, ids: bytes) -> bytes:
         """What the library's ``decode(ids, skip_special_tokens=False)`` gives for a tokenizer

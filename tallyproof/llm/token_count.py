@@ -18,18 +18,14 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm import bpe
 from tallyproof.llm.common import GAP, as_bytes, runs, text_of
 
-#: Blanks, visible ASCII, Latin letters and signs, common punctuation. U+0130 lower-cases to two.
-SAFE = re.compile(r"[\t-\r -~¡-įı-ſ‐-‧‰-⁞€]*")
-
-
 def whole_tokens(file_text: str) -> set[str]:
     """The pre-tokens that are proven to encode alone as one token."""
     tokenizer = bpe.load(file_text)
@@ -44,7 +40,7 @@ def whole_tokens(file_text: str) -> set[str]:
                 text = bytes(byte_of[c] for c in body).decode()
             except UnicodeDecodeError:  # part of a character
                 continue
-            if text and SAFE.fullmatch(text):
+            if text and bpe.SAFE.fullmatch(text):
                 candidates.append(text)
     found = tokenizer.encode_batch_fast(candidates, add_special_tokens=False)
     return {text for text, encoding in zip(candidates, found) if len(encoding.ids) == 1}
@@ -64,46 +60,43 @@ class Counter:
     def __init__(self, file_text: str, proven: set[str]):
         self.tokenizer = bpe.load(file_text)
         self.proven = proven
-        spec = json.loads(file_text)
-        self.special = tuple(t["content"].encode() for t in spec["added_tokens"])
-        self.pattern = regex.compile(_pattern(spec["pre_tokenizer"]))
-        self.merged: dict[str, int] = {}
+        self.pattern, self.last, self.special = bpe.splitting(self.tokenizer, file_text)
+        self.merged = bpe.Recent(self._lengths)
+        self.of_strange = bpe.Recent(self._whole_lengths)
         self.shortcuts = self.others = 0
 
-    def lengths(self, texts: list[str]) -> list[int]:
-        """Tokens of each short text, remembered."""
-        known = self.merged
-        new = list({t for t in texts if t not in known})
-        if len(known) + len(new) > bpe.REMEMBERED:
-            known.clear()
-            new = list(set(texts))
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update(zip(new, [len(e.ids) for e in found]))
-        return [known[t] for t in texts]
+    def _whole_lengths(self, texts: list[str]) -> list[int]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [len(encoding.ids) for encoding in found]
+
+    def _lengths(self, pieces: list[str]) -> list[int]:
+        """Tokens of pre-tokens: merged many at a time, where the vocabulary marks a pre-token's last
+        token, so that each piece's tokens can be told apart."""
+        lengths: list[int] = []
+        for at in range(0, len(pieces), bpe.TOGETHER):
+            some = pieces[at : at + bpe.TOGETHER]
+            if self.last is not None:
+                ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+                ends = np.flatnonzero(self.last[ids])
+                if len(ends) == len(some) and ends[-1] == len(ids) - 1:
+                    lengths += np.diff(ends, prepend=-1).tolist()
+                    continue
+            lengths += self._whole_lengths(some)
+        return lengths
 
     def count(self, data: bytes) -> int:
         text = data.decode()
         strange: list[str] = []
-        if not SAFE.fullmatch(text) or any(s in data for s in self.special):
+        if not bpe.SAFE.fullmatch(text) or self.special.search(text):
             words = re.split(GAP, text)
-            special = [s.decode() for s in self.special]
-            strange = [w for w in words if not SAFE.fullmatch(w) or any(s in w for s in special)]
+            strange = [w for w in words if not bpe.SAFE.fullmatch(w) or self.special.search(w)]
             apart = set(strange)
             text = " ".join([w for w in words if w not in apart])
         pieces = self.pattern.findall(text.lower())
         rest = [p for p in pieces if p not in self.proven]
         self.shortcuts += len(pieces) - len(rest)
         self.others += len(rest) + len(strange)
-        return len(pieces) - len(rest) + sum(self.lengths(rest)) + sum(self.lengths(strange))
-
-
-def _pattern(pre_tokenizer: dict) -> str:
-    """The pattern of the pre-tokenizer's first splitting step."""
-    for step in pre_tokenizer.get("pretokenizers", [pre_tokenizer]):
-        if step["type"] == "Split":
-            return step["pattern"]["Regex"]
-    raise ValueError("the tokenizer does not split by a pattern")
+        return len(pieces) - len(rest) + sum(self.merged.of(rest)) + sum(self.of_strange.of(strange))
 
 
 _counters: dict[str, Counter] = {}
