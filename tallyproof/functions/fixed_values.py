@@ -78,17 +78,15 @@ PUNCTUATION_PATTERN = r"(?U)[^a-z0-9\s\-+]"
 CONNECTIVE_PATTERN = r"(?U)\s(?:and|or|with|plus|versus|vs)\s|[+/,]"
 COMPARATOR_PATTERN = r"(?U)\b(placebo|comparator|matching|vehicle|sham)\b"
 RESEARCH_CODE_PATTERN = r"(?U)^[a-z]{1,4}[\s-]?\d{3,}[a-z]?$"
-QUALIFIER_TOKENS = (
-    "nab albumin bound pegylated peg liposomal liposome "
-    "hydrochloride hcl sodium sulfate sulphate acetate "
-    "citrate tartrate phosphate mesylate maleate succinate "
-    "besylate fumarate dihydrate monohydrate calcium "
-    "potassium magnesium injection injectable product "
-    "concentrate conjugate recombinant human humanized "
-    "biosimilar chemotherapy therapy monotherapy arm group "
-    "drug agent acid free base alfa beta gamma "
-    "vitamin solution suspension extended release"
-).split()
+QUALIFIER_TOKENS = [
+    "nab", "albumin", "bound", "pegylated", "peg", "liposomal", "liposome", "hydrochloride", "hcl",
+    "sodium", "sulfate", "sulphate", "acetate", "citrate", "tartrate", "phosphate", "mesylate",
+    "maleate", "succinate", "besylate", "fumarate", "dihydrate", "monohydrate", "calcium",
+    "potassium", "magnesium", "injection", "injectable", "product", "concentrate", "conjugate",
+    "recombinant", "human", "humanized", "biosimilar", "chemotherapy", "therapy", "monotherapy",
+    "arm", "group", "drug", "agent", "acid", "free", "base", "alfa", "beta", "gamma", "vitamin",
+    "solution", "suspension", "extended", "release",
+]
 
 # --- phases and years in text ----------------------------------------------------------------
 PHASE_SEPARATOR = r"[\s:\-\u2010-\u2015]*"
@@ -112,14 +110,13 @@ YEAR_AFTER_PATTERN = rf"(?iU)\b(?:after|later\s+than)\s+{YEAR}\b"
 YEAR_UNTIL_PATTERN = rf"(?iU)\b(?:until|till|through|up\s+to)\s+{YEAR}\b"
 YEAR_BY_PATTERN = rf"(?iU)\b(?:(\w+)\s+)?by\s+{YEAR}\b"
 YEAR_BEFORE_PATTERN = rf"(?iU)\b(?:before|prior\s+to|earlier\s+than)\s+{YEAR}\b"
-AGENT_VERBS = (
-    "sponsored funded run led conducted managed made "
-    "produced developed designed owned operated supported "
-    "approved cleared authorised authorized filed submitted "
-    "published written reviewed grouped split broken "
-    "divided ordered sorted organised organized ranked "
-    "coloured colored segmented faceted"
-).split()
+AGENT_VERBS = [
+    "sponsored", "funded", "run", "led", "conducted", "managed", "made", "produced", "developed",
+    "designed", "owned", "operated", "supported", "approved", "cleared", "authorised", "authorized",
+    "filed", "submitted", "published", "written", "reviewed", "grouped", "split", "broken",
+    "divided", "ordered", "sorted", "organised", "organized", "ranked", "coloured", "colored",
+    "segmented", "faceted",
+]
 
 # --- statuses in text ------------------------------------------------------------------------
 STATUS_VOCABULARY = {
@@ -161,10 +158,10 @@ NEGATION_CUES = [
 ]
 LIST_CUES = ["except", "excluding", "other than", "without", "neither", "nor"]
 LIST_COORDINATORS = ["and", "or", "nor"]
-LIST_FILLER = (
-    "trials trial studies study ones those yet currently "
-    "still the a an is are that which was were"
-).split()
+LIST_FILLER = [
+    "trials", "trial", "studies", "study", "ones", "those", "yet", "currently", "still", "the", "a",
+    "an", "is", "are", "that", "which", "was", "were",
+]
 LIST_LOOKBACK = 12
 CLAUSE_WORDS = ["and", "or", "but", "plus", "also"]
 HYPHENS = "-\u2010\u2011\u2012\u2013\u2014\u2015"

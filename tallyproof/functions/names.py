@@ -27,12 +27,6 @@ def agent_labels(interventions: Column) -> Column:
         )
     )
     kept = F.filter(keyed, lambda e: (e["key"] != "") & ~is_control_name(e["key"]))
-    start = F.array().cast("array<struct<key:string,nth:int,label:string>>")
-    firsts = F.aggregate(
-        kept,
-        start,
-        lambda seen, e: F.when(
-            F.exists(seen, lambda s: s["key"] == e["key"]), seen
-        ).otherwise(F.concat(seen, F.array(e))),
-    )
+    # Sorted by key, so an element is the first of its key when the one before has another.
+    firsts = F.filter(kept, lambda e, at: ~F.get(kept, at - 1)["key"].eqNullSafe(e["key"]))
     return F.transform(firsts, lambda e: e["label"])

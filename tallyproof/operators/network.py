@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from tallyproof.functions import fixed_values as V
 from tallyproof.functions.names import is_agent
 from tallyproof.functions.text import is_control_name, normalize_name, strip
 from tallyproof.operators.measure import restrict
-from tallyproof.session import durable, keep, one_row, small
+from tallyproof.session import durable, keep, number_report_rows, number_rows, one_row, small
 
 MERGED_PREFIX = "rxcui:"
 
@@ -78,17 +77,15 @@ def merge_names(names: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
 def agent_rows(raw: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
     """``(entity_id, name, pos)`` -> ``(entity_id, key, label, pos)`` without control arms.
 
-    Each spelling is cleaned and merged once, however many rows have it.
+    Names are cleaned in their rows, by built-in functions; only the crosswalk is joined.
     """
-    spelled = raw.select("name").distinct()
-    cleaned = spelled.select(
-        "name",
+    cleaned = raw.select(
+        "entity_id",
         normalize_name(F.col("name")).alias("key"),
         strip(F.col("name")).alias("label"),
+        "pos",
     ).where((F.col("key") != "") & ~is_control_name(F.col("key")))
-    return raw.join(merge_names(cleaned, crosswalk), "name").select(
-        "entity_id", "key", "label", "pos"
-    )
+    return merge_names(cleaned, crosswalk).select("entity_id", "key", "label", "pos")
 
 
 def study_agents(studies: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
@@ -123,9 +120,10 @@ def sizes(names: DataFrame) -> DataFrame:
     return names.groupBy("key").agg(F.count("*").alias("size"))
 
 
-def candidate_names(names: DataFrame, k: int = V.CANDIDATE_POOL) -> DataFrame:
-    """The ``k`` names in most entities; ties by name."""
-    return sizes(names).orderBy(F.desc("size"), "key").limit(k)
+def candidate_names(names: DataFrame, k: int | None = None) -> DataFrame:
+    """All names with their sizes, or the ``k`` in most entities; ties by name."""
+    counted = sizes(names)
+    return counted if k is None else counted.orderBy(F.desc("size"), "key").limit(k)
 
 
 def modal_labels(names: DataFrame) -> DataFrame:
@@ -142,56 +140,236 @@ def modal_labels(names: DataFrame) -> DataFrame:
 # --- pairs inside an entity ------------------------------------------------------------------
 
 
-def key_lists(
-    names: DataFrame, max_entities: int = V.MAX_ENTITIES_PER_RECORD, flag: Column | None = None
-) -> DataFrame:
-    """``(entity_id, keys, is_dense)`` with the sorted keys of each entity.
+def dense_entities(names: DataFrame, max_entities: int) -> DataFrame:
+    """``(entity_id)`` of the entities with more than ``max_entities`` keys."""
+    keys = names.groupBy("entity_id").agg(F.count("*").alias("_keys"))
+    return keys.where(F.col("_keys") > max_entities).select("entity_id")
+
+
+def dense_skipped(names: DataFrame, max_entities: int | None) -> DataFrame:
+    """One row: how many entities are left out of the pairs; none without a limit."""
+    if max_entities is None:
+        return names.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("dense_records_skipped"))
+    return dense_entities(names, max_entities).agg(F.count("*").alias("dense_records_skipped"))
+
+
+def paired_names(names: DataFrame, min_weight: int, max_entities: int | None = None) -> DataFrame:
+    """``(entity_id, key)`` that can be on an edge of ``min_weight``.
+
+    An edge is never heavier than its smaller end, so keys of fewer entities are dropped without
+    loss. Only a caller's ``max_entities`` leaves out whole entities.
+    """
+    rows = names.select("entity_id", "key")
+    if max_entities is not None:
+        rows = rows.join(dense_entities(names, max_entities), "entity_id", "left_anti")
+    if min_weight > 1:
+        often = sizes(rows).where(F.col("size") >= min_weight).select("key")
+        rows = rows.join(often, "key", "left_semi")
+    return rows
+
+
+def pairs(names: DataFrame) -> DataFrame:
+    """``(source, target, entity_id)`` for every unordered pair of keys of an entity.
 
-    An entity with more than ``max_entities`` keys is dense: it yields no pairs. Only its first
-    ``max_entities + 1`` keys travel, because the row limit is applied before the shuffle as
-    well, so an entity listing a large share of all rows stays small.
+    An inner join of rows: Spark can split the rows of an entity that has very many.
     """
-    element = F.col("key") if flag is None else F.struct("key", flag.alias("hub"))
-    nth = F.row_number().over(Window.partitionBy("entity_id").orderBy("key"))
+    one = names.select("entity_id", F.col("key").alias("source"))
+    other = names.select("entity_id", F.col("key").alias("target"))
+    return one.join(other, "entity_id").where(F.col("source") < F.col("target")).select(
+        "source", "target", "entity_id"
+    )
+
+
+def hub_pairs(names: DataFrame, hubs: DataFrame, n_hubs: int) -> DataFrame:
+    """As :func:`pairs`, but only pairs with one of ``hubs(key)`` in them: hubs times names, never
+    names times names."""
+    marked = names.join(small(hubs.select("key", F.lit(True).alias("_is_hub")), n_hubs), "key", "left")
+    marked = marked.withColumn("_is_hub", F.coalesce("_is_hub", F.lit(False)))
+    hub = restrict(names, hubs.select("key"), n_hubs).select("entity_id", F.col("key").alias("_hub"))
+    both = hub.join(marked, "entity_id")
+    # Between two hubs the pair is met from both sides; one of them is enough.
+    once = (F.col("key") != F.col("_hub")) & (~F.col("_is_hub") | (F.col("_hub") < F.col("key")))
+    return both.where(once).select(
+        F.least("_hub", "key").alias("source"), F.greatest("_hub", "key").alias("target"), "entity_id"
+    )
+
+
+def weights(pair_rows: DataFrame, min_weight: int = 1) -> DataFrame:
     return (
-        names.withColumn("_nth", nth)
-        .where(F.col("_nth") <= max_entities + 1)
-        .groupBy("entity_id")
-        .agg(F.sort_array(F.collect_list(element)).alias("keys"))
-        .withColumn("is_dense", F.size("keys") > max_entities)
+        pair_rows.groupBy("source", "target")
+        .agg(F.count("*").alias("weight"))
+        .where(F.col("weight") >= min_weight)
     )
 
 
-def dense_skipped(lists: DataFrame) -> DataFrame:
-    return lists.agg(F.count_if("is_dense").alias("dense_records_skipped"))
+def edge_weights(
+    names: DataFrame, min_weight: int = V.MIN_EDGE_WEIGHT, max_entities: int | None = None
+) -> DataFrame:
+    """All edges ``(source, target, weight)`` of the unpruned co-occurrence graph."""
+    return weights(pairs(paired_names(names, min_weight, max_entities)), min_weight)
+
 
+# --- published graph -------------------------------------------------------------------------
+
+
+def _ends(edges: DataFrame, *more: str) -> DataFrame:
+    """Each edge once per end."""
+    return edges.select(F.explode(F.array("source", "target")).alias("key"), *more)
 
-def pairs(lists: DataFrame) -> DataFrame:
-    """``(source, target, entity_id)`` for every unordered pair of keys of a non-dense entity."""
-    first = lists.where(~F.col("is_dense") & (F.size("keys") > 1)).select(
-        "entity_id", "keys", F.posexplode("keys").alias("_i", "source")
+
+def node_evidence(self) -> DataFrame:
+        return node_evidence(self.edge_evidence)
+
+
+# --- entities of a record --------------------------------------------------------------------
+
+
+def first_surface(rows: DataFrame) -> DataFrame:
+    """``(entity_id, key, label, pos)`` -> one row per entity and key with its first label."""
+    return (
+        rows.groupBy("entity_id", "key")
+        .agg(F.min(F.struct("pos", "label")).alias("_first"))
+        .select("entity_id", "key", F.col("_first.label").alias("label"))
     )
-    rest = F.slice("keys", F.col("_i") + 2, F.size("keys"))
-    return first.select("source", F.explode(rest).alias("target"), "entity_id")
 
 
-def hub_pairs(lists: DataFrame) -> DataFrame:
-    """As :func:`pairs` for keys ``struct<key, hub>``, but only pairs with a hub in them."""
-    some = lists.where(~F.col("is_dense") & (F.size("keys") > 1)).select(
-        "entity_id", "keys", F.filter("keys", lambda k: k["hub"]).alias("_hubs")
+def merge_names(names: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
+    """Replace resolved keys by the shared identity, and their labels by the canonical name.
+
+    Done before anything is counted, so that fragments of one compound add up. Names without an
+    identity keep their own key.
+    """
+    if crosswalk is None:
+        return names
+    known = crosswalk.select(
+        F.col("name").alias("key"), F.col("rxcui").alias("_id"), "canonical_name"
     )
-    first = some.where(F.size("_hubs") > 0).select(
-        "entity_id", "keys", F.explode("_hubs.key").alias("_hub")
+    merged = F.concat(F.lit(MERGED_PREFIX), F.col("_id"))
+    others = [c for c in names.columns if c not in ("key", "label")]
+    return names.join(known, "key", "left").select(
+        *others,
+        F.coalesce(merged, F.col("key")).alias("key"),
+        F.coalesce("canonical_name", "label").alias("label"),
     )
-    both = first.select("entity_id", "_hub", F.inline("keys").alias("_other", "_other_is_hub"))
-    # Between two hubs the pair is met from both sides; one of them is enough.
-    once = (F.col("_other") != F.col("_hub")) & (
-        ~F.col("_other_is_hub") | (F.col("_hub") < F.col("_other"))
+
+
+def agent_rows(raw: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
+    """``(entity_id, name, pos)`` -> ``(entity_id, key, label, pos)`` without control arms.
+
+    Names are cleaned in their rows, by built-in functions; only the crosswalk is joined.
+    """
+    cleaned = raw.select(
+        "entity_id",
+        normalize_name(F.col("name")).alias("key"),
+        strip(F.col("name")).alias("label"),
+        "pos",
+    ).where((F.col("key") != "") & ~is_control_name(F.col("key")))
+    return merge_names(cleaned, crosswalk).select("entity_id", "key", "label", "pos")
+
+
+def study_agents(studies: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
+    """Agents of a study table: one row per study and agent."""
+    listed = studies.select(
+        F.col(S.ID_PATH).alias("entity_id"), F.posexplode(S.INTERVENTIONS_PATH).alias("pos", "_i")
+    )
+    raw = listed.where(is_agent(F.col("_i.type"), F.col("_i.name"))).select(
+        "entity_id", F.col("_i.name").alias("name"), "pos"
     )
+    return first_surface(agent_rows(raw, crosswalk))
+
+
+def sponsor_rows(entities: DataFrame, id_col: str | Column, name: str | Column) -> DataFrame:
+    """``(entity_id, key, label)`` of a scalar name column; blank names are no sponsor."""
+    entity_id = F.col(id_col) if isinstance(id_col, str) else id_col
+    label = strip(F.col(name) if isinstance(name, str) else name)
+    return entities.select(
+        entity_id.alias("entity_id"), F.lower(label).alias("key"), label.alias("label")
+    ).where(F.coalesce(F.col("label"), F.lit("")) != "")
+
+
+def study_sponsors(studies: DataFrame) -> DataFrame:
+    return sponsor_rows(studies, S.ID_PATH, S.SPONSOR_PATH)
+
+
+# --- sizes and labels ------------------------------------------------------------------------
+
+
+def sizes(names: DataFrame) -> DataFrame:
+    """Distinct entities per key."""
+    return names.groupBy("key").agg(F.count("*").alias("size"))
+
+
+def candidate_names(names: DataFrame, k: int | None = None) -> DataFrame:
+    """All names with their sizes, or the ``k`` in most entities; ties by name."""
+    counted = sizes(names)
+    return counted if k is None else counted.orderBy(F.desc("size"), "key").limit(k)
+
+
+def modal_labels(names: DataFrame) -> DataFrame:
+    """Most frequent label per key, one vote per entity; ties alphabetical."""
+    votes = names.groupBy("key", "label").agg(F.count("*").alias("_votes"))
+    best = Window.partitionBy("key").orderBy(F.desc("_votes"), "label")
+    return (
+        votes.withColumn("_nth", F.row_number().over(best))
+        .where(F.col("_nth") == 1)
+        .select("key", "label", F.col("_votes").alias("votes"))
+    )
+
+
+# --- pairs inside an entity ------------------------------------------------------------------
+
+
+def dense_entities(names: DataFrame, max_entities: int) -> DataFrame:
+    """``(entity_id)`` of the entities with more than ``max_entities`` keys."""
+    keys = names.groupBy("entity_id").agg(F.count("*").alias("_keys"))
+    return keys.where(F.col("_keys") > max_entities).select("entity_id")
+
+
+def dense_skipped(names: DataFrame, max_entities: int | None) -> DataFrame:
+    """One row: how many entities are left out of the pairs; none without a limit."""
+    if max_entities is None:
+        return names.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("dense_records_skipped"))
+    return dense_entities(names, max_entities).agg(F.count("*").alias("dense_records_skipped"))
+
+
+def paired_names(names: DataFrame, min_weight: int, max_entities: int | None = None) -> DataFrame:
+    """``(entity_id, key)`` that can be on an edge of ``min_weight``.
+
+    An edge is never heavier than its smaller end, so keys of fewer entities are dropped without
+    loss. Only a caller's ``max_entities`` leaves out whole entities.
+    """
+    rows = names.select("entity_id", "key")
+    if max_entities is not None:
+        rows = rows.join(dense_entities(names, max_entities), "entity_id", "left_anti")
+    if min_weight > 1:
+        often = sizes(rows).where(F.col("size") >= min_weight).select("key")
+        rows = rows.join(often, "key", "left_semi")
+    return rows
+
+
+def pairs(names: DataFrame) -> DataFrame:
+    """``(source, target, entity_id)`` for every unordered pair of keys of an entity.
+
+    An inner join of rows: Spark can split the rows of an entity that has very many.
+    """
+    one = names.select("entity_id", F.col("key").alias("source"))
+    other = names.select("entity_id", F.col("key").alias("target"))
+    return one.join(other, "entity_id").where(F.col("source") < F.col("target")).select(
+        "source", "target", "entity_id"
+    )
+
+
+def hub_pairs(names: DataFrame, hubs: DataFrame, n_hubs: int) -> DataFrame:
+    """As :func:`pairs`, but only pairs with one of ``hubs(key)`` in them: hubs times names, never
+    names times names."""
+    marked = names.join(small(hubs.select("key", F.lit(True).alias("_is_hub")), n_hubs), "key", "left")
+    marked = marked.withColumn("_is_hub", F.coalesce("_is_hub", F.lit(False)))
+    hub = restrict(names, hubs.select("key"), n_hubs).select("entity_id", F.col("key").alias("_hub"))
+    both = hub.join(marked, "entity_id")
+    # Between two hubs the pair is met from both sides; one of them is enough.
+    once = (F.col("key") != F.col("_hub")) & (~F.col("_is_hub") | (F.col("_hub") < F.col("key")))
     return both.where(once).select(
-        F.least("_hub", "_other").alias("source"),
-        F.greatest("_hub", "_other").alias("target"),
-        "entity_id",
+        F.least("_hub", "key").alias("source"), F.greatest("_hub", "key").alias("target"), "entity_id"
     )
 
 
@@ -204,12 +382,10 @@ def weights(pair_rows: DataFrame, min_weight: int = 1) -> DataFrame:
 
 
 def edge_weights(
-    names: DataFrame,
-    min_weight: int = V.MIN_EDGE_WEIGHT,
-    max_entities: int = V.MAX_ENTITIES_PER_RECORD,
+    names: DataFrame, min_weight: int = V.MIN_EDGE_WEIGHT, max_entities: int | None = None
 ) -> DataFrame:
     """All edges ``(source, target, weight)`` of the unpruned co-occurrence graph."""
-    return weights(pairs(key_lists(names, max_entities)), min_weight)
+    return weights(pairs(paired_names(names, min_weight, max_entities)), min_weight)
 
 
 # --- published graph -------------------------------------------------------------------------
@@ -238,19 +414,26 @@ def _prefixed(edges: DataFrame, source_kind: str, target_kind: str) -> DataFrame
     ).withColumn("target", F.concat(F.lit(f"{target_kind}:"), "target"))
 
 
-def _numbered_edges(edges: DataFrame) -> DataFrame:
-    nth = F.row_number().over(Window.orderBy(F.desc("weight"), "source", "target"))
-    return edges.select(nth.cast("bigint").alias("position"), "source", "target", "weight")
+def _numbered(rows: DataFrame, bounded: bool, *order) -> DataFrame:
+    """Positions in one task only where a caller's limit bounds the graph."""
+    return (number_report_rows if bounded else number_rows)(rows, *order)
+
+
+def _numbered_edges(edges: DataFrame, bounded: bool) -> DataFrame:
+    return _numbered(edges, bounded, F.desc("weight"), F.col("source"), F.col("target")).select(
+        "position", "source", "target", "weight"
+    )
 
 
 def _published_nodes(
-    evidence: DataFrame, names_by_kind: dict[str, DataFrame], kept: DataFrame, n: int
+    evidence: DataFrame, names_by_kind: dict[str, DataFrame], kept: DataFrame | None, n: int | None
 ) -> DataFrame:
     """Nodes over the drawn edges: size from the edges, label from all records."""
     labels = None
     for kind, names in names_by_kind.items():
-        mine = kept.where(F.col("kind") == kind).select("key")
-        part = modal_labels(restrict(names, mine, n)).select(
+        if kept is not None:
+            names = restrict(names, kept.where(F.col("kind") == kind).select("key"), n)
+        part = modal_labels(names).select(
             F.lit(kind).alias("kind"), "key", "label"
         )
         labels = part if labels is None else labels.unionByName(part)
@@ -258,132 +441,130 @@ def _published_nodes(
     drawn = node_evidence(evidence).groupBy("id").agg(F.count("*").alias("size"))
     merged = F.startswith(F.col("key"), F.lit(MERGED_PREFIX))
     rxcui = F.when(merged, F.substring(F.col("key"), len(MERGED_PREFIX) + 1, 1_000_000))
-    nth = F.row_number().over(Window.orderBy("kind", F.desc("size"), "id"))
-    return drawn.join(small(labels, n), "id").select(
-        nth.cast("bigint").alias("position"), "id", "label", "kind", "size", rxcui.alias("rxcui")
+    nodes = drawn.join(labels if n is None else small(labels, n), "id").select(
+        "id", "label", "kind", "size", rxcui.alias("rxcui")
+    )
+    return _numbered(nodes, n is not None, F.col("kind"), F.desc("size"), F.col("id")).select(
+        "position", "id", "label", "kind", "size", "rxcui"
     )
 
 
+def _connected_hubs(
+    ranked: DataFrame, rows: DataFrame, min_weight: int, max_nodes: int, pool: int
+) -> DataFrame:
+    """The ``max_nodes`` largest keys with a partner, and one more if there is one.
+
+    Pairs are counted around the largest keys only: when more than ``max_nodes`` of them turn out
+    to be connected, no smaller key can be drawn, and the answer is exact. Otherwise the pool grows
+    fourfold, up to all keys.
+    """
+    while True:
+        hubs = durable(ranked.orderBy(F.desc("size"), "key").limit(pool))
+        counted = weights(hub_pairs(rows, hubs, pool), min_weight)
+        # Only what touches a hub was counted, so only hubs are known to be connected or not.
+        connected = small(hubs, pool).join(_ends(counted).distinct(), "key")
+        best = durable(connected.orderBy(F.desc("size"), "key").limit(max_nodes + 1))
+        if best.count() > max_nodes or hubs.count() < pool:
+            return best
+        pool *= 4
+
+
 def cooccurrence(
     names: DataFrame,
     min_weight: int = V.MIN_EDGE_WEIGHT,
-    max_nodes: int = V.MAX_NODES,
-    max_entities: int = V.MAX_ENTITIES_PER_RECORD,
+    max_nodes: int | None = None,
+    max_entities: int | None = None,
     kind: str = "drug",
     first_pool: int | None = None,
 ) -> Graph:
-    """Undirected co-occurrence graph of the ``max_nodes`` largest connected keys.
+    """Undirected co-occurrence graph, of all connected keys or the ``max_nodes`` largest ones.
 
-    Nodes rank by their global size among keys with at least one surviving edge. Instead of
-    counting every pair in the data, pairs are counted around the largest keys only: when more
-    than ``max_nodes`` of them turn out to be connected, no smaller key can be drawn, and the
-    answer is exact. Otherwise the pool grows fourfold, up to all keys.
+    Nodes rank by their global size among keys with at least one surviving edge. ``max_entities``
+    leaves out entities with more keys; by default none is left out.
     """
     held: list[DataFrame] = []
     names = keep(names, held)
-    ranked = sizes(names)
-    pool = first_pool or max(4 * max_nodes, V.CANDIDATE_POOL)
-    while True:
-        hubs = durable(ranked.orderBy(F.desc("size"), "key").limit(pool))
-        flagged = names.join(
-            small(hubs.select("key", F.lit(True).alias("_hub")), pool), "key", "left"
-        )
-        lists = key_lists(flagged, max_entities, F.coalesce("_hub", F.lit(False)))
-        lists = lists.persist(StorageLevel.MEMORY_AND_DISK)
-        counted = weights(hub_pairs(lists), min_weight)
-        # Only what touches a hub was counted, so only hubs are known to be connected or not.
-        connected = small(hubs, pool).join(_ends(counted).distinct(), "key")
-        best = durable(connected.orderBy(F.desc("size"), "key").limit(max_nodes + 1))
+    # What can be paired is read in every turn of the search for the largest connected keys.
+    rows = keep(paired_names(names, min_weight, max_entities), held)
+    kept = found = None
+    if max_nodes is None:
+        evidence = pairs(rows)
+        edges = durable(weights(evidence, min_weight))
+        evidence = evidence.join(edges.select("source", "target"), ["source", "target"], "left_semi")
+    else:
+        pool = first_pool or max(4 * max_nodes, V.CANDIDATE_POOL)
+        best = _connected_hubs(sizes(names), rows, min_weight, max_nodes, pool)
         found = best.count()
-        if found > max_nodes or hubs.count() < pool:
-            break
-        lists.unpersist()
-        pool *= 4
-    kept = best.orderBy(F.desc("size"), "key").limit(max_nodes).withColumn("kind", F.lit(kind))
-    mine = lists.where(~F.col("is_dense")).select(
-        "entity_id", F.explode(F.filter("keys", lambda k: k["hub"])["key"]).alias("key")
-    )
-    # At most ``max_nodes`` keys are left per entity.
-    drawn = (
-        restrict(mine, kept, max_nodes)
-        .groupBy("entity_id")
-        .agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    )
-    evidence = pairs(drawn.withColumn("is_dense", F.lit(False)))
-    edges = durable(weights(evidence, min_weight))
-    n_edges = max_nodes * max_nodes
-    evidence = evidence.join(
-        small(edges.select("source", "target"), n_edges), ["source", "target"], "left_semi"
-    )
+        kept = best.orderBy(F.desc("size"), "key").limit(max_nodes).withColumn("kind", F.lit(kind))
+        evidence = pairs(restrict(rows, kept.select("key"), max_nodes))
+        edges = durable(weights(evidence, min_weight))
+        drawn = small(edges.select("source", "target"), max_nodes * max_nodes)
+        evidence = evidence.join(drawn, ["source", "target"], "left_semi")
     evidence = _prefixed(evidence, kind, kind)
     nodes = _published_nodes(evidence, {kind: names}, kept, max_nodes)
+    truncated = found is not None and found > max_nodes
     totals = one_row(
-        dense_skipped(lists),
+        dense_skipped(names, max_entities),
         nodes.agg(F.count("*").alias("nodes")),
         edges.agg(F.count("*").alias("edges")),
     ).select(
         "nodes",
         "edges",
-        (F.col("nodes") if found > max_nodes else F.lit(None).cast("bigint")).alias("truncated_to"),
+        (F.col("nodes") if truncated else F.lit(None).cast("bigint")).alias("truncated_to"),
         F.lit(min_weight).cast("bigint").alias("min_edge_weight"),
         "dense_records_skipped",
     )
-    return Graph(nodes, _numbered_edges(_prefixed(edges, kind, kind)), evidence, totals, [*held, lists])
+    numbered = _numbered_edges(_prefixed(edges, kind, kind), max_nodes is not None)
+    return Graph(nodes, numbered, evidence, totals, held)
 
 
 def bipartite(
     left: DataFrame,
     right: DataFrame,
-    max_left: int = V.MAX_LEFT_NODES,
-    max_right: int = V.MAX_RIGHT_NODES,
+    max_left: int | None = None,
+    max_right: int | None = None,
     left_kind: str = "sponsor",
     right_kind: str = "drug",
+    min_weight: int = 1,
 ) -> Graph:
-    """Links between two kinds of names of the same entity.
+    """Links between two kinds of names of the same entity, of all names or the busiest.
 
-    The busiest left keys are kept first, then the right keys with most links to those. The left
-    side is cut to its kept keys before the join, so an entity contributes at most ``max_left``
-    rows per right name.
+    With ``max_left`` the busiest left keys are kept first, and the left side is cut to them before
+    the join, so an entity contributes at most ``max_left`` rows per right name; with ``max_right``
+    the right keys with most links to those.
     """
     held: list[DataFrame] = []
     left, right = keep(left, held), keep(right, held)
-    top_left = candidate_names(left, max_left).select("key")
-    ours = restrict(left, top_left, max_left).select("entity_id", F.col("key").alias("source"))
-    links = ours.join(right.select("entity_id", F.col("key").alias("target")), "entity_id")
-    top_right = (
-        links.groupBy(F.col("target").alias("key"))
-        .agg(F.count("*").alias("size"))
-        .orderBy(F.desc("size"), "key")
-        .limit(max_right)
-        .select("key")
-    )
-    kept = durable(
-        top_left.withColumn("kind", F.lit(left_kind)).unionByName(
-            top_right.withColumn("kind", F.lit(right_kind))
-        )
-    )
-    kept_right = kept.where(F.col("kind") == right_kind).select(F.col("key").alias("target"))
-    evidence = _prefixed(
-        restrict(links, kept_right, max_right, "target").select("source", "target", "entity_id"),
-        left_kind,
-        right_kind,
-    )
-    nodes = _published_nodes(
-        evidence, {left_kind: left, right_kind: right}, kept, max_left + max_right
+    ours = left if max_left is None else restrict(left, candidate_names(left, max_left).select("key"), max_left)
+    links = ours.select("entity_id", F.col("key").alias("source")).join(
+        right.select("entity_id", F.col("key").alias("target")), "entity_id"
     )
+    if max_right is not None:
+        top_right = links.groupBy("target").agg(F.count("*").alias("size"))
+        top_right = durable(top_right.orderBy(F.desc("size"), "target").limit(max_right).select("target"))
+        links = restrict(links, top_right, max_right, "target")
+    links = links.select("source", "target", "entity_id")
+    if min_weight > 1:
+        heavy = weights(links, min_weight).select("source", "target")
+        links = links.join(heavy, ["source", "target"], "left_semi")
+    evidence = _prefixed(links, left_kind, right_kind)
+    bounded = max_left is not None and max_right is not None
+    bound = max_left + max_right if bounded else None
+    nodes = _published_nodes(evidence, {left_kind: left, right_kind: right}, None, bound)
     edges = weights(evidence)
+    over = F.lit(False)
+    counts = []
+    for rows, limit, name in ((left, max_left, "_left"), (right, max_right, "_right")):
+        if limit is not None:
+            counts.append(sizes(rows).limit(limit + 1).agg(F.count("*").alias(name)))
+            over = over | (F.col(name) > limit)
     totals = one_row(
-        nodes.agg(F.count("*").alias("nodes")),
-        edges.agg(F.count("*").alias("edges")),
-        sizes(left).limit(max_left + 1).agg(F.count("*").alias("_left")),
-        sizes(right).limit(max_right + 1).agg(F.count("*").alias("_right")),
+        nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges")), *counts
     ).select(
         "nodes",
         "edges",
-        F.when(
-            (F.col("_left") > max_left) | (F.col("_right") > max_right), F.col("nodes")
-        ).alias("truncated_to"),
-        F.lit(1).cast("bigint").alias("min_edge_weight"),
+        F.when(over, F.col("nodes")).alias("truncated_to"),
+        F.lit(min_weight).cast("bigint").alias("min_edge_weight"),
         F.lit(0).cast("bigint").alias("dense_records_skipped"),
     )
-    return Graph(nodes, _numbered_edges(edges), evidence, totals, held)
+    return Graph(nodes, _numbered_edges(edges, bounded), evidence, totals, held)

@@ -48,7 +48,7 @@ def best_candidates(candidates: DataFrame, min_score: float = V.MIN_MATCH_SCORE)
 
 
 def single_ingredients(ingredients: DataFrame) -> DataFrame:
-    """Concepts with exactly one usable ingredient."""
+    """Concepts with exactly one different usable ingredient, however often its row was landed."""
     usable = (F.coalesce("ingredient_rxcui", F.lit("")) != "") & (
         F.coalesce("ingredient_name", F.lit("")) != ""
     )
@@ -56,12 +56,12 @@ def single_ingredients(ingredients: DataFrame) -> DataFrame:
         ingredients.where(usable)
         .groupBy("rxcui")
         .agg(
-            F.count("*").alias("_n"),
             F.min("ingredient_rxcui").alias("ingredient_rxcui"),
+            F.max("ingredient_rxcui").alias("_last"),
             F.min("ingredient_name").alias("canonical_name"),
         )
-        .where(F.col("_n") == 1)
-        .drop("_n")
+        .where(F.col("ingredient_rxcui") == F.col("_last"))
+        .drop("_last")
     )
 
 

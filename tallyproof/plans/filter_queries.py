@@ -9,7 +9,6 @@ from tallyproof.functions import text as X
 from tallyproof.operators import filters, manifest, series
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
-from tallyproof.session import spread
 from tallyproof.sources import pages
 
 
@@ -209,10 +208,10 @@ def _landed(spark, sf):
             pos.cast("bigint").alias("pos"),
         ]
 
-    whole = orders.where(F.col("o_orderstatus") != "O").select(
+    whole = orders.select(
         entity_id, *place(1, F.floor(F.col("o_custkey") / 100), F.col("o_orderkey"))
     )
-    lines = spread(star.table(spark, sf, "lineitem")).join(
+    lines = star.table(spark, sf, "lineitem").join(
         orders, F.col("l_orderkey") == F.col("o_orderkey")
     )
     copies = lines.select(entity_id, *place(2, F.col("l_linenumber"), F.col("l_partkey")))
@@ -224,7 +223,7 @@ landed as (
   select case when o_orderpriority = '5-LOW' and o_orderstatus = 'P' then 'BAD' else '' end
            || 'NCT' || lpad(cast(o_orderkey as varchar), 8, '0') as entity_id,
          cast(1 as bigint) as search_no, o_custkey // 100 as page_no, o_orderkey as pos
-  from orders where o_orderstatus <> 'O'
+  from orders
   union all
   select case when o_orderpriority = '5-LOW' and o_orderstatus = 'P' then 'BAD' else '' end
            || 'NCT' || lpad(cast(o_orderkey as varchar), 8, '0'),
@@ -269,9 +268,10 @@ def admit_refused(spark, sf):
     """
 )
 def series_table(spark, sf):
-    """Series definitions with spelling duplicates, joined to entities by identity."""
-    customers = star.table(spark, sf, "customer").where(F.col("c_mktsegment") != "HOUSEHOLD")
-    segments = customers.select("c_mktsegment").distinct()
+    """Series definitions with spelling duplicates, joined to entities by identity. One segment
+    has no definition."""
+    customers = star.table(spark, sf, "customer")
+    segments = customers.select("c_mktsegment").distinct().where(F.col("c_mktsegment") != "HOUSEHOLD")
     spelled = [
         segments.select(F.col("c_mktsegment").alias("label"), F.lit(1).alias("ord")),
         segments.select(

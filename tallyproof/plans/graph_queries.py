@@ -9,7 +9,7 @@ from tallyproof.functions import text as X
 from tallyproof.operators import network, synonyms
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
-from tallyproof.session import durable, spread
+from tallyproof.session import durable
 
 # --- names -----------------------------------------------------------------------------------
 
@@ -23,7 +23,7 @@ def _decorated(spark, sf):
         .otherwise(F.concat(F.lit(" "), F.initcap(name), F.lit("  Tablets ")))
     )
     kind = F.when(F.col("p_type") == "PROMO", F.lit("PROCEDURE")).otherwise(F.lit("DRUG"))
-    return spread(star.parts_of_orders(spark, sf, "p_name", "p_type")).select(
+    return star.parts_of_orders(spark, sf, "p_name", "p_type").select(
         "entity_id", kind.alias("type"), spelled.alias("name"), "pos"
     )
 
@@ -132,10 +132,11 @@ names as (
 """
 
 
-def _edges_sql(names: str, cap: int) -> str:
+def _edges_sql(names: str, cap: int | None = None) -> str:
+    limit = "false" if cap is None else f"count(*) > {cap}"
     return f"""
 {names},
-dense as (select id from names group by 1 having count(*) > {cap}),
+dense as (select id from names group by 1 having {limit}),
 pairs as (
   select a.key as source, b.key as target, a.id from names a join names b
     on a.id = b.id and a.key < b.key where a.id not in (select id from dense)
@@ -144,7 +145,7 @@ edges as (select source, target, count(*) as weight from pairs group by 1, 2 hav
 """
 
 
-@query(f"with {_edges_sql(_PARTS_SQL, 40)} select * from edges")
+@query(f"with {_edges_sql(_PARTS_SQL)} select * from edges")
 def cooc_parts(spark, sf):
     return network.edge_weights(star.part_keys(spark, sf))
 
@@ -156,12 +157,33 @@ def cooc_dense_guard(spark, sf):
 
 @query(f"with {_edges_sql(_PARTS_SQL, 8)} select count(*) as dense_records_skipped from dense")
 def cooc_dense_skipped(spark, sf):
-    return network.dense_skipped(network.key_lists(star.part_keys(spark, sf), 8))
+    return network.dense_skipped(star.part_keys(spark, sf), 8)
+
+
+_NATIONS_SQL = """
+names as (
+  select distinct c_nationkey as id, p_name as key from lineitem join part on l_partkey = p_partkey
+  join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+)
+"""
+
+
+@query(f"with {_edges_sql(_NATIONS_SQL)} select * from edges")
+def cooc_uncapped(spark, sf):
+    """Entities with all names of the parts table, far more than a record of the definition has."""
+    buyers = star.table(spark, sf, "orders").join(
+        star.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    names = star.parts_of_orders(spark, sf, "p_name").join(
+        buyers.select(F.col("o_orderkey").alias("entity_id"), "c_nationkey"), "entity_id"
+    )
+    keys = names.select(F.col("c_nationkey").alias("entity_id"), F.col("p_name").alias("key")).distinct()
+    return network.edge_weights(keys)
 
 
 def _pruned_sql(names: str, max_nodes: int) -> str:
     return f"""
-{_edges_sql(names, 40)},
+{_edges_sql(names)},
 kept as (
   select key from names
   where key in (select source from edges union select target from edges)
@@ -191,7 +213,7 @@ _PRUNED_NAMES = _pruned_sql(_NAMES_SQL, 30)
     """
 )
 def cooc_names_pruned(spark, sf):
-    graph = network.cooccurrence(star.part_names(spark, sf), kind="part")
+    graph = network.cooccurrence(star.part_names(spark, sf), max_nodes=30, kind="part")
     return graph.nodes.select("position", "id", "label", "size")
 
 
@@ -203,7 +225,7 @@ def cooc_names_pruned(spark, sf):
     """
 )
 def cooc_names_edges(spark, sf):
-    return network.cooccurrence(star.part_names(spark, sf), kind="part").edges
+    return network.cooccurrence(star.part_names(spark, sf), max_nodes=30, kind="part").edges
 
 
 _PARTS_TEXT_SQL = (
@@ -253,7 +275,7 @@ def _bipartite(spark, sf):
         F.col("o_custkey") == F.col("c_custkey"),
     )
     sponsors = network.sponsor_rows(orders, "o_orderkey", "c_name")
-    return network.bipartite(sponsors, star.part_names(spark, sf), right_kind="part")
+    return network.bipartite(sponsors, star.part_names(spark, sf), 15, 25, right_kind="part")
 
 
 _BIPARTITE_SQL = f"""
@@ -323,7 +345,7 @@ def _brands(spark, sf):
     first = F.substring_index("p_name", " ", 1)
     word = F.substring_index("p_name", " ", -1)
     qualifier = X.literal_map(_QUALIFIERS)[first]
-    return spread(star.parts_of_orders(spark, sf, "p_name")).select(
+    return star.parts_of_orders(spark, sf, "p_name").select(
         "entity_id",
         F.lit("DRUG").alias("type"),
         F.concat(word, F.lit(" "), qualifier).alias("name"),
@@ -379,7 +401,7 @@ def _lookup_tables(spark, sf):
             concept, F.lit("I-hammer").alias("ingredient_rxcui"), F.lit("hammer").alias("ingredient_name")
         )
     )
-    return ranked.unionByName(weak), ingredients
+    return ranked.unionByName(weak), ingredients.unionByName(ingredients)  # landed twice
 
 
 _SYNONYM_SQL = """

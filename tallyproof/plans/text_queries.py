@@ -14,7 +14,6 @@ from tallyproof.functions import text as X
 from tallyproof.operators import grounding
 from tallyproof.plans import star
 from tallyproof.plans.registry import query
-from tallyproof.session import spread
 
 
 def _joined(values):
@@ -63,7 +62,7 @@ _PHASE_TEXTS = {
 )
 def text_phases(spark, sf):
     text = X.literal_map(_PHASE_TEXTS)[F.col("o_orderpriority")]
-    return spread(star.table(spark, sf, "orders")).select(
+    return star.table(spark, sf, "orders").select(
         "o_orderkey",
         _joined(M.phase_mentions(text)).alias("phases"),
         M.axis_mention(text).alias("axis"),
@@ -101,7 +100,7 @@ def text_years(spark, sf):
         .otherwise(said("later than ", y + 2, " but before ", y))
     )
     span = M.year_range(text)
-    return spread(star.table(spark, sf, "orders")).select(
+    return star.table(spark, sf, "orders").select(
         "o_orderkey",
         span["start"].alias("first"),
         span["end"].alias("last"),
@@ -144,7 +143,7 @@ _STATUS_TEXTS = {
     + " as excluded from orders join customer on o_custkey = c_custkey"
 )
 def text_status(spark, sf):
-    orders = spread(star.table(spark, sf, "orders")).join(
+    orders = star.table(spark, sf, "orders").join(
         star.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     said = M.status_mentions(X.literal_map(_STATUS_TEXTS)[F.col("c_mktsegment")])
@@ -185,7 +184,7 @@ def text_conversations(spark, sf):
         F.lit("."),
         ending,
     )
-    return spread(star.table(spark, sf, "conversations")).select(
+    return star.table(spark, sf, "conversations").select(
         "conv_id",
         "turn",
         "role",
@@ -198,7 +197,7 @@ def text_conversations(spark, sf):
 
 def _texts(spark, sf):
     documents = star.table(spark, sf, "documents")
-    return spread(documents.select(F.col("doc_id").alias("text_id"), "text"))
+    return documents.select(F.col("doc_id").alias("text_id"), "text")
 
 
 def _passages(spark, sf):
@@ -243,7 +242,7 @@ def text_dropped(spark, sf):
 def text_inflected(spark, sf):
     """Part names in line-item texts that only have their plural, or another spelling."""
     parts = star.table(spark, sf, "part").select("p_partkey", "p_name")
-    lines = spread(star.table(spark, sf, "lineitem")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    lines = star.table(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     texts = lines.select(
         (F.col("l_orderkey") * 1000 + F.col("l_partkey")).alias("text_id"),
         F.concat(F.lit("Supplied "), F.col("p_name"), F.lit("s, flag "), F.col("l_returnflag")).alias(

@@ -63,13 +63,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a table that arrives in fewer pieces than there are cores, before costly work on
-    its rows. A table in many files or row groups is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def keep(df: DataFrame, held: list[DataFrame]) -> DataFrame:
     """Persist a table that is read several times, unless its owner already did. What is
     persisted here is noted in ``held``, for unpersisting."""
