@@ -29,6 +29,11 @@ def series_identity(label: Column) -> Column:
     return F.lower(strip(collapse_spaces(label)))
 
 
+def series_identity_of(label: str) -> str:
+    """:func:`series_identity` of a label at hand."""
+    return " ".join(label.split()).lower()
+
+
 def status_code(text: Column) -> Column:
     """Canonical spelling of a status; NULL when blank."""
     return F.nullif(F.replace(F.upper(strip(text)), F.lit(" "), F.lit("_")), F.lit(""))
@@ -107,7 +112,10 @@ def is_single_agent(name: Column) -> Column:
 # --- evidence --------------------------------------------------------------------------------
 
 
-def clip_title(title: Column, limit: int = V.TITLE_CLIP) -> Column:
+def clip_title(title: Column, limit: int | None = None) -> Column:
+    """The title, or with a limit its first characters; null is empty."""
+    if limit is None:
+        return F.coalesce(title, F.lit(""))
     clipped = F.concat(
         F.regexp_replace(F.substring(title, 1, limit), r"(?U)\s+$", ""), F.lit("...")
     )
@@ -129,9 +137,9 @@ def render_list(path: str, values: Column) -> Column:
     return F.when(F.coalesce(F.size(values), F.lit(0)) == 0, F.lit(f"{path}: not reported")).otherwise(shown)
 
 
-def excerpt(title: Column, *fragments: Column) -> Column:
-    """Quoted, clipped title, then the evidence fragments."""
-    quoted = clip_title(title)
+def excerpt(title: Column, *fragments: Column, limit: int | None = None) -> Column:
+    """Quoted title, with ``limit`` clipped to so many characters, then the evidence fragments."""
+    quoted = clip_title(title, limit)
     has_title = quoted != ""
     if not fragments:
         return F.when(has_title, F.concat(F.lit('"'), quoted, F.lit('"'))).otherwise(

@@ -156,24 +156,34 @@ def citation_membership(
 
 
 def citation_totals(
-    rows: DataFrame, cited: DataFrame, evidence: DataFrame, keys: list[str], limit: int
+    rows: DataFrame, cited: DataFrame, totals: DataFrame, evidence: DataFrame, keys: list[str], limit: int
 ) -> DataFrame:
-    """Supporting totals are exact, citations do not exceed them, a positive value is cited
-    unless no citations were asked for, and none are given when none were asked for."""
-    per_datum = cited.groupBy(*keys).agg(
-        F.count("*").alias("_cited"), F.max("total").alias("_claimed")
+    """Supporting ``totals(keys..., total)`` are exact, citations do not exceed them, a positive
+    value is cited unless no citations were asked for, and none are given when none were asked
+    for."""
+    none = F.lit(None).cast("bigint")
+    claimed = totals.select(*keys, F.col("total").alias("_claimed"), none.alias("_quoted"), F.lit(0).alias("_one"))
+    given = cited.select(*keys, none.alias("_claimed"), F.col("total").alias("_quoted"), F.lit(1).alias("_one"))
+    per_datum = claimed.unionByName(given).groupBy(*keys).agg(
+        F.sum("_one").alias("_cited"),
+        F.max("_claimed").alias("_listed"),
+        F.max("_quoted").alias("_quoted"),
     )
     truth = contributors(evidence, keys, "_true")
     datum = datum_text(keys).alias("_k")
     joined = (
         rows.select(datum, F.col("value"))
-        .join(per_datum.select(datum, "_cited", "_claimed"), "_k", "full_outer")
+        .join(per_datum.select(datum, "_cited", "_listed", "_quoted"), "_k", "full_outer")
         .join(truth.select(datum, "_true"), "_k", "left")
         .withColumn("_n", F.coalesce("_cited", F.lit(0)))
+        # The total that a citation states, else the listed one; the two must not differ.
+        .withColumn("_claimed", F.coalesce("_quoted", "_listed"))
     )
+    listed_wrong = ~F.col("_listed").eqNullSafe(F.col("_true"))
+    quoted_wrong = F.col("_quoted").isNotNull() & (F.col("_quoted") != F.col("_true"))
     k = F.col("_k")
     parts = [
-        joined.where((F.col("_n") > 0) & ~F.col("_claimed").eqNullSafe(F.col("_true"))).select(
+        joined.where(listed_wrong | F.coalesce(quoted_wrong, F.lit(True))).select(
             *_row("supporting_total", k, F.col("_true"), F.col("_claimed"))
         ),
         joined.where(F.col("_n") > F.coalesce("_claimed", F.lit(0))).select(

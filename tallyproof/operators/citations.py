@@ -128,9 +128,9 @@ _QUOTABLE = {
 }
 
 
-def study_excerpt(dimension: str) -> Column:
+def study_excerpt(dimension: str, limit: int | None = None) -> Column:
     parts = [p for p in COMPOSITE.get(dimension, [dimension]) if p in _QUOTABLE]
-    return X.excerpt(F.col(S.TITLE_PATH), *[study_fragment(p) for p in parts])
+    return X.excerpt(F.col(S.TITLE_PATH), *[study_fragment(p) for p in parts], limit=limit)
 
 
 def quote(

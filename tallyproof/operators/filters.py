@@ -51,14 +51,8 @@ def status_not_in(statuses: list[str], status: Column) -> Column:
     return F.coalesce(~status.isin(requested_codes(statuses)), F.lit(True))
 
 
-def effective_statuses(requested: list[str], excluded: list[str]) -> list[str]:
-    """Requested minus excluded: exclusion wins."""
-    out = set(requested_codes(excluded))
-    return [s for s in requested_codes(requested) if s not in out]
-
-
 def effective_status_rows(requested: DataFrame, excluded: DataFrame) -> DataFrame:
-    """The same over two ``(status)`` tables in any spelling."""
+    """Requested minus excluded, two ``(status)`` tables in any spelling: exclusion wins."""
     wanted = requested.select(X.status_code(F.col("status")).alias("status"))
     out = excluded.select(X.status_code(F.col("status")).alias("status"))
     return wanted.where("status is not null").distinct().join(out, "status", "left_anti")

@@ -217,192 +217,6 @@ def _ends(edges: DataFrame, *more: str) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("key"), *more)
 
 
-def node_evidence(self) -> DataFrame:
-        return node_evidence(self.edge_evidence)
-
-
-# --- entities of a record --------------------------------------------------------------------
-
-
-def first_surface(rows: DataFrame) -> DataFrame:
-    """``(entity_id, key, label, pos)`` -> one row per entity and key with its first label."""
-    return (
-        rows.groupBy("entity_id", "key")
-        .agg(F.min(F.struct("pos", "label")).alias("_first"))
-        .select("entity_id", "key", F.col("_first.label").alias("label"))
-    )
-
-
-def merge_names(names: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
-    """Replace resolved keys by the shared identity, and their labels by the canonical name.
-
-    Done before anything is counted, so that fragments of one compound add up. Names without an
-    identity keep their own key.
-    """
-    if crosswalk is None:
-        return names
-    known = crosswalk.select(
-        F.col("name").alias("key"), F.col("rxcui").alias("_id"), "canonical_name"
-    )
-    merged = F.concat(F.lit(MERGED_PREFIX), F.col("_id"))
-    others = [c for c in names.columns if c not in ("key", "label")]
-    return names.join(known, "key", "left").select(
-        *others,
-        F.coalesce(merged, F.col("key")).alias("key"),
-        F.coalesce("canonical_name", "label").alias("label"),
-    )
-
-
-def agent_rows(raw: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
-    """``(entity_id, name, pos)`` -> ``(entity_id, key, label, pos)`` without control arms.
-
-    Names are cleaned in their rows, by built-in functions; only the crosswalk is joined.
-    """
-    cleaned = raw.select(
-        "entity_id",
-        normalize_name(F.col("name")).alias("key"),
-        strip(F.col("name")).alias("label"),
-        "pos",
-    ).where((F.col("key") != "") & ~is_control_name(F.col("key")))
-    return merge_names(cleaned, crosswalk).select("entity_id", "key", "label", "pos")
-
-
-def study_agents(studies: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
-    """Agents of a study table: one row per study and agent."""
-    listed = studies.select(
-        F.col(S.ID_PATH).alias("entity_id"), F.posexplode(S.INTERVENTIONS_PATH).alias("pos", "_i")
-    )
-    raw = listed.where(is_agent(F.col("_i.type"), F.col("_i.name"))).select(
-        "entity_id", F.col("_i.name").alias("name"), "pos"
-    )
-    return first_surface(agent_rows(raw, crosswalk))
-
-
-def sponsor_rows(entities: DataFrame, id_col: str | Column, name: str | Column) -> DataFrame:
-    """``(entity_id, key, label)`` of a scalar name column; blank names are no sponsor."""
-    entity_id = F.col(id_col) if isinstance(id_col, str) else id_col
-    label = strip(F.col(name) if isinstance(name, str) else name)
-    return entities.select(
-        entity_id.alias("entity_id"), F.lower(label).alias("key"), label.alias("label")
-    ).where(F.coalesce(F.col("label"), F.lit("")) != "")
-
-
-def study_sponsors(studies: DataFrame) -> DataFrame:
-    return sponsor_rows(studies, S.ID_PATH, S.SPONSOR_PATH)
-
-
-# --- sizes and labels ------------------------------------------------------------------------
-
-
-def sizes(names: DataFrame) -> DataFrame:
-    """Distinct entities per key."""
-    return names.groupBy("key").agg(F.count("*").alias("size"))
-
-
-def candidate_names(names: DataFrame, k: int | None = None) -> DataFrame:
-    """All names with their sizes, or the ``k`` in most entities; ties by name."""
-    counted = sizes(names)
-    return counted if k is None else counted.orderBy(F.desc("size"), "key").limit(k)
-
-
-def modal_labels(names: DataFrame) -> DataFrame:
-    """Most frequent label per key, one vote per entity; ties alphabetical."""
-    votes = names.groupBy("key", "label").agg(F.count("*").alias("_votes"))
-    best = Window.partitionBy("key").orderBy(F.desc("_votes"), "label")
-    return (
-        votes.withColumn("_nth", F.row_number().over(best))
-        .where(F.col("_nth") == 1)
-        .select("key", "label", F.col("_votes").alias("votes"))
-    )
-
-
-# --- pairs inside an entity ------------------------------------------------------------------
-
-
-def dense_entities(names: DataFrame, max_entities: int) -> DataFrame:
-    """``(entity_id)`` of the entities with more than ``max_entities`` keys."""
-    keys = names.groupBy("entity_id").agg(F.count("*").alias("_keys"))
-    return keys.where(F.col("_keys") > max_entities).select("entity_id")
-
-
-def dense_skipped(names: DataFrame, max_entities: int | None) -> DataFrame:
-    """One row: how many entities are left out of the pairs; none without a limit."""
-    if max_entities is None:
-        return names.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("dense_records_skipped"))
-    return dense_entities(names, max_entities).agg(F.count("*").alias("dense_records_skipped"))
-
-
-def paired_names(names: DataFrame, min_weight: int, max_entities: int | None = None) -> DataFrame:
-    """``(entity_id, key)`` that can be on an edge of ``min_weight``.
-
-    An edge is never heavier than its smaller end, so keys of fewer entities are dropped without
-    loss. Only a caller's ``max_entities`` leaves out whole entities.
-    """
-    rows = names.select("entity_id", "key")
-    if max_entities is not None:
-        rows = rows.join(dense_entities(names, max_entities), "entity_id", "left_anti")
-    if min_weight > 1:
-        often = sizes(rows).where(F.col("size") >= min_weight).select("key")
-        rows = rows.join(often, "key", "left_semi")
-    return rows
-
-
-def pairs(names: DataFrame) -> DataFrame:
-    """``(source, target, entity_id)`` for every unordered pair of keys of an entity.
-
-    An inner join of rows: Spark can split the rows of an entity that has very many.
-    """
-    one = names.select("entity_id", F.col("key").alias("source"))
-    other = names.select("entity_id", F.col("key").alias("target"))
-    return one.join(other, "entity_id").where(F.col("source") < F.col("target")).select(
-        "source", "target", "entity_id"
-    )
-
-
-def hub_pairs(names: DataFrame, hubs: DataFrame, n_hubs: int) -> DataFrame:
-    """As :func:`pairs`, but only pairs with one of ``hubs(key)`` in them: hubs times names, never
-    names times names."""
-    marked = names.join(small(hubs.select("key", F.lit(True).alias("_is_hub")), n_hubs), "key", "left")
-    marked = marked.withColumn("_is_hub", F.coalesce("_is_hub", F.lit(False)))
-    hub = restrict(names, hubs.select("key"), n_hubs).select("entity_id", F.col("key").alias("_hub"))
-    both = hub.join(marked, "entity_id")
-    # Between two hubs the pair is met from both sides; one of them is enough.
-    once = (F.col("key") != F.col("_hub")) & (~F.col("_is_hub") | (F.col("_hub") < F.col("key")))
-    return both.where(once).select(
-        F.least("_hub", "key").alias("source"), F.greatest("_hub", "key").alias("target"), "entity_id"
-    )
-
-
-def weights(pair_rows: DataFrame, min_weight: int = 1) -> DataFrame:
-    return (
-        pair_rows.groupBy("source", "target")
-        .agg(F.count("*").alias("weight"))
-        .where(F.col("weight") >= min_weight)
-    )
-
-
-def edge_weights(
-    names: DataFrame, min_weight: int = V.MIN_EDGE_WEIGHT, max_entities: int | None = None
-) -> DataFrame:
-    """All edges ``(source, target, weight)`` of the unpruned co-occurrence graph."""
-    return weights(pairs(paired_names(names, min_weight, max_entities)), min_weight)
-
-
-# --- published graph -------------------------------------------------------------------------
-
-
-def _ends(edges: DataFrame, *more: str) -> DataFrame:
-    """Each edge once per end."""
-    return edges.select(F.explode(F.array("source", "target")).alias("key"), *more)
-
-
-def within(edges: DataFrame, kept: DataFrame, n: int) -> DataFrame:
-    """Edges with both ends among at most ``n`` kept keys."""
-    for end in ("source", "target"):
-        edges = restrict(edges, kept.select(F.col("key").alias(end)), n, end)
-    return edges
-
-
 def node_evidence(edge_evidence: DataFrame) -> DataFrame:
     """``(id, entity_id)``: the entities on a node's drawn edges."""
     return _ends(edge_evidence, "entity_id").distinct().withColumnRenamed("key", "id")

@@ -91,7 +91,11 @@ def _studies(spark, sf):
 
 def _two_fields():
     return X.excerpt(
-        F.col(S.TITLE_PATH), study_fragment("sponsor"), study_fragment("phase"), study_fragment("start_year")
+        F.col(S.TITLE_PATH),
+        study_fragment("sponsor"),
+        study_fragment("phase"),
+        study_fragment("start_year"),
+        limit=V.TITLE_CLIP,
     )
 
 
@@ -142,7 +146,7 @@ def cite_excerpt(spark, sf):
 def render_evidence(spark, sf):
     return _studies(spark, sf).select(
         "o_orderkey",
-        X.excerpt(F.col(S.TITLE_PATH), study_fragment("enrollment_bucket")).alias("enrollment"),
+        X.excerpt(F.col(S.TITLE_PATH), study_fragment("enrollment_bucket"), limit=V.TITLE_CLIP).alias("enrollment"),
         X.excerpt(F.lit(None).cast("string"), study_fragment("status")).alias("status"),
     )
 
@@ -179,7 +183,7 @@ def _row_checks(rows, computed, evidence, citations, excerpts):
         checks.value_is_contributors(rows, evidence, ["key"]),
         checks.rows_are_computed(rows, computed, ["key", "value"]),
         checks.citation_membership(citations, evidence, excerpts, ["key"]),
-        checks.citation_totals(rows, citations, evidence, ["key"], 3),
+        checks.citation_totals(rows, citations, evidence_totals(evidence, ["key"]), evidence, ["key"], 3),
         checks.citation_texts(citations, excerpts, ["key"], _URL),
     )
 
@@ -234,7 +238,7 @@ def check_tampered(spark, sf):
     moved = citations.withColumn(
         "entity_id", F.when(key >= "NATION_20", F.col("entity_id") + 1).otherwise(F.col("entity_id"))
     )
-    miscounted = citations.withColumn(
+    miscounted = evidence_totals(evidence, ["key"]).withColumn(
         "total", F.when(key.startswith("NATION_1"), F.col("total") + 1).otherwise(F.col("total"))
     )
     misquoted = citations.withColumn(
@@ -246,7 +250,7 @@ def check_tampered(spark, sf):
         checks.citation_membership(moved, evidence, excerpts, ["key"]).where(
             F.col("check") == "cited_non_contributor"
         ),
-        checks.citation_totals(rows, miscounted, evidence, ["key"], 3),
+        checks.citation_totals(rows, citations, miscounted, evidence, ["key"], 3),
         checks.citation_texts(misquoted, excerpts, ["key"], _URL),
     )
     return found.groupBy("check").agg(F.count("*").alias("n"))
@@ -440,8 +444,8 @@ def job_compare_sponsors(spark, sf):
     """
 )
 def job_manifest(spark, sf):
-    result = run(Job(statuses=[" o"], group_by="sponsor"), _studies(spark, sf))
-    return result.manifest.select(
+    job = Job(statuses=[" o"], group_by="sponsor", top_n=15)
+    return run(job, _studies(spark, sf)).manifest.select(
         "processed",
         "fetched",
         "total_matching",
@@ -454,6 +458,18 @@ def job_manifest(spark, sf):
     )
 
 
+@query(
+    f"""
+    with {star.STUDIES_SQL},
+    counts as (select c_name as key, count(*) as value from studies group by 1)
+    select row_number() over (order by value desc, key) as position, key, value from counts
+    """
+)
+def job_sponsors_all(spark, sf):
+    """Without a top-N every category is reported."""
+    return run(Job(group_by="sponsor"), _studies(spark, sf)).rows.select("position", "key", "value")
+
+
 @query(
     f"""
     with {star.STUDIES_SQL}
@@ -462,7 +478,95 @@ def job_manifest(spark, sf):
     """
 )
 def job_empty(spark, sf):
-    """Undated orders have no place on a year axis."""
-    studies = _studies(spark, sf).where(F.col(S.STATUS_PATH).isNull())
-    result = run(Job(group_by="start_year", time_series=True), studies)
-    return result.manifest.select("empty_reason", "processed")
+    """Orders with neither status are undated, and have no place on a year axis."""
+    job = Job(excluded_statuses=["f", "o"], group_by="start_year", time_series=True)
+    return run(job, _studies(spark, sf)).manifest.select("empty_reason", "processed")
+
+
+# --- studies with all their lists ------------------------------------------------------------
+
+
+@query(f"with {star.LISTS_SQL} select entity_id, key, min(label) as label from agents group by 1, 2")
+def study_agents_of_lists(spark, sf):
+    return network.study_agents(star.full_studies(spark, sf))
+
+
+@query(
+    f"""
+    with {star.LISTS_SQL}
+    select 'intervention_type' as dimension, kind as key, count(distinct entity_id) as value
+    from listed group by kind
+    union all
+    select 'country', nation, count(distinct entity_id) from listed group by nation
+    union all
+    select d, label, (select count(*) from orders where o_orderkey not in (select l_orderkey from lineitem))
+    from (values ('intervention_type', 'No interventions listed'), ('country', 'No location listed')) as u(d, label)
+    """
+)
+def dist_of_lists(spark, sf):
+    """Studies per intervention type and per country, from the lists of the record."""
+    studies = star.full_studies(spark, sf)
+    parts = []
+    for name in ("intervention_type", "country"):
+        members = measure.membership(studies, DIMENSIONS[name], S.ID_PATH)
+        parts.append(measure.bucket_sizes(members).select(F.lit(name).alias("dimension"), "key", "value"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    f"""
+    with {star.LISTS_SQL},
+    firsts as (select entity_id, key, min(label) as label from agents group by 1, 2)
+    select entity_id, 'armsInterventionsModule.interventions[].name: ['
+      || string_agg(label, ', ' order by key) || ']' as quoted
+    from firsts group by 1
+    """
+)
+def cite_agents(spark, sf):
+    """Agent names of a record as evidence quotes them: the first form of each, by name."""
+    studies = star.full_studies(spark, sf)
+    return studies.select(F.col(S.ID_PATH).alias("entity_id"), study_fragment("drug").alias("quoted")).where(
+        ~F.col("quoted").endswith("not reported")
+    )
+
+
+@query(
+    f"""
+    with {star.LISTS_SQL},
+    names as (select distinct entity_id as id, key from agents),
+    pairs as (
+      select a.key as source, b.key as target from names a join names b on a.id = b.id and a.key < b.key
+    ),
+    edges as (select source, target, count(*) as weight from pairs group by 1, 2 having count(*) >= 2)
+    select row_number() over (order by weight desc, source, target) as position,
+           'drug:' || source as source, 'drug:' || target as target, weight
+    from edges
+    """
+)
+def job_graph_all(spark, sf):
+    """A graph job without limits, over all names of all records."""
+    return run(Job(graph="drug_drug"), star.full_studies(spark, sf)).graph.edges
+
+
+@query(
+    f"""
+    with {star.LISTS_SQL}, names as (select distinct key as name from agents)
+    select count(*) as names, count(*) as resolved, cast(0 as bigint) as unresolved,
+           cast(0 as bigint) as merged, cast(0 as bigint) as violations from names
+    """
+)
+def job_graph_resolved(spark, sf):
+    """Every name of a graph job is looked up, however many there are, and all checks run."""
+    parts = star.table(spark, sf, "part").select(star.agent_name().alias("name")).distinct()
+    key = X.normalize_name(F.col("name"))
+    candidates = parts.select(
+        key.alias("name"), key.alias("rxcui"), F.lit("20").alias("score"), F.lit(0).alias("rank")
+    )
+    ingredients = candidates.select(
+        "rxcui", F.col("rxcui").alias("ingredient_rxcui"), F.col("rxcui").alias("ingredient_name")
+    )
+    result = run(Job(graph="drug_drug", max_nodes=10, max_citations=1), star.full_studies(spark, sf), candidates, ingredients)
+    wrong = result.violations.count()
+    return result.manifest.select(
+        "names", "resolved", "unresolved", "merged", F.lit(wrong).cast("bigint").alias("violations")
+    )

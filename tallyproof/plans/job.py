@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tallyproof import schema as S
 from tallyproof.functions import fixed_values as V
 from tallyproof.functions import text as X
+from tallyproof.functions.text import series_identity_of
 from tallyproof.operators import checks, filters, manifest, measure, network, synonyms
-from tallyproof.operators.citations import cite, quote, study_excerpt
+from tallyproof.operators.citations import cite, evidence_totals, quote, study_excerpt
 from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.operators.series import series_where
 from tallyproof.session import durable, one_row
@@ -43,10 +44,22 @@ class Job:
     graph: str | None = None
     max_citations: int = V.DEFAULT_CITATIONS
     max_studies: int | None = None
+    #: Limits of what is reported; None reports everything.
+    top_n: int | None = None
+    max_nodes: int | None = None
+    max_left: int | None = None
+    max_right: int | None = None
+    max_entities: int | None = None
+    #: Names looked up for synonyms, the busiest first; None looks up all.
+    max_lookups: int | None = None
+    #: Edges of fewer entities are not drawn; by default 2 for agents, 1 for sponsors and agents.
+    min_weight: int | None = None
+    #: Characters of a title that an excerpt quotes; None quotes all of it.
+    title_length: int | None = None
 
     def __post_init__(self):
-        if not 0 <= self.max_citations <= V.MAX_CITATIONS:
-            raise ValueError(f"max_citations must be 0-{V.MAX_CITATIONS}")
+        if self.max_citations < 0:
+            raise ValueError("max_citations must not be negative")
         if self.group_by not in DIMENSIONS:
             raise ValueError(f"unknown dimension {self.group_by!r}")
         if self.compare and self.compare_kind not in _SCOPES:
@@ -71,6 +84,8 @@ class Result:
     graph: network.Graph | None = None
     merged_from: DataFrame | None = None
     accounting: DataFrame | None = None
+    #: How many entities support each datum, whatever is cited.
+    totals: DataFrame | None = None
     held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
@@ -82,6 +97,8 @@ class Result:
 
     def tables(self) -> dict[str, DataFrame]:
         out = {"citations": self.citations, "manifest": self.manifest}
+        if self.totals is not None:
+            out["totals"] = self.totals
         if self.accounting is not None:
             out["accounting"] = self.accounting
         if self.graph is None:
@@ -141,16 +158,25 @@ def predicates(job: Job) -> dict[str, Column]:
     return steps
 
 
+def different_series(labels: list[str]) -> list[str]:
+    """The labels of different identity, in order; of equal ones the first spelling stays."""
+    first: dict[str, str] = {}
+    for label in labels:
+        first.setdefault(series_identity_of(label), label)
+    return list(first.values())
+
+
 def _compared(job: Job, population: DataFrame) -> tuple[DataFrame, dict[str, dict]]:
     """``(series, entity_id)``, and with a cap the facts of sharing it over the series."""
     build = _SCOPES[job.compare_kind][1]
-    tests = {label: build([label]) for label in job.compare}
+    tests = {label: build([label]) for label in different_series(job.compare)}
     if job.max_studies is None:
         return series_where(population, S.ID_PATH, tests), {}
-    listed = population.select(F.col(S.ID_PATH).alias("entity_id"), *SOURCE_ORDER, "protocolSection")
-    searches = {label: listed.where(test) for label, test in tests.items()}
-    rows, facts = split_cap(searches, "entity_id", SOURCE_ORDER, job.max_studies)
-    return durable(rows.select("series", "entity_id")), facts
+    searches = {
+        label: population.where(test).select(F.col(S.ID_PATH).alias("entity_id"), *SOURCE_ORDER)
+        for label, test in tests.items()
+    }
+    return split_cap(searches, "entity_id", SOURCE_ORDER, job.max_studies)
 
 
 def run(
@@ -190,7 +216,7 @@ def run(
     kept = F.lit(True)
     for step in steps.values():
         kept = kept & F.coalesce(step, F.lit(False))
-    records = population.where(kept).persist(StorageLevel.MEMORY_AND_DISK)
+    records = used_fields(job, population.where(kept)).persist(StorageLevel.MEMORY_AND_DISK)
     compute = _graph_result if job.graph else _rows_result
     result = compute(job, records, series, candidates, ingredients, provenance, {
         "fetched": fetched,
@@ -207,6 +233,35 @@ def run(
     return replace(result, accounting=accounting)
 
 
+def used_fields(job: Job, studies: DataFrame) -> DataFrame:
+    """The modules of a record that the job counts and quotes; the others are never kept."""
+    modules = {"identificationModule"}
+    if job.graph:
+        modules |= {"armsInterventionsModule", "sponsorCollaboratorsModule"}
+    else:
+        modules.add(_MODULES[job.group_by])
+    shape = studies.schema["protocolSection"].dataType
+    section = F.struct(
+        *[
+            (F.col(f"protocolSection.{f.name}") if f.name in modules else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in shape.fields
+        ]
+    )
+    return studies.select(section.alias("protocolSection"))
+
+
+_MODULES = {
+    "phase": "designModule",
+    "enrollment_bucket": "designModule",
+    "start_year": "statusModule",
+    "status": "statusModule",
+    "sponsor": "sponsorCollaboratorsModule",
+    "sponsor_class": "sponsorCollaboratorsModule",
+    "intervention_type": "armsInterventionsModule",
+    "country": "contactsLocationsModule",
+}
+
+
 def _manifest(job: Job, records: DataFrame, totals: DataFrame, n_rows: int, facts: dict) -> DataFrame:
     processed = records.count()
     reason = manifest.empty_reason(
@@ -227,24 +282,30 @@ def _manifest(job: Job, records: DataFrame, totals: DataFrame, n_rows: int, fact
         "data_as_of": F.lit(facts["data_as_of"]).cast("string"),
         # What the scope alone would have matched, when the requested phases or statuses leave none.
         "unfiltered_matching": F.lit(facts["unfiltered"]).cast("bigint"),
+        # Series that were asked for under another spelling of one before.
+        "series_collapsed": F.lit(len(job.compare) - len(different_series(job.compare))).cast("bigint"),
         "empty_reason": F.lit(reason).cast("string"),
     }
     return totals.select(*[v.alias(k) for k, v in literal.items()], "*")
 
 
-def _rows_result(job, records, series, _candidates, _ingredients, provenance, facts) -> Result:
+def _report(job: Job, records: DataFrame, series: DataFrame | None, members: DataFrame) -> DataFrame:
+    """The rows of a report over a membership table."""
     dimension = DIMENSIONS[job.group_by]
-    top_n = V.TOP_N.get(dimension.name)
-    show_unknown = not job.time_series
-    members = measure.membership(records, dimension, S.ID_PATH, series)
-    members = members.persist(StorageLevel.MEMORY_AND_DISK)
-    counted = measure.bucket_counts(members, dimension, top_n, show_unknown)
-    rows = counted
+    rows = measure.bucket_counts(members, dimension, job.top_n, not job.time_series)
     if job.compare:
-        rows = measure.zero_fill_series(rows, job.compare)
+        rows = measure.zero_fill_series(rows, different_series(job.compare))
     if job.time_series:
         rows = measure.zero_fill_years(rows, job.start_year, job.end_year)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return rows
+
+
+def _rows_result(job, records, series, _candidates, _ingredients, provenance, facts) -> Result:
+    dimension = DIMENSIONS[job.group_by]
+    show_unknown = not job.time_series
+    computed = measure.membership(records, dimension, S.ID_PATH, series)
+    members = computed.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _report(job, records, series, members).persist(StorageLevel.MEMORY_AND_DISK)
     published = rows.where(F.col("value") > 0).select(
         "position", F.coalesce("series", F.lit("")).alias("_s"), F.col("raw_key").alias("key")
     )
@@ -253,20 +314,23 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
         published, ["_s", "key"]
     ).select("position", "entity_id")
     cited = cite(evidence, ["position"], job.max_citations)
-    citations = quote(cited, records, S.ID_PATH, study_excerpt(dimension.name))
+    excerpt = study_excerpt(dimension.name, job.title_length)
+    citations = quote(cited, records, S.ID_PATH, excerpt)
+    supporting = evidence_totals(evidence, ["position"])
     entities = records if series is None else None
-    totals = measure.bucket_totals(members, dimension, top_n, show_unknown, entities)
+    totals = measure.bucket_totals(members, dimension, job.top_n, show_unknown, entities)
     final = _manifest(job, records, totals, rows.count(), facts)
     ids = records.select(F.col(S.ID_PATH).alias("entity_id"))
     found = [
         checks.value_is_contributors(rows, evidence, ["position"]),
+        checks.rows_are_computed(
+            rows, _report(job, records, series, computed), ["series", "raw_key", "key", "value"]
+        ),
         checks.citation_membership(citations, evidence, ids, ["position"]),
-        checks.citation_totals(rows, citations, evidence, ["position"], job.max_citations),
+        checks.citation_totals(rows, citations, supporting, evidence, ["position"], job.max_citations),
         checks.citation_texts(
             citations,
-            records.select(
-                F.col(S.ID_PATH).alias("entity_id"), study_excerpt(dimension.name).alias("excerpt")
-            ),
+            records.select(F.col(S.ID_PATH).alias("entity_id"), excerpt.alias("excerpt")),
             ["position"],
             V.STUDY_URL_FORMAT,
         ),
@@ -275,65 +339,80 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
     if provenance is not None:
         found.append(checks.processed_count(final, records, provenance))
     if job.compare:
-        promised = rows.sparkSession.createDataFrame([(s,) for s in job.compare], "series string")
+        labels = [(s,) for s in different_series(job.compare)]
+        promised = rows.sparkSession.createDataFrame(labels, "series string")
         if rows.where("value > 0").limit(1).count():
             found.append(checks.series_complete(rows, promised))
     held = [records, members, rows]
-    return Result(rows, citations, final, checks.violations(*found), held=held)
+    return Result(rows, citations, final, checks.violations(*found), totals=supporting, held=held)
 
 
 def _graph_result(job, records, _series, candidates, ingredients, provenance, facts) -> Result:
     crosswalk = forms = merged = None
     if candidates is not None and ingredients is not None:
         forms = durable(synonyms.study_surface_forms(records))
-        pool = network.candidate_names(network.study_agents(records)).withColumnRenamed("key", "name")
+        pool = None
+        if job.max_lookups is not None:
+            agents = network.study_agents(records)
+            pool = network.candidate_names(agents, job.max_lookups).withColumnRenamed("key", "name")
         crosswalk = durable(synonyms.resolve_names(forms, candidates, ingredients, pool=pool))
         merged = synonyms.merge_sources(forms, crosswalk)
     agents = network.study_agents(records, crosswalk).persist(StorageLevel.MEMORY_AND_DISK)
     if job.graph == "sponsor_drug":
-        graph = network.bipartite(network.study_sponsors(records), agents)
+        graph = network.bipartite(
+            network.study_sponsors(records), agents, job.max_left, job.max_right, min_weight=job.min_weight or 1
+        )
     else:
-        graph = network.cooccurrence(agents)
-    edge_data = graph.edge_evidence.join(
-        graph.edges.select("source", "target", "position"), ["source", "target"]
+        weight = V.MIN_EDGE_WEIGHT if job.min_weight is None else job.min_weight
+        graph = network.cooccurrence(agents, weight, job.max_nodes, job.max_entities)
+    edge_data = graph.edge_evidence.select(
+        F.lit("edge").alias("datum"), F.concat_ws("|", "source", "target").alias("name"), "entity_id"
     )
-    node_data = graph.node_evidence.join(graph.nodes.select("id", "kind", "position"), "id")
-    edge_cited = cite(edge_data, ["source", "target"], job.max_citations)
-    node_cited = cite(node_data, ["id", "kind"], job.max_citations)
-    parts = [
-        quote(
-            node_cited.where(F.col("kind") == kind).select(
-                F.lit("node").alias("datum"), F.col("id").alias("name"), "ordinal", "entity_id", "total"
-            ),
-            records,
-            S.ID_PATH,
-            study_excerpt(kind if kind == "drug" else "sponsor"),
-        )
-        for kind in ("drug", "sponsor")
-    ]
-    pair = F.concat_ws("|", "source", "target").alias("name")
-    parts.append(
-        quote(
-            edge_cited.select(F.lit("edge").alias("datum"), pair, "ordinal", "entity_id", "total"),
-            records,
-            S.ID_PATH,
-            study_excerpt("sponsor_drug" if job.graph == "sponsor_drug" else "drug"),
-        )
+    kinds = graph.nodes.select("id", "kind")
+    node_data = graph.node_evidence.join(kinds, "id").select(
+        F.lit("node").alias("datum"), F.col("id").alias("name"), "entity_id", "kind"
     )
-    citations = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    datum = ["datum", "name"]
+    excerpts = {"edge": "sponsor_drug" if job.graph == "sponsor_drug" else "drug", "drug": "drug", "sponsor": "sponsor"}
+    quoted = {k: study_excerpt(d, job.title_length) for k, d in excerpts.items()}
+    data = {"edge": edge_data, **{k: node_data.where(F.col("kind") == k).drop("kind") for k in ("drug", "sponsor")}}
+    if job.graph != "sponsor_drug":
+        del data["sponsor"]
+    citations, found = None, []
+    for kind, evidence in data.items():
+        part = quote(cite(evidence, datum, job.max_citations), records, S.ID_PATH, quoted[kind])
+        truth = records.select(F.col(S.ID_PATH).alias("entity_id"), quoted[kind].alias("excerpt"))
+        found.append(checks.citation_texts(part, truth, datum, V.STUDY_URL_FORMAT))
+        citations = part if citations is None else citations.unionByName(part)
+    all_data = edge_data.unionByName(node_data.drop("kind"))
+    supporting = evidence_totals(all_data, datum)
+    drawn = graph.edges.select(
+        F.lit("edge").alias("datum"), F.concat_ws("|", "source", "target").alias("name"), F.col("weight").alias("value")
+    ).unionByName(graph.nodes.select(F.lit("node").alias("datum"), F.col("id").alias("name"), F.col("size").alias("value")))
     totals = graph.totals
     if crosswalk is not None:
         names = forms.select("name").distinct()
         totals = one_row(totals, synonyms.resolution_totals(names, crosswalk))
     final = _manifest(job, records, totals, graph.edges.count(), facts)
-    found = [
+    ids = records.select(F.col(S.ID_PATH).alias("entity_id"))
+    found += [
         checks.graph_counts(graph.nodes, graph.edges, graph.edge_evidence),
         checks.dangling_edges(graph.nodes, graph.edges),
+        checks.citation_membership(citations, all_data, ids, datum),
+        checks.citation_totals(drawn, citations, supporting, all_data, datum, job.max_citations),
         checks.not_empty(graph.edges, final),
     ]
+    if merged is not None:
+        claims = merged.select("key", F.col("sources").alias("merged_names")).distinct()
+        key = F.substring_index(F.col("id"), ":", -2)
+        found.append(
+            checks.merge_claims(
+                graph.nodes.withColumn("key", key).join(claims, "key", "left").select("id", "rxcui", "merged_names")
+            )
+        )
     if provenance is not None:
         found.append(checks.processed_count(final, records, provenance))
     held = [records, agents]
     return Result(
-        None, citations, final, checks.violations(*found), graph, merged, held=held
+        None, citations, final, checks.violations(*found), graph, merged, totals=supporting, held=held
     )

@@ -6,7 +6,7 @@ interventions and, through the supplier's nation, the countries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyproof import schema as S
@@ -143,3 +143,58 @@ def studies(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(none),
     ).cast(shape)
     return orders.select("o_orderkey", section.alias("protocolSection"))
+
+
+def agent_name() -> Column:
+    """The name that a part has as an intervention: one for each part, of a single agent."""
+    return F.concat(F.substring_index("p_name", " ", -1), F.col("p_partkey").cast("string"))
+
+
+#: The lists of :func:`full_studies` in SQL, one row per line item.
+LISTS_SQL = """
+listed as (
+  select 'NCT' || lpad(cast(l_orderkey as varchar), 8, '0') as entity_id, l_linenumber as pos,
+         case when p_type = 'PROMO' then 'PROCEDURE' else 'DRUG' end as kind,
+         split_part(p_name, ' ', 2) || p_partkey as key, n_name as nation,
+         case when l_returnflag = 'A' then upper(split_part(p_name, ' ', 2) || p_partkey)
+              else split_part(p_name, ' ', 2) || p_partkey end as spelled
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
+  join nation on s_nationkey = n_nationkey
+),
+agents as (
+  select entity_id, key,
+         first_value(spelled) over (partition by entity_id, key order by pos, spelled) as label
+  from listed where kind = 'DRUG'
+)
+"""
+
+
+def full_studies(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`studies` with interventions and locations: one of each for every line item.
+
+    The lists are those of one order; a range of orders with very many lines stays one row each, as
+    a landed record is.
+    """
+    lines = parts_of_orders(spark, sf, "p_partkey", "p_name", "p_type")
+    named = agent_name()
+    spelled = F.when(F.col("l_returnflag") == "A", F.upper(named)).otherwise(named)
+    kind = F.when(F.col("p_type") == "PROMO", F.lit("PROCEDURE")).otherwise(F.lit("DRUG"))
+    interventions = lines.groupBy("entity_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", spelled.alias("name"), kind.alias("type")))).alias("_i")
+    )
+    locations = nations_of_orders(spark, sf).groupBy("entity_id").agg(F.collect_list("key").alias("_l"))
+    whole = (
+        studies(spark, sf)
+        .join(interventions, F.col("o_orderkey") == interventions.entity_id, "left")
+        .drop("entity_id")
+        .join(locations, F.col("o_orderkey") == locations.entity_id, "left")
+    )
+    shape = S.STUDY["protocolSection"].dataType
+    fields = {f.name: F.col(f"protocolSection.{f.name}") for f in shape.fields}
+    agents = F.transform("_i", lambda i: F.struct(i["type"].alias("type"), i["name"].alias("name")))
+    fields["armsInterventionsModule"] = F.struct(agents.alias("interventions"))
+    fields["contactsLocationsModule"] = F.struct(
+        F.transform("_l", lambda c: F.struct(c.alias("country"))).alias("locations")
+    )
+    section = F.struct(*[c.alias(n) for n, c in fields.items()]).cast(shape)
+    return whole.select("o_orderkey", section.alias("protocolSection"))

@@ -12,11 +12,7 @@ from pyspark.sql import types as T
 
 from tallyproof import schema as S
 from tallyproof.functions import fixed_values as V
-from tallyproof.session import number_rows
-
-#: A cap above this is taken from a distributed sort instead of one task.
-ORDERED_LIMIT_ROWS = 100_000
-
+from tallyproof.session import number_rows, stored
 
 def parse_pages(documents: DataFrame, strict: bool = False) -> DataFrame:
     """Pages of a table of whole JSON documents ``(value, source)``.
@@ -90,10 +86,9 @@ def union_first(parts: list[DataFrame], id_col: str, order: list[str]) -> DataFr
 
 
 def capped(df: DataFrame, order: list[str], cap: int) -> DataFrame:
-    """The first ``cap`` rows in source order."""
-    if cap <= ORDERED_LIMIT_ROWS:
-        return df.orderBy(*order).limit(cap)
-    return number_rows(df, *[F.col(c) for c in order], name="_at").where(f"_at <= {cap}").drop("_at")
+    """The first ``cap`` rows in source order, from a distributed sort."""
+    numbered = number_rows(df, *[F.col(c) for c in order], name="_at")
+    return numbered.where(F.col("_at") <= cap).drop("_at")
 
 
 def split_cap(
@@ -103,8 +98,8 @@ def split_cap(
 
     Each search gets an equal part of what is left after the *distinct* ids read so far; what it
     does not use goes to the later ones. A search with no share stays as an empty series. Returns
-    ``(series, id...)`` rows and per-series facts. The loop runs once per named series; its only
-    actions are counts.
+    ``(series, id)`` rows and per-series facts. The loop runs once per named series; each series'
+    ids are written once, and counted from what was written.
     """
     read: DataFrame | None = None
     facts: dict[str, dict] = {}
@@ -120,7 +115,8 @@ def split_cap(
             "total_matching": total,
             "capped": total > budget,
         }
-        part = capped(rows, order, budget).withColumn("series", F.lit(label))
+        first = capped(rows.select(id_col, *[c for c in order if c != id_col]), order, budget)
+        part = stored(first.select(F.lit(label).alias("series"), id_col), "series")
         read = part if read is None else read.unionByName(part)
     return read, facts
 

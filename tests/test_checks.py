@@ -5,7 +5,7 @@ from conftest import drugs, record, values
 from pyspark.sql import functions as F
 
 from tallyproof.operators import checks, measure, network
-from tallyproof.operators.citations import cite, quote, study_excerpt
+from tallyproof.operators.citations import cite, evidence_totals, quote, study_excerpt
 from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.functions.fixed_values import STUDY_URL_FORMAT
 
@@ -27,7 +27,7 @@ def failing(rows, computed, evidence, citations, records, limit):
         checks.value_is_contributors(rows, evidence, KEYS),
         checks.rows_are_computed(rows, computed, ["key", "value"]),
         checks.citation_membership(citations, evidence, records, KEYS),
-        checks.citation_totals(rows, citations, evidence, KEYS, limit),
+        checks.citation_totals(rows, citations, evidence_totals(evidence, KEYS), evidence, KEYS, limit),
         checks.citation_texts(citations, records, KEYS, STUDY_URL_FORMAT),
     )
     assert found.columns == ["check", "datum", "expected", "actual"]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from conftest import drugs, record, values
 from test_network import lookup
 
@@ -106,6 +107,40 @@ def test_empty_results_say_why(studies):
 def test_no_citations(studies):
     result = run(Job(max_citations=0), studies)
     assert result.citations.count() == 0 and result.violations.count() == 0
+    # What supports a number is still told.
+    assert sorted(values(result.totals, "total")) == sorted(values(result.rows, "value"))
+    graph = run(Job(graph="drug_drug", max_citations=0), studies)
+    assert graph.totals.where("datum = 'edge'").count() == graph.graph.edges.count() > 0
+
+
+def test_equal_series_are_one(studies):
+    job = Job(compare_kind="drug", compare=["Cisplatin", "cisplatin ", "CISPLATIN", "nivolumab"], group_by="status")
+    result = run(job, studies)
+    assert {s for (s,) in ordered(result, "series")} == {"Cisplatin", "nivolumab"}
+    assert fact(result, "series_collapsed") == 2 and result.violations.count() == 0
+
+
+def test_limits_are_the_callers(spark, studies_of):
+    many = studies_of(
+        [record(i + 1, title="t" * 300, sponsor=f"Sponsor {i:02d}", interventions=drugs(*[f"agent{k}x" for k in range(45)])) for i in range(30)]
+    )
+    assert run(Job(group_by="sponsor"), many).rows.count() == 30
+    top = run(Job(group_by="sponsor", top_n=4, title_length=20), many)
+    assert top.rows.count() == 4 and top.violations.count() == 0
+    assert all(r.excerpt.startswith('"' + "t" * 20 + '..."') for r in top.citations.collect())
+    whole = run(Job(graph="drug_drug", max_citations=0), many)
+    assert whole.graph.edges.count() == 45 * 44 // 2 and whole.graph.nodes.count() == 45
+    assert run(Job(graph="sponsor_drug", max_left=3, max_right=5, max_citations=0), many).graph.edges.count() == 15
+
+
+def test_violations_of_a_graph_are_found(studies, monkeypatch):
+    """A damaged excerpt in a graph's citations does not pass."""
+    from tallyproof.plans import job as plans
+
+    honest = plans.quote
+    monkeypatch.setattr(plans, "quote", lambda *a: honest(*a).withColumn("excerpt", F.lit("something else")))
+    result = run(Job(graph="drug_drug"), studies)
+    assert result.violations.where("check = 'excerpt'").count() == result.citations.count() > 0
 
 
 @pytest.mark.parametrize("kind", ["drug_drug", "sponsor_drug"])
@@ -124,6 +159,6 @@ def test_graph(spark, studies, kind):
 
 
 def test_rejected_requests():
-    for wrong in ({"max_citations": 21}, {"group_by": "colour"}, {"compare": ["a"], "compare_kind": "phase"}):
+    for wrong in ({"max_citations": -1}, {"group_by": "colour"}, {"compare": ["a"], "compare_kind": "phase"}):
         with pytest.raises(ValueError):
             Job(**wrong)

@@ -93,8 +93,8 @@ def test_dates_scores_and_status_codes(spark):
 def test_title_and_rendering(spark):
     long = "x" * 159 + "   tail"
     row = spark.range(1).select(
-        X.clip_title(F.lit("x" * 400)).alias("a"),
-        X.clip_title(F.lit(long)).alias("b"),
+        X.clip_title(F.lit("x" * 400), 160).alias("a"),
+        X.clip_title(F.lit(long), 160).alias("b"),
         X.clip_title(F.lit(None).cast("string")).alias("c"),
         X.render_number("p", F.lit(0)).alias("zero"),
         X.render_number("p", F.lit(None).cast("int")).alias("no_number"),
