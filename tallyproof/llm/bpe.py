@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 #: Words in a generation of what a worker remembers; there are two.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 #: Words or pre-tokens that are encoded in one call.
 TOGETHER = 256

@@ -6,8 +6,8 @@ each different chunk once and keeps it, within a bounded number of bytes, for th
 are cut at any character, so the ids at a join may be wrong; they are repaired by encoding a window over
 the join again, as one text, with whole words on both sides. When the window's outer words come out with
 the ids that the chunks have for them, what lies between is right and replaces the chunks' ids; when not,
-the window is widened and encoded again, until both sides agree or the document ends. This is exact for
-tokenizers whose ids, beyond agreeing outer words, do not depend on what is further away.
+the window is widened and encoded again, and at last the whole document. This is exact for tokenizers
+whose ids, beyond agreeing outer words, do not depend on what is further away.
 
 Nothing is shuffled, and rows are handled in runs of about 2 MB of text. A lost task is run again without
 any effect on the others.
@@ -36,8 +36,9 @@ from tallyproof.llm.common import as_bytes, runs, text_of
 CUT_BITS = 9
 WINDOW = 32
 LEAST, MOST = 128, 4096
-#: Bytes of chunks that a worker keeps.
-KEPT_BYTES = 16 << 20
+#: Bytes of chunks that a worker keeps, and the outer words that it keeps of each.
+KEPT_BYTES = 4 << 20
+OUTER = 5
 
 _GEAR = np.random.default_rng(42).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -80,10 +81,15 @@ def cut(text: bytes) -> list[bytes]:
 
 @dataclass(slots=True)
 class Chunk:
-    """A chunk's words and the ids of each; its first and last word may be parts of longer ones."""
-
-    words: list[bytes]
-    ids: list[bytes]
+    """A chunk's ids, its number of words, and its outer words with the ids of each. The first and
+    the last word may be parts of longer ones."""
+
+    ids: bytes
+    n_words: int
+    first: list[bytes]
+    first_ids: list[bytes]
+    last: list[bytes]
+    last_ids: list[bytes]
     blank_first: bool
     blank_last: bool
 
@@ -95,7 +101,7 @@ class ChunkEncoder:
         self.words = words
         self.kept: OrderedDict[bytes, Chunk] = OrderedDict()
         self.bytes = 0
-        self.reused = self.encoded = 0
+        self.reused = self.encoded = self.whole = 0
 
     def chunk(self, data: bytes) -> Chunk:
         found = self.kept.get(data)
@@ -104,8 +110,11 @@ class ChunkEncoder:
             self.reused += 1
             return found
         words = data.split()
+        ids = self.words.ids_of_words(words)
         blank = b" \t\n\r\x0b\x0c"
-        found = Chunk(words, self.words.ids_of_words(words), data[0] in blank, data[-1] in blank)
+        found = Chunk(
+            b"".join(ids), len(words), words[:OUTER], ids[:OUTER], words[-OUTER:], ids[-OUTER:], data[0] in blank, data[-1] in blank
+        )
         self.encoded += 1
         self.kept[data] = found
         self.bytes += len(data)
@@ -115,41 +124,47 @@ class ChunkEncoder:
 
     def document(self, text: bytes) -> bytes:
         """The ids of a whole text."""
-        words: list[bytes] = []  # as far as joined
+        parts: list[bytes] = []
+        words: list[bytes] = []  # the last few, and their ids
         ids: list[bytes] = []
         open_end = False  # the last word may go on
         for data in cut(text):
             chunk = self.chunk(data)
-            if not (open_end and chunk.words and not chunk.blank_first):
-                words += chunk.words
-                ids += chunk.ids
-            else:
-                self.join(words, ids, chunk)
-            if chunk.words or chunk.blank_first:
-                open_end = bool(chunk.words) and not chunk.blank_last
-        return b"".join(ids)
-
-    def join(self, words: list[bytes], ids: list[bytes], chunk: Chunk) -> None:
-        """Append a chunk whose first word goes on with the last one, and repair the join."""
-        middle = words.pop() + chunk.words[0]
-        ids.pop()
+            if not chunk.n_words:
+                open_end = False
+                continue
+            rest, last, last_ids = chunk.ids, chunk.last, chunk.last_ids
+            if open_end and not chunk.blank_first:
+                middle = words[-1] + chunk.first[0]
+                repaired = self.join(words[:-1], ids[:-1], middle, chunk)
+                if repaired is None:
+                    self.whole += 1
+                    return self.words.ids(text)
+                if ids[-1]:  # the part of the word that was encoded before
+                    parts[-1] = parts[-1][: len(parts[-1]) - len(ids[-1])]
+                parts.append(repaired)
+                rest = rest[len(chunk.first_ids[0]) :]
+                words[-1], ids[-1] = middle, repaired
+                if chunk.n_words <= OUTER:
+                    last, last_ids = last[1:], last_ids[1:]
+            parts.append(rest)
+            if not rest:
+                parts.pop()
+            words, ids = (words + last)[-OUTER:], (ids + last_ids)[-OUTER:]
+            open_end = not chunk.blank_last
+        return b"".join(parts)
+
+    def join(self, words: list[bytes], ids: list[bytes], middle: bytes, chunk: Chunk) -> bytes | None:
+        """The ids of the word that goes over a join, from a window that agrees with the chunks on
+        both sides; None when no window up to ``OUTER`` words does."""
         reach = 1
-        while True:
-            before, after = words[-reach:] if words else [], chunk.words[1 : 1 + reach]
-            window = self.words.ids(b" ".join([*before, middle, *after]))
-            left = b"".join(ids[-len(before) :]) if before else b""
-            right = b"".join(chunk.ids[1 : 1 + reach])
-            agree = len(window) >= len(left) + len(right) and window.startswith(left) and window.endswith(right)
-            whole = reach >= len(words) and reach >= len(chunk.words) - 1
-            if agree or whole:
-                break
+        while reach < OUTER:
+            left, right = b"".join(ids[-reach:]), b"".join(chunk.first_ids[1 : 1 + reach])
+            window = self.words.ids(b" ".join([*words[-reach:], middle, *chunk.first[1 : 1 + reach]]))
+            if len(window) >= len(left) + len(right) and window.startswith(left) and window.endswith(right):
+                return window[len(left) : len(window) - len(right)]
             reach *= 2
-        if agree:
-            words += [middle, *chunk.words[1:]]
-            ids += [window[len(left) : len(window) - len(right)], *chunk.ids[1:]]
-        else:  # everything so far was encoded again, as one text
-            words[:] = [b" ".join([*words, middle, *chunk.words[1:]])]
-            ids[:] = [window]
+        return None
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -138,3 +138,15 @@ def test_shared_chunks_are_encoded_once():
     encoded = chunks.encoded
     chunks.document(text)
     assert chunks.encoded == encoded and chunks.reused >= encoded
+
+
+def test_disagreeing_windows_fall_back_to_the_whole_text(tokenizer, monkeypatch):
+    with open(bpe.default_path(), encoding="utf-8") as file:
+        words = bpe.Encoder(file.read())
+    chunks = bpe_chunks.ChunkEncoder(words)
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdef", k=9)) for _ in range(900)).encode()
+    want = chunks.document(text)
+    assert want == words.ids(text) and chunks.whole == 0
+    monkeypatch.setattr(bpe_chunks.ChunkEncoder, "join", lambda *_: None)
+    assert chunks.document(text) == want and chunks.whole == 1
