@@ -550,13 +550,18 @@ def job_graph_all(spark, sf):
 
 @query(
     f"""
-    with {star.LISTS_SQL}, names as (select distinct key as name from agents)
-    select count(*) as names, count(*) as resolved, cast(0 as bigint) as unresolved,
+    with {star.LISTS_SQL},
+    names as (
+      select distinct key as name, not regexp_full_match(key, '[a-z]{{1,4}}[0-9]{{3,}}') as single from agents
+    )
+    select count(*) as names, count(*) filter (where single) as resolved,
+           count(*) filter (where not single) as unresolved,
            cast(0 as bigint) as merged, cast(0 as bigint) as violations from names
     """
 )
 def job_graph_resolved(spark, sf):
-    """Every name of a graph job is looked up, however many there are, and all checks run."""
+    """Every name of a graph job is looked up, however many there are, and all checks run. Short names
+    with numbers are research codes, which are no single agents."""
     parts = star.table(spark, sf, "part").select(star.agent_name().alias("name")).distinct()
     key = X.normalize_name(F.col("name"))
     candidates = parts.select(

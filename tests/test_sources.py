@@ -76,12 +76,11 @@ def test_first_writer_wins(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_cap(spark, monkeypatch):
+def test_cap(spark):
     df = spark.range(100).select(F.col("id").alias("pos")).repartition(5)
     expected = list(range(7))
     assert sorted(v for (v,) in values(P.capped(df, ["pos"], 7), "pos")) == expected
-    monkeypatch.setattr(P, "ORDERED_LIMIT_ROWS", 3)
-    assert sorted(v for (v,) in values(P.capped(df, ["pos"], 7), "pos")) == expected
+    assert P.capped(df, ["pos"], 0).count() == 0
 
 
 def test_cap_is_shared_by_distinct_ids(spark):
@@ -167,7 +166,7 @@ def test_stream_keeps_the_first_arrival(spark, tmp_path):
         query = ingest(spark, str(pages), table, state)
         query.awaitTermination(120)
         assert query.exception() is None
-        return sorted(values(spark.read.parquet(table), "entity_id", "protocolSection.identificationModule.briefTitle"))
+        return sorted(values(spark.read.parquet(f"{table}/studies"), "entity_id", "protocolSection.identificationModule.briefTitle"))
 
     write_pages(pages, [record(1, title="first"), record("BAD")], [record(1, title="again"), record(2, title="first")])
     expected = [("NCT00000001", "first"), ("NCT00000002", "first")]
@@ -175,3 +174,51 @@ def test_stream_keeps_the_first_arrival(spark, tmp_path):
     write_pages(pages, [record(2, title="late"), record(3, title="new", interventions=drugs("A"))], searchNo=1)
     assert run() == [*expected, ("NCT00000003", "new")]
     assert run() == [*expected, ("NCT00000003", "new")]
+
+
+def test_stream_keeps_what_it_does_not_store(spark, tmp_path):
+    """Malformed pages, refused ids and series of studies that were stored before."""
+    pages, table, state = tmp_path / "pages", str(tmp_path / "table"), str(tmp_path / "state")
+
+    def run(**options):
+        query = ingest(spark, str(pages), table, state, **options)
+        query.awaitTermination(120)
+        return query.exception()
+
+    def stored(name, *columns):
+        return sorted(values(spark.read.parquet(f"{table}/{name}"), *columns), key=repr)
+
+    write_pages(pages, [record(1), record("BAD"), record(2)], series="A")
+    (pages / "broken.json").write_text("not json")
+    (pages / "wrong.json").write_text('{"studies": "none"}')
+    assert run() is None
+    assert stored("refused", "entity_id", "page_no") == [("BAD", 0)]
+    assert [s.rsplit("/", 1)[1] for (s,) in stored("malformed", "source")] == ["broken.json", "wrong.json"]
+    write_pages(pages, [record(1), record("WORSE"), record(3)], series="B", searchNo=1)
+    assert run() is None
+    assert stored("studies", "entity_id") == [("NCT00000001",), ("NCT00000002",), ("NCT00000003",)]
+    assert stored("refused", "entity_id") == [("BAD",), ("WORSE",)]
+    assert stored("membership", "series", "entity_id") == [
+        ("A", "NCT00000001"),
+        ("A", "NCT00000002"),
+        ("B", "NCT00000001"),
+        ("B", "NCT00000003"),
+    ]
+    write_pages(pages, [record(4), record("WORST")], series="B", searchNo=2)
+    assert "1 malformed pages or refused rows" in str(run(strict=True))
+    assert ("NCT00000004",) not in stored("studies", "entity_id")
+    assert run() is None  # the batch was not lost
+    assert ("NCT00000004",) in stored("studies", "entity_id")
+
+
+def test_a_batch_can_run_again(spark, tmp_path):
+    from tallyproof.streaming.ingest import append_new
+
+    folder, table = tmp_path / "p", str(tmp_path / "t")
+    write_pages(folder, [record(1), record(2)], series="A")
+    pages = P.read_pages(spark, str(folder))
+    for batch in (0, 0, 1, 1):
+        append_new(pages, table, batch)
+    assert spark.read.parquet(f"{table}/studies").count() == 2
+    assert spark.read.parquet(f"{table}/membership").count() == 2
+    assert spark.read.parquet(f"{table}/ids").count() == 4
