@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 #: Words in a generation of what a worker remembers; there are two.
 REMEMBERED = 120_000
 
-#: Words or pre-tokens that are encoded in one call.
+#: Pre-tokens that are encoded in one call.
 TOGETHER = 256
 #: Blanks, visible ASCII, Latin letters and signs, common punctuation: lower-casing and character classes
 #: are the same in every Unicode version, and composition changes nothing. U+0130 lower-cases to two.
@@ -110,9 +110,10 @@ class Encoder:
 
     def __init__(self, text: str):
         self.tokenizer = load(text)
-        self.recent = Recent(self._encode)
+        self.recent, self.pieces = Recent(self._encode), Recent(self._encode_pieces)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pattern, self.last, self.special = splitting(self.tokenizer, text)
+        pattern, self.last, self.special = splitting(self.tokenizer, text)
+        self.lines = regex.compile(rf"{pattern.pattern}|\n")
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
     def ids(self, text: bytes) -> bytes:
@@ -121,24 +122,41 @@ class Encoder:
         return np.array(found, dtype="<u4").tobytes()
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of words not met before, many in one call: the vocabulary marks the last token of a
-        pre-token, so with the number of its pre-tokens a word's ids can be told from the next one's."""
+        """The ids of words not met before, from those of their pre-tokens, which many words share."""
+        text = b"\n".join(words).decode()
+        if self.last is None or b"" in words or self.special.search(text) or not SAFE.fullmatch(text):
+            return self._one_by_one([w.decode() for w in words])
+        pieces = self.lines.findall(text.lower())
+        ids = self.pieces.of([p for p in pieces if p != "\n"])
+        result, at, start = [], 0, 0
+        for piece in pieces:
+            if piece == "\n":
+                result.append(b"".join(ids[start:at]))
+                start = at
+            else:
+                at += 1
+        result.append(b"".join(ids[start:]))
+        return result
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, many in one call: the vocabulary marks the last token of each."""
         result: list[bytes] = []
-        for at in range(0, len(words), TOGETHER):
-            some = [w.decode() for w in words[at : at + TOGETHER]]
-            if self.last is not None and all(map(SAFE.fullmatch, some)):
-                pieces = np.cumsum([len(self.pattern.findall(w.lower())) for w in some])
-                joined = " ".join(some)
-                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-                ends = np.flatnonzero(self.last[ids]) + 1
-                if len(ends) == pieces[-1] and ends[-1] == len(ids) and not self.special.search(joined):
-                    cuts = np.concatenate(([0], ends))[np.concatenate(([0], pieces))].tolist()
-                    result += [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
-                    continue
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            result += [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(found, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                result += [raw[x:y] for x, y in zip([0, *cuts], cuts)]
+            else:
+                result += self._one_by_one(some)
         return result
 
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
+
     def ids_of_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word."""
         return self.recent.of(words)
