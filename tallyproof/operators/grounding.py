@@ -1,13 +1,14 @@
 """Grounding: which candidate names really occur in which texts.
 
-Texts and candidates meet in an equi-join on token n-grams, never by comparing all with all. Only
-ids and 64-bit hashes of n-grams are shuffled; the texts themselves are joined back for the few
-pairs that met.
+Texts and candidates meet in an equi-join on token n-grams, never by comparing all with all. While
+the candidates are few enough, by their bytes, to be broadcast, a pair is verified in the row of its
+text and no text moves. Beyond that, ids and 64-bit hashes of n-grams are shuffled, and the texts are
+joined back for the pairs that met.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,6 +23,11 @@ from tallyproof.session import durable
 ANCHOR_TOKENS = 8
 
 
+#: Names are broadcast when they, with some bytes for each row, take no more than this.
+BROADCAST_BYTES = 8 << 20
+_ROW_BYTES = 64
+
+
 def tokens(text: Column) -> Column:
     """Lower-case Latin words and numbers."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -74,7 +80,10 @@ def _anchored(names: DataFrame, anchor: int) -> DataFrame:
 
 
 def exact_matches(
-    texts: DataFrame, candidates: DataFrame, anchor: int = ANCHOR_TOKENS
+    texts: DataFrame,
+    candidates: DataFrame,
+    anchor: int = ANCHOR_TOKENS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(text_id, candidate_id)`` where the candidate occurs in the text between non-word
     characters, any case. ``texts(text_id, text)``, ``candidates(candidate_id, candidate)``.
@@ -88,12 +97,16 @@ def exact_matches(
     grams = [_runs(words, n, F.xxhash64) for n in _distinct_numbers(F.col("_n"), names)]
     if not grams:
         grams = [F.array().cast("array<bigint>")]
-    met = (
-        texts.select("text_id", _words(F.lower("text")).alias("_words"))
-        .select("text_id", F.explode(F.array_distinct(F.concat(*grams))).alias("_gram"))
-        .join(names.select("_gram", "name"), "_gram")
-        .select("text_id", "name")
-    )
+    grams_of = F.explode(F.array_distinct(F.concat(*grams))).alias("_gram")
+    lowered = texts.select("text_id", F.lower("text").alias("_text"))
+    looked_up = names.select("_gram", "name")
+    size = F.coalesce(F.sum(F.octet_length("name") + _ROW_BYTES), F.lit(0))
+    if looked_up.agg(size).first()[0] <= broadcast_bytes:
+        runs = lowered.select("text_id", "_text", _words(F.col("_text")).alias("_words"))
+        met = runs.select("text_id", "_text", grams_of).join(F.broadcast(looked_up), "_gram")
+    else:
+        runs = lowered.select("text_id", _words(F.col("_text")).alias("_words"))
+        met = runs.select("text_id", grams_of).join(looked_up, "_gram").join(lowered, "text_id")
     # \Q..\E takes the candidate literally.
     literal = F.concat(
         F.lit(r"(?U)(?<!\w)\Q"),
@@ -101,8 +114,7 @@ def exact_matches(
         F.lit(r"\E(?!\w)"),
     )
     return (
-        met.join(texts.select("text_id", F.lower("text").alias("_text")), "text_id")
-        .where(F.contains("_text", "name") & F.rlike(F.col("_text"), literal))
+        met.where(F.contains("_text", "name") & F.rlike(F.col("_text"), literal))
         .select("text_id", "name")
         .join(wanted, "name")
         .select("text_id", "candidate_id")
@@ -110,7 +122,10 @@ def exact_matches(
 
 
 def similarity() -> Column:
-    """Ratcliff-Obershelp ratio of two strings, as a vectorised function."""
+    """Ratcliff-Obershelp ratio of two strings, as a vectorised function.
+
+    Marked as not deterministic, so that the optimizer leaves it above the removal of repeated pairs.
+    """
 
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -119,7 +134,7 @@ def similarity() -> Column:
             dtype="float64",
         )
 
-    return ratio
+    return ratio.asNondeterministic()
 
 
 def _trigrams(text: Column) -> Column:
@@ -130,9 +145,11 @@ def _trigrams(text: Column) -> Column:
     )
 
 
-def inflected_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+def inflected_matches(
+    texts: DataFrame, candidates: DataFrame, shortest: int = V.MIN_FUZZY_LENGTH
+) -> DataFrame:
     """``(text_id, candidate_id)`` where some run of as many tokens as the candidate has is at
-    least 0.87 similar to it, both of six or more characters.
+    least 0.87 similar to it, both of ``shortest`` or more characters.
 
     Equal runs are compared once, whatever texts they stand in. Pairs are found through shared
     3-grams. With similarity 2M/T >= 0.87 for M matching of T characters, the matching blocks
@@ -140,7 +157,6 @@ def inflected_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     3-gram positions are shared, T >= 1.769 times the candidate's length. It is enough to look
     up all of its 3-grams but that many less one, and the commonest are the ones left out.
     """
-    shortest = V.MIN_FUZZY_LENGTH
     name = F.concat_ws(" ", "_words")
     wanted = (
         candidates.select("candidate_id", tokens(F.col("candidate")).alias("_words"))
@@ -149,26 +165,27 @@ def inflected_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     names = durable(wanted.select("name", "_n").distinct())
     words = F.col("_words")
-
-    def entry(n: int):
-        return lambda run: F.struct(F.concat_ws(" ", run).alias("run"), F.lit(n).alias("_n"))
-
-    # One row per number of tokens among the names: how long a run of so many can usefully be.
+    # How long a run of so many tokens can usefully be: one row for each number of tokens among the
+    # names, and one constant for all of them.
     length = F.length("name")
-    spans = names.groupBy("_n").agg(F.min(length).alias("low"), F.max(length).alias("high")).collect()
-    runs_of = [_runs(words, s["_n"], entry(s["_n"])) for s in spans]
-    if not runs_of:
-        runs_of = [F.array().cast("array<struct<run:string,_n:int>>")]
-    fits = F.lit(False)
-    for s in spans:
-        span = F.length("run").between(
-            F.lit(max(shortest, math.floor(s["low"] * 0.769))), F.lit(math.ceil(s["high"] * 1.3))
+    spans = names.groupBy("_n").agg(
+        F.greatest(F.lit(shortest), F.floor(F.min(length) * 0.769)).cast("int").alias("low"),
+        F.ceil(F.max(length) * 1.3).cast("int").alias("high"),
+    )
+    listed = json.dumps([row.asDict() for row in spans.orderBy("_n").collect()])
+    wanted_runs = F.from_json(F.lit(listed), "array<struct<_n:int,low:int,high:int>>")
+
+    def runs_of(span: Column) -> Column:
+        last = F.size(words) - span["_n"] + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        found = F.transform(
+            starts, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, span["_n"])).alias("run"), span["_n"].alias("_n"))
         )
-        fits = fits | ((F.col("_n") == s["_n"]) & span)
+        return F.filter(found, lambda r: F.length(r["run"]).between(span["low"], span["high"]))
+
     runs = (
         texts.select("text_id", tokens(F.col("text")).alias("_words"))
-        .select("text_id", F.inline(F.array_distinct(F.concat(*runs_of))))
-        .where(fits)
+        .select("text_id", F.inline(F.array_distinct(F.flatten(F.transform(wanted_runs, runs_of)))))
     )
     vocabulary = durable(runs.select("run", "_n").distinct())
     run_grams = vocabulary.select("run", "_n", F.explode(_trigrams(F.col("run"))).alias("gram"))

@@ -204,95 +204,55 @@ def bucket_totals(
     )
 
 
-def _report_row(**changed: Column) -> Column:
-    """A report row as a struct, with some columns replaced."""
-    names = ["series", "raw_key", "key", "value", "is_unknown"]
-    return F.struct(*[changed.get(name, F.col(name)).alias(name) for name in names])
-
-
 def zero_fill_series(rows: DataFrame, promised: list[str]) -> DataFrame:
     """Append zero rows for promised series that have no row at all, over the keys shown.
 
     Series with only some keys missing are left alone. The zero rows follow all others, series by
-    series in the promised order, keys in display order. The first row of each key brings them
-    along, so the report is read once.
+    series in the promised order, keys in display order. Which series are absent, at most as many
+    as were promised, and the number of rows come to the driver; the zero rows are numbered by a
+    distributed sort.
     """
-    whole = Window.partitionBy()
-    first = F.row_number().over(Window.partitionBy("key").orderBy("position")) == 1
-    absent = F.array_except(
-        F.array(*[F.lit(s) for s in promised]), F.collect_set("series").over(whole)
+    shown = rows.where(F.col("series").isin(promised)).select("series").distinct()
+    present = {r.series for r in shown.collect()}
+    absent = [s for s in promised if s not in present]
+    if not absent:
+        return rows
+    facts = ["raw_key", "is_unknown"]
+    keys = rows.groupBy("key").agg(
+        F.min("position").alias("_first"), *[F.min_by(c, "position").alias(c) for c in facts]
     )
-    zeros = F.transform(F.col("_absent"), lambda s: _placed(s, promised))
-    none = F.slice(zeros, 1, 0)
-    marked = rows.withColumn("_absent", absent).withColumn("_is_first", first)
-    filled = marked.select(
-        "position",
-        F.inline(
-            F.concat(
-                F.array(F.struct(F.lit(0).alias("_nth"), _report_row().alias("_row"))),
-                F.when(F.col("_is_first"), zeros).otherwise(none),
-            )
-        ),
+    series = F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(s).alias("series")) for i, s in enumerate(absent)]))
+    zeros = keys.select("*", series.alias("_s")).select(
+        "key", *facts, F.col("_s.series").alias("series"), F.lit(0).cast("bigint").alias("value"), "_first", F.col("_s.nth").alias("_nth")
     )
-    return number_report_rows(
-        filled.select(F.col("position").alias("_first"), "_nth", "_row.*"), F.col("_nth"), F.col("_first")
-    ).select(*rows.columns)
-
-
-def _placed(series: Column, promised: list[str]) -> Column:
-    """Zero row of a series, with the place of the series in the promised order."""
-    nth = F.array_position(F.array(*[F.lit(s) for s in promised]), series).cast("int")
-    zero = _report_row(series=series, value=F.lit(0).cast("bigint"))
-    return F.struct(nth.alias("_nth"), zero.alias("_row"))
+    numbered = number_rows(zeros, F.col("_nth"), F.col("_first"), name="_after")
+    placed = numbered.withColumn("position", F.col("_after") + F.lit(rows.count()))
+    return rows.unionByName(placed.select(*rows.columns))
 
 
 def zero_fill_years(
-    rows: DataFrame, start: int | None = None, end: int | None = None
+    rows: DataFrame, start: int | None = None, end: int | None = None, max_years: int | None = None
 ) -> DataFrame:
     """Insert zero rows for the years of the axis that nothing falls into.
 
     The axis runs over the given bounds, else over what was observed. With fewer than two dated
-    rows both bounds are needed. A reversed or longer than 120-year axis is refused, and the
-    rows come back unchanged. The missing years of a series come along with its first row, so the
-    report is read once.
+    rows both bounds are needed. A reversed axis, or one longer than ``max_years``, is refused, and
+    the rows come back unchanged. The axis comes to the driver; the rows do not.
     """
     year = F.when(F.col("key").rlike("^[0-9]+$"), F.col("key").try_cast("int"))
-    whole, one_series = Window.partitionBy(), Window.partitionBy("series")
-    low = F.coalesce(F.lit(start), F.min("_year").over(whole))
-    high = F.coalesce(F.lit(end), F.max("_year").over(whole))
+    dated = rows.withColumn("_year", year)
+    first, last, n = dated.agg(F.min("_year"), F.max("_year"), F.count("_year")).first()
+    low, high = first if start is None else start, last if end is None else end
     needed = 1 if start is not None and end is not None else 2
-    fillable = (
-        (F.count("_year").over(whole) >= needed)
-        & (high >= low)
-        & (high - low + 1 <= V.MAX_FILLED_YEARS)
-    )
-    first = F.row_number().over(one_series.orderBy("position")) == 1
-    marked = rows.withColumn("_year", year).select(
-        "*",
-        fillable.alias("_fillable"),
-        F.when(fillable, F.sequence(low, high)).alias("_axis"),
-        F.collect_set("_year").over(one_series).alias("_observed"),
-        first.alias("_is_first"),
-    )
-
-    def zero(missing: Column) -> Column:
-        text = missing.cast("string")
-        row = _report_row(
-            raw_key=text, key=text, value=F.lit(0).cast("bigint"), is_unknown=F.lit(False)
-        )
-        return F.struct(missing.alias("_at"), row.alias("_row"))
-
-    zeros = F.transform(F.array_except("_axis", "_observed"), zero)
-    itself = F.array(F.struct(F.col("_year").alias("_at"), _report_row().alias("_row")))
-    fill = F.col("_fillable") & F.col("_is_first")
-    filled = marked.select(
-        F.when(F.col("_fillable"), F.lit(0)).otherwise(F.col("position")).alias("_unchanged"),
-        F.inline(F.when(fill, F.concat(itself, zeros)).otherwise(itself)),
-    )
-    return number_report_rows(
-        filled.select("_unchanged", "_at", "_row.*"),
-        F.col("_unchanged"),
-        F.col("_at").isNull(),
-        F.col("_at"),
-        F.coalesce("series", F.lit("")),
-    ).select(*rows.columns)
+    if n < needed or high < low or (max_years is not None and high - low + 1 > max_years):
+        return rows
+    axis = F.sequence(F.lit(low), F.lit(high))
+    missing = dated.groupBy("series").agg(F.array_except(axis, F.collect_set("_year")).alias("_missing"))
+    text = F.col("_year").cast("string")
+    zeros = missing.select("series", F.explode("_missing").alias("_year")).select(
+        "series", "_year", text.alias("raw_key"), text.alias("key"),
+        F.lit(0).cast("bigint").alias("value"), F.lit(False).alias("is_unknown"),
+    )
+    filled = dated.drop("position").unionByName(zeros)
+    order = [F.col("_year").isNull(), F.col("_year"), F.coalesce("series", F.lit(""))]
+    return number_rows(filled, *order).select(*rows.columns)

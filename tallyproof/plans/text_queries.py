@@ -238,16 +238,35 @@ def text_dropped(spark, sf):
     return grounding.dropped(passages, matches).select("candidate_id")
 
 
-@query()
+@query(
+    """
+    select doc_id as text_id, item_id as candidate_id
+    from documents join benchmark on item_id = doc_id % 40 where doc_id % 4 < 3
+    """
+)
 def text_inflected(spark, sf):
-    """Part names in line-item texts that only have their plural, or another spelling."""
-    parts = star.table(spark, sf, "part").select("p_partkey", "p_name")
-    lines = star.table(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    texts = lines.select(
-        (F.col("l_orderkey") * 1000 + F.col("l_partkey")).alias("text_id"),
-        F.concat(F.lit("Supplied "), F.col("p_name"), F.lit("s, flag "), F.col("l_returnflag")).alias(
-            "text"
-        ),
+    """Item names written into every document: as they are, in the plural, with one character
+    changed, and with three changed, which is too little like the name."""
+    digest = F.md5(F.concat(F.lit("item"), F.col("item_id").cast("string")).cast("binary"))
+    name = F.concat(F.substring(digest, 1, 7), F.lit(" "), F.substring(digest, 8, 8))
+    items = star.table(spark, sf, "benchmark").select("item_id", name.alias("name"))
+
+    def changed(*places):
+        text = F.col("name")
+        for place in places:
+            text = F.overlay(text, F.lit("q"), F.lit(place))
+        return text
+
+    written = (
+        F.when(F.col("doc_id") % 4 == 0, F.col("name"))
+        .when(F.col("doc_id") % 4 == 1, F.concat("name", F.lit("s")))
+        .when(F.col("doc_id") % 4 == 2, changed(5))
+        .otherwise(changed(3, 10, 14))
+    )
+    documents = star.table(spark, sf, "documents").join(items, F.col("doc_id") % 40 == F.col("item_id"), "left")
+    texts = documents.select(
+        F.col("doc_id").alias("text_id"),
+        F.concat(F.col("text"), F.lit("\nSupplied "), F.coalesce(written, F.lit("")), F.lit(", in full.")).alias("text"),
     )
-    candidates = parts.select(F.col("p_name").alias("candidate_id"), F.col("p_name").alias("candidate"))
-    return grounding.inflected_matches(texts, candidates.distinct())
+    candidates = items.select(F.col("item_id").alias("candidate_id"), F.col("name").alias("candidate"))
+    return grounding.inflected_matches(texts, candidates)

@@ -156,7 +156,7 @@ YEARS = [
 def test_year_fill(studies_of, observed, start, end, expected):
     records = [record(i + 1, start=str(y)) for i, y in enumerate(observed)] + [record(50, start=None)]
     rows = report(studies_of(records), "start_year", include_unknown=False)
-    filled = measure.zero_fill_years(rows, start, end)
+    filled = measure.zero_fill_years(rows, start, end, 120)
     assert in_order(filled, "key", "value") == [(str(y), n) for y, n in expected]
 
 

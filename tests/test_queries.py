@@ -25,13 +25,5 @@ def test_query(spark, connection, name):
     spark.catalog.clearCache()
 
 
-def test_inflected_names_are_all_found(spark):
-    """Each line's text has the plural of its own part name."""
-    found = entry.queries()["text_inflected"](spark, SF)
-    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
-    texts = found.select("text_id").distinct().count()
-    assert texts == lines.count()
-
-
 def test_entry(spark):
     assert 0 < entry.entry(spark).count() <= 20
