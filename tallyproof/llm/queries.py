@@ -13,7 +13,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+_QUALITY_SQL = r"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+words as (
+  select doc_id, unnest(list) as word, generate_subscripts(list, 1) as place
+  from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as list from texts)
+),
+windows as (
+  select *, lead(word, 1) over w as second, lead(word, 2) over w as third from words
+  window w as (partition by doc_id order by place)
+),
+found as (
+  select *, third is not null and count(*) over (partition by doc_id, word, second, third) > 1 as again from windows
+),
+covered as (
+  select doc_id, again or coalesce(lag(again, 1) over w, false) or coalesce(lag(again, 2) over w, false) as inside
+  from found window w as (partition by doc_id order by place)
+),
+repeats as (
+  select doc_id, count(*) as n_words, count(*) filter (where inside) as n_repeat_words from covered group by 1
+),
+lines as (
+  select doc_id, unnest(list) as line, generate_subscripts(list, 1) as place
+  from (select doc_id, string_split(text, chr(10)) as list from texts)
+),
+counted as (
+  select doc_id, line, place, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as list,
+         strlen(line) as bytes,
+         strlen(line) - strlen(regexp_replace(line, '[#*$%&|<>{}~^\\]', '', 'g')) as symbols,
+         strlen(line) - strlen(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) as blanks,
+         strlen(line) - strlen(replace(line, '!', '')) as marks,
+         len(regexp_extract_all(line, '[A-Za-z]')) as ascii_letters, len(regexp_extract_all(line, '[A-Z]')) as ascii_capitals,
+         len(regexp_extract_all(line, '\p{L}')) as all_letters, len(regexp_extract_all(line, '\p{Lu}')) as all_capitals,
+         len(regexp_extract_all(line, '[|»›•·]'))
+           + len([x for x in string_split_regex(line, '\s') if x = '>' or x = '/']) as separators
+  from lines
+),
+sized as (
+  select *, len(list) as n, 2 * ascii_letters < bytes and bytes > length(line) as foreign_letters from counted where len(list) > 0
+),
+judged as (
+  select doc_id, place, line, n,
+         separators >= greatest(3, 0.2 * n)
+         or symbols > greatest(4, 0.1 * (bytes - blanks))
+         or marks > greatest(3, 0.25 * n)
+         or n > 3 and case when foreign_letters then all_letters >= 20 and all_capitals > 0.7 * all_letters
+                           else ascii_letters >= 20 and ascii_capitals > 0.7 * ascii_letters end
+         or n >= 20 and list_unique(list) < 0.2 * n
+         or n >= 20 and not regexp_matches(line, '[.,;:!?…。、！？]')
+         or n <= 40 and regexp_matches(lower(line), 'javascript|cookie|lorem ipsum|all rights reserved|terms of use|terms of service|privacy policy|subscribe to|sign up for|log in to|skip to content|powered by|licensed under|spdx-license')
+           as failed,
+         row_number() over (partition by doc_id, line order by place) > 1 as dup
+  from sized
+),
+lost as (
+  select doc_id, sum(n) filter (where failed) as lost_words, count(*) filter (where failed) as failed_lines,
+         count(*) filter (where dup) as n_dup_lines
+  from judged group by 1
+),
+facts as (
+  select doc_id, coalesce(n_words, 0) as n_words,
+         length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')) as word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+         cast(coalesce(lost_words, 0) as bigint) as lost_words, coalesce(failed_lines, 0) as failed_lines
+  from texts left join repeats using (doc_id) left join lost using (doc_id)
+),
+based as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from facts)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and lost_words <= 0.3 * n_words as kept, lost_words, failed_lines
+from based
+"""
+
+
+@query(_QUALITY_SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 

@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+from compare import connect, difference
 from pyspark.sql import functions as F
 
-from tallyproof.llm import queries, quality_rules
+from tallyproof.llm import quality_rules, queries
+from tallyproof.llm.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
 SENTENCE = "Many readers enjoy long stories about ships, storms and distant islands. "
@@ -40,6 +42,11 @@ def test_query_counts_equal_brute_force(spark):
         assert not (row.base_failed and row.kept)
 
 
+def test_query_equals_sql(spark):
+    name = "op1_quality_rules"
+    assert difference(queries.QUERIES[name](spark, SF), connect(SF), ORACLES[name]) is None
+
+
 def test_labelled_documents(spark):
     """Documents labelled good are kept unless a base rule rejects them; bad ones are not."""
     rows = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").join(
