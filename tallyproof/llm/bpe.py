@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 #: Words in a generation of what a worker remembers; there are two.
-REMEMBERED = 120_000
+REMEMBERED = 180_000
 
 #: Pre-tokens that are encoded in one call.
 TOGETHER = 256
@@ -161,6 +161,13 @@ class Encoder:
         """The ids of each word."""
         return self.recent.of(words)
 
+    def ids_of_texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, from those of its words."""
+        words = [text.split() for text in texts]
+        ids = self.ids_of_words([w for some in words for w in some])
+        ends = np.cumsum([0, *map(len, words)]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+
     def decode(self, ids: bytes) -> bytes:
         """What the library's ``decode(ids, skip_special_tokens=False)`` gives for a tokenizer
         without a decoder: the tokens, joined by spaces."""

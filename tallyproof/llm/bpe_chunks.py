@@ -103,33 +103,47 @@ class ChunkEncoder:
         self.bytes = 0
         self.reused = self.encoded = self.whole = 0
 
-    def chunk(self, data: bytes) -> Chunk:
-        found = self.kept.get(data)
-        if found is not None:
-            self.kept.move_to_end(data)
-            self.reused += 1
-            return found
-        words = data.split()
-        ids = self.words.ids_of_words(words)
-        blank = b" \t\n\r\x0b\x0c"
-        found = Chunk(
-            b"".join(ids), len(words), words[:OUTER], ids[:OUTER], words[-OUTER:], ids[-OUTER:], data[0] in blank, data[-1] in blank
-        )
-        self.encoded += 1
-        self.kept[data] = found
-        self.bytes += len(data)
+    def prepare(self, pieces: list[bytes]) -> dict[bytes, Chunk]:
+        """The chunks of some texts: those that are kept, and the others encoded together."""
+        found, new = {}, []
+        for data in dict.fromkeys(pieces):
+            if data in self.kept:
+                self.kept.move_to_end(data)
+                found[data] = self.kept[data]
+            else:
+                new.append(data)
+        words = [data.split() for data in new]
+        ids = self.words.ids_of_words([w for some in words for w in some])
+        at, blank = 0, b" \t\n\r\x0b\x0c"
+        for data, some in zip(new, words):
+            own = ids[at : at + len(some)]
+            at += len(some)
+            found[data] = self.kept[data] = Chunk(
+                b"".join(own), len(some), some[:OUTER], own[:OUTER], some[-OUTER:], own[-OUTER:], data[0] in blank, data[-1] in blank
+            )
+            self.bytes += len(data)
         while self.bytes > KEPT_BYTES:
             self.bytes -= len(self.kept.popitem(last=False)[0])
+        self.encoded += len(new)
+        self.reused += len(pieces) - len(new)
         return found
 
+    def documents(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        cuts = [cut(text) for text in texts]
+        chunks = self.prepare([data for pieces in cuts for data in pieces])
+        return [self.assemble(text, [chunks[data] for data in pieces]) for text, pieces in zip(texts, cuts)]
+
     def document(self, text: bytes) -> bytes:
-        """The ids of a whole text."""
+        return self.documents([text])[0]
+
+    def assemble(self, text: bytes, chunks: list[Chunk]) -> bytes:
+        """The ids of a text from its chunks, with repaired joins."""
         parts: list[bytes] = []
         words: list[bytes] = []  # the last few, and their ids
         ids: list[bytes] = []
         open_end = False  # the last word may go on
-        for data in cut(text):
-            chunk = self.chunk(data)
+        for chunk in chunks:
             if not chunk.n_words:
                 open_end = False
                 continue
@@ -187,7 +201,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunk_encoder(shared)
         for rows in runs(batches, "_text"):
-            ids = [chunks.document(t) for t in as_bytes(rows.column(1))]
+            ids = chunks.documents(as_bytes(rows.column(1)))
             arrays = [rows.column(0), pa.array(ids, pa.binary())]
             if decoded:
                 arrays.append(pa.array([chunks.words.decode(x).decode() for x in ids], pa.string()))

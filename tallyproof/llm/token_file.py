@@ -62,10 +62,8 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str | None, end_i
         width = _width(len(words.tokens))
         end = np.array([end_id], width).tobytes()
         for rows in runs(batches, "_text"):
-            found = []
-            for text in as_bytes(rows.column(1)):
-                ids = b"".join(words.ids_of_words(text.split()))
-                found.append(np.frombuffer(ids, "<u4").astype(width).tobytes() + end)
+            ids = words.ids_of_texts(as_bytes(rows.column(1)))
+            found = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in ids]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], ["doc", "ids"])
 
     wanted = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(text_col).alias("_text"))
