@@ -185,21 +185,25 @@ def inflected_matches(
 
     runs = (
         texts.select("text_id", tokens(F.col("text")).alias("_words"))
-        .select("text_id", F.inline(F.array_distinct(F.flatten(F.transform(wanted_runs, runs_of)))))
+        .select("text_id", F.inline(F.flatten(F.transform(wanted_runs, runs_of))))
     )
     vocabulary = durable(runs.select("run", "_n").distinct())
-    run_grams = vocabulary.select("run", "_n", F.explode(_trigrams(F.col("run"))).alias("gram"))
-    frequency = run_grams.groupBy("gram").agg(F.count("*").alias("_f"))
+    places = F.sequence(F.lit(1), F.length("name") - 2)
     positions = names.select(
         "name",
         "_n",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("name") - 2),
-                lambda i: F.substring(F.col("name"), i, F.lit(3)),
-            )
-        ).alias("_at", "gram"),
-    ).join(frequency, "gram")
+        F.posexplode(F.transform(places, lambda i: F.substring(F.col("name"), i, F.lit(3)))).alias("_at", "gram"),
+    )
+    # Only 3-grams of names are of use; the others are gone before anything is shuffled.
+    useful = positions.select("gram").distinct()
+    size = names.agg(F.coalesce(F.sum(F.octet_length("name") * _ROW_BYTES), F.lit(0))).first()[0]
+    run_grams = durable(
+        vocabulary.select("run", "_n", F.explode(_trigrams(F.col("run"))).alias("gram")).join(
+            F.broadcast(useful) if size <= BROADCAST_BYTES else useful, "gram", "left_semi"
+        )
+    )
+    frequency = run_grams.groupBy("gram").agg(F.count("*").alias("_f"))
+    positions = positions.join(frequency, "gram")
     least = F.greatest(F.ceil(F.lit(0.175 * 1.769) * F.length("name") - 2), F.lit(1))
     common_first = Window.partitionBy("name", "_n").orderBy(F.desc("_f"), "_at")
     looked_up = (
