@@ -90,8 +90,9 @@ class Recent:
     def of(self, words: list) -> list:
         """The result of each word; those not remembered are made in one call."""
         found = list(map(self.young.get, words))
-        if None in found:
-            missing = {w for w, x in zip(words, found) if x is None}
+        places = [at for at, x in enumerate(found) if x is None]
+        if places:
+            missing = {words[at] for at in places}
             if len(self.young) + len(missing) > REMEMBERED:
                 self.old, self.young = self.young, {}
             old = self.old
@@ -100,7 +101,8 @@ class Recent:
             if new:
                 results.update(zip(new, self.make(new)))
             self.young.update(results)
-            found = [results[w] if x is None else x for w, x in zip(words, found)]
+            for at in places:
+                found[at] = results[words[at]]
         return found
 
 
