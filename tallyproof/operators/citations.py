@@ -29,8 +29,8 @@ def cite(evidence: DataFrame, datum: list[str], limit: int = V.DEFAULT_CITATIONS
     """``(datum..., ordinal, entity_id, total)``: at most ``limit`` entities per datum.
 
     ``evidence`` holds each ``(datum..., entity_id)`` once. Rows are range-sorted by datum and id,
-    so a datum holding most of the data spreads over many tasks, and checkpointed, which fixes the
-    partitions. A row's rank is its index in its partition, less where its datum starts there,
+    so a datum holding most of the data spreads over many tasks, and written with their partition
+    and place. A row's rank is its index in its partition, less where its datum starts there,
     plus what earlier partitions hold of that datum: one summary row per datum and partition.
     """
     if limit <= 0:
@@ -40,9 +40,9 @@ def cite(evidence: DataFrame, datum: list[str], limit: int = V.DEFAULT_CITATIONS
             "entity_id",
             F.lit(0).cast("bigint").alias("total"),
         ).where(F.lit(False))
-    rows = durable(evidence.select(*datum, "entity_id").orderBy(*datum, "entity_id"))
     mid = F.monotonically_increasing_id()
-    rows = rows.withColumn("_mid", mid).withColumn("_part", F.shiftright(mid, 33))
+    ordered = evidence.select(*datum, "entity_id").orderBy(*datum, "entity_id")
+    rows = durable(ordered.withColumns({"_mid": mid, "_part": F.shiftright(mid, 33)}))
     groups = durable(
         rows.groupBy(*datum, "_part").agg(
             F.min("_mid").alias("_first"), F.count("*").alias("_rows")

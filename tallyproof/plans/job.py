@@ -16,7 +16,7 @@ from tallyproof.operators import checks, filters, manifest, measure, network, sy
 from tallyproof.operators.citations import cite, evidence_totals, quote, study_excerpt
 from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.operators.series import series_where
-from tallyproof.session import durable, one_row
+from tallyproof.session import collected, delete_paths, durable, one_row
 from tallyproof.sources.pages import capped, split_cap
 from tallyproof.streaming.ingest import SOURCE_ORDER
 
@@ -87,9 +87,13 @@ class Result:
     #: How many entities support each datum, whatever is cited.
     totals: DataFrame | None = None
     held: list[DataFrame] = field(default_factory=list)
+    #: Paths of the tables that the result reads.
+    made: list[str] = field(default_factory=list)
 
     def release(self) -> None:
-        """Drop what was kept for reading the result more than once."""
+        """Drop what was kept for reading the result more than once, and delete what was written.
+        The result cannot be read after that."""
+        delete_paths(self.made)
         for table in self.held:
             table.unpersist()
         if self.graph is not None:
@@ -188,6 +192,20 @@ def run(
     data_as_of: str | None = None,
 ) -> Result:
     """Compute ``job`` over ``studies``, one row per id (see ``first_writer``)."""
+    made: list[str] = []
+    with collected(made):
+        result = _run(job, studies, candidates, ingredients, provenance, data_as_of)
+    return replace(result, made=made)
+
+
+def _run(
+    job: Job,
+    studies: DataFrame,
+    candidates: DataFrame | None = None,
+    ingredients: DataFrame | None = None,
+    provenance: DataFrame | None = None,
+    data_as_of: str | None = None,
+) -> Result:
     scoped = studies.where(scope_filter(job))
     population = scoped.where(asked_filter(job))
     series, facts = None, {}

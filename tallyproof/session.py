@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,27 +42,44 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected(made: list[str]) -> Iterator[None]:
+    """Note in ``made`` the paths of all tables that are written meanwhile. On an error they are
+    deleted; else their owner deletes them with `delete_paths`, or the end of the application does."""
+    _collecting.append(made)
+    try:
+        yield
+    except BaseException:
+        delete_paths(made)
+        raise
+    finally:
+        _collecting.pop()
+
+
+def delete_paths(made: list[str]) -> None:
+    spark = SparkSession.getActiveSession()
+    while made and spark is not None:
+        delete_path(spark, made.pop())
+
+
 def stored(df: DataFrame, name: str = "table", made: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back. It is computed once,
     survives a lost executor and is noted in ``made``, whose paths `delete_path` removes."""
     path = scratch_path(df.sparkSession, name)
+    for noted in _collecting[-1:]:
+        noted.append(path)
     df.write.parquet(path)
     if made is not None:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(spark))
-
-
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back: survives a lost executor, and
-    its partitions keep their number and order."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and read it from the shared folder from then on."""
+    return stored(df, "kept")
 
 
 def keep(df: DataFrame, held: list[DataFrame]) -> DataFrame:

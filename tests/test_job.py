@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from conftest import drugs, record, values
 from test_network import lookup
@@ -158,6 +159,21 @@ def test_graph(spark, studies, kind):
     assert fact(result, "resolved") == 2 and fact(result, "min_edge_weight") == (2 if kind == "drug_drug" else 1)
 
 
+def test_release_deletes_what_was_written(spark, studies):
+    import pathlib
+
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    result = run(Job(group_by="sponsor"), studies)
+    assert result.rows.count() == 2 and result.citations.count() > 0
+    assert set(folder.iterdir()) - before
+    result.release()
+    assert set(folder.iterdir()) <= before
+    with pytest.raises(AnalysisException):
+        run(Job(graph="drug_drug"), studies, candidates=studies, ingredients=7)
+    assert set(folder.iterdir()) <= before
+
+
 def test_rejected_requests():
     for wrong in ({"max_citations": -1}, {"group_by": "colour"}, {"compare": ["a"], "compare_kind": "phase"}):
         with pytest.raises(ValueError):
