@@ -162,7 +162,6 @@ LIST_FILLER = [
     "trials", "trial", "studies", "study", "ones", "those", "yet", "currently", "still", "the", "a",
     "an", "is", "are", "that", "which", "was", "were",
 ]
-LIST_LOOKBACK = 12
 CLAUSE_WORDS = ["and", "or", "but", "plus", "also"]
 HYPHENS = "-\u2010\u2011\u2012\u2013\u2014\u2015"
 

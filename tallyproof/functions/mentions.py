@@ -86,22 +86,25 @@ _NEGATED = "(?:{}|{})".format(
 _ITEM = _options(
     dict.fromkeys(
         V.LIST_FILLER
-        + V.LIST_COORDINATORS
+        + [word for word in V.LIST_COORDINATORS if word not in V.LIST_CUES]
         + [
             word
             for phrases in V.STATUS_VOCABULARY.values()
             for phrase in phrases
             for word in re.findall("[a-z]+", phrase)
-            if word not in V.NEGATION_CUES
+            if word not in V.NEGATION_CUES or word == phrase
         ]
     )
 )
-_AMONG = rf"(?:\s*[,;]|\s+(?:{_ITEM})-?(?=[\s,;])){{0,{V.LIST_LOOKBACK - 1}}}"
-_LISTED = "({}|{}|(?:{}){}\\s*)".format(
-    *_cue_pattern(V.LIST_CUES),
-    "|".join(re.escape(c).replace(r"\ ", f"{_SPACE}+") for c in V.LIST_CUES),
-    _AMONG,
-)
+
+
+def _listed(bounded: str) -> str:
+    """``bounded`` under a list cue, however many items stand between. No item is given up again, so
+    matching is linear and needs no stack; a list cue begins its own reach and is no item."""
+    among = rf"(?:(?!\s*{bounded})(?:\s*[,;]|\s+(?:{_ITEM})-?(?=[\s,;])))*+"
+    near, words = _cue_pattern(V.LIST_CUES)
+    cues = "|".join(re.escape(c).replace(r"\ ", f"{_SPACE}+") for c in V.LIST_CUES)
+    return f"({near}|{words}|(?:{cues}){among}\\s*){bounded}"
 
 
 def _bind(value: Column, use) -> Column:
@@ -123,7 +126,7 @@ def status_mentions(text: Column) -> Column:
     def note(phrase: str, status: str):
         """Note and mask the mentions of one phrase; texts without it pass unchanged."""
         bounded = rf"\b{re.escape(phrase)}\b"
-        negated, listed = f"(?U){_NEGATED}{bounded}", f"(?U){_LISTED}{bounded}"
+        negated, listed = f"(?U){_NEGATED}{bounded}", f"(?U){_listed(bounded)}"
         plain = rf"(?U)(?<!{_HYPHEN}){bounded}"
 
         def apply(state: Column) -> Column:

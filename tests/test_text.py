@@ -196,6 +196,21 @@ def test_status_of_long_texts_is_read_to_the_end(spark, n):
     assert found[0].excluded == ["RECRUITING"]
 
 
+def test_a_negated_list_runs_as_far_as_its_items_go(spark):
+    """Each status is excluded wherever in the list it stands."""
+    names = "completed, terminated, recruiting, unknown status, upcoming, expanded access"
+    codes = ["AVAILABLE", "COMPLETED", "ENROLLING_BY_INVITATION", "NOT_YET_RECRUITING", "RECRUITING", "TERMINATED", "UNKNOWN"]
+    cases = {
+        f"excluding {names} and enrolling by invitation trials": ([], codes),
+        "excluding " + "completed, terminated, " * 3000 + "withdrawn trials": ([], ["COMPLETED", "TERMINATED", "WITHDRAWN"]),
+        "neither " + "completed nor terminated nor " * 1000 + "withdrawn": ([], ["COMPLETED", "TERMINATED", "WITHDRAWN"]),
+        "excluding suspended, withdrawn, halted and recruiting": ([], ["RECRUITING", "SUSPENDED", "TERMINATED", "WITHDRAWN"]),
+        f"excluding {names}, but enrolling by invitation": (["ENROLLING_BY_INVITATION"], [c for c in codes if c[0] != "E"]),
+    }
+    found = apply(spark, M.status_mentions, list(cases))
+    assert [(r.wanted, r.excluded) for r in found] == list(cases.values())
+
+
 def test_axis_graph_and_population(spark):
     check(
         spark,
