@@ -6,7 +6,7 @@ Every line with a word is tested by itself. A line fails when it is
 - **symbols**: many of ``#*$%&|<>{}~^\\`` among its visible characters;
 - **shouting**: most of its letters are capitals, or exclamation marks follow many of its words;
 - **repetition**: a long line of very few different words;
-- **unpunctuated**: a long line without any punctuation;
+- **unpunctuated**: a long line without any punctuation of its script, where that has any;
 - **boilerplate**: a short line with a phrase of scripts, cookie notices or licences.
 
 Lines without a word never fail. A document is rejected when the failing lines held more than
@@ -34,7 +34,17 @@ from tallyproof.llm.common import BLANKS, as_bytes, text_of
 SYMBOLS = b"#*$%&|<>{}~^\\"
 COUNTED_SYMBOLS = b"#*$%&|<>"
 SEPARATORS = re.compile(r"[|»›•·]|(?<!\S)[>/](?!\S)")
-PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
+#: The marks that end or part sentences, in the scripts of the basic plane.
+PUNCTUATION = re.compile(
+    r"[.,;:!?…\u037E\u0387\u055C-\u055E\u0589\u05C3\u060C\u061B\u061D-\u061F\u06D4\u0700-\u070A\u070C"
+    r"\u07F8\u07F9\u0830-\u083E\u085E\u0964\u0965\u0E5A\u0E5B\u0F08\u0F0D-\u0F12\u104A\u104B\u1361-\u1368"
+    r"\u166E\u16EB-\u16ED\u1735\u1736\u17D4-\u17D6\u17DA\u1802-\u1805\u1808\u1809\u1944\u1945\u1AA8-\u1AAB"
+    r"\u1B5A\u1B5B\u1B5D-\u1B5F\u1C3B-\u1C3F\u1C7E\u1C7F\u203C\u203D\u2047-\u2049\u2E2E\u2E3C\u2E41\u3001\u3002"
+    r"\uA4FE\uA4FF\uA60D-\uA60F\uA6F3-\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C7-\uA9C9\uAA5D-\uAA5F\uAADF"
+    r"\uAAF0\uAAF1\uABEB\uFE10-\uFE16\uFE50-\uFE52\uFE54-\uFE57\uFF01\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F\uFF61\uFF64]"
+)
+#: Letters of Thai and Lao, which part sentences by blanks.
+UNMARKED = re.compile(r"[\u0E01-\u0E2E\u0E81-\u0EAE]")
 BOILERPLATE = (
     b"javascript", b"cookie", b"lorem ipsum", b"all rights reserved", b"terms of use",
     b"terms of service", b"privacy policy", b"subscribe to", b"sign up for", b"log in to",
@@ -88,7 +98,7 @@ def failing_rule(line: bytes, words: list[bytes], rules: Rules) -> str | None:
     if n_words >= rules.long_line:
         if len(set(words)) < rules.different * n_words:
             return "repetition"
-        if not PUNCTUATION.search(line.decode()):
+        if not (PUNCTUATION.search(text := line.decode()) or UNMARKED.search(text)):
             return "unpunctuated"
     if n_words <= rules.boilerplate_words:
         lower = line.lower()

@@ -76,6 +76,31 @@ def test_rules(line, rule):
     assert found == rule
 
 
+@pytest.mark.parametrize(
+    "letters, mark",
+    [
+        ("कखगघचछजझटठडढतथद", "।"),
+        ("কখগঘচছজঝটঠডঢতথদ", "।"),
+        ("ابتثجحخدذرزسشصض", "۔"),
+        ("ابتثجحخدذرزسشصض", "،"),
+        ("ابتثجحخدذرزسشصض", "؟"),
+        ("ሀለሐመሠረሰሸቀበተቸኀነኘ", "።"),
+        ("ကခဂဃငစဆဇညဋဌဍဎဏတ", "။"),
+        ("កខគឃងចឆជឈញដឋឌឍណ", "។"),
+        ("աբգդեզէըթժիլխծկ", "։"),
+        ("的一是不了人我在有他这为之大来", "，"),
+        ("กขคฆงจฉชซฌญฎฏฐฑ", ""),
+    ],
+)
+def test_clean_documents_of_other_scripts_are_kept(letters, mark):
+    words = [a + b for a in letters for b in letters]
+    text = "\n".join(" ".join(words[at : at + 25]) + mark for at in range(0, 225, 25))
+    found = quality_rules.judge(text.encode())
+    assert found["kept"] and found["failed_lines"] == 0
+    if mark:
+        assert quality_rules.judge(text.replace(mark, "").encode())["failed_lines"] == 9
+
+
 def test_lines_are_removed_before_the_verdict():
     mixed = quality_rules.judge(f"{PROSE}\nHome | News | Sport | Contact\n\n".encode())
     assert mixed["kept"] and mixed["clean_text"] == f"{PROSE}\n\n".encode()
