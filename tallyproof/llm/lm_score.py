@@ -1,7 +1,8 @@
 """Language-model scores: a hashed maximum-entropy model beside a smoothed unigram model.
 
 `fit` reads every training text. Words are counted by an aggregate that combines in each task. The most
-frequent ones, at most ``most_words``, are the model's vocabulary; a histogram of the counts finds the
+frequent ones are the model's vocabulary; how many, and how many features it has, grows with the root of
+the training tokens, while the number of classes is fixed; a histogram of the counts finds the
 bound, so no task ranks all words. The vocabulary's classes come from counts of frequent neighbours. Then
 the weights of the class features are trained: in each round the tasks add up gradients over one slice of
 the training texts, every text being in one slice; the gradients are summed in a tree of tasks, and the
@@ -32,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm.common import as_bytes, runs, text_of
-from tallyproof.llm.maxent import CLASSES, END, Gradient, Model, Vocabulary
+from tallyproof.llm.maxent import BUCKETS, CLASSES, END, RARE_HASHES, Gradient, Model, Vocabulary, add_counts
 from tallyproof.session import delete_path, stored
 
 MOST_WORDS = 1 << 15
+#: Up to so many training tokens the model has its least size; beyond, it grows with their square root.
+LEAST_TOKENS = 1 << 22
 #: Frequent words whose nearness tells words apart.
 ANCHORS = 32
 RATES = (1.5, 1.0, 0.7, 0.5)
@@ -44,6 +47,11 @@ HELD_WORDS = 200_000
 _BINS = 8  # of the histogram, for each doubling of the count
 
 
+def grown(least: int, tokens: int) -> int:
+    """A size of the model for so many training tokens; as a language's different words, about their root."""
+    return int(least * math.sqrt(max(1.0, tokens / LEAST_TOKENS)))
+
+
 def remainder(ident: Column, of: int) -> Column:
     """crc32 of an id as text, modulo ``of``; of a null id that of the empty text."""
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % of
@@ -94,7 +102,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("_text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _vocabulary(words: DataFrame, most: int) -> Vocabulary:
+def _vocabulary(words: DataFrame, most: int, hashes: int) -> Vocabulary:
     """The most frequent words: all with at least the count that admits no more than ``most``."""
     bin_of = F.floor(F.log2("c") * _BINS).cast("int")
     histogram = {r.bin: r.n for r in words.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect()}
@@ -108,7 +116,7 @@ def _vocabulary(words: DataFrame, most: int) -> Vocabulary:
     end = words.filter(F.octet_length("word") == 0).collect()
     rows = [(bytes(r.word), r.c) for r in chosen] + [(END, end[0].c if end else 0)]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return Vocabulary([w for w, _ in rows], np.array([c for _, c in rows], dtype=np.int64))
+    return Vocabulary([w for w, _ in rows], np.array([c for _, c in rows], dtype=np.int64), hashes)
 
 
 def _token_runs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,12 +145,12 @@ def _neighbours(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 early, late = tokens[:-distance], tokens[distance:]
                 for word, near in ((early, late), (late, early)):
                     some = (word < words.size) & (number[near] >= 0)
-                    total += np.bincount(word[some] * ANCHORS + number[near[some]], minlength=len(total))
+                    add_counts(word[some] * ANCHORS + number[near[some]], total)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
     sums = texts.select("_text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(vocabulary.size * ANCHORS)
+    found = np.zeros(vocabulary.size * ANCHORS, dtype=np.float32)
     found[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     return found.reshape(vocabulary.size, ANCHORS)
 
@@ -158,25 +166,29 @@ def tree_sum(parts: RDD, combine: Callable, fan: int = 8) -> list:
     return parts.collect()
 
 
-def _gradient(texts: DataFrame, vocabulary, model: Model) -> Gradient | None:
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def _gradient(texts: DataFrame, vocabulary, model: Model, slices: int) -> Gradient | None:
+    """The sum over one of ``slices`` of the texts. A task takes so many partitions, as long as each core
+    has one, because what it passes on has the model's size however few its texts are."""
+    partitions, cores = texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism
+    texts = texts.coalesce(max(1, partitions // slices, min(partitions, cores)))
+    shared = texts.sparkSession.sparkContext.broadcast(model.lean("of_word", "word_weights", "word_bias", "order"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Gradient(vocabulary.value.size)
+        own = Gradient(size, buckets)
         for tokens, starts in _token_runs(batches, vocabulary.value):
             shared.value.gradient(tokens, starts, own)
         yield pa.RecordBatch.from_arrays([pa.array([own.to_bytes()], pa.binary())], ["gradient"])
 
     def combine(a, b):
-        total = a if isinstance(a, Gradient) else Gradient(size).add_bytes(a)
+        total = a if isinstance(a, Gradient) else Gradient(size, buckets).add_bytes(a)
         return total.add_bytes(b if isinstance(b, bytes) else b.to_bytes())
 
-    size = vocabulary.value.size
+    size, buckets = vocabulary.value.size, model.weights.shape[1]
     parts = texts.select("_text").mapInArrow(run, "gradient binary").rdd.map(lambda row: bytes(row[0]))
     found = tree_sum(parts, combine)
     if not found:
         return None
-    return found[0] if isinstance(found[0], Gradient) else Gradient(size).add_bytes(found[0])
+    return found[0] if isinstance(found[0], Gradient) else Gradient(size, buckets).add_bytes(found[0])
 
 
 def fit(
@@ -184,10 +196,11 @@ def fit(
     learn: Callable[[Column], Column] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    most_words: int = MOST_WORDS,
+    most_words: int | None = None,
     rates: tuple[float, ...] = RATES,
 ) -> Fitted:
-    """Fit on the rows whose id ``learn`` admits; one round for each of ``rates``, on a slice of them."""
+    """Fit on the rows whose id ``learn`` admits; one round for each of ``rates``, on a slice of them.
+    Buckets, hashes and, without ``most_words``, the vocabulary grow with the training tokens."""
     ident = F.col(f"`{id_col}`")
     kept = docs if learn is None else docs.filter(learn(ident))
     texts = kept.select(text_of(text_col).alias("_text"), (F.floor(remainder(ident, 1 << 20) / 5) % len(rates)).alias("slice"))
@@ -195,13 +208,15 @@ def fit(
     totals = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.expr("if(octet_length(word) = 0, c, 0)")), F.lit(0))
     ).first()
-    vocabulary = _vocabulary(words, most_words)
+    most = grown(MOST_WORDS, totals[0]) if most_words is None else most_words
+    vocabulary = _vocabulary(words, most, grown(RARE_HASHES, totals[0]))
+    buckets = 1 << (grown(BUCKETS, totals[0]) - 1).bit_length()
     kinds = totals[1] - int((vocabulary.counts > 0).sum())
-    model = Model(vocabulary, _neighbours(texts, vocabulary), totals[0] - vocabulary.counts.sum() + 0.5 * kinds)
+    model = Model(vocabulary, _neighbours(texts, vocabulary), totals[0] - vocabulary.counts.sum() + 0.5 * kinds, buckets)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    after_class = np.zeros((CLASSES, vocabulary.size))
+    after_class = np.zeros((CLASSES, vocabulary.size), dtype=np.float32)
     for number, rate in enumerate(rates):
-        gradient = _gradient(texts.filter(F.col("slice") == number), shared, model)
+        gradient = _gradient(texts.filter(F.col("slice") == number), shared, model, len(rates))
         if gradient is not None:
             model.step(gradient, rate)
             after_class += gradient.words
@@ -212,7 +227,7 @@ def fit(
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every row."""
     made: list[str] = []
-    shared = docs.sparkSession.sparkContext.broadcast((fitted.vocabulary, fitted.model, fitted.log10(fitted.vocabulary.counts)))
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.vocabulary, fitted.model.lean("word_weights", "word_bias", "order"), fitted.log10(fitted.vocabulary.counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, model, unigram = shared.value

@@ -10,14 +10,16 @@ probability is the caller's matter.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 
 CLASSES = 32
+#: Features of each kind, a power of two, unless the caller asks for more.
 BUCKETS = 1 << 12
-#: Words outside the vocabulary are features by one of so many hashes.
+#: Words outside the vocabulary are features by one of so many hashes, likewise.
 RARE_HASHES = 1 << 10
 FEATURES = 3
 #: Tokens whose class probabilities are held at a time.
@@ -31,12 +33,13 @@ class Vocabulary:
 
     words: list[bytes]
     counts: np.ndarray
+    hashes: int = RARE_HASHES
 
     def __post_init__(self):
         self.number = {w: i for i, w in enumerate(self.words)}
         self.size = len(self.words)
         self.end = self.number[END]
-        self.begin = self.size + RARE_HASHES  # stands before a text
+        self.begin = self.size + self.hashes  # stands before a text
 
     def read(self, text: bytes) -> tuple[list[int], dict[bytes, int]]:
         """The tokens of a text, end included, and its words outside the vocabulary with counts."""
@@ -48,26 +51,32 @@ class Vocabulary:
             for at, number in enumerate(ids):
                 if number < 0:
                     word = words[at]
-                    ids[at] = self.size + zlib.crc32(word) % RARE_HASHES
+                    ids[at] = self.size + zlib.crc32(word) % self.hashes
                     rare[word] = rare.get(word, 0) + 1
         ids.append(self.end)
         return ids, rare
 
 
-def _scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of ``values`` with equal ``index``."""
-    total = np.zeros((size, values.shape[1]), dtype=np.float32)
+def _scatter(index: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
+    """Add the rows of ``values`` to the rows ``index`` of ``into``."""
     order = np.argsort(index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-    total[index[first]] = np.add.reduceat(values[order], first, axis=0)
-    return total
+    into[index[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
+def add_counts(cells: np.ndarray, into: np.ndarray) -> None:
+    """Add 1 to a cell of the flat ``into`` for each time it is named."""
+    cells, times = np.unique(cells, return_counts=True)
+    into[cells] += times.astype(into.dtype)
 
 
 def similar_words(contexts: np.ndarray, counts: np.ndarray, groups: int, turns: int = 15) -> np.ndarray:
     """A group for each word, by what stands near it: k-means over the square roots of the shares of
     each context, which begins with words far from all before them."""
-    points = np.sqrt(contexts / np.maximum(contexts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    points = contexts.astype(np.float32)
+    points /= np.maximum(contexts.sum(axis=1, keepdims=True, dtype=np.float64), 1).astype(np.float32)
+    np.sqrt(points, out=points)
     groups = min(groups, len(points))
     weight = np.sqrt(counts).astype(np.float32)
     centres = [points[0]]
@@ -88,15 +97,16 @@ def similar_words(contexts: np.ndarray, counts: np.ndarray, groups: int, turns:
 class Model:
     """Classes and weights; its size is set by the vocabulary and the number of buckets."""
 
-    def __init__(self, vocabulary: Vocabulary, contexts: np.ndarray, rare_count: float):
+    def __init__(self, vocabulary: Vocabulary, contexts: np.ndarray, rare_count: float, buckets: int = BUCKETS):
         size = vocabulary.size
         group = similar_words(contexts, vocabulary.counts, CLASSES - 2)
         self.unknown, self.ending = CLASSES - 1, CLASSES - 2
-        self.class_of = np.full(size + RARE_HASHES + 1, self.unknown, dtype=np.int64)
+        self.class_of = np.full(vocabulary.begin + 1, self.unknown, dtype=np.int64)
         self.class_of[:size] = group
         self.class_of[[vocabulary.end, vocabulary.begin]] = self.ending
         self.size, self.begin = size, vocabulary.begin
-        self.weights = np.zeros((FEATURES, BUCKETS, CLASSES), dtype=np.float32)
+        self.bits = buckets.bit_length() - 1
+        self.weights = np.zeros((FEATURES, buckets, CLASSES), dtype=np.float32)
         counts = vocabulary.counts + 0.5
         of_class = np.bincount(self.class_of[:size], counts, CLASSES)
         of_class[self.unknown] += rare_count + 0.5
@@ -105,19 +115,31 @@ class Model:
             self.bias = np.log(of_class / of_class.sum()).astype(np.float32)
         self.word_bias = np.log(counts / of_class[self.class_of[:size]])
         self.word_weights = np.zeros((CLASSES, size), dtype=np.float32)
-        self.normalise()
-        ids = np.arange(size + RARE_HASHES + 1, dtype=np.uint64)
+        own = self.class_of[:size]
+        self.order = np.argsort(own, kind="stable")
+        ordered = own[self.order]
+        self.first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        self.of_word = np.array([self._normal(row) for row in self.word_weights], dtype=np.float32)
+        ids = np.arange(vocabulary.begin + 1, dtype=np.uint64)
         self.mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
-    def normalise(self) -> None:
-        """The logarithm of each word's probability in its class, after each class."""
-        raw = self.word_bias + self.word_weights
-        own = self.class_of[: self.size]
-        order = np.argsort(own, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
-        total = np.zeros((CLASSES, CLASSES))
-        total[:, own[order][first]] = np.log(np.add.reduceat(np.exp(raw[:, order]), first, axis=1))
-        self.of_word = (raw - total[:, own]).astype(np.float32)
+    def lean(self, *names: str) -> Model:
+        """A copy for tasks that need none of the ``names``."""
+        other = copy.copy(self)
+        for name in names:
+            setattr(other, name, None)
+        return other
+
+    def _by_class(self, values: np.ndarray) -> np.ndarray:
+        """The sum of ``values`` over the words of each class, given to each of its words."""
+        total = np.zeros(CLASSES)
+        total[self.class_of[self.order[self.first]]] = np.add.reduceat(values[self.order], self.first)
+        return total[self.class_of[: self.size]]
+
+    def _normal(self, weights: np.ndarray) -> np.ndarray:
+        """The logarithm of each word's probability in its class, after one class."""
+        raw = self.word_bias + weights
+        return raw - np.log(self._by_class(np.exp(raw)))
 
     def contexts(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The two tokens before each; texts begin at ``starts``."""
@@ -131,7 +153,7 @@ class Model:
 
     def buckets(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
         """The feature of each kind."""
-        shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+        shift = np.uint64(64 - self.bits)
         a, b = self.mixed[one], self.mixed[two]
         both = (a ^ (b >> np.uint64(7)) ^ (b << np.uint64(13))) * np.uint64(0xD6E8FEB86659FD93)
         return [(x >> shift).astype(np.int64) for x in (a, b, both)]
@@ -170,10 +192,9 @@ class Model:
             expected = np.exp(self.classes(buckets))
             both = np.concatenate([eye[own[some]], expected], axis=1)
             for kind in range(FEATURES):
-                into.features[kind] += _scatter(buckets[kind], both, BUCKETS)
+                _scatter(buckets[kind], both, into.features[kind])
         known = tokens < self.size
-        cells = before[known] * self.size + tokens[known]
-        into.words += np.bincount(cells, minlength=into.words.size).reshape(into.words.shape).astype(np.float32)
+        add_counts(before[known] * self.size + tokens[known], into.words.reshape(-1))
 
     def step(self, gradient: Gradient, rate: float = 1.0, damping: float = 2.0) -> None:
         """One update: each weight moves by the difference of the logarithms of its observed and
@@ -186,23 +207,21 @@ class Model:
     def fit_words(self, counts: np.ndarray, turns: int = 20, damping: float = 5.0) -> None:
         """The weights of words after classes, from how often each word follows each class: the counts
         hold all that the corpus says of them."""
-        own = self.class_of[: self.size]
-        order = np.argsort(own, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
-        of_class = np.zeros((CLASSES, CLASSES))
-        of_class[:, own[order][first]] = np.add.reduceat(counts[:, order].astype(np.float64), first, axis=1)
-        for _ in range(turns):
-            expected = of_class[:, own] * np.exp(self.of_word)
-            self.word_weights += (counts - expected - damping * 0.1 * self.word_weights) / (expected + damping)
-            np.clip(self.word_weights, -3, 3, out=self.word_weights)
-            self.normalise()
+        for seen, weights, of_word in zip(counts, self.word_weights, self.of_word):
+            seen = seen.astype(np.float64)
+            of_class = self._by_class(seen)
+            for _ in range(turns):
+                expected = of_class * np.exp(of_word)
+                weights += (seen - expected - damping * 0.1 * weights) / (expected + damping)
+                np.clip(weights, -3, 3, out=weights)
+                of_word[:] = self._normal(weights)
 
 
 class Gradient:
     """Observed and expected counts of class features, side by side, and counts of words after classes."""
 
-    def __init__(self, size: int):
-        self.features = np.zeros((FEATURES, BUCKETS, 2 * CLASSES), dtype=np.float32)
+    def __init__(self, size: int, buckets: int = BUCKETS):
+        self.features = np.zeros((FEATURES, buckets, 2 * CLASSES), dtype=np.float32)
         self.words = np.zeros((CLASSES, size), dtype=np.float32)
 
     def to_bytes(self) -> bytes:

@@ -73,6 +73,26 @@ def test_probabilities_add_up(small):
     assert unigrams.sum() + fitted.rare == pytest.approx(1)
 
 
+def test_the_model_grows_with_the_training_tokens(spark, monkeypatch):
+    for name, value in (("LEAST_TOKENS", 1000), ("MOST_WORDS", 20)):
+        monkeypatch.setattr(lm_score, name, value, raising=False)
+    sizes = []
+    for n in (40, 640):
+        docs = spark.range(n).selectExpr("id as doc_id", "array_join(transform(sequence(1, 24), x -> 'w' || hash(id, x) % 7 * x * x), ' ') as text")
+        fitted = lm_score.fit(docs)
+        sizes.append((fitted.vocabulary.size, fitted.vocabulary.hashes, fitted.model.weights.shape[1]))
+        tokens = np.array(fitted.vocabulary.read(b"w1 w4 unknown w9")[0])
+        one, two = fitted.model.contexts(tokens, np.array([0]))
+        assert max(k.max() for k in fitted.model.buckets(one, two)) < sizes[-1][2]
+        row, after = np.exp(fitted.model.classes(fitted.model.buckets(one, two))), fitted.model.class_of[one]
+        own = fitted.model.class_of[: fitted.vocabulary.size]
+        for p, before in zip(row, after):
+            assert (p[own] * np.exp(fitted.model.of_word[before])).sum() + p[fitted.model.unknown] == pytest.approx(1, abs=1e-4)
+        assert lm_score.score(docs, fitted).filter("score > 1e-9 or isnan(score)").count() == 0
+    assert sizes[0][0] <= 21 and sizes[0][1:] == (maxent.RARE_HASHES, maxent.BUCKETS)
+    assert sizes[1][0] > sizes[0][0] and sizes[1][1:] == (4 * maxent.RARE_HASHES, 4 * maxent.BUCKETS)
+
+
 def test_score_is_the_models(spark, small):
     """The sum over tokens, with rare words sharing their class by smoothed counts."""
     docs, fitted = small
