@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe_chunks, exact_dedup, lm_score, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc
+from tallyproof.llm import bpe_chunks, exact_dedup, lm_score, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc, whitening
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -232,3 +232,18 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    fitted = whitening.fit(rows)
+    return whitening.whiten(rows, fitted).select(
+        "vec_id",
+        "component",
+        F.lit(fitted.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        "whitened",
+        "explained",
+        F.lit(fitted.identity_error).alias("identity_error"),
+    )
