@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe_chunks, exact_dedup, lm_score, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc, whitening
+from tallyproof.llm import bpe_chunks, exact_dedup, license_scan, lm_score, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc, whitening
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -247,3 +247,75 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "explained",
         F.lit(fitted.identity_error).alias("identity_error"),
     )
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({number}, '{one.label}', {str(one.base).lower()}, '{one.text.replace(chr(39), chr(39) * 2)}')"
+    for number, one in enumerate(license_scan.TEMPLATES)
+)
+_LICENSE_SQL = rf"""
+with given(template, label, base, text) as (values {_TEMPLATE_ROWS}),
+template_words as (
+  select template, label, base, list, len(list) as size,
+         case when len(list) >= {2 * license_scan.NOTICE_WORDS} then {license_scan.NOTICE_WORDS}
+              else least(len(list), {license_scan.PHRASE_WORDS}) end as span
+  from (select *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as list from given)
+),
+places as (
+  select template, label, base, size, span, span < {license_scan.NOTICE_WORDS} as exact, place,
+         list_aggregate(list[place + 1 : place + span], 'string_agg', ' ') as gram
+  from (select *, unnest(range(0, size - span + 1)) as place from template_words)
+),
+texts as (
+  select row_number() over () as line, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as list
+  from documents
+),
+words as (select line, unnest(list) as word, generate_subscripts(list, 1) - 1 as pos from texts),
+four as (
+  select line, pos, word || ' ' || lead(word, 1) over w as two,
+         word || ' ' || lead(word, 1) over w || ' ' || lead(word, 2) over w || ' ' || lead(word, 3) over w as four
+  from words window w as (partition by line order by pos)
+),
+hits as (
+  select f.line, f.pos, p.* from four f join places p on p.span = 2 and f.two = p.gram
+  union all
+  select f.line, f.pos, p.* from four f join places p on p.span = 4 and f.four = p.gram
+),
+diagonals as (
+  select line, template, label, base, size, span, exact, pos - place as diagonal, list(place) as found, min(pos) as first, max(pos) as last
+  from hits group by all
+),
+stepped as (
+  select *, coalesce(diagonal - lag(diagonal) over (partition by line, template order by diagonal)
+                     > case when exact then 0 else {license_scan.SHIFT} end, false) as step
+  from diagonals
+),
+banded as (select *, sum(step::int) over (partition by line, template order by diagonal) as band from stepped),
+spans as (
+  select line, template, label, base, size, exact, band, min(first) as first, max(last) + span - 1 as last,
+         len(list_distinct(flatten(list_transform(flatten(list(found)), lambda p: range(p, p + span))))) as covered
+  from banded group by line, template, label, base, size, span, exact, band
+),
+kept as (
+  select *, covered / size as score from spans
+  where case when exact then covered = size
+             else covered / size >= {license_scan.SHARE} and covered >= {license_scan.DENSITY} * (last - first + 1) end
+),
+of_text as (
+  select line, count(*) filter (where base) as n_base, min(first) filter (where base) as first_word,
+         max(first) filter (where base) as last_word, max(score) as score,
+         string_agg(distinct label, ',' order by label) filter (where base) as base_labels,
+         string_agg(distinct label, ',' order by label) as labels
+  from kept group by line
+)
+select doc_id, len(list) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from texts left join of_text using (line)
+"""
+
+
+@query(_LICENSE_SQL)
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, spans = license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.labels(texts, spans)
