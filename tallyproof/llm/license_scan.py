@@ -40,8 +40,8 @@ SHIFT = 3
 SHARE, DENSITY = 0.8, 0.5
 #: The templates that may be broadcast have at most so many words together.
 MOST_TEMPLATE_WORDS = 200_000
-#: Bytes of a text that are hashed at a time.
-PIECE = 1 << 20
+#: Bytes of a text that are cut into words at a time, and words that are hashed together.
+PIECE, TOGETHER = 1 << 20, 1 << 16
 
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 32 for b in range(256))
@@ -108,9 +108,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
-def word_pieces(text: bytes, most: int | None = None) -> Iterator[list[bytes]]:
+def word_pieces(text: bytes, most: int = PIECE) -> Iterator[list[bytes]]:
     """The words of a text, so many bytes at a time; no word is cut."""
-    text, most = text.translate(_PLAIN), most or PIECE
+    text = text.translate(_PLAIN)
     start = 0
     while start < len(text):
         end = text.find(b" ", start + most) if start + most < len(text) else -1
@@ -155,7 +155,9 @@ def template_places(spark: SparkSession, templates: tuple[Template, ...]) -> Dat
     )
 
 
-def rolling(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: np.ndarray) -> DataFrame:
+def rolling(
+    docs: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: np.ndarray, piece: int = PIECE, together: int = TOGETHER
+) -> DataFrame:
     """A row ``(row, _id, n_words)`` for each text and one ``(row, at, gram, words)`` for each rolling hash
     of ``sizes`` words; the words themselves come with the hashes that are in ``wanted`` (sorted)."""
     spark = docs.sparkSession
@@ -175,11 +177,11 @@ def rolling(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], wante
         for row, text in zip(rows.column(0).to_pylist(), as_bytes(rows.column(2))):
             before: list[bytes] = []
             n = 0
-            for words in word_pieces(text):
+            for words in word_pieces(text, piece):
                 held.append((row, n - len(before), len(before), before + words))
                 n, filled = n + len(words), filled + len(words)
                 before = (before + words)[-(longest - 1) :] if longest > 1 else []
-                if filled >= PIECE // 4:
+                if filled >= together:
                     yield from emit(held, id_type)
                     held, filled = [], 0
             totals.append(n)
@@ -231,6 +233,7 @@ def scan(
     share: float = SHARE,
     density: float = DENSITY,
     shift: int = SHIFT,
+    piece: int = PIECE,
 ) -> tuple[DataFrame, DataFrame]:
     """The texts ``(row, _id, n_words)``, and the spans found in them ``(row, template, label, base, first,
     last, score)``: first and last word, from 0, and the share of the template's words that are covered."""
@@ -238,7 +241,7 @@ def scan(
     places = template_places(spark, templates).persist()
     wanted = np.array(sorted({r[0] for r in places.select("_gram").collect()}), dtype=np.int64)
     sizes = sorted({r[0] for r in places.select("span").distinct().collect()})
-    grams = rolling(docs, id_col, text_col, sizes, wanted)
+    grams = rolling(docs, id_col, text_col, sizes, wanted, piece)
     same = (grams["gram"] == places["_gram"]) & (grams["words"] == places["_words"])
     met = grams.join(F.broadcast(places), same, "left").filter(F.col("at").isNull() | F.col("template").isNotNull())
     met = stored(met.drop("gram", "words", "_gram", "_words"), "license-hits")

@@ -66,7 +66,7 @@ def test_notices(spark):
     assert len(spans) == 5 and sorted((s.first, s.last) for s in spans if s.score == 1) == [(0, 20), (3, 23), (50, 72), (51, 71)]
 
 
-def test_edges(spark, monkeypatch):
+def test_edges(spark):
     long = "é " * 3000 + "mit license " + "x1 " * 5000 + "Apache License"
     texts = {1: None, 2: "", 3: "***", 4: "MIT License", 5: "mit\x00license", 6: long, 7: "mit license " * 3000, 8: "mit"}
     rows = [*texts.items(), (None, "cc by"), (7, texts[7])]
@@ -78,8 +78,7 @@ def test_edges(spark, monkeypatch):
     for r in whole:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_of(texts[r.doc_id])
     assert base_of(texts[7])[1] == 3000 and base_of(texts[4])[1] == 0
-    monkeypatch.setattr(license_scan, "PIECE", 64)  # pieces are cut anywhere
-    texts_, spans = license_scan.scan(docs.filter("doc_id in (6, 8)"))
+    texts_, spans = license_scan.scan(docs.filter("doc_id in (6, 8)"), piece=64)  # pieces are cut anywhere
     assert sorted(license_scan.labels(texts_, spans).collect()) == sorted(r for r in whole if r.doc_id in (6, 8))
     assert license_scan.labels(*license_scan.scan(docs.limit(0))).count() == 0
     assert [r.labels for r in license_scan.labels(*license_scan.scan(docs, templates=())).collect()] == [""] * 10
