@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe_chunks, exact_dedup, license_scan, lm_score, mixing, quality_knn, quality_rules, simhash, token_count, token_file, warc, whitening
+from tallyproof.llm import (
+    bpe_chunks,
+    collocations,
+    exact_dedup,
+    license_scan,
+    lm_score,
+    mixing,
+    quality_knn,
+    quality_rules,
+    simhash,
+    token_count,
+    token_file,
+    warc,
+    whitening,
+)
 from tallyproof.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -319,3 +333,63 @@ from texts left join of_text using (line)
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, spans = license_scan.scan(table(spark, sf_dir, "documents"))
     return license_scan.labels(texts, spans)
+
+
+_COLLOCATION_SQL = r"""
+with texts as (
+  select row_number() over () as line, coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents
+),
+pieces as (
+  select line, lang, unnest(list) as piece, generate_subscripts(list, 1) as number
+  from (select line, lang, string_split_regex(text, '[.,;:!?\x0A-\x0D]') as list from texts)
+),
+words as (
+  select line, lang, number, unnest(list) as word, generate_subscripts(list, 1) as pos
+  from (select line, lang, number, regexp_extract_all(piece, '[^\x20\x09]+') as list from pieces)
+),
+neighbours as (
+  select lang, word as first, lead(word, 1) over w as second, lead(word, 2) over w as third
+  from words window w as (partition by line, number order by pos)
+),
+one as (select lang, first as phrase, count(*)::hugeint as c from neighbours group by all),
+two as (select lang, first, second, count(*)::hugeint as c from neighbours where second is not null group by all having count(*) >= 10),
+three as (
+  select lang, first, second, third, count(*)::hugeint as c from neighbours where third is not null group by all having count(*) >= 10
+),
+holding as (
+  select lang, first, second, max(c) as c
+  from (select lang, first, second, c from three union all select lang, second, third, c from three) group by lang, first, second
+),
+pairs as (
+  select t.lang, t.first || ' ' || t.second as phrase, t.c as a, x.c as l, y.c as r, (1000000 * t.c * t.c) // (x.c * y.c) as score
+  from two t join one x on x.lang = t.lang and x.phrase = t.first join one y on y.lang = t.lang and y.phrase = t.second
+  left join holding h on h.lang = t.lang and h.first = t.first and h.second = t.second
+  where h.c is null or 100 * h.c < 50 * t.c
+),
+triples as (
+  select t.lang, t.first || ' ' || t.second || ' ' || t.third as phrase, t.c as a,
+         x.c as l1, yz.c as r1, xy.c as l2, z.c as r2,
+         (1000000 * t.c * t.c) // (x.c * yz.c) as s1, (1000000 * t.c * t.c) // (xy.c * z.c) as s2
+  from three t join one x on x.lang = t.lang and x.phrase = t.first join one z on z.lang = t.lang and z.phrase = t.third
+  join two xy on xy.lang = t.lang and xy.first = t.first and xy.second = t.second
+  join two yz on yz.lang = t.lang and yz.first = t.second and yz.second = t.third
+),
+candidates as (
+  select * from pairs
+  union all
+  select lang, phrase, a, case when s1 <= s2 then l1 else l2 end, case when s1 <= s2 then r1 else r2 end, least(s1, s2) from triples
+),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from candidates
+),
+totals as (select lang, sum(c) as n from one group by lang)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query(_COLLOCATION_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
