@@ -53,7 +53,7 @@ class Sizes:
     grams: int = 1 << 17  # of each length that have one
     word_bytes: int = 64  # of a word that may have one, so the table of those is bounded in bytes
     side: int = 9  # bits of an address on each side of a tile
-    buffer: int = 3 << 20  # neighbours that are counted at a time
+    buffer: int = 1 << 21  # neighbours that are counted at a time
     filter_bits: int = 1 << 26
     held_words: int = 200_000  # different words that a task counts before it passes the counts on
     slice: int = 1 << 20  # bytes of a text that are cut into words at a time
