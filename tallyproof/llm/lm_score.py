@@ -3,10 +3,13 @@
 `fit` reads every training text. Words are counted by an aggregate that combines in each task. The most
 frequent ones are the model's vocabulary; how many, and how many features it has, grows with the root of
 the training tokens, while the number of classes is fixed; a histogram of the counts finds the
-bound, so no task ranks all words. The vocabulary's classes come from counts of frequent neighbours. Then
-the weights of the class features are trained: in each round the tasks add up gradients over one slice of
-the training texts, every text being in one slice; the gradients are summed in a tree of tasks, and the
-driver, which gets one sum of the model's size, makes a step and broadcasts the weights again.
+bound, so no task ranks all words. The vocabulary's classes come from counts of frequent neighbours:
+their centres from its ``CENTRED`` most frequent words, each word's class in a task. Then the weights of
+the class features are trained: in each round the tasks add up gradients over one slice of the training
+texts, every text being in one slice. A task's gradient leaves it in parts, by range of buckets, of what
+is not zero; the parts of a range are summed by one task, which makes the step and writes the range's new
+weights to the shared folder, where the next round's tasks read them. The driver holds the vocabulary,
+and of the weights nothing but the paths of their files; nothing of the model's size is broadcast.
 
 `score` reads every text once. Sums over the vocabulary's words are made in the task with numpy blocks; a
 text's other words are joined with their counts, which no broadcast could hold. In the model these words
@@ -24,16 +27,33 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm.common import as_bytes, runs, text_of
-from tallyproof.llm.maxent import BUCKETS, CLASSES, END, RARE_HASHES, Gradient, Model, Vocabulary, add_counts
+from tallyproof.llm.files import new_folder, open_to_read, open_to_write, own_name
+from tallyproof.llm.maxent import (
+    BUCKETS,
+    CLASSES,
+    END,
+    FEATURES,
+    RARE_HASHES,
+    SHARD,
+    Gradient,
+    Model,
+    Vocabulary,
+    add_counts,
+    add_shard,
+    centres,
+    from_file,
+    nearest,
+    to_file,
+)
 from tallyproof.session import delete_path, stored
 
 MOST_WORDS = 1 << 15
@@ -42,6 +62,8 @@ LEAST_TOKENS = 1 << 22
 #: Frequent words whose nearness tells words apart.
 ANCHORS = 32
 RATES = (1.5, 1.0, 0.7, 0.5)
+#: The most frequent words, from which the centres of the classes are made.
+CENTRED = 1 << 16
 #: Different words that a task counts before it passes the counts on.
 HELD_WORDS = 200_000
 _BINS = 8  # of the histogram, for each doubling of the count
@@ -57,17 +79,76 @@ def remainder(ident: Column, of: int) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % of
 
 
+_held: dict[tuple, Any] = {}
+
+
+def _once(kind: str, of: Any, make: Callable) -> Any:
+    """What a worker, or the driver, made of some files; the last one of a kind is kept."""
+    if (kind, of) not in _held:
+        for known in [k for k in _held if k[0] == kind]:
+            del _held[known]
+        _held[kind, of] = make()
+    return _held[kind, of]
+
+
+@dataclass(frozen=True)
+class Files:
+    """Where a model lies in the shared folder: its vocabulary, classes, weights by range of buckets and,
+    when it is complete, words by the class before."""
+
+    folder: str
+    buckets: int
+    rare_count: float
+    classes: str = ""
+    weights: tuple[tuple[int, str], ...] = ()
+    words: tuple[tuple[int, str], ...] = ()
+
+    def vocabulary(self) -> Vocabulary:
+        return _once("vocabulary", self.folder, self._vocabulary)
+
+    def _vocabulary(self) -> Vocabulary:
+        with open_to_read(f"{self.folder}/vocabulary.npz") as file:
+            found = from_file(file)
+        return Vocabulary(found["words"].tobytes().split(b"\n"), found["counts"], int(found["hashes"]))
+
+    def model(self) -> Model:
+        return _once("model", self, self._model)
+
+    def _model(self) -> Model:
+        with open_to_read(self.classes) as file:
+            groups = from_file(file)["classes"]
+        model = Model(self.vocabulary(), None, self.rare_count, self.buckets, groups)
+        of_kind = -(-self.buckets // SHARD)
+        for shard, path in self.weights:
+            kind, number = divmod(shard, of_kind)
+            with open_to_read(path) as file:
+                model.weights[kind, number * SHARD : (number + 1) * SHARD] = from_file(file)["weights"]
+        if self.words:
+            model.of_word = np.empty((CLASSES, model.size), dtype=np.float32)
+            for before, path in self.words:
+                with open_to_read(path) as file:
+                    model.of_word[before] = from_file(file)["of_word"]
+        return model
+
+
 @dataclass
 class Fitted:
-    """The model, and the table ``words(word, c)`` of the training counts of all words."""
+    """The model's files, and the table ``words(word, c)`` of the training counts of all words."""
 
     words: DataFrame
-    vocabulary: Vocabulary
-    model: Model
+    files: Files
     tokens: int  # N
     different: int  # V
     texts: int
 
+    @property
+    def vocabulary(self) -> Vocabulary:
+        return self.files.vocabulary()
+
+    @property
+    def model(self) -> Model:
+        return self.files.model()
+
     def log10(self, count: np.ndarray | float):
         """The smoothed unigram probability of a token with such a count."""
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.different + 1)))
@@ -112,11 +193,12 @@ def _vocabulary(words: DataFrame, most: int, hashes: int) -> Vocabulary:
         if total > most:
             break
         least = number
-    chosen = [] if least is None else words.filter((bin_of >= least) & (F.octet_length("word") > 0)).collect()
-    end = words.filter(F.octet_length("word") == 0).collect()
-    rows = [(bytes(r.word), r.c) for r in chosen] + [(END, end[0].c if end else 0)]
-    rows.sort(key=lambda r: (-r[1], r[0]))
-    return Vocabulary([w for w, _ in rows], np.array([c for _, c in rows], dtype=np.int64), hashes)
+    chosen = words.filter((F.lit(False) if least is None else bin_of >= least) | (F.octet_length("word") == 0)).toArrow()
+    found, counts = chosen.column("word").to_pylist(), chosen.column("c").to_numpy()
+    if END not in found:
+        found, counts = [*found, END], np.append(counts, 0)
+    order = sorted(range(len(found)), key=lambda i: (-counts[i], found[i]))
+    return Vocabulary([found[i] for i in order], counts[order].astype(np.int64), hashes)
 
 
 def _token_runs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,65 +212,113 @@ def _token_runs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> It
         yield np.array(tokens, dtype=np.int64), np.array(starts, dtype=np.int64)
 
 
-def _neighbours(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often each word of the vocabulary stands within two tokens of each anchor."""
-    anchors = [i for i in range(vocabulary.size) if i != vocabulary.end][:ANCHORS]
-    number = np.full(vocabulary.begin + 1, -1)
-    number[anchors] = np.arange(len(anchors))
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def _classes(texts: DataFrame, files: Files, size: int) -> str:
+    """The file of the classes of the vocabulary's words, by how often each word stands within two tokens
+    of each anchor."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = files.vocabulary()
+        anchors = [i for i in range(words.size) if i != words.end][:ANCHORS]
+        number = np.full(words.begin + 1, -1)
+        number[anchors] = np.arange(len(anchors))
         total = np.zeros(words.size * ANCHORS, dtype=np.int64)
         for tokens, _ in _token_runs(batches, words):
+            known, anchor = tokens < words.size, number[tokens]
             for distance in (1, 2):
-                early, late = tokens[:-distance], tokens[distance:]
-                for word, near in ((early, late), (late, early)):
-                    some = (word < words.size) & (number[near] >= 0)
-                    add_counts(word[some] * ANCHORS + number[near[some]], total)
+                for word, near in ((slice(None, -distance), slice(distance, None)), (slice(distance, None), slice(None, -distance))):
+                    some = known[word] & (anchor[near] >= 0)
+                    add_counts(tokens[word][some] * ANCHORS + anchor[near][some], total)
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
-
-    sums = texts.select("_text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(vocabulary.size * ANCHORS, dtype=np.float32)
-    found[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    return found.reshape(vocabulary.size, ANCHORS)
-
-
-def tree_sum(parts: RDD, combine: Callable, fan: int = 8) -> list:
-    """All elements of ``parts`` combined, a few partitions at a time, until one is left; no task and
-    not the driver ever gets more than ``fan`` partitions' sums."""
-    n = parts.getNumPartitions()
-    while n > 1:
-        n = math.ceil(n / fan)
-        keyed = parts.mapPartitionsWithIndex(lambda i, rows: [(i // fan, row) for row in rows])
-        parts = keyed.reduceByKey(combine, n, lambda key: key).values()
-    return parts.collect()
-
-
-def _gradient(texts: DataFrame, vocabulary, model: Model, slices: int) -> Gradient | None:
-    """The sum over one of ``slices`` of the texts. A task takes so many partitions, as long as each core
-    has one, because what it passes on has the model's size however few its texts are."""
-    partitions, cores = texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism
-    texts = texts.coalesce(max(1, partitions // slices, min(partitions, cores)))
-    shared = texts.sparkSession.sparkContext.broadcast(model.lean("of_word", "word_weights", "word_bias", "order"))
+        yield pa.RecordBatch.from_arrays([pa.array(cells // ANCHORS), pa.array(cells % ANCHORS), pa.array(total[cells])], ["word", "anchor", "n"])
+
+    sums = texts.select("_text").mapInArrow(count, "word long, anchor long, n long").groupBy("word", "anchor").agg(F.sum("n").alias("n"))
+    sums = stored(sums, "neighbours")
+    rows = sums.filter(F.col("word") < CENTRED).toArrow()
+    contexts = np.zeros((min(size, CENTRED), ANCHORS), dtype=np.float32)
+    contexts[rows.column("word").to_numpy(), rows.column("anchor").to_numpy()] = rows.column("n").to_numpy()
+    centre = centres(contexts, files.vocabulary().counts[: len(contexts)], CLASSES - 2)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if held:
+            word, anchor, n = (np.concatenate(x) for x in zip(*held))
+            own, row = np.unique(word, return_inverse=True)
+            contexts = np.zeros((len(own), ANCHORS), dtype=np.float32)
+            contexts[row, anchor] = n
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(nearest(contexts, centre))], ["word", "class"])
+
+    placed = sums.repartition(max(1, size >> 14), F.shiftright("word", 10)).mapInArrow(place, "word long, class long").toArrow()
+    alone = nearest(np.zeros((1, ANCHORS)), centre)[0]
+    classes = np.full(size, alone, dtype=np.uint8)
+    classes[placed.column("word").to_numpy()] = placed.column("class").to_numpy()
+    path = f"{files.folder}/classes.npz"
+    with open_to_write(path) as out:
+        to_file({"classes": classes}, out)
+    return path
+
+
+def _round(texts: DataFrame, files: Files, size: int, rate: float) -> tuple[dict[int, str], dict[int, str]]:
+    """A step over some texts: the files of the ranges of weights that moved, and those of how often each
+    word follows a class. No more tasks than there are cores make gradients, because what each passes on
+    has up to the model's size however few its texts are."""
+    spark, buckets = texts.sparkSession, files.buckets
+    partitions, cores = texts.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    of_kind = -(-buckets // SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Gradient(size, buckets)
-        for tokens, starts in _token_runs(batches, vocabulary.value):
-            shared.value.gradient(tokens, starts, own)
-        yield pa.RecordBatch.from_arrays([pa.array([own.to_bytes()], pa.binary())], ["gradient"])
-
-    def combine(a, b):
-        total = a if isinstance(a, Gradient) else Gradient(size, buckets).add_bytes(a)
-        return total.add_bytes(b if isinstance(b, bytes) else b.to_bytes())
+        words, model, own = files.vocabulary(), files.model(), Gradient(size, buckets)
+        for tokens, starts in _token_runs(batches, words):
+            model.gradient(tokens, starts, own)
+        for shard, data in own.shards():
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard not in sums:
+                    counted = shard >= FEATURES * of_kind
+                    sums[shard] = np.zeros(size, np.int64) if counted else np.zeros((min(SHARD, buckets), 2 * CLASSES), np.float32)
+                add_shard(data.as_py(), sums[shard])
+        for shard, total in sums.items():
+            kind, number = divmod(shard, of_kind)
+            path = own_name(files.folder, "npz")
+            if kind >= FEATURES:
+                found = {"counts": total}
+            else:
+                model = files.model()
+                old = model.weights[kind, number * SHARD : (number + 1) * SHARD]
+                found = {"weights": old + model.move(*np.split(total, 2, axis=1), rate)}
+            with open_to_write(path) as out:
+                to_file(found, out)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path])], ["shard", "path"])
+
+    parts = texts.select("_text").coalesce(max(1, min(partitions, cores))).mapInArrow(run, "shard int, data binary")
+    made = {r.shard: r.path for r in parts.repartition(2 * cores, "shard").mapInArrow(step, "shard int, path string").collect()}
+    first = FEATURES * of_kind
+    return {s: p for s, p in made.items() if s < first}, {s - first: p for s, p in made.items() if s >= first}
+
+
+def _fit_words(spark, files: Files, counts: list[dict[int, str]]) -> tuple[tuple[int, str], ...]:
+    """The files of the words' probabilities after each class; a task for each class."""
 
-    size, buckets = vocabulary.value.size, model.weights.shape[1]
-    parts = texts.select("_text").mapInArrow(run, "gradient binary").rdd.map(lambda row: bytes(row[0]))
-    found = tree_sum(parts, combine)
-    if not found:
-        return None
-    return found[0] if isinstance(found[0], Gradient) else Gradient(size, buckets).add_bytes(found[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for before in batch.column(0).to_pylist():
+                model = files.model()
+                seen = np.zeros(model.size, dtype=np.int64)
+                for paths in counts:
+                    if before in paths:
+                        with open_to_read(paths[before]) as file:
+                            seen += from_file(file)["counts"]
+                path = own_name(files.folder, "npz")
+                with open_to_write(path) as out:
+                    to_file({"of_word": model.fit_words(seen)}, out)
+                yield pa.RecordBatch.from_arrays([pa.array([before], pa.int32()), pa.array([path])], ["before", "path"])
+
+    tasks = min(CLASSES, 2 * spark.sparkContext.defaultParallelism)
+    rows = spark.range(0, CLASSES, 1, tasks).mapInArrow(run, "before int, path string").collect()
+    return tuple(sorted((r.before, r.path) for r in rows))
 
 
 def fit(
@@ -212,26 +342,31 @@ def fit(
     vocabulary = _vocabulary(words, most, grown(RARE_HASHES, totals[0]))
     buckets = 1 << (grown(BUCKETS, totals[0]) - 1).bit_length()
     kinds = totals[1] - int((vocabulary.counts > 0).sum())
-    model = Model(vocabulary, _neighbours(texts, vocabulary), totals[0] - vocabulary.counts.sum() + 0.5 * kinds, buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    after_class = np.zeros((CLASSES, vocabulary.size), dtype=np.float32)
+    rare_count = float(totals[0] - vocabulary.counts.sum() + 0.5 * kinds)
+    files = Files(new_folder(docs.sparkSession, "model"), buckets, rare_count)
+    with open_to_write(f"{files.folder}/vocabulary.npz") as out:
+        names = np.frombuffer(b"\n".join(vocabulary.words), np.uint8)
+        to_file({"words": names, "counts": vocabulary.counts, "hashes": np.array(vocabulary.hashes)}, out)
+    size = vocabulary.size
+    files = replace(files, classes=_classes(texts, files, size))
+    counts: list[dict[int, str]] = []
     for number, rate in enumerate(rates):
-        gradient = _gradient(texts.filter(F.col("slice") == number), shared, model, len(rates))
-        if gradient is not None:
-            model.step(gradient, rate)
-            after_class += gradient.words
-    model.fit_words(after_class)
-    return Fitted(words, vocabulary, model, int(totals[0]), int(totals[1]), int(totals[2]))
+        moved, seen = _round(texts.filter(F.col("slice") == number), files, size, rate)
+        files = replace(files, weights=tuple(sorted({**dict(files.weights), **moved}.items())))
+        counts.append(seen)
+    files = replace(files, words=_fit_words(docs.sparkSession, files, counts))
+    return Fitted(words, files, int(totals[0]), int(totals[1]), int(totals[2]))
 
 
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every row."""
     made: list[str] = []
-    shared = docs.sparkSession.sparkContext.broadcast((fitted.vocabulary, fitted.model.lean("word_weights", "word_bias", "order"), fitted.log10(fitted.vocabulary.counts)))
+    files, trained, different = fitted.files, fitted.tokens, fitted.different
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model, unigram = shared.value
+        vocabulary, model = files.vocabulary(), files.model()
         known = vocabulary.counts > 0
+        unigram = np.log10((vocabulary.counts + 0.5) / (trained + 0.5 * (different + 1)))
         for rows in runs(batches, "_text"):
             tokens: list[int] = []
             starts, rare_words, rare_counts, ends = [], [], [], [0]

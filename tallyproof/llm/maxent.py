@@ -10,9 +10,11 @@ probability is the caller's matter.
 
 from __future__ import annotations
 
-import copy
+import io
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -22,8 +24,10 @@ BUCKETS = 1 << 12
 #: Words outside the vocabulary are features by one of so many hashes, likewise.
 RARE_HASHES = 1 << 10
 FEATURES = 3
-#: Tokens whose class probabilities are held at a time.
-BLOCK = 1 << 15
+#: Tokens whose class probabilities are made at a time, few enough for a processor's cache.
+BLOCK = 1 << 12
+#: Buckets of a kind that are summed and stored together.
+SHARD = 1 << 10
 END = b""
 
 
@@ -36,11 +40,14 @@ class Vocabulary:
     hashes: int = RARE_HASHES
 
     def __post_init__(self):
-        self.number = {w: i for i, w in enumerate(self.words)}
         self.size = len(self.words)
-        self.end = self.number[END]
+        self.end = self.words.index(END)
         self.begin = self.size + self.hashes  # stands before a text
 
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
     def read(self, text: bytes) -> tuple[list[int], dict[bytes, int]]:
         """The tokens of a text, end included, and its words outside the vocabulary with counts."""
         words = text.lower().split()
@@ -59,6 +66,8 @@ class Vocabulary:
 
 def _scatter(index: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
     """Add the rows of ``values`` to the rows ``index`` of ``into``."""
+    if len(into) <= 1 << 16:
+        index = index.astype(np.uint16)  # sorted by digits
     order = np.argsort(index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
@@ -67,42 +76,54 @@ def _scatter(index: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
 
 def add_counts(cells: np.ndarray, into: np.ndarray) -> None:
     """Add 1 to a cell of the flat ``into`` for each time it is named."""
-    cells, times = np.unique(cells, return_counts=True)
-    into[cells] += times.astype(into.dtype)
+    np.add.at(into, cells, into.dtype.type(1))
 
 
-def similar_words(contexts: np.ndarray, counts: np.ndarray, groups: int, turns: int = 15) -> np.ndarray:
-    """A group for each word, by what stands near it: k-means over the square roots of the shares of
-    each context, which begins with words far from all before them."""
+def _points(contexts: np.ndarray) -> np.ndarray:
+    """The square roots of the shares of each context."""
     points = contexts.astype(np.float32)
     points /= np.maximum(contexts.sum(axis=1, keepdims=True, dtype=np.float64), 1).astype(np.float32)
-    np.sqrt(points, out=points)
+    return np.sqrt(points, out=points)
+
+
+def centres(contexts: np.ndarray, counts: np.ndarray, groups: int, turns: int = 15) -> np.ndarray:
+    """Centres of words by what stands near them: k-means, which begins with words far from all before."""
+    points = _points(contexts)
     groups = min(groups, len(points))
     weight = np.sqrt(counts).astype(np.float32)
-    centres = [points[0]]
+    chosen = [points[0]]
     distance = np.full(len(points), np.inf, dtype=np.float32)
     for _ in range(groups - 1):
-        distance = np.minimum(distance, ((points - centres[-1]) ** 2).sum(axis=1))
-        centres.append(points[int((distance * weight).argmax())])
-    centre = np.array(centres)
+        distance = np.minimum(distance, ((points - chosen[-1]) ** 2).sum(axis=1))
+        chosen.append(points[int((distance * weight).argmax())])
+    centre = np.array(chosen)
     for _ in range(turns):
         nearest = (points @ centre.T - 0.5 * (centre**2).sum(axis=1)).argmax(axis=1)
         total = np.bincount(nearest, weight, groups)
         for axis in range(points.shape[1]):
             sums = np.bincount(nearest, weight * points[:, axis], groups)
             centre[:, axis] = np.where(total > 0, sums / np.maximum(total, 1e-9), centre[:, axis])
-    return nearest
+    return centre
+
+
+def nearest(contexts: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The group of each word."""
+    return (_points(contexts) @ centre.T - 0.5 * (centre**2).sum(axis=1)).argmax(axis=1)
 
 
 class Model:
-    """Classes and weights; its size is set by the vocabulary and the number of buckets."""
+    """Classes and weights; its size is set by the vocabulary and the number of buckets. ``groups`` are
+    the classes of the vocabulary's words; without them they come from ``contexts``."""
 
-    def __init__(self, vocabulary: Vocabulary, contexts: np.ndarray, rare_count: float, buckets: int = BUCKETS):
+    def __init__(
+        self, vocabulary: Vocabulary, contexts: np.ndarray | None, rare_count: float, buckets: int = BUCKETS, groups: np.ndarray | None = None
+    ):
         size = vocabulary.size
-        group = similar_words(contexts, vocabulary.counts, CLASSES - 2)
+        if groups is None:
+            groups = nearest(contexts, centres(contexts, vocabulary.counts, CLASSES - 2))
         self.unknown, self.ending = CLASSES - 1, CLASSES - 2
         self.class_of = np.full(vocabulary.begin + 1, self.unknown, dtype=np.int64)
-        self.class_of[:size] = group
+        self.class_of[:size] = groups
         self.class_of[[vocabulary.end, vocabulary.begin]] = self.ending
         self.size, self.begin = size, vocabulary.begin
         self.bits = buckets.bit_length() - 1
@@ -114,26 +135,26 @@ class Model:
         with np.errstate(divide="ignore"):
             self.bias = np.log(of_class / of_class.sum()).astype(np.float32)
         self.word_bias = np.log(counts / of_class[self.class_of[:size]])
-        self.word_weights = np.zeros((CLASSES, size), dtype=np.float32)
-        own = self.class_of[:size]
-        self.order = np.argsort(own, kind="stable")
-        ordered = own[self.order]
-        self.first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        self.of_word = np.array([self._normal(row) for row in self.word_weights], dtype=np.float32)
         ids = np.arange(vocabulary.begin + 1, dtype=np.uint64)
         self.mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
-    def lean(self, *names: str) -> Model:
-        """A copy for tasks that need none of the ``names``."""
-        other = copy.copy(self)
-        for name in names:
-            setattr(other, name, None)
-        return other
+    @cached_property
+    def of_word(self) -> np.ndarray:
+        """The logarithm of each word's probability in its class, after each class."""
+        return np.tile(self._normal(np.zeros(self.size)).astype(np.float32), (CLASSES, 1))
+
+    @cached_property
+    def _ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words by class, and where each class begins."""
+        own = self.class_of[: self.size]
+        order = np.argsort(own, kind="stable")
+        return order, np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
 
     def _by_class(self, values: np.ndarray) -> np.ndarray:
         """The sum of ``values`` over the words of each class, given to each of its words."""
+        order, first = self._ordered
         total = np.zeros(CLASSES)
-        total[self.class_of[self.order[self.first]]] = np.add.reduceat(values[self.order], self.first)
+        total[self.class_of[order[first]]] = np.add.reduceat(values[order], first)
         return total[self.class_of[: self.size]]
 
     def _normal(self, weights: np.ndarray) -> np.ndarray:
@@ -158,11 +179,17 @@ class Model:
         both = (a ^ (b >> np.uint64(7)) ^ (b << np.uint64(13))) * np.uint64(0xD6E8FEB86659FD93)
         return [(x >> shift).astype(np.int64) for x in (a, b, both)]
 
+    def logits(self, buckets: list[np.ndarray]) -> np.ndarray:
+        """What the classes' probabilities are proportional to, as logarithms of no great size."""
+        logits = self.weights[0].take(buckets[0], axis=0)
+        for kind in range(1, FEATURES):
+            logits += self.weights[kind].take(buckets[kind], axis=0)
+        logits += self.bias
+        return logits
+
     def classes(self, buckets: list[np.ndarray]) -> np.ndarray:
         """The logarithms of the classes' probabilities, a row for each context."""
-        logits = self.bias + self.weights[0][buckets[0]]
-        for kind in range(1, FEATURES):
-            logits += self.weights[kind][buckets[kind]]
+        logits = self.logits(buckets)
         logits -= logits.max(axis=1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return logits
@@ -173,10 +200,14 @@ class Model:
         found = np.empty(len(tokens))
         one, two = self.contexts(tokens, starts)
         own, before = self.class_of[tokens], self.class_of[one]
+        ones = np.ones(CLASSES, dtype=np.float32)
+        rows = np.arange(BLOCK)
         for at in range(0, len(tokens), BLOCK):
             some = slice(at, at + BLOCK)
-            rows = self.classes(self.buckets(one[some], two[some]))
-            found[some] = np.take_along_axis(rows, own[some, None], axis=1)[:, 0]
+            logits = self.logits(self.buckets(one[some], two[some]))
+            logits -= logits.max(axis=1, keepdims=True)
+            chosen = logits[rows[: len(logits)], own[some]]
+            found[some] = chosen - np.log(np.exp(logits, out=logits) @ ones)
         known = np.flatnonzero(tokens < self.size)
         found[known] += self.of_word[before[known], tokens[known]]
         return found
@@ -185,50 +216,84 @@ class Model:
         """Add what these texts say of the weights: observed and expected counts."""
         one, two = self.contexts(tokens, starts)
         own, before = self.class_of[tokens], self.class_of[one]
-        eye = np.eye(CLASSES, dtype=np.float32)
+        buckets = self.buckets(one, two)
+        expected = np.empty((len(tokens), CLASSES), dtype=np.float32)
+        ones = np.ones(CLASSES, dtype=np.float32)
         for at in range(0, len(tokens), BLOCK):
             some = slice(at, at + BLOCK)
-            buckets = self.buckets(one[some], two[some])
-            expected = np.exp(self.classes(buckets))
-            both = np.concatenate([eye[own[some]], expected], axis=1)
-            for kind in range(FEATURES):
-                _scatter(buckets[kind], both, into.features[kind])
+            logits = self.logits([b[some] for b in buckets])
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            np.divide(logits, (logits @ ones)[:, None], out=expected[some])
+        for kind in range(FEATURES):
+            add_counts(buckets[kind] * CLASSES + own, into.observed[kind].reshape(-1))
+            _scatter(buckets[kind], expected, into.expected[kind])
         known = tokens < self.size
         add_counts(before[known] * self.size + tokens[known], into.words.reshape(-1))
 
-    def step(self, gradient: Gradient, rate: float = 1.0, damping: float = 2.0) -> None:
-        """One update: each weight moves by the difference of the logarithms of its observed and
-        expected counts, its gradient scaled by its own curvature, over the features of a context."""
-        for kind in range(FEATURES):
-            observed, expected = np.split(gradient.features[kind], 2, axis=1)
-            move = np.log((observed + damping * np.exp(self.bias) + 1e-9) / (expected + damping * np.exp(self.bias) + 1e-9))
-            self.weights[kind] += (rate / FEATURES) * move.astype(np.float32) * self.used
-
-    def fit_words(self, counts: np.ndarray, turns: int = 20, damping: float = 5.0) -> None:
-        """The weights of words after classes, from how often each word follows each class: the counts
-        hold all that the corpus says of them."""
-        for seen, weights, of_word in zip(counts, self.word_weights, self.of_word):
-            seen = seen.astype(np.float64)
-            of_class = self._by_class(seen)
-            for _ in range(turns):
-                expected = of_class * np.exp(of_word)
-                weights += (seen - expected - damping * 0.1 * weights) / (expected + damping)
-                np.clip(weights, -3, 3, out=weights)
-                of_word[:] = self._normal(weights)
+    def move(self, observed: np.ndarray, expected: np.ndarray, rate: float = 1.0, damping: float = 2.0) -> np.ndarray:
+        """How one update moves the weights of some buckets: each by the difference of the logarithms of
+        its observed and expected counts, its gradient scaled by its own curvature, over the features of
+        a context."""
+        floor = damping * np.exp(self.bias) + 1e-9
+        return (rate / FEATURES) * (np.log((observed + floor) / (expected + floor)) * self.used).astype(np.float32)
+
+    def fit_words(self, seen: np.ndarray, turns: int = 20, damping: float = 5.0) -> np.ndarray:
+        """The row of `of_word` after a class, from how often each word follows it: the counts hold all
+        that the corpus says of them."""
+        seen, weights = seen.astype(np.float64), np.zeros(self.size)
+        of_word, of_class = self._normal(weights), self._by_class(seen)
+        for _ in range(turns):
+            expected = of_class * np.exp(of_word)
+            weights += (seen - expected - damping * 0.1 * weights) / (expected + damping)
+            np.clip(weights, -3, 3, out=weights)
+            of_word = self._normal(weights)
+        return of_word.astype(np.float32)
 
 
 class Gradient:
-    """Observed and expected counts of class features, side by side, and counts of words after classes."""
+    """Observed and expected counts of class features, and counts of words after classes."""
 
     def __init__(self, size: int, buckets: int = BUCKETS):
-        self.features = np.zeros((FEATURES, buckets, 2 * CLASSES), dtype=np.float32)
-        self.words = np.zeros((CLASSES, size), dtype=np.float32)
+        self.observed = np.zeros((FEATURES, buckets, CLASSES), dtype=np.float32)
+        self.expected = np.zeros((FEATURES, buckets, CLASSES), dtype=np.float32)
+        self.words = np.zeros((CLASSES, size), dtype=np.int64)
+
+    def shards(self) -> Iterator[tuple[int, bytes]]:
+        """What is not zero, in parts that can be summed apart: by kind and range of buckets, and after
+        those by the class before."""
+        buckets = self.observed.shape[1]
+        of_kind = -(-buckets // SHARD)
+        for kind in range(FEATURES):
+            for number in range(of_kind):
+                some = slice(number * SHARD, (number + 1) * SHARD)
+                both = np.concatenate([self.observed[kind, some], self.expected[kind, some]], axis=1)
+                rows = np.flatnonzero(both[:, CLASSES:].any(axis=1)).astype(np.int32)
+                if len(rows):
+                    yield kind * of_kind + number, _packed(rows, both[rows])
+        for number, counts in enumerate(self.words):
+            rows = np.flatnonzero(counts).astype(np.int32)
+            if len(rows):
+                yield FEATURES * of_kind + number, _packed(rows, counts[rows])
+
+
+def _packed(rows: np.ndarray, values: np.ndarray) -> bytes:
+    return zlib.compress(len(rows).to_bytes(4, "little") + rows.tobytes() + values.tobytes(), 1)
+
+
+def add_shard(data: bytes, into: np.ndarray) -> None:
+    """Add a part of a gradient to the dense ``into``, which has its rows and type."""
+    raw = zlib.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    rows = np.frombuffer(raw, np.int32, n, 4)
+    into[rows] += np.frombuffer(raw, into.dtype, offset=4 + 4 * n).reshape(n, *into.shape[1:])
+
+
+def to_file(arrays: dict[str, np.ndarray], out) -> None:
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    out.write(data.getbuffer())
 
-    def to_bytes(self) -> bytes:
-        return zlib.compress(self.features.tobytes() + self.words.tobytes(), 1)
 
-    def add_bytes(self, data: bytes) -> Gradient:
-        raw = np.frombuffer(zlib.decompress(data), np.float32)
-        self.features += raw[: self.features.size].reshape(self.features.shape)
-        self.words += raw[self.features.size :].reshape(self.words.shape)
-        return self
+def from_file(file) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(file.read())))

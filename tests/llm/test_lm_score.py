@@ -128,21 +128,26 @@ def test_gradient_is_that_of_the_likelihood():
 
     for kind in range(maxent.FEATURES):
         bucket, label = int(model.buckets(one, two)[kind][7]), int(own[7])
-        observed, expected_ = np.split(gradient.features[kind][bucket], 2)
+        observed, expected_ = gradient.observed[kind, bucket], gradient.expected[kind, bucket]
         model.weights[kind][bucket][label] += 0.01
         up = likelihood()
         model.weights[kind][bucket][label] -= 0.02
         down = likelihood()
         model.weights[kind][bucket][label] += 0.01
         assert (up - down) / 0.02 == pytest.approx(observed[label] - expected_[label], abs=0.05)
-    assert maxent.Gradient(61).add_bytes(gradient.to_bytes()).words.sum() == gradient.words.sum() == 400
-
-
-def test_tree_sum(spark):
-    context = spark.sparkContext
-    for parts in (1, 2, 9, 70):
-        rdd = context.parallelize(range(100), parts)
-        assert lm_score.tree_sum(rdd.mapPartitions(lambda rows: [sum(rows)]), lambda a, b: a + b) == [4950]
+    of_kind, summed = maxent.BUCKETS // maxent.SHARD, maxent.Gradient(61)
+    for shard, data in [*gradient.shards(), *gradient.shards()]:
+        kind, number = divmod(shard, of_kind)
+        if kind >= maxent.FEATURES:
+            maxent.add_shard(data, summed.words[shard - maxent.FEATURES * of_kind])
+        else:
+            both = np.zeros((maxent.SHARD, 2 * maxent.CLASSES), np.float32)
+            maxent.add_shard(data, both)
+            some = slice(number * maxent.SHARD, (number + 1) * maxent.SHARD)
+            summed.observed[kind, some] += both[:, : maxent.CLASSES]
+            summed.expected[kind, some] += both[:, maxent.CLASSES :]
+    assert summed.words.sum() == 2 * gradient.words.sum() == 800
+    assert (summed.observed == 2 * gradient.observed).all() and (summed.expected == 2 * gradient.expected).all()
 
 
 def test_edges(spark):
