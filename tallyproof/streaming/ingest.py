@@ -6,7 +6,7 @@ A table is a folder of five tables, each with a part per batch:
 - ``membership``: ``(series, entity_id)`` as listed by the searches, each pair once;
 - ``refused``: listed rows without a usable id, with their place;
 - ``malformed``: ``(source, problem)`` of pages whose shape is not the documented one;
-- ``ids``: the stored ids and pairs by bucket, which later batches compare themselves with.
+- ``ids``: the stored ids and pairs, which later batches compare themselves with (`index`).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyproof.functions import fixed_values as V
@@ -26,10 +26,9 @@ from tallyproof.sources.pages import (
     series_of_studies,
     studies_of_pages,
 )
+from tallyproof.streaming import index
 
 SOURCE_ORDER = ["search_no", "page_no", "pos"]
-#: Folders that the stored ids are dealt over; a batch reads those that its own ids fall into.
-BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -92,34 +91,24 @@ def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return parse_pages(documents.select("value", F.col("_metadata.file_path").alias("source")))
 
 
-def bucket_of(entity_id: Column) -> Column:
-    return F.pmod(F.xxhash64(entity_id), F.lit(BUCKETS)).cast("int")
-
-
-def known(spark: SparkSession, table: str, before: int, buckets: list[int]) -> DataFrame | None:
-    """``(entity_id, series)`` stored by earlier batches in some buckets; None when there are none."""
-    if before == 0 or not buckets:
-        return None
-    stored = spark.read.schema("entity_id string, series string, bucket int, batch long").parquet(f"{table}/ids")
-    return stored.where((F.col("batch") < before) & F.col("bucket").isin(buckets))
-
-
 def append_new(
     pages: DataFrame, table: str, batch_id: int, pattern: str = V.STUDY_ID_PATTERN, strict: bool = False
 ) -> None:
     """Append what one batch adds to each table.
 
     Every batch has its own folders, and a batch that is run again after a failure compares itself
-    with earlier batches only and replaces its own, so nothing is stored twice. ``strict`` fails a
+    with earlier batches only and replaces its own, so nothing is stored twice. Of the ids stored
+    before, a batch reads the files that may hold its own. ``strict`` fails a
     batch with malformed pages or refused rows, after writing these two tables; its files are then
     read again when the query is started anew.
     """
     spark = pages.sparkSession
     pages = pages.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        listed = studies_of_pages(pages).where(F.col("entity_id").isNotNull())
-        buckets = [r[0] for r in listed.select(bucket_of(F.col("entity_id"))).distinct().collect()]
-        stored = known(spark, table, batch_id, buckets)
+        listed = studies_of_pages(pages).select("entity_id")
+        live = index.live_files(spark, table, batch_id)
+        index.clean(spark, table, batch_id, live)
+        stored = index.known(listed, table, live)
         ids = members = None
         if stored is not None:
             ids = stored.where(F.col("series").isNull())
@@ -140,10 +129,7 @@ def append_new(
         mine = spark.read.schema("entity_id string").parquet(f"{table}/studies/batch={batch_id}")
         pairs = spark.read.schema("series string, entity_id string").parquet(f"{table}/membership/batch={batch_id}")
         both = mine.select("entity_id", F.lit(None).cast("string").alias("series")).unionByName(pairs)
-        dealt = both.withColumn("bucket", bucket_of(F.col("entity_id"))).repartition(F.col("bucket"))
-        dealt.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch", "bucket").parquet(f"{table}/ids")
+        index.append(both, table, batch_id, live)
     finally:
         pages.unpersist()
 
