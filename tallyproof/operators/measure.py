@@ -210,8 +210,9 @@ def zero_fill_series(rows: DataFrame, promised: list[str]) -> DataFrame:
     Series with only some keys missing are left alone. The zero rows follow all others, series by
     series in the promised order, keys in display order. Which series are absent, at most as many
     as were promised, and the number of rows come to the driver; the zero rows are numbered by a
-    distributed sort.
+    distributed sort. The report is written once and read from then on.
     """
+    rows = durable(rows)
     shown = rows.where(F.col("series").isin(promised)).select("series").distinct()
     present = {r.series for r in shown.collect()}
     absent = [s for s in promised if s not in present]
@@ -237,8 +238,9 @@ def zero_fill_years(
 
     The axis runs over the given bounds, else over what was observed. With fewer than two dated
     rows both bounds are needed. A reversed axis, or one longer than ``max_years``, is refused, and
-    the rows come back unchanged. The axis comes to the driver; the rows do not.
+    the rows come back unchanged. The axis comes to the driver; the rows, written once before, do not.
     """
+    rows = durable(rows)
     year = F.when(F.col("key").rlike("^[0-9]+$"), F.col("key").try_cast("int"))
     dated = rows.withColumn("_year", year)
     first, last, n = dated.agg(F.min("_year"), F.max("_year"), F.count("_year")).first()

@@ -96,6 +96,12 @@ studies as (
 )"""
 
 
+def _absent(module: str) -> Column:
+    """A module of the study record with nothing in it."""
+    fields = S.STUDY["protocolSection"].dataType[module].dataType.fields
+    return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).alias(module)
+
+
 def studies(spark: SparkSession, sf: str) -> DataFrame:
     """Orders in the shape of study records: one row per order, scalar modules and phases.
 
@@ -131,17 +137,20 @@ def studies(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"),
         F.col("o_custkey") == F.col("c_custkey"),
     )
-    none = F.lit(None)
-    shape = S.STUDY["protocolSection"].dataType
+    # Leaf by leaf: a cast of the whole record would be evaluated whole for every field that is read.
     section = F.struct(
-        F.struct(F.format_string("NCT%08d", F.col("o_orderkey")), title),
-        F.struct(F.nullif(F.col("o_orderstatus"), F.lit("P")), F.struct(date)),
-        F.struct(F.struct(F.col("c_name"), F.col("c_mktsegment"))),
-        F.struct(phases, F.struct(F.floor(F.col("o_totalprice") / 250))),
-        F.struct(none),
-        F.struct(none),
-        F.struct(none),
-    ).cast(shape)
+        F.struct(F.format_string("NCT%08d", F.col("o_orderkey")).alias("nctId"), title.alias("briefTitle")).alias("identificationModule"),
+        F.struct(
+            F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("overallStatus"), F.struct(date.alias("date")).alias("startDateStruct")
+        ).alias("statusModule"),
+        F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("class")).alias("leadSponsor")).alias(
+            "sponsorCollaboratorsModule"
+        ),
+        F.struct(
+            phases.alias("phases"), F.struct(F.floor(F.col("o_totalprice") / 250).cast("long").alias("count")).alias("enrollmentInfo")
+        ).alias("designModule"),
+        *[_absent(name) for name in ("armsInterventionsModule", "contactsLocationsModule", "conditionsModule")],
+    )
     return orders.select("o_orderkey", section.alias("protocolSection"))
 
 
@@ -196,5 +205,5 @@ def full_studies(spark: SparkSession, sf: str) -> DataFrame:
     fields["contactsLocationsModule"] = F.struct(
         F.transform("_l", lambda c: F.struct(c.alias("country"))).alias("locations")
     )
-    section = F.struct(*[c.alias(n) for n, c in fields.items()]).cast(shape)
+    section = F.struct(*[c.alias(n) for n, c in fields.items()])
     return whole.select("o_orderkey", section.alias("protocolSection"))
