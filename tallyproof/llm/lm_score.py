@@ -204,12 +204,8 @@ def _vocabulary(words: DataFrame, most: int, hashes: int) -> Vocabulary:
 def _token_runs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens of runs of texts, and where each text begins."""
     for rows in runs(batches, "_text"):
-        tokens: list[int] = []
-        starts = []
-        for text in as_bytes(rows.column("_text")):
-            starts.append(len(tokens))
-            tokens += vocabulary.read(text)[0]
-        yield np.array(tokens, dtype=np.int64), np.array(starts, dtype=np.int64)
+        tokens, starts, _, _ = vocabulary.read_all(as_bytes(rows.column("_text")))
+        yield tokens, starts
 
 
 def _classes(texts: DataFrame, files: Files, size: int) -> str:
@@ -368,21 +364,15 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
         known = vocabulary.counts > 0
         unigram = np.log10((vocabulary.counts + 0.5) / (trained + 0.5 * (different + 1)))
         for rows in runs(batches, "_text"):
-            tokens: list[int] = []
-            starts, rare_words, rare_counts, ends = [], [], [], [0]
-            for text in as_bytes(rows.column(2)):
-                ids, rare = vocabulary.read(text)
-                starts.append(len(tokens))
-                tokens += ids
-                rare_words += rare
-                rare_counts += rare.values()
-                ends.append(len(rare_words))
-            ids, begins = np.array(tokens, dtype=np.int64), np.array(starts, dtype=np.int64)
+            ids, begins, places, rare = vocabulary.read_all(as_bytes(rows.column(2)))
+            counted = Counter(zip((np.searchsorted(begins, places, side="right") - 1).tolist(), rare))
+            of_text = np.fromiter((t for t, _ in counted), np.int64, len(counted))  # in the texts' order
+            ends = np.searchsorted(of_text, np.arange(len(begins) + 1))
             frequent = ids < vocabulary.size
             base, found = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
             base[frequent], found[frequent] = unigram[ids[frequent]], known[ids[frequent]]
             pairs = pa.StructArray.from_arrays(
-                [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"]
+                [pa.array([w for _, w in counted], pa.binary()), pa.array(list(counted.values()), pa.int64())], ["word", "n"]
             )
             yield pa.RecordBatch.from_arrays(
                 [

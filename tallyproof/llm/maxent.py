@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import io
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 
@@ -26,6 +28,8 @@ RARE_HASHES = 1 << 10
 FEATURES = 3
 #: Tokens whose class probabilities are made at a time, few enough for a processor's cache.
 BLOCK = 1 << 12
+#: Rows that are added together before they are added up by bucket.
+AT_ONCE = 8
 #: Buckets of a kind that are summed and stored together.
 SHARD = 1 << 10
 END = b""
@@ -48,30 +52,54 @@ class Vocabulary:
     def number(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
 
+    def read_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The tokens of some texts, ends included, where each text begins, and the places and the words
+        of those outside the vocabulary."""
+        words: list[bytes] = []
+        starts = []
+        for text in texts:
+            starts.append(len(words))
+            words += text.lower().split()
+            words.append(END)
+        tokens = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        places = np.flatnonzero(tokens < 0)
+        rare = [words[at] for at in places.tolist()]
+        tokens[places] = self.size + np.fromiter(map(zlib.crc32, rare), np.int64, len(rare)) % self.hashes
+        return tokens, np.array(starts, dtype=np.int64), places, rare
+
     def read(self, text: bytes) -> tuple[list[int], dict[bytes, int]]:
         """The tokens of a text, end included, and its words outside the vocabulary with counts."""
-        words = text.lower().split()
-        get = self.number.get
-        ids = [get(w, -1) for w in words]
-        rare: dict[bytes, int] = {}
-        if -1 in ids:
-            for at, number in enumerate(ids):
-                if number < 0:
-                    word = words[at]
-                    ids[at] = self.size + zlib.crc32(word) % self.hashes
-                    rare[word] = rare.get(word, 0) + 1
-        ids.append(self.end)
-        return ids, rare
+        tokens, _, _, rare = self.read_all([text])
+        return tokens.tolist(), dict(Counter(rare))
 
 
 def _scatter(index: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
-    """Add the rows of ``values`` to the rows ``index`` of ``into``."""
+    """Add the rows of ``values`` to the rows ``index`` of ``into``; ``values`` has one row more, of zeros,
+    which fills each row's share up to a multiple of ``AT_ONCE``, so that most of the adding is done on
+    whole arrays."""
     if len(into) <= 1 << 16:
         index = index.astype(np.uint16)  # sorted by digits
     order = np.argsort(index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-    into[index[first]] += np.add.reduceat(values[order], first, axis=0)
+    sizes = np.diff(np.append(first, len(index)))
+    filled = -(-sizes // AT_ONCE)
+    begins = np.cumsum(filled) - filled
+    places = np.full(int(filled.sum()) * AT_ONCE, len(values) - 1)
+    places[np.arange(len(index)) + np.repeat(begins * AT_ONCE - first, sizes)] = order
+    places = places.reshape(-1, AT_ONCE)
+    total = values.take(places[:, 0], axis=0)
+    for at in range(1, AT_ONCE):
+        total += values.take(places[:, at], axis=0)
+    into[index[first]] += np.add.reduceat(total, begins, axis=0)
+
+
+def largest(rows: np.ndarray) -> np.ndarray:
+    """The largest number of each row, whose length is a power of two."""
+    while rows.shape[1] > 1:
+        half = rows.shape[1] // 2
+        rows = np.maximum(rows[:, :half], rows[:, half:])
+    return rows
 
 
 def add_counts(cells: np.ndarray, into: np.ndarray) -> None:
@@ -190,7 +218,7 @@ class Model:
     def classes(self, buckets: list[np.ndarray]) -> np.ndarray:
         """The logarithms of the classes' probabilities, a row for each context."""
         logits = self.logits(buckets)
-        logits -= logits.max(axis=1, keepdims=True)
+        logits -= largest(logits)
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return logits
 
@@ -205,7 +233,7 @@ class Model:
         for at in range(0, len(tokens), BLOCK):
             some = slice(at, at + BLOCK)
             logits = self.logits(self.buckets(one[some], two[some]))
-            logits -= logits.max(axis=1, keepdims=True)
+            logits -= largest(logits)
             chosen = logits[rows[: len(logits)], own[some]]
             found[some] = chosen - np.log(np.exp(logits, out=logits) @ ones)
         known = np.flatnonzero(tokens < self.size)
@@ -217,14 +245,15 @@ class Model:
         one, two = self.contexts(tokens, starts)
         own, before = self.class_of[tokens], self.class_of[one]
         buckets = self.buckets(one, two)
-        expected = np.empty((len(tokens), CLASSES), dtype=np.float32)
+        expected = np.empty((len(tokens) + 1, CLASSES), dtype=np.float32)
+        expected[-1] = 0
         ones = np.ones(CLASSES, dtype=np.float32)
         for at in range(0, len(tokens), BLOCK):
             some = slice(at, at + BLOCK)
             logits = self.logits([b[some] for b in buckets])
-            logits -= logits.max(axis=1, keepdims=True)
+            logits -= largest(logits)
             np.exp(logits, out=logits)
-            np.divide(logits, (logits @ ones)[:, None], out=expected[some])
+            np.divide(logits, (logits @ ones)[:, None], out=expected[at : at + len(logits)])
         for kind in range(FEATURES):
             add_counts(buckets[kind] * CLASSES + own, into.observed[kind].reshape(-1))
             _scatter(buckets[kind], expected, into.expected[kind])
