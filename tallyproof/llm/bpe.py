@@ -1,6 +1,10 @@
 """A tokenizer inside tasks: loaded once for each worker, with what was encoded before at hand.
 
 The tokenizer's file is read by the driver and broadcast; it has the size of its vocabulary.
+
+Texts of `SAFE` characters are cut into pre-tokens many at a time: classes of characters give the places,
+Arrow tells the different pre-tokens apart, and each of those that a worker does not remember is merged by
+the library, without its normalizer and pattern, whose work is done. All else the library does itself.
 """
 
 from __future__ import annotations
@@ -9,10 +13,11 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
@@ -22,10 +27,19 @@ REMEMBERED = 180_000
 
 #: Pre-tokens that are encoded in one call.
 TOGETHER = 256
+#: Bytes of a text that are cut into pre-tokens at a time, and where a longer text may be divided.
+PART = 4 << 20
+APART = re.compile(rb"[\t-\r 0-9]")
+#: The pattern and normalizers that `Splitter` follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Blanks, visible ASCII, Latin letters and signs, common punctuation: lower-casing and character classes
 #: are the same in every Unicode version, and composition changes nothing. U+0130 lower-cases to two.
 SAFE = re.compile(r"[\t-\r -~¡-įı-ſ‐-‧‰-⁞€]*")
 
+#: What is left of a tokenizer that merges pre-tokens only.
+_BARE = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}
+
 _loaded: dict[str, Encoder] = {}
 
 
@@ -78,6 +92,76 @@ def splitting(tokenizer, text: str) -> tuple[regex.Pattern, np.ndarray | None, r
     return regex.compile(pattern), last, re.compile(special)
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: visible Latin-1 characters
+    for themselves, the others numbered on from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in visible else next(others)) for b in range(256)]
+
+
+class Splitter:
+    """Cuts texts of `SAFE` characters into the pre-tokens of `PATTERN`, by classes of characters: letters
+    stay together, a number stands alone, and so do signs up to the next blank, letter or number; a sign
+    run that begins with an apostrophe may be a contraction, which takes its letters with it."""
+
+    BLANK, LETTER, NUMBER, SIGN, UNSAFE = range(5)
+
+    def __init__(self):
+        known = [chr(c) for c in range(0x20AD)]
+        self.kind = np.array([self._kind(c) for c in known], dtype=np.uint8)
+        self.width = np.array([len(c.encode("utf-8", "surrogatepass")) for c in known], dtype=np.uint8)
+        self.short = np.zeros(len(known), dtype=bool)
+        self.short[[ord(c) for c in "stmd"]] = True
+
+    def _kind(self, character: str) -> int:
+        if not SAFE.fullmatch(character):
+            return self.UNSAFE
+        for kind, pattern in ((self.BLANK, r"\s"), (self.LETTER, r"\p{L}"), (self.NUMBER, r"\p{N}")):
+            if regex.fullmatch(pattern, character):
+                return kind
+        return self.SIGN
+
+    def split(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different pre-tokens; for each place where one stands, which it is; and how many stand
+        before each text, and in all."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = "\n".join(texts).lower()
+        data = joined.encode()
+        codes = np.frombuffer(data, np.uint8) if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kinds = self.kind[codes]
+        start = np.empty(len(kinds), dtype=bool)
+        start[:1] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
+        start |= kinds == self.NUMBER
+        filled = kinds != self.BLANK
+        start &= filled
+        self._contract(codes, kinds, start)
+        places = np.flatnonzero(start)
+        widths = filled if codes.dtype == np.uint8 else self.width[codes] * filled
+        ends = np.cumsum(widths, dtype=np.int32)
+        offsets = np.append(ends[places] - widths[places], ends[-1:] if len(ends) else 0).astype(np.int32)
+        plain = pa.py_buffer(data.translate(None, b"\t\n\x0b\x0c\r "))
+        found = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), plain]).dictionary_encode()
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        before = np.append(np.searchsorted(places, begins), len(places))
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), before
+
+    def _contract(self, codes: np.ndarray, kinds: np.ndarray, start: np.ndarray) -> None:
+        at = np.flatnonzero((codes == 39) & start)
+        if not len(at):
+            return
+        follow = [np.where(at + k < len(codes), codes[np.minimum(at + k, len(codes) - 1)], 0) for k in (1, 2)]
+        one, two = (x.astype(np.int64) for x in follow)
+        e, r, v, ell = (ord(c) for c in "ervl")
+        long = ((one == r) | (one == v)) & (two == e) | (one == ell) & (two == ell)
+        size = np.where(self.short[one], 2, np.where(long, 3, 0))
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        after = (at + size)[at + size < len(codes)]
+        start[after] = kinds[after] != self.BLANK
+
+
 class Recent:
     """Results of words, of which the recently used stay: words live in two generations, and when the
     young one is full it becomes the old one, which is forgotten."""
@@ -106,8 +190,18 @@ class Recent:
         return found
 
 
+def divided(text: bytes) -> Iterator[bytes]:
+    """A long text in parts, divided where a blank or a digit stands, which ends a pre-token."""
+    start = 0
+    while start < len(text):
+        cut = APART.search(text, start + PART)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
+
+
 class Encoder:
-    """Encodes texts word by word. The pre-tokenizer never joins what blanks separate and composition
+    """Encodes texts by their pre-tokens or words. The pre-tokenizer never joins what blanks separate and composition
     never crosses a blank, so the ids of a text are those of its words in order."""
 
     def __init__(self, text: str):
@@ -115,7 +209,14 @@ class Encoder:
         self.recent, self.pieces = Recent(self._encode), Recent(self._encode_pieces)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         pattern, self.last, self.special = splitting(self.tokenizer, text)
-        self.lines = regex.compile(rf"{pattern.pattern}|\n")
+        spec = json.loads(text)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        byte_level = any(p.get("type") == "ByteLevel" for p in spec["pre_tokenizer"].get("pretokenizers", []))
+        known = pattern.pattern == PATTERN and steps == NORMALIZERS and byte_level and self.last is not None
+        self.splitter = Splitter() if known else None
+        if known:
+            self.merger = load(json.dumps({**spec, **_BARE}))
+            self.visible = {**dict(enumerate(byte_characters())), 10: " "}
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
     def ids(self, text: bytes) -> bytes:
@@ -125,34 +226,48 @@ class Encoder:
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of words not met before, from those of their pre-tokens, which many words share."""
-        text = b"\n".join(words).decode()
-        if self.last is None or b"" in words or self.special.search(text) or not SAFE.fullmatch(text):
-            return self._one_by_one([w.decode() for w in words])
-        pieces = self.lines.findall(text.lower())
-        ids = self.pieces.of([p for p in pieces if p != "\n"])
-        result, at, start = [], 0, 0
-        for piece in pieces:
-            if piece == "\n":
-                result.append(b"".join(ids[start:at]))
-                start = at
-            else:
-                at += 1
-        result.append(b"".join(ids[start:]))
-        return result
+        found: list = [None] * len(words)
+        texts = [w.decode() for w in words]
+        rest = self._from_pieces(texts, found)
+        for at, ids in zip(rest, self._one_by_one([texts[at] for at in rest])):
+            found[at] = ids
+        return found
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _from_pieces(self, texts: list[str], found: list) -> list[int]:
+        """Put the ids of the texts that can be cut here into ``found``; the places of the others."""
+        if self.splitter is None:
+            return list(range(len(texts)))
+        whole = "\n".join(texts)
+        if SAFE.fullmatch(whole) and not self.special.search(whole):
+            safe = range(len(texts))
+        else:
+            safe = [at for at, text in enumerate(texts) if SAFE.fullmatch(text) and not self.special.search(text)]
+        pieces, which, before = self.splitter.split([texts[at] for at in safe])
+        ids = self.pieces.of(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        own = sizes[which]
+        ends = np.cumsum(own)
+        moved = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - own), own)
+        raw = flat[np.arange(len(moved)) + moved].tobytes()
+        cuts = (4 * np.append(0, ends)[before]).tolist()
+        for at, a, b in zip(safe, cuts, cuts[1:]):
+            found[at] = raw[a:b]
+        return [] if len(safe) == len(texts) else [at for at, x in enumerate(found) if x is None]
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pre-tokens, many in one call: the vocabulary marks the last token of each."""
         result: list[bytes] = []
         for at in range(0, len(pieces), TOGETHER):
             some = pieces[at : at + TOGETHER]
-            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(found, dtype="<u4")
+            shown = b"\n".join(some).decode("latin-1").translate(self.visible)
+            ids = np.array(self.merger.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
                 raw, cuts = ids.tobytes(), (4 * ends).tolist()
                 result += [raw[x:y] for x, y in zip([0, *cuts], cuts)]
             else:
-                result += self._one_by_one(some)
+                result += self._one_by_one([p.decode() for p in some])
         return result
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
@@ -164,11 +279,28 @@ class Encoder:
         return self.recent.of(words)
 
     def ids_of_texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, from those of its words."""
-        words = [text.split() for text in texts]
+        """The ids of each text, from those of its pre-tokens, or else of its words."""
+        parts = [[text] if len(text) <= PART else list(divided(text)) for text in texts]
+        if len(parts) < sum(map(len, parts)):
+            return [b"".join(self._ids_of_long(some)) for some in parts]
+        found: list = [None] * len(texts)
+        rest = self._from_pieces([text.decode() for text in texts], found)
+        words = [texts[at].split() for at in rest]
         ids = self.ids_of_words([w for some in words for w in some])
         ends = np.cumsum([0, *map(len, words)]).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+        for at, a, b in zip(rest, ends, ends[1:]):
+            found[at] = b"".join(ids[a:b])
+        return found
+
+    def _ids_of_long(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of the parts of a text, which is divided where pre-tokens are apart."""
+        found: list = []
+        for part in parts:
+            one: list = [None]
+            if self._from_pieces([part.decode()], one):
+                return self.ids_of_words(b"".join(parts).split())
+            found += one
+        return found
 
     def decode(self, ids: bytes) -> bytes:
         """What the library's ``decode(ids, skip_special_tokens=False)`` gives for a tokenizer

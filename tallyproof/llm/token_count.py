@@ -31,7 +31,7 @@ def whole_tokens(file_text: str) -> set[str]:
     tokenizer = bpe.load(file_text)
     model = json.loads(file_text)["model"]
     end = model.get("end_of_word_suffix") or ""
-    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    byte_of = {c: b for b, c in enumerate(bpe.byte_characters())}
     candidates = []
     for token in model["vocab"]:
         body = token.removesuffix(end)
@@ -46,14 +46,6 @@ def whole_tokens(file_text: str) -> set[str]:
     return {text for text, encoding in zip(candidates, found) if len(encoding.ids) == 1}
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: visible Latin-1 characters
-    for themselves, the others numbered on from U+0100."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b if b in visible else next(others)) for b in range(256)]
-
-
 class Counter:
     """Counts tokens of texts as the library gives them."""
 
