@@ -7,7 +7,8 @@ are cut at any character, so the ids at a join may be wrong; they are repaired b
 the join again, as one text, with whole words on both sides. When the window's outer words come out with
 the ids that the chunks have for them, what lies between is right and replaces the chunks' ids; when not,
 the window is widened and encoded again, and at last the whole document. This is exact for tokenizers
-whose ids, beyond agreeing outer words, do not depend on what is further away.
+whose ids, beyond agreeing outer words, do not depend on what is further away. A word over many chunks, as
+in texts without blanks, is one join, so the work stays in proportion to the text.
 
 Nothing is shuffled, and rows are handled in runs of about 2 MB of text. A lost task is run again without
 any effect on the others.
@@ -138,32 +139,40 @@ class ChunkEncoder:
         return self.documents([text])[0]
 
     def assemble(self, text: bytes, chunks: list[Chunk]) -> bytes:
-        """The ids of a text from its chunks, with repaired joins."""
+        """The ids of a text from its chunks, with repaired joins. A word that goes over several chunks
+        is encoded once, at its end."""
         parts: list[bytes] = []
         words: list[bytes] = []  # the last few, and their ids
         ids: list[bytes] = []
         open_end = False  # the last word may go on
-        for chunk in chunks:
-            if not chunk.n_words:
-                open_end = False
-                continue
-            rest, last, last_ids = chunk.ids, chunk.last, chunk.last_ids
-            if open_end and not chunk.blank_first:
-                middle = words[-1] + chunk.first[0]
-                repaired = self.join(words[:-1], ids[:-1], middle, chunk)
+        more: list[bytes] = []  # how it went on so far
+        for chunk in [*chunks, _NOTHING]:
+            goes_on = open_end and chunk.n_words > 0 and not chunk.blank_first
+            if goes_on:
+                more.append(chunk.first[0])
+                if chunk.n_words == 1 and not chunk.blank_last:
+                    continue
+            if more:
+                middle = words[-1] + b"".join(more)
+                repaired = self.join(words[:-1], ids[:-1], middle, chunk if goes_on else _NOTHING)
                 if repaired is None:
                     self.whole += 1
                     return self.words.ids(text)
                 if ids[-1]:  # the part of the word that was encoded before
                     parts[-1] = parts[-1][: len(parts[-1]) - len(ids[-1])]
                 parts.append(repaired)
-                rest = rest[len(chunk.first_ids[0]) :]
                 words[-1], ids[-1] = middle, repaired
+                more = []
+            if not chunk.n_words:
+                open_end = False
+                continue
+            rest, last, last_ids = chunk.ids, chunk.last, chunk.last_ids
+            if goes_on:
+                rest = rest[len(chunk.first_ids[0]) :]
                 if chunk.n_words <= OUTER:
                     last, last_ids = last[1:], last_ids[1:]
-            parts.append(rest)
-            if not rest:
-                parts.pop()
+            if rest:
+                parts.append(rest)
             words, ids = (words + last)[-OUTER:], (ids + last_ids)[-OUTER:]
             open_end = not chunk.blank_last
         return b"".join(parts)
@@ -174,13 +183,17 @@ class ChunkEncoder:
         reach = 1
         while reach < OUTER:
             left, right = b"".join(ids[-reach:]), b"".join(chunk.first_ids[1 : 1 + reach])
-            window = self.words.ids(b" ".join([*words[-reach:], middle, *chunk.first[1 : 1 + reach]]))
+            text = b" ".join([*words[-reach:], middle, *chunk.first[1 : 1 + reach]])
+            window = self.words.ids(text) if len(text) <= MOST else self.words.ids_of_texts([text])[0]
             if len(window) >= len(left) + len(right) and window.startswith(left) and window.endswith(right):
                 return window[len(left) : len(window) - len(right)]
             reach *= 2
         return None
 
 
+#: What stands after the last chunk.
+_NOTHING = Chunk(b"", 0, [], [], [], [], True, True)
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -150,3 +151,49 @@ def test_disagreeing_windows_fall_back_to_the_whole_text(tokenizer, monkeypatch)
     assert want == words.ids(text) and chunks.whole == 0
     monkeypatch.setattr(bpe_chunks.ChunkEncoder, "join", lambda *_: None)
     assert chunks.document(text) == want and chunks.whole == 1
+
+
+@pytest.fixture(scope="module")
+def words():
+    with open(bpe.default_path(), encoding="utf-8") as file:
+        return bpe.Encoder(file.read())
+
+
+def test_pre_tokens_by_classes_of_characters(words):
+    """Against the library, for any neighbours of letters, numbers, signs, blanks and apostrophes."""
+    rng = random.Random(1)
+    alphabet = "abst'''''redlvm09 \n\t.,;-!?éÜßªºµ²½§¡×÷Ŀŉſ‐…⁞€\"#AZ'"
+    for _ in range(400):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(8)]
+        for text, found in zip(texts, words.ids_of_texts([t.encode() for t in texts])):
+            assert found == words.ids(text.encode()), text
+    assert words.splitter is not None and words.ids_of_texts([]) == []
+
+
+def test_long_texts_are_divided(words, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 50)
+    rng = random.Random(2)
+    for alphabet in ("abc 1'é,\n", "abcXYZ0189+/", "日本 1é", "x"):
+        text = "".join(rng.choices(alphabet, k=900)).encode()
+        assert words.ids_of_texts([text, b"and more"]) == [words.ids(text), words.ids(b"and more")]
+        assert b"".join(bpe.divided(text)) == text
+
+
+def long_text(kind, size):
+    rng = np.random.default_rng(3)
+    if kind == "base64":
+        signs = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+        return rng.choice(signs, size).tobytes()
+    low, high, width = (0x4E00, 0x9FA5, 3) if kind == "cjk" else (0x61, 0x7B, 1)
+    return "".join(map(chr, rng.integers(low, high, size // width))).encode()
+
+
+@pytest.mark.parametrize("kind", ["base64", "cjk", "letters"])
+def test_megabytes_without_blanks_take_seconds(words, kind):
+    text = long_text(kind, 5 << 20)
+    start = time.process_time()
+    want = words.ids(text)
+    alone = time.process_time() - start
+    chunks = bpe_chunks.ChunkEncoder(words)
+    assert chunks.document(text) == want
+    assert time.process_time() - start < 6 * alone + 10
