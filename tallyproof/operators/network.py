@@ -19,6 +19,8 @@ from tallyproof.operators.measure import restrict
 from tallyproof.session import durable, keep, number_report_rows, number_rows, one_row, small
 
 MERGED_PREFIX = "rxcui:"
+#: Entities with more keys give pairs only where those can be edges.
+DENSE_KEYS = 1000
 
 
 @dataclass(frozen=True)
@@ -202,11 +204,77 @@ def weights(pair_rows: DataFrame, min_weight: int = 1) -> DataFrame:
     )
 
 
+def split_dense(rows: DataFrame, dense: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(entity_id, key)`` of the entities with at most ``dense`` keys, and ``(entity_id, key, nth)`` of
+    the others, numbered from the one with the fewest keys; None when there are none."""
+    counted = rows.groupBy("entity_id").agg(F.count("*").alias("_keys")).where(F.col("_keys") > dense)
+    counted = durable(counted)
+    if counted.isEmpty():
+        return rows, None
+    ordered = number_rows(counted, F.col("_keys"), F.col("entity_id"), name="nth").select("entity_id", "nth")
+    return rows.join(counted.select("entity_id"), "entity_id", "left_anti"), rows.join(ordered, "entity_id")
+
+
+def _heavy_pairs(sets: DataFrame, min_weight: int) -> DataFrame:
+    """``(source, target, weight)`` of the keys that share at least ``min_weight`` dense entities.
+
+    Two sets that share w elements, in one order of all elements, share one among the first
+    ``size - w + 1`` of each: those alone are met, so a key of fewer than w dense entities meets none,
+    and the densest entities, which are last in the order, are met by the fewest. A pair is formed
+    where its first common element is met.
+    """
+    first = F.slice("entities", F.lit(1), F.size("entities") - min_weight + 1)
+    met = sets.where(F.size("entities") >= min_weight).select("key", "entities", F.explode(first).alias("nth"))
+    one = met.select(F.col("key").alias("source"), F.col("entities").alias("_a"), "nth")
+    other = met.select(F.col("key").alias("target"), F.col("entities").alias("_b"), "nth")
+    common = F.array_intersect("_a", "_b")
+    return (
+        one.join(other, "nth")
+        .where(F.col("source") < F.col("target"))
+        .where(F.arrays_overlap("_a", "_b") & (F.array_min(common) == F.col("nth")))
+        .select("source", "target", F.size(common).cast("bigint").alias("weight"))
+        .where(F.col("weight") >= min_weight)
+    )
+
+
+def weighed_edges(rows: DataFrame, min_weight: int, dense: int = DENSE_KEYS) -> tuple[DataFrame, DataFrame]:
+    """All edges ``(source, target, weight)`` of ``rows(entity_id, key)``, and their evidence
+    ``(source, target, entity_id)``.
+
+    Pairs are formed of the entities with at most ``dense`` keys. Of the denser ones each key has the
+    sorted set; the sets add to the pairs that were formed, and bring the pairs that they alone make
+    heavy enough, which are found through parts of the sets (`_heavy_pairs`). So a dense entity gives
+    pairs only where they can be edges.
+    """
+    light, heavy = split_dense(rows, dense)
+    evidence = pairs(light)
+    if heavy is None:
+        edges = durable(weights(evidence, min_weight))
+        return edges, evidence.join(edges.select("source", "target"), ["source", "target"], "left_semi")
+    sets = durable(heavy.groupBy("key").agg(F.array_sort(F.collect_set("nth")).alias("entities")))
+    of = {end: sets.select(F.col("key").alias(end), F.col("entities").alias(f"_{end}")) for end in ("source", "target")}
+    none = F.array().cast("array<bigint>")
+    shared = F.size(F.array_intersect(F.coalesce("_source", none), F.coalesce("_target", none))).cast("bigint")
+    formed = durable(weights(evidence))
+    both = formed.join(of["source"], "source", "left").join(of["target"], "target", "left")
+    both = both.select("source", "target", (F.col("weight") + shared).alias("weight")).where(F.col("weight") >= min_weight)
+    alone = _heavy_pairs(sets, min_weight).join(formed.select("source", "target"), ["source", "target"], "left_anti")
+    edges = durable(both.unionByName(alone))
+    ends = edges.select("source", "target")
+    numbers = heavy.select("entity_id", "nth").distinct()
+    dense_evidence = (
+        ends.join(of["source"], "source").join(of["target"], "target")
+        .select("source", "target", F.explode(F.array_intersect("_source", "_target")).alias("nth"))
+        .join(numbers, "nth").select("source", "target", "entity_id")
+    )
+    return edges, evidence.join(ends, ["source", "target"], "left_semi").unionByName(dense_evidence)
+
+
 def edge_weights(
-    names: DataFrame, min_weight: int = V.MIN_EDGE_WEIGHT, max_entities: int | None = None
+    names: DataFrame, min_weight: int = V.MIN_EDGE_WEIGHT, max_entities: int | None = None, dense: int = DENSE_KEYS
 ) -> DataFrame:
     """All edges ``(source, target, weight)`` of the unpruned co-occurrence graph."""
-    return weights(pairs(paired_names(names, min_weight, max_entities)), min_weight)
+    return weighed_edges(paired_names(names, min_weight, max_entities), min_weight, dense)[0]
 
 
 # --- published graph -------------------------------------------------------------------------
@@ -270,17 +338,23 @@ def _connected_hubs(
 
     Pairs are counted around the largest keys only: when more than ``max_nodes`` of them turn out
     to be connected, no smaller key can be drawn, and the answer is exact. Otherwise the pool grows
-    fourfold, up to all keys.
+    fourfold, up to all keys. A turn counts the pairs of its new keys with each other and with smaller
+    ones; those with larger keys were counted in the turns before, which are stored.
     """
+    hubs, touched, left = None, None, rows
     while True:
-        hubs = durable(ranked.orderBy(F.desc("size"), "key").limit(pool))
-        counted = weights(hub_pairs(rows, hubs, pool), min_weight)
+        pooled = durable(ranked.orderBy(F.desc("size"), "key").limit(pool))
+        new = pooled if hubs is None else pooled.join(small(hubs.select("key"), pool), "key", "left_anti")
+        counted = _ends(weights(hub_pairs(left, new, pool), min_weight)).distinct()
+        counted = durable(counted)
+        touched = counted if touched is None else touched.unionByName(counted)
         # Only what touches a hub was counted, so only hubs are known to be connected or not.
-        connected = small(hubs, pool).join(_ends(counted).distinct(), "key")
+        connected = small(pooled, pool).join(touched.distinct(), "key")
         best = durable(connected.orderBy(F.desc("size"), "key").limit(max_nodes + 1))
-        if best.count() > max_nodes or hubs.count() < pool:
+        if best.count() > max_nodes or pooled.count() < pool:
             return best
-        pool *= 4
+        left = rows.join(small(pooled.select("key"), pool), "key", "left_anti")
+        hubs, pool = pooled, pool * 4
 
 
 def cooccurrence(
@@ -290,11 +364,13 @@ def cooccurrence(
     max_entities: int | None = None,
     kind: str = "drug",
     first_pool: int | None = None,
+    dense: int = DENSE_KEYS,
 ) -> Graph:
     """Undirected co-occurrence graph, of all connected keys or the ``max_nodes`` largest ones.
 
     Nodes rank by their global size among keys with at least one surviving edge. ``max_entities``
-    leaves out entities with more keys; by default none is left out.
+    leaves out entities with more keys; by default none is left out, and without ``max_nodes`` those
+    with more than ``dense`` keys give pairs only where they can be edges.
     """
     held: list[DataFrame] = []
     names = keep(names, held)
@@ -302,9 +378,7 @@ def cooccurrence(
     rows = keep(paired_names(names, min_weight, max_entities), held)
     kept = found = None
     if max_nodes is None:
-        evidence = pairs(rows)
-        edges = durable(weights(evidence, min_weight))
-        evidence = evidence.join(edges.select("source", "target"), ["source", "target"], "left_semi")
+        edges, evidence = weighed_edges(rows, min_weight, dense)
     else:
         pool = first_pool or max(4 * max_nodes, V.CANDIDATE_POOL)
         best = _connected_hubs(sizes(names), rows, min_weight, max_nodes, pool)

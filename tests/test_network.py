@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import drugs, record, values
 from pyspark.sql import functions as F
@@ -228,3 +230,66 @@ def test_resolution_reaches_combination_products(spark, studies_of):
 def test_candidate_names_break_ties_by_name(studies_of):
     agents = network.study_agents(studies(studies_of, ("B", "A"), ("C", "A"), ("B", "D")))
     assert [k for (k,) in values(network.candidate_names(agents, 3).orderBy(F.desc("size"), "key"), "key")] == ["a", "b", "c"]
+
+
+def brute_edges(rows, least):
+    """Weights and entities of all pairs of keys with at least ``least`` entities in common."""
+    by_key = {}
+    for entity, key in rows:
+        by_key.setdefault(key, set()).add(entity)
+    keys = sorted(by_key)
+    found = {(a, b): by_key[a] & by_key[b] for i, a in enumerate(keys) for b in keys[i + 1 :]}
+    return {pair: entities for pair, entities in found.items() if len(entities) >= least}
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+@pytest.mark.parametrize("dense", [3, 8, 1000])
+def test_dense_entities_give_all_edges(spark, least, dense):
+    rng = random.Random(least)
+    rows = sorted({(e, f"k{rng.randrange(25):02d}") for e in range(40) for _ in range(rng.choice([1, 2, 4, 9, 20]))})
+    names = spark.createDataFrame(rows, "entity_id long, key string")
+    edges, evidence = network.weighed_edges(names, least, dense)
+    expected = brute_edges(rows, least)
+    assert {(r.source, r.target): r.weight for r in edges.collect()} == {p: len(e) for p, e in expected.items()}
+    found = values(evidence, "source", "target", "entity_id")
+    assert sorted(found) == sorted((*pair, e) for pair, entities in expected.items() for e in entities)
+
+
+def test_one_dense_entity_forms_few_pairs(spark, monkeypatch):
+    """A record of 3,000 names is 4,498,500 pairs; only those that may be edges of three are formed."""
+    rows = [(0, f"k{i:04d}") for i in range(3000)]
+    rows += [(1 + i, f"k{j:04d}") for i in range(600) for j in (5 * i, 5 * i + 1)]
+    rows += [(1000 + i, f"k{j:04d}") for i in range(2) for j in range(40)]
+    names = spark.createDataFrame(rows, "entity_id long, key string")
+    formed = []
+
+    def counted(build):
+        def run(*given):
+            formed.append(build(*given).count())
+            return build(*given)
+
+        return run
+
+    monkeypatch.setattr(network, "pairs", counted(network.pairs))
+    monkeypatch.setattr(network, "_heavy_pairs", counted(network._heavy_pairs))
+    found = {(r.source, r.target): r.weight for r in network.edge_weights(names, 3).collect()}
+    assert found == {p: len(e) for p, e in brute_edges([r for r in rows if r[1] < "k0040"], 3).items()}
+    assert sum(formed) < 10_000
+
+
+def test_each_turn_counts_its_new_hubs_only(spark, monkeypatch):
+    """Two or more turns, and no pair of key and entity is met twice."""
+    rows = [(e, f"a{k}") for e in range(30) for k in range(8) if (e + k) % 8 == 0]  # large, unconnected
+    rows += [(100 + e, f"b{k}") for e in range(3) for k in range(6)]
+    names = spark.createDataFrame([(*r, r[1]) for r in rows], "entity_id long, key string, label string")
+    met, real = [], network.hub_pairs
+
+    def recorded(*given):
+        found = real(*given)
+        met.extend(values(found, "source", "target", "entity_id"))
+        return found
+
+    monkeypatch.setattr(network, "hub_pairs", recorded)
+    graph = network.cooccurrence(names, min_weight=2, max_nodes=4, first_pool=2)
+    assert [r.id for r in graph.nodes.collect()] == [f"drug:b{k}" for k in range(4)]
+    assert len(met) == len(set(met)) == 3 * 15
