@@ -2,16 +2,24 @@
 
 Texts and candidates meet in an equi-join on token n-grams, never by comparing all with all. While
 the candidates are few enough, by their bytes, to be broadcast, a pair is verified in the row of its
-text and no text moves. Beyond that, ids and 64-bit hashes of n-grams are shuffled, and the texts are
-joined back for the pairs that met.
+text and no text moves. Beyond that a filter of fixed size, made of all candidates, is tested in the row;
+only n-grams that pass are shuffled, and only texts that have one are kept for the pairs that met.
+
+Inflected names are looked for in the row too: runs of words that cannot reach the similarity, by the
+places of their 3-grams, never leave it.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +34,8 @@ ANCHOR_TOKENS = 8
 #: Names are broadcast when they, with some bytes for each row, take no more than this.
 BROADCAST_BYTES = 8 << 20
 _ROW_BYTES = 64
+#: Places of the filter of names that are too many to broadcast: for each name, and at most.
+PLACES, MOST_PLACES = 16, 1 << 22
 
 
 def tokens(text: Column) -> Column:
@@ -79,6 +89,22 @@ def _anchored(names: DataFrame, anchor: int) -> DataFrame:
     )
 
 
+def _filter(names: DataFrame):
+    """A test of an n-gram's hash that all ``names(_gram)`` pass, and few others. The filter has a place
+    for each of at most ``MOST_PLACES`` remainders of a hash, and travels as one constant of the plan."""
+    wanted = PLACES * max(1, names.count())
+    size = min(MOST_PLACES, 1 << max(16, (wanted - 1).bit_length()))
+
+    def place(gram: Column) -> Column:
+        return gram.bitwiseAND(F.lit(size - 1)).cast("int")
+
+    places = bytearray(size)
+    for row in names.select(place(F.col("_gram")).alias("place")).distinct().toLocalIterator():
+        places[row.place] = 1
+    constant = F.lit(bytes(places))
+    return lambda gram: F.substring(constant, place(gram) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def exact_matches(
     texts: DataFrame,
     candidates: DataFrame,
@@ -105,8 +131,14 @@ def exact_matches(
         runs = lowered.select("text_id", "_text", _words(F.col("_text")).alias("_words"))
         met = runs.select("text_id", "_text", grams_of).join(F.broadcast(looked_up), "_gram")
     else:
-        runs = lowered.select("text_id", _words(F.col("_text")).alias("_words"))
-        met = runs.select("text_id", grams_of).join(looked_up, "_gram").join(lowered, "text_id")
+        passes = _filter(names)
+        runs = lowered.select("text_id", "_text", _words(F.col("_text")).alias("_words"))
+        found = F.filter(F.array_distinct(F.concat(*grams)), passes)
+        # As a list of at most one list: a test of its size would be moved below, where words are cut.
+        some = F.filter(F.array(found), lambda g: F.size(g) > 0)
+        hits = durable(runs.select("text_id", "_text", F.explode(some).alias("_grams")))
+        met = hits.select("text_id", F.explode("_grams").alias("_gram")).join(looked_up, "_gram")
+        met = met.join(hits.select("text_id", "_text"), "text_id")
     # \Q..\E takes the candidate literally.
     literal = F.concat(
         F.lit(r"(?U)(?<!\w)\Q"),
@@ -145,17 +177,145 @@ def _trigrams(text: Column) -> Column:
     )
 
 
+class _Names:
+    """Names to look for in texts: their 3-grams, and what a run of words must have to be similar.
+
+    With similarity 2M/T >= 0.87 for M matching of T characters, the matching blocks number at most
+    1 + (T - 2M), so at least M - 2(1 + T - 2M) >= 0.175 T - 2 places of the run hold a 3-gram of the
+    name; and such a place is at most T - 2M <= 0.13 T characters away from where the name has it.
+    """
+
+    SYMBOLS = 37  # blank, digits, letters
+
+    def __init__(self, names: list[tuple[str, int]], shortest: int):
+        self.names, self.shortest = names, shortest
+        self.symbol = np.zeros(256, dtype=np.int64)
+        self.symbol[[ord(c) for c in "0123456789abcdefghijklmnopqrstuvwxyz"]] = np.arange(1, self.SYMBOLS)
+        self.length = np.array([len(name) for name, _ in names], dtype=np.int64)
+        self.words = np.array([n for _, n in names], dtype=np.int64)
+        self.away = np.floor(0.13 * (self.length + np.ceil(1.3 * self.length))).astype(np.int64) + 1
+        self.least = self.bound(self.length + np.maximum(shortest, np.floor(0.769 * self.length)))
+        grams = [self.codes(name) for name, _ in names]
+        of = np.repeat(np.arange(len(names)), [len(g) for g in grams])
+        places = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        codes = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.name_of, self.place_of = of[order], places[order]
+        self.first = np.searchsorted(codes[order], np.arange(self.SYMBOLS**3 + 1))
+
+    @staticmethod
+    def bound(total):
+        """The places that must hold a 3-gram, for so many characters of both together."""
+        return np.maximum(1, np.ceil(0.175 * total - 2 - 1e-9)).astype(np.int64)
+
+    def codes(self, text: str) -> np.ndarray:
+        s = self.symbol[np.frombuffer(text.encode("ascii"), np.uint8)]
+        return (s[:-2] * self.SYMBOLS + s[1:-1]) * self.SYMBOLS + s[2:] if len(s) > 2 else np.zeros(0, np.int64)
+
+    def runs(self, tokens: list[str]) -> set[tuple[str, str, int]]:
+        """``(run, name, words)`` of the runs that may be similar to a name."""
+        text = " ".join(tokens)
+        codes = self.codes(text)
+        met = self.first[codes + 1] - self.first[codes]
+        if not met.any():
+            return set()
+        at = np.repeat(np.arange(len(codes)), met)
+        which = np.repeat(self.first[codes], met) + np.arange(len(at)) - np.repeat(np.cumsum(met) - met, met)
+        name, place = self.name_of[which], self.place_of[which]
+        # Hits by name and bin: a bin is as wide as a 3-gram may be away, so a run's are in three.
+        away = self.away[name]
+        bins = len(text) + int(self.length.max()) + 4
+        key, n = np.unique(name * bins + (at - place + int(self.length.max())) // away + 1, return_counts=True)
+        near = np.unique(np.concatenate([key - 1, key, key + 1]))
+        total = np.zeros(len(near), dtype=np.int64)
+        for step in (-1, 0, 1):
+            found = np.minimum(np.searchsorted(key, near + step), len(key) - 1)
+            total += np.where(key[found] == near + step, n[found], 0)
+        near = near[total >= self.least[near // bins]]
+        if not len(near):
+            return set()
+        ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+        starts = ends - [len(t) for t in tokens]
+        order = np.lexsort((at, name))
+        held = np.unique(name[order] * bins + at[order])  # a place counts once for a name
+        result = set()
+        for number, bin_ in zip((near // bins).tolist(), (near % bins - 1).tolist()):
+            wide, low = int(self.away[number]), bin_ * int(self.away[number]) - int(self.length.max())
+            first, last = np.searchsorted(starts, [low, low + wide])
+            length, words = int(self.length[number]), int(self.words[number])
+            for start in range(first, min(last, len(tokens) - words + 1)):
+                begin, end = int(starts[start]), int(ends[start + words - 1])
+                run = end - begin
+                if run < self.shortest or max(run, length) * 0.435 > min(run, length) * 0.565 + 1e-6:
+                    continue
+                inside = np.searchsorted(held, [number * bins + begin, number * bins + end - 2])
+                if inside[1] - inside[0] >= math.ceil(0.175 * (run + length) - 2 - 1e-9):
+                    result.add((text[begin:end], self.names[number][0], words))
+        return result
+
+
+#: Characters of a text that are searched at a time.
+PART = 1 << 19
+
+
+def _parts(text: str, overlap: int, size: int) -> Iterator[list[str]]:
+    """The tokens of a text, so many characters at a time; a part begins with the last ``overlap``
+    tokens of the one before."""
+    start, before = 0, []
+    while start < len(text):
+        end = start + size
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        found = before + re.findall("[a-z0-9]+", text[start:end])
+        yield found
+        start, before = end, found[len(found) - overlap :] if overlap else []
+
+
+def _runs_in_rows(texts: DataFrame, names: DataFrame, shortest: int, part: int) -> DataFrame:
+    """``(text_id, run, name, _n)``: the runs of each text that may be similar to a name. The names are
+    broadcast, after their size was checked."""
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast([(r.name, r["_n"]) for r in names.select("name", "_n").collect()])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _Names(shared.value, shortest)
+        overlap = max((n for _, n in shared.value), default=1) - 1
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(1)[row].as_py()
+                found = set()
+                for tokens_ in _parts(text or "", overlap, part):
+                    found |= wanted.runs(tokens_)
+                if found:
+                    ids = batch.column(0).slice(row, 1).take(pa.array([0] * len(found)))
+                    runs, alike, n = (list(c) for c in zip(*sorted(found)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(runs), pa.array(alike), pa.array(n, pa.int32())], ["text_id", "run", "name", "_n"])
+
+    lowered = texts.select("text_id", F.lower("text").alias("_text"))
+    kind = lowered.schema["text_id"].dataType.simpleString()
+    return lowered.mapInArrow(find, f"text_id {kind}, run string, name string, _n int")
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    """The pairs ``(run, name, _n)`` that are similar. The edit distance is at most T - 2M, so this spares
+    the slow function most pairs."""
+    edits = F.levenshtein("name", "run") <= (F.length("name") + F.length("run")) * 0.13 + 1e-6
+    return pairs.where(edits).where(similarity()(F.col("name"), F.col("run")) >= V.FUZZY_THRESHOLD)
+
+
 def inflected_matches(
-    texts: DataFrame, candidates: DataFrame, shortest: int = V.MIN_FUZZY_LENGTH
+    texts: DataFrame,
+    candidates: DataFrame,
+    shortest: int = V.MIN_FUZZY_LENGTH,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    part: int = PART,
 ) -> DataFrame:
     """``(text_id, candidate_id)`` where some run of as many tokens as the candidate has is at
     least 0.87 similar to it, both of ``shortest`` or more characters.
 
-    Equal runs are compared once, whatever texts they stand in. Pairs are found through shared
-    3-grams. With similarity 2M/T >= 0.87 for M matching of T characters, the matching blocks
-    number at most 1 + (T - 2M), so at least M - 2(1 + T - 2M) >= 0.175 T - 2 of a candidate's
-    3-gram positions are shared, T >= 1.769 times the candidate's length. It is enough to look
-    up all of its 3-grams but that many less one, and the commonest are the ones left out.
+    While the names take at most ``broadcast_bytes``, a run leaves its text's row only when enough of its
+    places hold 3-grams of one name, near where the name has them (`_Names`). Beyond that, runs meet names
+    by shuffled 3-grams. Equal runs are compared once, whatever texts they stand in.
     """
     name = F.concat_ws(" ", "_words")
     wanted = (
@@ -164,6 +324,22 @@ def inflected_matches(
         .where(F.length("name") >= shortest)
     )
     names = durable(wanted.select("name", "_n").distinct())
+    size = names.agg(F.coalesce(F.sum(F.octet_length("name") * _ROW_BYTES), F.lit(0))).first()[0]
+    if size > broadcast_bytes:
+        return _shuffled_matches(texts, wanted, names, size, shortest)
+    met = durable(_runs_in_rows(texts, names, shortest, part))
+    alike = _similar(met.select("run", "name", "_n").distinct())
+    found = met.join(alike, ["run", "name", "_n"]).select("text_id", "name", "_n")
+    return found.join(wanted, ["name", "_n"]).select("text_id", "candidate_id").distinct()
+
+
+def _shuffled_matches(texts: DataFrame, wanted: DataFrame, names: DataFrame, size: int, shortest: int) -> DataFrame:
+    """As `inflected_matches`, for names that are too many to broadcast.
+
+    Pairs are found through shared 3-grams, of which at least 0.175 T - 2 of a candidate's positions are
+    shared, T >= 1.769 times the candidate's length. It is enough to look up all of its 3-grams but that
+    many less one, and the commonest are the ones left out.
+    """
     words = F.col("_words")
     # How long a run of so many tokens can usefully be: one row for each number of tokens among the
     # names, and one constant for all of them.
@@ -196,7 +372,6 @@ def inflected_matches(
     )
     # Only 3-grams of names are of use; the others are gone before anything is shuffled.
     useful = positions.select("gram").distinct()
-    size = names.agg(F.coalesce(F.sum(F.octet_length("name") * _ROW_BYTES), F.lit(0))).first()[0]
     run_grams = durable(
         vocabulary.select("run", "_n", F.explode(_trigrams(F.col("run"))).alias("gram")).join(
             F.broadcast(useful) if size <= BROADCAST_BYTES else useful, "gram", "left_semi"
@@ -217,9 +392,7 @@ def inflected_matches(
     pairs = run_grams.join(looked_up, ["gram", "_n"]).where(close).select(
         "run", "name", "_n"
     ).distinct()
-    # The edit distance is at most T - 2M, so this spares the slow function most pairs.
-    edits = F.levenshtein("name", "run") <= (F.length("name") + F.length("run")) * 0.13 + 1e-6
-    alike = pairs.where(edits).where(similarity()(F.col("name"), F.col("run")) >= V.FUZZY_THRESHOLD)
+    alike = _similar(pairs)
     matched = alike.join(wanted, ["name", "_n"]).select("run", "_n", "candidate_id")
     return runs.join(matched, ["run", "_n"]).select("text_id", "candidate_id").distinct()
 

@@ -225,6 +225,12 @@ def text_grounding(spark, sf):
     return grounding.exact_matches(_texts(spark, sf), _passages(spark, sf))
 
 
+@query(f"with {_GROUNDED_SQL} select * from found")
+def text_grounding_shuffled(spark, sf):
+    """The same as for names that are too many to broadcast."""
+    return grounding.exact_matches(_texts(spark, sf), _passages(spark, sf), broadcast_bytes=0)
+
+
 @query(
     f"""
     with {_GROUNDED_SQL}

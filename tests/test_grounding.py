@@ -59,6 +59,7 @@ def test_exact_matches_equal_brute_force(spark):
     expected = brute(TEXTS, CANDIDATES, written)
     assert pairs(grounding.exact_matches(texts, candidates)) == expected
     assert pairs(grounding.exact_matches(texts, candidates, anchor=1)) == expected
+    assert pairs(grounding.exact_matches(texts, candidates, broadcast_bytes=0)) == expected
     gone = {j for j in range(len(CANDIDATES))} - {j for _i, j in expected}
     matches = grounding.exact_matches(texts, candidates)
     assert {c for (c,) in values(grounding.dropped(candidates, matches), "candidate_id")} == gone
@@ -92,6 +93,8 @@ def test_inflected_matches_equal_brute_force(spark):
     expected = brute(texts, names, alike)
     assert len(expected) > 100
     assert pairs(grounding.inflected_matches(text_table, name_table)) == expected
+    assert pairs(grounding.inflected_matches(text_table, name_table, broadcast_bytes=0)) == expected
+    assert pairs(grounding.inflected_matches(text_table, name_table, part=9)) == expected
     both = sorted({*expected, *brute(texts, names, written)})
     assert pairs(grounding.grounded(text_table, name_table, fuzzy=True)) == both
 
@@ -101,3 +104,36 @@ def test_no_candidates(spark):
     none = candidates.where("false")
     assert grounding.exact_matches(texts, none).count() == 0
     assert grounding.inflected_matches(texts, none).count() == 0
+
+
+def test_long_names_in_prose_of_few_syllables(spark):
+    """Names whose 3-grams are everywhere in the texts: only runs near enough to one leave a row."""
+    rng = random.Random(3)
+    syllables = [a + b + c for a in "bcdfglmnprst" for b in "aeiou" for c in ("", "n", "r")][::3]
+
+    def prose(n):
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
+
+    names = [prose(rng.randint(2, 9)) for _ in range(12)] + [prose(12) for _ in range(12)]
+    texts = []
+    for i in range(48):
+        name = names[i % 24]
+        for _ in range(i // 12):
+            name = spelled(rng, name)
+        texts.append(f"{prose(60)}, {name}; {prose(40)}")
+    expected = brute(texts, names, alike)
+    assert len(expected) >= 18
+    text_table, name_table = tables(spark, [*texts, ""], names)
+    assert pairs(grounding.inflected_matches(text_table, name_table)) == expected
+    wanted = grounding._Names([(n, len(n.split())) for n in names[12:]], 6)
+    tokens = [re.findall("[a-z0-9]+", t) for t in texts]
+    assert 12 <= sum(len(wanted.runs(t)) for t in tokens) < sum(12 * len(t) for t in tokens) / 50
+
+
+def test_only_hits_are_shuffled(spark):
+    """Of n-grams of texts, next to none but those of names pass the filter."""
+    names = spark.range(500).selectExpr("xxhash64('name', id) as _gram")
+    passes = grounding._filter(names)
+    grams = spark.range(20_000).selectExpr("array(xxhash64('text', id)) as g").unionByName(names.selectExpr("array(_gram) as g"))
+    kept = grams.select(grounding.F.size(grounding.F.filter("g", passes)).alias("n")).groupBy().sum("n").first()[0]
+    assert 500 <= kept < 500 + 20_000 / 8
