@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof import schema as S
 from tallyproof.functions import fixed_values as V
 from tallyproof.functions import text as X
 from tallyproof.functions.names import agent_labels
-from tallyproof.session import durable, small
+from tallyproof.operators.selection import rows_at_ranks
 
 
 def sample_positions(total: Column, limit: int) -> Column:
@@ -25,13 +25,15 @@ def sample_positions(total: Column, limit: int) -> Column:
     )
 
 
-def cite(evidence: DataFrame, datum: list[str], limit: int = V.DEFAULT_CITATIONS) -> DataFrame:
+def cite(
+    evidence: DataFrame, datum: list[str], limit: int = V.DEFAULT_CITATIONS, entities: DataFrame | None = None
+) -> DataFrame:
     """``(datum..., ordinal, entity_id, total)``: at most ``limit`` entities per datum.
 
-    ``evidence`` holds each ``(datum..., entity_id)`` once. Rows are range-sorted by datum and id,
-    so a datum holding most of the data spreads over many tasks, and written with their partition
-    and place. A row's rank is its index in its partition, less where its datum starts there,
-    plus what earlier partitions hold of that datum: one summary row per datum and partition.
+    ``evidence`` holds each ``(datum..., entity_id)`` once. How many entities each datum has in each
+    range of ids tells in which ranges the sampled ranks lie (`rows_at_ranks`); only their rows are
+    ranked, so a datum holding most of the data is never sorted whole. ``entities(entity_id)`` may be a
+    smaller table with the same ids, for their least and greatest.
     """
     if limit <= 0:
         return evidence.select(
@@ -40,36 +42,10 @@ def cite(evidence: DataFrame, datum: list[str], limit: int = V.DEFAULT_CITATIONS
             "entity_id",
             F.lit(0).cast("bigint").alias("total"),
         ).where(F.lit(False))
-    mid = F.monotonically_increasing_id()
-    ordered = evidence.select(*datum, "entity_id").orderBy(*datum, "entity_id")
-    rows = durable(ordered.withColumns({"_mid": mid, "_part": F.shiftright(mid, 33)}))
-    groups = durable(
-        rows.groupBy(*datum, "_part").agg(
-            F.min("_mid").alias("_first"), F.count("*").alias("_rows")
-        )
-    )
-    whole = Window.partitionBy(*datum)
-    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    targets = groups.select(
-        *datum,
-        "_part",
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.col("_first"),
-        F.col("_rows"),
-        F.sum("_rows").over(whole).alias("total"),
-    )
-    # One row per position to cite, already translated into a row number of the sorted table.
-    wanted = (
-        targets.withColumn("_at", F.explode(sample_positions(F.col("total"), limit)))
-        .withColumn("_mid", F.col("_at") - F.col("_shift"))
-        .where(
-            (F.col("_mid") >= F.col("_first")) & (F.col("_mid") < F.col("_first") + F.col("_rows"))
-        )
+    found = rows_at_ranks(
+        evidence.select(*datum, "entity_id"), datum, "entity_id", lambda total: sample_positions(total, limit), entities
     )
-    ordinal = F.row_number().over(Window.partitionBy(*datum).orderBy("_at"))
-    chosen = wanted.select("_mid", "total", ordinal.cast("bigint").alias("ordinal"))
-    chosen = small(chosen, groups.count() * limit)
-    return rows.join(chosen, "_mid").select(*datum, "ordinal", "entity_id", "total")
+    return found.select(*datum, (F.col("nth") + 1).cast("bigint").alias("ordinal"), "entity_id", "total")
 
 
 def evidence_totals(evidence: DataFrame, datum: list[str]) -> DataFrame:

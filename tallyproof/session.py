@@ -9,9 +9,12 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType
 
-#: A table of keys or numbers may be broadcast when it is known to have no more rows than this.
+#: A table may be broadcast when it is known to have no more rows than this, none of them wide.
 BROADCAST_ROWS = 100_000
+#: What a table that is broadcast may take, and what each of its values counts beside its text.
+BROADCAST_BYTES, VALUE_BYTES = 8 << 20, 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -91,9 +94,31 @@ def keep(df: DataFrame, held: list[DataFrame]) -> DataFrame:
     return df
 
 
+def bytes_of(df: DataFrame) -> Column:
+    """About how many bytes a row takes: its texts, and some for each value."""
+    size = F.lit(VALUE_BYTES * len(df.columns))
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif not isinstance(field.dataType, AtomicType):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return size
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast ``df``, which is best a written table, when its bytes are counted to be few enough."""
+    total = df.agg(F.coalesce(F.sum(bytes_of(df).cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` when ``rows``, a proven bound on its size, allows it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Broadcast ``df`` when ``rows``, a proven bound on its rows, and their bytes allow it. Tables of
+    numbers alone are not counted."""
+    if rows > BROADCAST_ROWS:
+        return df
+    wide = any(not isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType)) for f in df.schema.fields)
+    return broadcast_if_small(df) if wide else F.broadcast(df)
 
 
 def _partition_and_row():

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from tallyproof import schema as S
 from tallyproof.functions import fixed_values as V
-from tallyproof.session import number_rows, stored
+from tallyproof.operators.selection import first_rows
+from tallyproof.session import stored
 
 def parse_pages(documents: DataFrame, strict: bool = False) -> DataFrame:
     """Pages of a table of whole JSON documents ``(value, source)``.
@@ -86,9 +87,8 @@ def union_first(parts: list[DataFrame], id_col: str, order: list[str]) -> DataFr
 
 
 def capped(df: DataFrame, order: list[str], cap: int) -> DataFrame:
-    """The first ``cap`` rows in source order, from a distributed sort."""
-    numbered = number_rows(df, *[F.col(c) for c in order], name="_at")
-    return numbered.where(F.col("_at") <= cap).drop("_at")
+    """The first ``cap`` rows in source order; only the range in which the last of them lies is sorted."""
+    return first_rows(df, order, cap)
 
 
 def split_cap(
