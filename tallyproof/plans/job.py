@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cache, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,9 @@ class Job:
     #: Series: which scope field is compared, and its values. Other scope fields still hold.
     compare_kind: str | None = None
     compare: list[str] = field(default_factory=list)
+    #: Series by label, each a scope of its own: ``{"label": {"drugs": [...], "countries": [...]}}``. Its
+    #: fields stand in place of the job's; the job's other fields still hold.
+    series: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     #: ``drug_drug`` or ``sponsor_drug`` for a graph instead of rows.
     graph: str | None = None
     max_citations: int = V.DEFAULT_CITATIONS
@@ -58,6 +63,19 @@ class Job:
     title_length: int | None = None
 
     def __post_init__(self):
+        # A blank value is no value, rather than one that nothing matches.
+        for name in (*_FIELDS, "statuses", "excluded_statuses", "compare"):
+            object.__setattr__(self, name, _filled(getattr(self, name)))
+        object.__setattr__(self, "free_text", next(iter(_filled([self.free_text or ""])), None))
+        scopes = {label: {k: _filled(v) for k, v in scope.items()} for label, scope in self.series.items()}
+        object.__setattr__(self, "series", scopes)
+        if self.start_year is not None and self.end_year is not None and self.start_year > self.end_year:
+            raise ValueError("start_year must not be after end_year")
+        if self.series and self.compare:
+            raise ValueError("give either compare or series")
+        for label, scope in self.series.items():
+            if not label.strip() or not set(scope) <= set(_FIELDS) or not any(scope.values()):
+                raise ValueError(f"series {label!r} needs a label and values of {sorted(_FIELDS)}")
         if self.max_citations < 0:
             raise ValueError("max_citations must not be negative")
         if self.group_by not in DIMENSIONS:
@@ -65,6 +83,16 @@ class Job:
         if self.compare and self.compare_kind not in _SCOPES:
             raise ValueError(f"compare_kind must be one of {sorted(_SCOPES)}")
 
+    @property
+    def scopes(self) -> dict[str, dict[str, list[str]]]:
+        """The fields that each series has of its own, by the first spelling of its label."""
+        given = self.series or {label: {_SCOPES[self.compare_kind][0]: [label]} for label in self.compare}
+        return {label: given[label] for label in different_series(list(given))}
+
+    @property
+    def asked_series(self) -> int:
+        return len(self.series) or len(self.compare)
+
     @property
     def has_local_filter(self) -> bool:
         """Whether rows are dropped after the cap rather than before it."""
@@ -75,20 +103,54 @@ class Job:
         )
 
 
+def _filled(values: list[str]) -> list[str]:
+    """Values without blanks around and within, and without those that are nothing else."""
+    return [v for v in (" ".join(value.split()) for value in values) if v]
+
+
 @dataclass(frozen=True)
 class Result:
+    """Rows or a graph. Citations, totals, manifest, accounting and checks are computed when they are
+    first asked for, so a caller who reads rows pays for rows."""
+
     rows: DataFrame | None
-    citations: DataFrame
-    manifest: DataFrame
-    violations: DataFrame
     graph: network.Graph | None = None
     merged_from: DataFrame | None = None
-    accounting: DataFrame | None = None
-    #: How many entities support each datum, whatever is cited.
-    totals: DataFrame | None = None
     held: list[DataFrame] = field(default_factory=list)
     #: Paths of the tables that the result reads.
     made: list[str] = field(default_factory=list)
+    _later: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
+    _known: dict[str, DataFrame] = field(default_factory=dict)
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._known:
+            made: list[str] = []
+            with collected(made):
+                self._known[name] = self._later[name]()
+            self.made.extend(made)
+        return self._known[name]
+
+    @property
+    def citations(self) -> DataFrame:
+        return self._table("citations")
+
+    @property
+    def manifest(self) -> DataFrame:
+        return self._table("manifest")
+
+    @property
+    def violations(self) -> DataFrame:
+        return self._table("violations")
+
+    @property
+    def totals(self) -> DataFrame:
+        """How many entities support each datum, whatever is cited."""
+        return self._table("totals")
+
+    @property
+    def accounting(self) -> DataFrame | None:
+        """What each filter after the cap dropped; None without one."""
+        return self._table("accounting") if "accounting" in self._later else None
 
     def release(self) -> None:
         """Drop what was kept for reading the result more than once, and delete what was written.
@@ -100,9 +162,7 @@ class Result:
             self.graph.release()
 
     def tables(self) -> dict[str, DataFrame]:
-        out = {"citations": self.citations, "manifest": self.manifest}
-        if self.totals is not None:
-            out["totals"] = self.totals
+        out = {"citations": self.citations, "manifest": self.manifest, "totals": self.totals}
         if self.accounting is not None:
             out["accounting"] = self.accounting
         if self.graph is None:
@@ -119,13 +179,14 @@ _SCOPES = {
 }
 
 
+#: The fields of a scope, and how each is tested.
+_FIELDS = {name: build for name, build in _SCOPES.values()}
+
+
 def scope_filter(job: Job) -> Column:
-    """The population: all scope fields except the one compared."""
-    condition = F.lit(True)
-    for kind, (name, build) in _SCOPES.items():
-        part = build(getattr(job, name))
-        if part is not None and not (job.compare and kind == job.compare_kind):
-            condition = condition & F.coalesce(part, F.lit(False))
+    """The population: all scope fields except those that series have of their own."""
+    own = {name for scope in job.scopes.values() for name in scope}
+    condition = _holds({name: getattr(job, name) for name in _FIELDS if name not in own})
     if job.free_text:
         names = F.array_join(F.col(f"{S.INTERVENTIONS_PATH}.name"), " ")
         condition = condition & filters.free_text(
@@ -134,6 +195,16 @@ def scope_filter(job: Job) -> Column:
     return condition
 
 
+def _holds(scope: dict[str, list[str]]) -> Column:
+    """Whether a record has one of the values of every field that has values."""
+    condition = F.lit(True)
+    for name, values in scope.items():
+        part = _FIELDS[name](values)
+        if part is not None:
+            condition = condition & F.coalesce(part, F.lit(False))
+    return condition
+
+
 def asked_filter(job: Job) -> Column:
     """Requested phases and statuses, which hold before the cap is applied."""
     condition = F.lit(True)
@@ -172,8 +243,9 @@ def different_series(labels: list[str]) -> list[str]:
 
 def _compared(job: Job, population: DataFrame) -> tuple[DataFrame, dict[str, dict]]:
     """``(series, entity_id)``, and with a cap the facts of sharing it over the series."""
-    build = _SCOPES[job.compare_kind][1]
-    tests = {label: build([label]) for label in different_series(job.compare)}
+    own = {name for scope in job.scopes.values() for name in scope}
+    # A field that only other series have is the job's own here.
+    tests = {label: _holds({name: scope.get(name) or getattr(job, name) for name in own}) for label, scope in job.scopes.items()}
     if job.max_studies is None:
         return series_where(population, S.ID_PATH, tests), {}
     searches = {
@@ -208,47 +280,49 @@ def _run(
 ) -> Result:
     scoped = studies.where(scope_filter(job))
     population = scoped.where(asked_filter(job))
-    series, facts = None, {}
-    if job.compare:
-        series, facts = _compared(job, population)
+    series, shares = None, {}
+    if job.scopes:
+        series, shares = _compared(job, population)
         # A comparison reads exactly the studies its series name.
         population = population.join(
             series.select(F.col("entity_id").alias("_id")).distinct(),
             F.col(S.ID_PATH) == F.col("_id"),
             "left_semi",
         )
-    matching = population.count()
-    if facts:
-        fetched, truncated = matching, any(f["capped"] for f in facts.values())
-        matching = max(f["total_matching"] for f in facts.values())
-    elif job.max_studies is not None:
+    whole = population
+    if job.max_studies is not None and not shares:
         population = capped(population, SOURCE_ORDER, job.max_studies)
-        fetched = min(matching, job.max_studies)
-        truncated = fetched < matching
-    else:
-        fetched, truncated = matching, False
-    unfiltered = None
-    if matching == 0 and (job.phases or job.statuses):
-        unfiltered = scoped.count()
+
+    @cache
+    def facts() -> dict:
+        matching = fetched = whole.count()
+        truncated = False
+        if shares:
+            truncated = any(f["capped"] for f in shares.values())
+            matching = max(f["total_matching"] for f in shares.values())
+        elif job.max_studies is not None:
+            fetched = min(matching, job.max_studies)
+            truncated = fetched < matching
+        return {
+            "fetched": fetched,
+            "total_matching": matching,
+            "truncated": truncated,
+            "data_as_of": data_as_of,
+            "cap": job.max_studies,
+            "shares": {label: f["share"] for label, f in shares.items()},
+            "unfiltered": scoped.count() if matching == 0 and (job.phases or job.statuses) else None,
+        }
+
     steps = predicates(job)
     kept = F.lit(True)
     for step in steps.values():
         kept = kept & F.coalesce(step, F.lit(False))
     records = used_fields(job, population.where(kept)).persist(StorageLevel.MEMORY_AND_DISK)
     compute = _graph_result if job.graph else _rows_result
-    result = compute(job, records, series, candidates, ingredients, provenance, {
-        "fetched": fetched,
-        "total_matching": matching,
-        "truncated": truncated,
-        "data_as_of": data_as_of,
-        "cap": job.max_studies,
-        "shares": {label: f["share"] for label, f in facts.items()},
-        "unfiltered": unfiltered,
-    })
-    if not steps:
-        return result
-    accounting = filters.filter_accounting(population, steps, {"year": _year().isNull()})
-    return replace(result, accounting=accounting)
+    result = compute(job, records, series, candidates, ingredients, provenance, facts)
+    if steps:
+        result._later["accounting"] = lambda: filters.filter_accounting(population, steps, {"year": _year().isNull()})
+    return result
 
 
 def used_fields(job: Job, studies: DataFrame) -> DataFrame:
@@ -285,7 +359,7 @@ def _manifest(job: Job, records: DataFrame, totals: DataFrame, n_rows: int, fact
     reason = manifest.empty_reason(
         processed, n_rows, facts["fetched"], facts["truncated"], job.has_local_filter
     )
-    scoped = bool(job.drugs or job.conditions or job.sponsors or job.countries or job.compare)
+    scoped = bool(job.drugs or job.conditions or job.sponsors or job.countries or job.scopes)
     literal = {
         "processed": F.lit(processed).cast("bigint"),
         "fetched": F.lit(facts["fetched"]).cast("bigint"),
@@ -301,7 +375,7 @@ def _manifest(job: Job, records: DataFrame, totals: DataFrame, n_rows: int, fact
         # What the scope alone would have matched, when the requested phases or statuses leave none.
         "unfiltered_matching": F.lit(facts["unfiltered"]).cast("bigint"),
         # Series that were asked for under another spelling of one before.
-        "series_collapsed": F.lit(len(job.compare) - len(different_series(job.compare))).cast("bigint"),
+        "series_collapsed": F.lit(job.asked_series - len(job.scopes)).cast("bigint"),
         "empty_reason": F.lit(reason).cast("string"),
     }
     return totals.select(*[v.alias(k) for k, v in literal.items()], "*")
@@ -311,8 +385,8 @@ def _report(job: Job, records: DataFrame, series: DataFrame | None, members: Dat
     """The rows of a report over a membership table."""
     dimension = DIMENSIONS[job.group_by]
     rows = measure.bucket_counts(members, dimension, job.top_n, not job.time_series)
-    if job.compare:
-        rows = measure.zero_fill_series(rows, different_series(job.compare))
+    if job.scopes:
+        rows = measure.zero_fill_series(rows, list(job.scopes))
     if job.time_series:
         rows = measure.zero_fill_years(rows, job.start_year, job.end_year)
     return rows
@@ -331,38 +405,45 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
     evidence = shown.withColumn("_s", F.coalesce("series", F.lit(""))).join(
         published, ["_s", "key"]
     ).select("position", "entity_id")
-    cited = cite(evidence, ["position"], job.max_citations)
     excerpt = study_excerpt(dimension.name, job.title_length)
-    citations = quote(cited, records, S.ID_PATH, excerpt)
-    supporting = evidence_totals(evidence, ["position"])
-    entities = records if series is None else None
-    totals = measure.bucket_totals(members, dimension, job.top_n, show_unknown, entities)
-    final = _manifest(job, records, totals, rows.count(), facts)
     ids = records.select(F.col(S.ID_PATH).alias("entity_id"))
-    found = [
-        checks.value_is_contributors(rows, evidence, ["position"]),
-        checks.rows_are_computed(
-            rows, _report(job, records, series, computed), ["series", "raw_key", "key", "value"]
-        ),
-        checks.citation_membership(citations, evidence, ids, ["position"]),
-        checks.citation_totals(rows, citations, supporting, evidence, ["position"], job.max_citations),
-        checks.citation_texts(
-            citations,
-            records.select(F.col(S.ID_PATH).alias("entity_id"), excerpt.alias("excerpt")),
-            ["position"],
-            V.STUDY_URL_FORMAT,
-        ),
-        checks.not_empty(rows, final),
-    ]
-    if provenance is not None:
-        found.append(checks.processed_count(final, records, provenance))
-    if job.compare:
-        labels = [(s,) for s in different_series(job.compare)]
-        promised = rows.sparkSession.createDataFrame(labels, "series string")
-        if rows.where("value > 0").limit(1).count():
-            found.append(checks.series_complete(rows, promised))
-    held = [records, members, rows]
-    return Result(rows, citations, final, checks.violations(*found), totals=supporting, held=held)
+    result = Result(rows, held=[records, members, rows])
+
+    def citations() -> DataFrame:
+        return quote(cite(evidence, ["position"], job.max_citations, ids), records, S.ID_PATH, excerpt)
+
+    def final() -> DataFrame:
+        totals = measure.bucket_totals(members, dimension, job.top_n, show_unknown, records if series is None else None)
+        return _manifest(job, records, totals, rows.count(), facts())
+
+    def violations() -> DataFrame:
+        found = [
+            checks.value_is_contributors(rows, evidence, ["position"]),
+            checks.rows_are_computed(
+                rows, _report(job, records, series, computed), ["series", "raw_key", "key", "value"]
+            ),
+            checks.citation_membership(result.citations, evidence, ids, ["position"]),
+            checks.citation_totals(rows, result.citations, result.totals, evidence, ["position"], job.max_citations),
+            checks.citation_texts(
+                result.citations,
+                records.select(F.col(S.ID_PATH).alias("entity_id"), excerpt.alias("excerpt")),
+                ["position"],
+                V.STUDY_URL_FORMAT,
+            ),
+            checks.not_empty(rows, result.manifest),
+        ]
+        if provenance is not None:
+            found.append(checks.processed_count(result.manifest, records, provenance))
+        if job.scopes:
+            promised = rows.sparkSession.createDataFrame([(s,) for s in job.scopes], "series string")
+            if rows.where("value > 0").limit(1).count():
+                found.append(checks.series_complete(rows, promised))
+        return checks.violations(*found)
+
+    result._later.update(
+        citations=citations, manifest=final, totals=lambda: evidence_totals(evidence, ["position"]), violations=violations
+    )
+    return result
 
 
 def _graph_result(job, records, _series, candidates, ingredients, provenance, facts) -> Result:
@@ -375,14 +456,9 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
             pool = network.candidate_names(agents, job.max_lookups).withColumnRenamed("key", "name")
         crosswalk = durable(synonyms.resolve_names(forms, candidates, ingredients, pool=pool))
         merged = synonyms.merge_sources(forms, crosswalk)
-    agents = network.study_agents(records, crosswalk).persist(StorageLevel.MEMORY_AND_DISK)
-    if job.graph == "sponsor_drug":
-        graph = network.bipartite(
-            network.study_sponsors(records), agents, job.max_left, job.max_right, min_weight=job.min_weight or 1
-        )
-    else:
-        weight = V.MIN_EDGE_WEIGHT if job.min_weight is None else job.min_weight
-        graph = network.cooccurrence(agents, weight, job.max_nodes, job.max_entities)
+    named = network.study_agents(records, crosswalk)
+    agents = named.persist(StorageLevel.MEMORY_AND_DISK)
+    graph = _graph(job, records, agents)
     edge_data = graph.edge_evidence.select(
         F.lit("edge").alias("datum"), F.concat_ws("|", "source", "target").alias("name"), "entity_id"
     )
@@ -396,41 +472,68 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
     data = {"edge": edge_data, **{k: node_data.where(F.col("kind") == k).drop("kind") for k in ("drug", "sponsor")}}
     if job.graph != "sponsor_drug":
         del data["sponsor"]
-    citations, found = None, []
-    for kind, evidence in data.items():
-        part = quote(cite(evidence, datum, job.max_citations), records, S.ID_PATH, quoted[kind])
-        truth = records.select(F.col(S.ID_PATH).alias("entity_id"), quoted[kind].alias("excerpt"))
-        found.append(checks.citation_texts(part, truth, datum, V.STUDY_URL_FORMAT))
-        citations = part if citations is None else citations.unionByName(part)
     all_data = edge_data.unionByName(node_data.drop("kind"))
-    supporting = evidence_totals(all_data, datum)
     drawn = graph.edges.select(
         F.lit("edge").alias("datum"), F.concat_ws("|", "source", "target").alias("name"), F.col("weight").alias("value")
     ).unionByName(graph.nodes.select(F.lit("node").alias("datum"), F.col("id").alias("name"), F.col("size").alias("value")))
-    totals = graph.totals
-    if crosswalk is not None:
-        names = forms.select("name").distinct()
-        totals = one_row(totals, synonyms.resolution_totals(names, crosswalk))
-    final = _manifest(job, records, totals, graph.edges.count(), facts)
     ids = records.select(F.col(S.ID_PATH).alias("entity_id"))
-    found += [
-        checks.graph_counts(graph.nodes, graph.edges, graph.edge_evidence),
-        checks.dangling_edges(graph.nodes, graph.edges),
-        checks.citation_membership(citations, all_data, ids, datum),
-        checks.citation_totals(drawn, citations, supporting, all_data, datum, job.max_citations),
-        checks.not_empty(graph.edges, final),
-    ]
-    if merged is not None:
-        claims = merged.select("key", F.col("sources").alias("merged_names")).distinct()
-        key = F.substring_index(F.col("id"), ":", -2)
-        found.append(
-            checks.merge_claims(
-                graph.nodes.withColumn("key", key).join(claims, "key", "left").select("id", "rxcui", "merged_names")
+    result = Result(None, graph, merged, held=[records, agents])
+
+    def citations() -> DataFrame:
+        parts = [
+            quote(cite(evidence, datum, job.max_citations, ids), records, S.ID_PATH, quoted[kind])
+            for kind, evidence in data.items()
+        ]
+        return reduce(DataFrame.unionByName, [p.withColumn("kind", F.lit(k)) for p, k in zip(parts, data)])
+
+    def final() -> DataFrame:
+        totals = graph.totals
+        if crosswalk is not None:
+            names = forms.select("name").distinct()
+            totals = one_row(totals, synonyms.resolution_totals(names, crosswalk))
+        return _manifest(job, records, totals, graph.edges.count(), facts())
+
+    def violations() -> DataFrame:
+        cited = result._table("cited")
+        found = []
+        for kind in data:
+            truth = records.select(F.col(S.ID_PATH).alias("entity_id"), quoted[kind].alias("excerpt"))
+            found.append(checks.citation_texts(cited.where(F.col("kind") == kind), truth, datum, V.STUDY_URL_FORMAT))
+        # The graph is drawn once more, from the records, and must be what is published.
+        again = _graph(job, records, named)
+        found += [
+            checks.graph_counts(graph.nodes, graph.edges, graph.edge_evidence),
+            checks.dangling_edges(graph.nodes, graph.edges),
+            checks.node_contributors(graph.node_evidence, again.edge_evidence),
+            checks.published_graph(graph.nodes, graph.edges, again.nodes, again.edges),
+            checks.citation_membership(result.citations, all_data, ids, datum),
+            checks.citation_totals(drawn, result.citations, result.totals, all_data, datum, job.max_citations),
+            checks.not_empty(graph.edges, result.manifest),
+        ]
+        result.held.extend(again.held)
+        if merged is not None:
+            claims = merged.select("key", F.col("sources").alias("merged_names")).distinct()
+            key = F.substring_index(F.col("id"), ":", -2)
+            found.append(
+                checks.merge_claims(
+                    graph.nodes.withColumn("key", key).join(claims, "key", "left").select("id", "rxcui", "merged_names")
+                )
             )
+        if provenance is not None:
+            found.append(checks.processed_count(result.manifest, records, provenance))
+        return checks.violations(*found)
+
+    result._later.update(
+        cited=citations, citations=lambda: result._table("cited").drop("kind"), manifest=final,
+        totals=lambda: evidence_totals(all_data, datum), violations=violations,
+    )
+    return result
+
+
+def _graph(job: Job, records: DataFrame, agents: DataFrame) -> network.Graph:
+    if job.graph == "sponsor_drug":
+        return network.bipartite(
+            network.study_sponsors(records), agents, job.max_left, job.max_right, min_weight=job.min_weight or 1
         )
-    if provenance is not None:
-        found.append(checks.processed_count(final, records, provenance))
-    held = [records, agents]
-    return Result(
-        None, citations, final, checks.violations(*found), graph, merged, totals=supporting, held=held
-    )
+    weight = V.MIN_EDGE_WEIGHT if job.min_weight is None else job.min_weight
+    return network.cooccurrence(agents, weight, job.max_nodes, job.max_entities)

@@ -178,3 +178,72 @@ def test_rejected_requests():
     for wrong in ({"max_citations": -1}, {"group_by": "colour"}, {"compare": ["a"], "compare_kind": "phase"}):
         with pytest.raises(ValueError):
             Job(**wrong)
+
+
+def test_blank_values_are_none_and_years_in_order(studies):
+    job = Job(conditions=["  ", "lung \t cancer"], sponsors=[" "], free_text="  ")
+    assert (job.conditions, job.sponsors, job.free_text) == (["lung cancer"], [], None)
+    assert fact(run(job, studies), "processed") == 6
+    wrong = [
+        {"start_year": 2021, "end_year": 2020},
+        {"series": {"a": {"phases": ["1"]}}},
+        {"series": {"a": {"drugs": [" "]}}},
+        {"series": {" ": {"drugs": ["x"]}}},
+        {"series": {"a": {"drugs": ["x"]}}, "compare": ["y"], "compare_kind": "drug"},
+    ]
+    for given in wrong:
+        with pytest.raises(ValueError):
+            Job(**given)
+
+
+def test_series_with_scopes_of_their_own(studies):
+    """Several values and several fields in a series; a field that a series leaves out is the job's."""
+    scopes = {
+        "PD-1": {"drugs": ["keytruda", "pembrolizumab", "nivolumab"], "sponsors": ["merck"]},
+        "Platinum in Japan": {"drugs": ["cisplatin"], "countries": ["japan"]},
+        "pd-1 ": {"drugs": ["cisplatin"]},
+        "Nothing": {"drugs": ["aspirin"]},
+    }
+    job = Job(series=scopes, sponsors=["bms"], group_by="sponsor")
+    assert list(job.scopes) == ["PD-1", "Platinum in Japan", "Nothing"]
+    result = run(job, studies)
+    found = {(r.series, r.key): r.value for r in result.rows.collect() if r.value}
+    # Study i has agents i % 4, sponsor i % 2 and countries up to i % 3.
+    pd1 = [i for i in range(12) if i % 2 == 0]
+    platinum = [i for i in range(12) if i % 2 == 1 and i % 4 == 1 and i % 3 == 2]
+    assert found == {("PD-1", "Merck"): len(pd1), ("Platinum in Japan", "BMS"): len(platinum)}
+    assert {r.series for r in result.rows.collect()} == set(job.scopes)
+    assert fact(result, "series_collapsed") == 1 and result.violations.count() == 0
+    result.release()
+    shared = run(Job(series=scopes, sponsors=["bms"], group_by="sponsor", max_studies=4), studies)
+    assert set(fact(shared, "series_shares")) == set(job.scopes) and shared.violations.count() == 0
+
+
+def test_rows_alone_compute_nothing_else(studies, monkeypatch):
+    from tallyproof.plans import job as plans
+
+    for name in ("cite", "evidence_totals"):
+        monkeypatch.setattr(plans, name, lambda *_: pytest.fail("not asked for"))
+    assert run(Job(group_by="phase"), studies).rows.count() == 4
+
+
+def test_a_published_graph_is_drawn_once_more(studies, monkeypatch):
+    """Nodes and edges that are not those of the records do not pass."""
+    from dataclasses import replace
+
+    from tallyproof.plans import job as plans
+
+    honest, turns = plans._graph, []
+
+    def damaged(*given):
+        graph = honest(*given)
+        turns.append(1)
+        if len(turns) > 1:
+            return graph
+        extra = graph.nodes.limit(1).withColumn("id", F.lit("drug:invented"))
+        evidence = graph.edge_evidence.where("entity_id <> 'NCT00000001'")
+        return replace(graph, nodes=graph.nodes.unionByName(extra), edges=graph.edges.unionByName(graph.edges.limit(1)), edge_evidence=evidence)
+
+    monkeypatch.setattr(plans, "_graph", damaged)
+    found = run(Job(graph="drug_drug", max_citations=0), studies).violations.select("check").distinct().collect()
+    assert {"published_node", "published_edge", "published_edge_repeated", "node_contributors"} <= {r.check for r in found}
