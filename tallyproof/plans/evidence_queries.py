@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof import schema as S
@@ -16,7 +18,8 @@ from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.plans import star
 from tallyproof.plans.job import Job, run
 from tallyproof.plans.registry import query
-from tallyproof.session import durable
+from tallyproof.session import durable, scratch_path
+from tallyproof.sources.results import read_result, write_result
 
 NATION = DIMENSIONS["country"]
 
@@ -199,7 +202,9 @@ def _row_checks(rows, computed, evidence, citations, excerpts):
 def check_clean(spark, sf):
     """A right result has no violations; the sizes of what was checked stand beside it."""
     rows, evidence, excerpts = _published(spark, sf)
-    found = _row_checks(rows, rows, evidence, _quoted(evidence, excerpts), excerpts)
+    # Counted once more, from the line items.
+    again = measure.bucket_counts(_nation_members(spark, sf), NATION, V.TOP_N["country"])
+    found = _row_checks(rows, again, evidence, _quoted(evidence, excerpts), excerpts)
     checked = rows.select(
         F.lit(1).alias("buckets"), F.col("value").alias("entities"), F.lit(0).alias("violations")
     )
@@ -318,6 +323,84 @@ def check_graph_tampered(spark, sf):
     return found.groupBy("check").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""
+    with {_GRAPH_SQL},
+    evidence as (
+      select distinct unnest([source, target]) as key, id from pairs join drawn using (source, target)
+    ),
+    nodes as (select distinct key from evidence),
+    damage as (
+      select 'node_contributors' as "check", count(*) as n from evidence where key like 'red%' and id % 10 = 0
+      union all select 'node_contributors', count(*) from nodes where key like 'hot%'
+      union all select unnest(['published_node', 'published_node_repeated']), count(*) from nodes where key like 'cold%'
+      union all select unnest(['published_edge', 'published_edge_repeated']), count(*) from drawn where source like 'blue%'
+    )
+    select "check", cast(sum(n) as bigint) as n from damage group by 1 having sum(n) > 0
+    """
+)
+def check_graph_repeats(spark, sf):
+    """Red nodes lose a tenth of their orders, hot ones claim one that is not theirs, cold ones and
+    edges from blue ones are published twice."""
+    graph = _graph(spark, sf)
+    edge_evidence = graph.edge_evidence.persist(StorageLevel.MEMORY_AND_DISK)
+    nodes, edges = durable(graph.nodes), durable(graph.edges)
+    claimed = network.node_evidence(edge_evidence).where(~(F.col("id").startswith("part:red") & (F.col("entity_id") % 10 == 0)))
+    invented = nodes.where(F.col("id").startswith("part:hot")).select("id", F.lit(-1).cast("bigint").alias("entity_id"))
+    found = checks.violations(
+        checks.node_contributors(claimed.unionByName(invented), edge_evidence),
+        checks.published_graph(
+            nodes.unionByName(nodes.where(F.col("id").startswith("part:cold"))),
+            edges.unionByName(edges.where(F.col("source").startswith("part:blue"))),
+            nodes,
+            edges,
+        ),
+    )
+    return found.groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""
+    with {_NATIONS_SQL},
+    kept as (select key, count(*) as value from members group by 1 order by 2 desc, 1 limit 20),
+    {_sample_sql("members", 3)},
+    quoted as (select * from cited where key in (select key from kept)),
+    damage as (
+      select unnest(['cited_unknown_record', 'cited_non_contributor']) as "check", count(*) as n
+      from quoted where key < 'NATION_15'
+      union all select unnest(['supporting_total', 'more_citations_than_total']), count(*) from kept where key like 'NATION_2%'
+      union all select 'uncited_value', count(*) from kept where key like 'NATION_1%'
+      union all select 'unwanted_citations', count(*) from kept
+      union all select unnest(['empty_excerpt', 'excerpt']), count(*) from quoted where ordinal = 1
+      union all select 'not_empty', 1
+      union all select 'provenance', 1
+    )
+    select "check", cast(sum(n) as bigint) as n from damage group by 1 having sum(n) > 0
+    """
+)
+def check_citations_tampered(spark, sf):
+    """Citations of records that do not exist, more of them than the total admits, values without any,
+    citations that nobody asked for, empty excerpts, and a result without rows, reason or sources."""
+    rows, evidence, excerpts = _published(spark, sf)
+    citations, totals = _quoted(evidence, excerpts), durable(evidence_totals(evidence, ["key"]))
+    key = F.col("key")
+    unknown = citations.withColumn("entity_id", F.when(key < "NATION_15", -1 - F.col("entity_id")).otherwise(F.col("entity_id")))
+    one = F.when(key.startswith("NATION_2"), F.lit(1).cast("bigint")).otherwise(F.col("total"))
+    blank = citations.withColumn("excerpt", F.when(F.col("ordinal") == 1, F.lit("  ")).otherwise(F.col("excerpt")))
+    empty = rows.agg(F.count("*").alias("processed")).withColumn("empty_reason", F.lit(None).cast("string"))
+    sources = star.table(spark, sf, "orders").select(F.col("_metadata.file_path").alias("source"))
+    found = checks.violations(
+        checks.citation_membership(unknown, evidence, excerpts, ["key"]),
+        checks.citation_totals(rows, citations.withColumn("total", one), totals.withColumn("total", one), evidence, ["key"], 3),
+        checks.citation_totals(rows, citations.where(~key.startswith("NATION_1")), totals, evidence, ["key"], 3),
+        checks.citation_totals(rows, citations, totals, evidence, ["key"], 0),
+        checks.citation_texts(blank, excerpts, ["key"], _URL),
+        checks.not_empty(rows.where(F.lit(False)), empty),
+        checks.processed_count(empty, rows, sources.where(F.lit(False))),
+    )
+    return found.groupBy("check").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""
     with {_GRAPH_SQL},
@@ -483,6 +566,120 @@ def job_empty(spark, sf):
     return run(job, _studies(spark, sf)).manifest.select("empty_reason", "processed")
 
 
+def _placed(spark, sf):
+    """Studies with their place in landed pages of a hundred."""
+    key = F.col("o_orderkey")
+    return _studies(spark, sf).withColumns(
+        {"search_no": F.lit(0), "page_no": F.floor(key / 100).cast("int"), "pos": (key % 100).cast("int")}
+    )
+
+
+@query(
+    f"""
+    with {star.STUDIES_SQL},
+    undated as (select count(*) as n from studies where status is null)
+    select 'scope' as job, 'NO_MATCHING_TRIALS' as empty_reason, cast(0 as bigint) as processed, cast(0 as bigint) as fetched,
+           false as truncated, cast(null as bigint) as cap, false as unscoped_sample, false as capped_before_filter,
+           cast(null as bigint) as unfiltered_matching
+    union all
+    select 'status', 'NO_MATCHING_TRIALS', 0, 0, false, null, false, false, (select count(*) from studies)
+    union all
+    select 'undated', 'NO_CHARTABLE_DATA', n, (select count(*) from studies), false, null, false, false, null from undated
+    union all
+    select 'sample', 'NO_MATCHES_IN_FETCHED_SAMPLE', 0, 40, true, 40, false, true, null
+    union all
+    select 'unscoped', null, 40, 40, true, 40, true, false, null
+    """
+)
+def job_empty_reasons(spark, sf):
+    """Each of the three reasons for an empty result, and what a cap discloses."""
+    studies = _placed(spark, sf)
+    late = {"max_studies": 40, "start_year": 3000}
+    jobs = {
+        "scope": Job(sponsors=["nobody of this name"]),
+        "status": Job(statuses=["withdrawn"]),
+        "undated": Job(excluded_statuses=["f", "o"], group_by="start_year", time_series=True),
+        "sample": Job(sponsors=["customer"], **late),
+        "unscoped": Job(max_studies=40),
+    }
+    parts = [
+        run(job, studies).manifest.select(
+            F.lit(name).alias("job"), "empty_reason", "processed", "fetched", "truncated", "cap", "unscoped_sample",
+            "capped_before_filter", "unfiltered_matching",
+        )
+        for name, job in jobs.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_SHARED_CAP = 30
+
+_SERIES_SQL = f"""
+with {star.STUDIES_SQL},
+placed as (select *, o_orderkey // 100 as page, o_orderkey % 100 as place from studies),
+small as (
+  select *, row_number() over (order by page, place) as nth from placed where c_name in ('Customer#000000001', 'Customer#000000002')
+),
+every as (select *, row_number() over (order by page, place) as nth from placed),
+s1 as (select o_orderkey from small where nth <= {_SHARED_CAP} // 2),
+left_over as (select {_SHARED_CAP} - (select count(*) from s1) as n),
+s2 as (select o_orderkey from every where nth <= (select n from left_over))
+"""
+
+
+@query(
+    f"""
+    {_SERIES_SQL}
+    select 'every one=' || (select n from left_over) || ',two customers=' || ({_SHARED_CAP} // 2) as shares,
+           (select count(*) from (select * from s1 union select * from s2)) as processed,
+           (select count(*) from (select * from s1 union select * from s2)) as fetched,
+           (select greatest((select count(*) from small), (select count(*) from every))) as total_matching,
+           true as truncated, cast({_SHARED_CAP} as bigint) as cap, false as unscoped_sample, false as capped_before_filter
+    """
+)
+def job_shared_cap(spark, sf):
+    """A cap shared by two series, of several values each; one does not use its share."""
+    series = {
+        "two customers": {"sponsors": ["Customer#000000001", "Customer#000000002"]},
+        "every one": {"sponsors": ["customer", "nobody of this name"]},
+    }
+    job = Job(series=series, max_studies=_SHARED_CAP, group_by="status")
+    shares = F.array_join(
+        F.array_sort(F.transform(F.map_entries("series_shares"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ","
+    )
+    return run(job, _placed(spark, sf)).manifest.select(
+        shares.alias("shares"), "processed", "fetched", "total_matching", "truncated", "cap", "unscoped_sample", "capped_before_filter"
+    )
+
+
+@query(
+    f"""
+    with {star.STUDIES_SQL},
+    kept as (select coalesce(status, 'No status') as key from studies)
+    select 'rows' as name, key, count(*) as n from kept group by key
+    union all select 'totals', key, count(*) from kept group by key
+    union all select 'manifest', null, 1
+    union all select 'citations', key, 3 from kept group by key
+    """
+)
+def result_written(spark, sf):
+    """A result written table by table and read again."""
+    result = run(Job(group_by="status", max_citations=3), _studies(spark, sf))
+    folder = scratch_path(spark, "result")
+    write_result(result.tables(), folder)
+    found = read_result(spark, folder, ["rows", "citations", "manifest", "totals"])
+    shown = found["rows"].select("position", "raw_key", "value")
+    none = F.lit(None).cast("string")
+    parts = [
+        shown.select(F.lit("rows").alias("name"), F.col("raw_key").alias("key"), F.col("value").alias("n")),
+        found["totals"].join(shown, "position").select(F.lit("totals").alias("name"), F.col("raw_key").alias("key"), F.col("total").alias("n")),
+        found["manifest"].agg(F.count("*").alias("n")).select(F.lit("manifest").alias("name"), none.alias("key"), "n"),
+        found["citations"].join(shown, "position").groupBy(F.col("raw_key").alias("key")).agg(F.count("*").alias("n"))
+        .select(F.lit("citations").alias("name"), "key", "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- studies with all their lists ------------------------------------------------------------
 
 
