@@ -32,13 +32,8 @@ ENROLLMENT_BINS = [
 
 # --- report caps -----------------------------------------------------------------------------
 TOP_N = {"sponsor": 15, "country": 20, "intervention_type": 15}
-MAX_FILLED_YEARS = 120
 UNDATED_ORDER = 9999
-MAX_ENTITIES_PER_RECORD = 40
 MIN_EDGE_WEIGHT = 2
-MAX_NODES = 30
-MAX_LEFT_NODES = 15
-MAX_RIGHT_NODES = 25
 CANDIDATE_POOL = 120
 MIN_MATCH_SCORE = 11.0
 DEFAULT_CITATIONS = 3

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyproof.functions import fixed_values as V
 from tallyproof.functions import mentions as M
 from tallyproof.functions import text as X
 from tallyproof.operators import grounding
@@ -195,6 +196,144 @@ def text_conversations(spark, sf):
     )
 
 
+# --- whole documents with a sentence of each kind ----------------------------------------------
+
+
+def _documents(spark, sf, sentences: list[str]):
+    """Every whole document with one of the sentences behind it, by its id; ``(doc_id, text)``."""
+    listed = F.array(*[F.lit(x) for x in sentences])
+    sentence = F.get(listed, (F.col("doc_id") % len(sentences)).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nIn short: "), sentence)
+    return star.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+def _tags_sql(columns: list[str], tags: list[tuple]) -> str:
+    """SQL text: the tags of the sentence that each document has behind it."""
+
+    def shown(value) -> str:
+        return "null" if value is None else str(value) if isinstance(value, int) else f"'{value}'"
+
+    rows = ", ".join(f"({i}, {', '.join(map(shown, row))})" for i, row in enumerate(tags))
+    return (
+        f"with said(nth, {', '.join(columns)}) as (values {rows}) "
+        f"select doc_id, {', '.join(columns)} from documents join said on doc_id % {len(tags)} = nth"
+    )
+
+
+_STATUS_OF = {phrase: status for status, phrases in V.STATUS_VOCABULARY.items() for phrase in phrases}
+#: More than a dozen items, all under one word that excludes them.
+_LONG_LIST = [
+    "completed", "terminated", "recruiting", "unknown status", "upcoming", "expanded access", "enrolling by invitation",
+    "suspended", "no longer available", "closed to enrollment", "concluded", "finished", "on hold",
+]
+
+
+def _status_sentences() -> list[tuple[str, str, str]]:
+    """Each phrase wanted, refused, at the end of a long list, and, when it is one word, as part of
+    another: ``(sentence, wanted, excluded)``."""
+    listed = {_STATUS_OF[p] for p in _LONG_LIST}
+    found = []
+    for phrase, status in _STATUS_OF.items():
+        found.append((f"show {phrase} ones.", status, ""))
+        found.append((f"never {phrase}.", "", status))
+        every = ",".join(sorted({*listed, status}))
+        found.append((f"excluding {', '.join(_LONG_LIST)} and {phrase} trials.", "", every))
+        if phrase.isalpha():
+            found.append((f"pre-{phrase} ones.", "", ""))
+    for cue in V.NEGATION_CUES:
+        # Only a cue of one word reaches over another word.
+        glue, gap = "" if cue == "n't" else " ", " really" if cue.isalpha() else ""
+        found.append((f"those that are{glue}{cue}{gap} completed; recruiting ones too.", "RECRUITING", "COMPLETED"))
+    return found
+
+
+_STATUS_SENTENCES = _status_sentences()
+
+
+@query(_tags_sql(["wanted", "excluded"], [s[1:] for s in _STATUS_SENTENCES]))
+def text_status_documents(spark, sf):
+    """Every status phrase and every word that negates, read in whole documents."""
+    documents = _documents(spark, sf, [s[0] for s in _STATUS_SENTENCES])
+    return documents.select("doc_id", F.inline(F.array(M.status_mentions(F.col("text"))))).select(
+        "doc_id", _joined(F.col("wanted")).alias("wanted"), _joined(F.col("excluded")).alias("excluded")
+    )
+
+
+def _axis_sentences() -> list[tuple[str, str | None, str | None]]:
+    """Every word of an axis and of a graph kind, alone and with one of another: ``(sentence, axis, graph)``."""
+    found = []
+    axes, kinds = list(V.AXIS_WORDS.items()), list(V.GRAPH_KIND_WORDS.items())
+    for number, (axis, words) in enumerate(axes):
+        other = axes[(number + 1) % len(axes)][1][0]
+        found += [(f"studies by {w}.", axis, None) for w in words]
+        found += [(f"studies by {w} and {other}.", None, None) for w in words]
+    for number, (kind, words) in enumerate(kinds):
+        other = kinds[1 - number][1][0]
+        axis = "sponsor" if kind == "sponsor_drug" else None
+        found += [(f"names {w} of them.", axis, kind) for w in words]
+        found += [(f"names {w}, {other}.", "sponsor", None) for w in words]
+    return found
+
+
+_AXIS_SENTENCES = _axis_sentences()
+
+
+@query(_tags_sql(["axis", "graph"], [s[1:] for s in _AXIS_SENTENCES]))
+def text_axis_documents(spark, sf):
+    """Every word of the seven axes and the two kinds of graphs, read in whole documents."""
+    text = F.col("text")
+    return _documents(spark, sf, [s[0] for s in _AXIS_SENTENCES]).select(
+        "doc_id", M.axis_mention(text).alias("axis"), M.graph_kind_mention(text).alias("graph")
+    )
+
+
+#: Sentence, first year, last year, and the years written.
+_YEAR_SENTENCES = [
+    *[(f"{cue} 1999.", 1999, None, "1999") for cue in ("since", "from", "starting", "starting in", "beginning in", "onwards from")],
+    *[(f"{cue} 1999.", 2000, None, "1999") for cue in ("after", "later than")],
+    *[(f"{cue} 1999.", None, 1999, "1999") for cue in ("until", "till", "through", "up to")],
+    *[(f"{cue} 1999.", None, 1998, "1999") for cue in ("before", "prior to", "earlier than")],
+    *[(f"done {verb} by 2011.", None, None, "2011") for verb in V.AGENT_VERBS],
+    *[(f"{verb} by 2011.", None, 2011, "2011") for verb in ("finished", "recruited", "over")],
+    *[(f"{a} {glue} {b}.", 1990, 2031, "1990,2031") for glue in ("-", "to", "and", "through", "until", "till") for a, b in ((1990, 2031), (2031, 1990))],
+    ("since 2020 and before 2015.", 2020, 2014, "2015,2020"),
+    ("a dose of 1979 mg, 2040 ml, 20100 units.", None, None, ""),
+]
+
+
+@query(_tags_sql(["first", "last", "years"], [s[1:] for s in _YEAR_SENTENCES]))
+def text_year_documents(spark, sf):
+    """Every cue of a range of years, and every verb whose "by" names no year, read in whole documents."""
+    text = F.col("text")
+    span = M.year_range(text)
+    return _documents(spark, sf, [s[0] for s in _YEAR_SENTENCES]).select(
+        "doc_id", span["start"].alias("first"), span["end"].alias("last"), _joined(M.year_mentions(text)).alias("years")
+    )
+
+
+def _phase_sentences() -> list[tuple[str, str]]:
+    """Each number and each list of two and three, in digits and roman, with each separator."""
+    roman = {n: r.upper() for r, n in V.ROMAN_PHASES.items()}
+    found = [(f"phase {n} of 4 arms.", str(n)) for n in (1, 2, 3, 4)] + [(f"Phase-{roman[n]} only.", str(n)) for n in roman]
+    for glue in ("/", ", ", " & ", " + ", "-", " or ", " and ", " to "):
+        found += [(f"phases {a}{glue}{roman[b]}.", ",".join(map(str, sorted({a, b})))) for a in (1, 2, 3, 4) for b in roman]
+        found.append((f"phase I{glue}2{glue}iii.", "1,2,3"))
+    found += [(f"early{glue}phase 1 and phase 3.", "0,3") for glue in (" ", "-")]
+    found.append(("in phase, 3 of them.", ""))
+    return found
+
+
+_PHASE_SENTENCES = _phase_sentences()
+
+
+@query(_tags_sql(["phases"], [s[1:] for s in _PHASE_SENTENCES]))
+def text_phase_documents(spark, sf):
+    """Phases in digits and roman, with every separator, read in whole documents."""
+    return _documents(spark, sf, [s[0] for s in _PHASE_SENTENCES]).select(
+        "doc_id", _joined(M.phase_mentions(F.col("text"))).alias("phases")
+    )
+
+
 def _texts(spark, sf):
     documents = star.table(spark, sf, "documents")
     return documents.select(F.col("doc_id").alias("text_id"), "text")
