@@ -243,7 +243,7 @@ def _status_sentences() -> list[tuple[str, str, str]]:
     for cue in V.NEGATION_CUES:
         # Only a cue of one word reaches over another word.
         glue, gap = "" if cue == "n't" else " ", " really" if cue.isalpha() else ""
-        found.append((f"those that are{glue}{cue}{gap} completed; recruiting ones too.", "RECRUITING", "COMPLETED"))
+        found.append((f"those that are{glue}{cue}{gap} completed but recruiting ones too.", "RECRUITING", "COMPLETED"))
     return found
 
 
