@@ -7,7 +7,14 @@ Every line with a word is tested by itself. A line fails when it is
 - **shouting**: most of its letters are capitals, or exclamation marks follow many of its words;
 - **repetition**: a long line of very few different words;
 - **unpunctuated**: a long line without any punctuation of its script, where that has any;
-- **boilerplate**: a short line with a phrase of scripts, cookie notices or licences.
+- **boilerplate**: a short line that at least ``hot_share`` of the documents have, or one with a whole
+  phrase of scripts, cookie notices or licences.
+
+For the first sign all documents are read before any is judged: short lines, lower-cased and with all
+digits alike, are counted by their hash. Documents that have their longest line in common count once, so
+copies of a text make none of its lines boilerplate. Only pairs of hashes move; the hashes of lines that
+pass the bound, which are no more than the short lines of a document over ``hot_share``, are handed to the
+tasks.
 
 Lines without a word never fail. A document is rejected when the failing lines held more than
 ``max_lost`` of its words, when it has fewer than ``min_words`` words, or when more than
@@ -26,10 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm.common import BLANKS, as_bytes, text_of
+from tallyproof.session import stored
 
 SYMBOLS = b"#*$%&|<>{}~^\\"
 COUNTED_SYMBOLS = b"#*$%&|<>"
@@ -45,12 +54,14 @@ PUNCTUATION = re.compile(
 )
 #: Letters of Thai and Lao, which part sentences by blanks.
 UNMARKED = re.compile(r"[\u0E01-\u0E2E\u0E81-\u0EAE]")
-BOILERPLATE = (
-    b"javascript", b"cookie", b"lorem ipsum", b"all rights reserved", b"terms of use",
-    b"terms of service", b"privacy policy", b"subscribe to", b"sign up for", b"log in to",
-    b"skip to content", b"powered by", b"licensed under", b"spdx-license",
-)
+#: Phrases of notices, as whole words.
+BOILERPLATE = re.compile(
+    rb"\b(?:enable javascript|javascript is (?:disabled|required)|requires javascript|cookie (?:policy|settings|notice|consent)"
+    rb"|(?:accept|uses?|using) cookies|lorem ipsum|all rights reserved|terms of use|terms of service|privacy policy|subscribe to"
+    rb"|sign up for|log in to|skip to content|powered by|licensed under|spdx-license)\b"
+)
 BLANK_BYTES = BLANKS.encode()
+_ALIKE = bytes(0x30 if 0x30 <= b <= 0x39 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 CAPITALS, LETTERS = string.ascii_uppercase.encode(), string.ascii_letters.encode()
 
 
@@ -68,6 +79,8 @@ class Rules:
     long_line: int = 20
     different: float = 0.2
     boilerplate_words: int = 40
+    hot_share: float = 0.02
+    hot_documents: int = 20
 
 
 def occurrences(line: bytes, of: bytes) -> int:
@@ -83,7 +96,44 @@ def mostly_capitals(line: bytes, share: float) -> bool:
     return letters >= 20 and capitals > share * letters
 
 
-def failing_rule(line: bytes, words: list[bytes], rules: Rules) -> str | None:
+def line_hash(words: list[bytes]) -> int:
+    """A signed hash of a line's words, A-Z lowered and digits alike."""
+    value = xxhash.xxh64_intdigest(b" ".join(words).translate(_ALIKE))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def hot_lines(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> frozenset[int]:
+    """The hashes of short lines that are boilerplate by the number of documents that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines: list[int | None] = []
+            marks: list[int] = []
+            for text in as_bytes(batch.column(0)):
+                filled = [w for w in map(bytes.split, text.split(b"\n")) if w]
+                if filled:
+                    mark = line_hash(min(filled, key=_longest_first))
+                    short = {line_hash(w) for w in filled if len(w) <= rules.boilerplate_words}
+                    lines += [None, *short]
+                    marks += [mark] * (1 + len(short))
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(marks, pa.int64())], ["line", "mark"])
+
+    pairs = docs.select(text_of(text_col).alias("_text")).mapInArrow(run, "line long, mark long").distinct()
+    counts = pairs.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.hot_documents)
+    counts = stored(counts, "hot-lines")
+    whole = counts.filter(F.col("line").isNull()).first()
+    if whole is None:
+        return frozenset()
+    hot = counts.filter(F.col("line").isNotNull() & (F.col("n") >= rules.hot_share * whole.n)).select("line").toArrow()
+    return frozenset(hot.column("line").to_pylist())
+
+
+def _longest_first(words: list[bytes]) -> tuple[int, bytes]:
+    line = b" ".join(words).translate(_ALIKE)
+    return -len(line), line
+
+
+def failing_rule(line: bytes, words: list[bytes], rules: Rules, hot: frozenset[int] = frozenset()) -> str | None:
     """The first rule that a line with a word fails."""
     n_words = len(words)
     if not line.isascii() or occurrences(line, b"|>/") > 2:
@@ -100,10 +150,8 @@ def failing_rule(line: bytes, words: list[bytes], rules: Rules) -> str | None:
             return "repetition"
         if not (PUNCTUATION.search(text := line.decode()) or UNMARKED.search(text)):
             return "unpunctuated"
-    if n_words <= rules.boilerplate_words:
-        lower = line.lower()
-        if any(phrase in lower for phrase in BOILERPLATE):
-            return "boilerplate"
+    if n_words <= rules.boilerplate_words and (BOILERPLATE.search(line.lower()) or hot and line_hash(words) in hot):
+        return "boilerplate"
     return None
 
 
@@ -131,7 +179,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def judge(text: bytes, rules: Rules = Rules()) -> dict:
+def judge(text: bytes, rules: Rules = Rules(), hot: frozenset[int] = frozenset()) -> dict:
     """Counts, verdict and cleaned text of one document, given in UTF-8."""
     words, kept_lines, seen, lost, n_dup, failed = [], [], set(), 0, 0, 0
     for line in text.split(b"\n"):
@@ -139,7 +187,7 @@ def judge(text: bytes, rules: Rules = Rules()) -> dict:
             words += line_words
             n_dup += line in seen
             seen.add(line)
-            if failing_rule(line, line_words, rules):
+            if failing_rule(line, line_words, rules, hot):
                 lost += len(line_words)
                 failed += 1
                 continue
@@ -168,11 +216,12 @@ COUNTS = (
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Counts and verdict of every row, with its id; no text leaves the task."""
+    hot = hot_lines(docs, text_col, rules)
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t, rules) for t in as_bytes(batch.column(1))]
+            rows = [judge(t, rules, hot) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array([r[n] for r in rows], kinds[n]) for n in names]], [id_col, *names]
             )
@@ -186,13 +235,13 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
 def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", rules: Rules = Rules()) -> DataFrame:
     """The rows that pass, with failing lines removed from their text and all columns of ``docs``.
     ``length_col``, where the table has it, is set to the code points of the new text."""
-    schema = docs.schema
+    schema, hot = docs.schema, hot_lines(docs, text_col, rules)
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t, rules) for t in as_bytes(batch.column(at))]
+            rows = [judge(t, rules, hot) for t in as_bytes(batch.column(at))]
             arrays = list(batch.columns)
             arrays[at] = pa.array([r["clean_text"].decode() for r in rows], batch.schema.field(at).type)
             if length_at is not None:

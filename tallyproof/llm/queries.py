@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _re2(pattern: str) -> str:
+    """A pattern of the code as SQL has it."""
+    return re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern).replace("'", "''")
+
+
+_RULES = quality_rules.Rules()
 _QUALITY_SQL = r"""
 with texts as (select doc_id, coalesce(text, '') as text from documents),
 words as (
@@ -63,8 +71,22 @@ counted as (
            + len([x for x in string_split_regex(line, '\s') if x = '>' or x = '/']) as separators
   from lines
 ),
+normal as (
+  select doc_id, len(list) as n,
+         regexp_replace(translate(array_to_string(list, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') as norm
+  from counted where len(list) > 0
+),
+marks as (
+  select doc_id, norm as mark from normal qualify row_number() over (partition by doc_id order by strlen(norm) desc, encode(norm)) = 1
+),
+hot as (
+  select norm from (select distinct norm, mark from normal join marks using (doc_id) where n <= {words})
+  group by norm having count(*) >= greatest({documents}, {share} * (select count(distinct mark) from marks))
+),
 sized as (
-  select *, len(list) as n, 2 * ascii_letters < bytes and bytes > length(line) as foreign_letters from counted where len(list) > 0
+  select *, len(list) as n,
+         regexp_replace(translate(array_to_string(list, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') as norm,
+         2 * ascii_letters < bytes and bytes > length(line) as foreign_letters from counted where len(list) > 0
 ),
 judged as (
   select doc_id, place, line, n,
@@ -74,8 +96,8 @@ judged as (
          or n > 3 and case when foreign_letters then all_letters >= 20 and all_capitals > 0.7 * all_letters
                            else ascii_letters >= 20 and ascii_capitals > 0.7 * ascii_letters end
          or n >= 20 and list_unique(list) < 0.2 * n
-         or n >= 20 and not regexp_matches(line, '[.,;:!?…。、！？]')
-         or n <= 40 and regexp_matches(lower(line), 'javascript|cookie|lorem ipsum|all rights reserved|terms of use|terms of service|privacy policy|subscribe to|sign up for|log in to|skip to content|powered by|licensed under|spdx-license')
+         or n >= 20 and not regexp_matches(line, '{punctuation}') and not regexp_matches(line, '{unmarked}')
+         or n <= {words} and (regexp_matches(lower(line), '{boilerplate}') or norm in (from hot))
            as failed,
          row_number() over (partition by doc_id, line order by place) > 1 as dup
   from sized
@@ -98,6 +120,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and lost_words <= 0.3 * n_words as kept, lost_words, failed_lines
 from based
 """
+for _name, _value in {
+    "words": _RULES.boilerplate_words,
+    "documents": _RULES.hot_documents,
+    "share": _RULES.hot_share,
+    "punctuation": _re2(quality_rules.PUNCTUATION.pattern),
+    "unmarked": _re2(quality_rules.UNMARKED.pattern),
+    "boilerplate": _re2(quality_rules.BOILERPLATE.pattern.decode()),
+}.items():
+    _QUALITY_SQL = _QUALITY_SQL.replace("{" + _name + "}", str(_value))
 
 
 @query(_QUALITY_SQL)

@@ -126,3 +126,55 @@ def test_clean_sets_the_length(spark):
     docs = spark.createDataFrame([(1, PROSE + "\nHome | Ä | Sport | Contact", 0)], "doc_id long, text string, n_chars long")
     row = quality_rules.clean(docs).collect()[0]
     assert (row.text, row.n_chars) == (PROSE, len(PROSE))
+
+
+SCRIPTS = [
+    ("कखगघचछजझटठडढतथद", "।"),
+    ("ابتثجحخدذرزسشصض", "۔"),
+    ("ሀለሐመሠረሰሸቀበተቸኀነኘ", "።"),
+    ("កខគឃងចឆជឈញដឋឌឍណ", "។"),
+    ("的一是不了人我在有他这为之大来", "，"),
+    ("กขคฆงจฉชซฌญฎฏฐฑ", ""),
+    ("abcdefghijklmno", "."),
+]
+
+
+def test_other_scripts_equal_sql(spark, tmp_path):
+    """Rows of seven scripts, with their marks and without, and lines that many documents have."""
+    rows = []
+    for letters, mark in SCRIPTS:
+        words = [a + b for a in letters for b in letters]
+        for sign in (mark, ""):
+            rows.append("\n".join(" ".join(words[at : at + 25]) + sign for at in range(0, 225, 25)))
+    for i in range(60):
+        own = [[chr(97 + i // 26) + chr(97 + i % 26) + chr(97 + a) + chr(97 + b) for b in range(24)] for a in range(6)]
+        rows.append("\n".join([*(f"Line of {' '.join(some)}." for some in own), f"Shared footer, page {10 + i}."]))
+    rows += [rows[-1]] * 30  # copies
+    rows += ["We love cookies and JavaScript books, dear reader.", "Accept cookies.\n" * 9, "a\nlicensed under x\n" * 30]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "op1_quality_rules"
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    assert difference(found, connection, ORACLES[name]) is None
+    by = {r.doc_id: r for r in found.collect()}
+    for at, (_, mark) in enumerate(SCRIPTS):
+        assert by[2 * at].kept and by[2 * at].failed_lines == 0
+        assert by[2 * at + 1].kept == (not mark)
+    # The footer is boilerplate, the lines of a text with thirty copies are not.
+    assert all(by[i].failed_lines == 1 and by[i].kept for i in range(14, 104))
+    assert by[104].failed_lines == 0 and by[105].failed_lines == 9
+
+
+def test_hot_lines(spark):
+    footer, text = "All About Us 2020", "\n".join(f"some text {i}" for i in range(5))
+    rows = [f"{footer if i % 2 else footer.replace('2020', '1999').upper()}\nown line number {chr(97 + i)}, the longest of all" for i in range(22)]
+    docs = spark.createDataFrame([(t,) for t in [*rows, *[text] * 50, None, "", " \n"]], "text string")
+    found = quality_rules.hot_lines(docs)
+    assert found == {quality_rules.line_hash(b"all about us 0000".split())}
+    assert quality_rules.hot_lines(docs, rules=quality_rules.Rules(hot_documents=23)) == frozenset()
+    assert quality_rules.hot_lines(docs, rules=quality_rules.Rules(hot_share=0.99)) == frozenset()
+    assert quality_rules.hot_lines(docs.limit(0)) == frozenset()
