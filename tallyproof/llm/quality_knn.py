@@ -1,9 +1,10 @@
 """Quality by nearest-neighbour voting among labelled documents in a latent-semantic space.
 
-A document is a vector of 1028 counts in four blocks: the shapes of its words (classes of their first and
-last character), the shapes of their junctions, hashed words, and a class of the share of its words that
-repeat the one before. Counts are damped by a logarithm and weighted by how few documents of the whole
-corpus have the feature; each block has unit length times its own weight.
+A document is a vector of counts in four blocks: its words, hashed into ``words`` buckets, which carry the
+space with weight 1; and, with weight 0.5 each, the shapes of its words (classes of their first and last
+character), the shapes of their junctions, and a class of the share of its words that repeat the one
+before (`Space`). Counts are damped by a logarithm and weighted by how few documents of the whole corpus
+have the feature; each block has unit length times its weight.
 The leading singular vectors of the labelled documents span the latent space. Every document is projected
 and compared, by exact cosine products in blocks, with all labelled vectors; its nearest ``neighbours``
 vote with their labels, weighted by a power of their similarity.
@@ -22,6 +23,7 @@ columns are read from the tables, so other columns never clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +33,40 @@ from pyspark.sql import functions as F
 from tallyproof.llm.common import BLANKS, as_bytes, runs, text_of
 from tallyproof.session import stored
 
-SHAPES, WORDS = 16, 511
+SHAPES, WORDS = 16, 2047
 #: Upper bounds of the classes of repeating words, as shares.
 REPEATS = (0.0, 0.02, 0.1, 0.3)
-#: First feature of each block, and the weight of the block.
-BLOCKS = ((0, 1.0), (SHAPES**2, 1.0), (2 * SHAPES**2, 0.3), (2 * SHAPES**2 + WORDS, 1.0))
-FEATURES = BLOCKS[-1][0] + len(REPEATS) + 1
+
+
+@dataclass(frozen=True)
+class Space:
+    """The features: buckets of words, and the weights of the blocks."""
+
+    words: int = WORDS
+    word_weight: float = 1.0
+    shape_weight: float = 0.5
+    repeat_weight: float = 0.5
+
+    @property
+    def blocks(self) -> tuple[tuple[int, float], ...]:
+        """The first feature of each block, and its weight."""
+        after = 2 * SHAPES**2
+        return ((0, self.shape_weight), (SHAPES**2, self.shape_weight), (after, self.word_weight), (after + self.words, self.repeat_weight))
+
+    @property
+    def features(self) -> int:
+        return self.blocks[-1][0] + len(REPEATS) + 1
+
+
+BLOCKS = Space().blocks
 DIMENSIONS = 64
 MOST_LABELLED = 4096
 NEIGHBOURS = 32
 POWER = 4
 #: Documents whose products with all labelled vectors are held at a time.
 BLOCK = 256
-RUN_BYTES = 1 << 20
+#: Bytes of texts, and documents, whose counts are held at a time.
+RUN_BYTES, RUN_ROWS = 1 << 20, 1 << 10
 
 _CLASS = np.full(256, 1, dtype=np.uint8)  # letters, and all beyond ASCII
 for _signs, _number in (
@@ -71,8 +94,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return hashes * np.uint64(0xD6E8FEB86659FD93)
 
 
-def features(texts: list[bytes]) -> np.ndarray:
+def features(texts: list[bytes], space: Space = Space()) -> np.ndarray:
     """A row of counts for each text."""
+    width = space.features
     joined = b"\n".join([*texts, b""])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     data = np.frombuffer(joined, np.uint8)
@@ -85,26 +109,32 @@ def features(texts: list[bytes]) -> np.ndarray:
     same_text = row[1:] == row[:-1]
     junction = SHAPES * SHAPES + last[:-1] * SHAPES + first[1:]
     again = same_text & (hashes[1:] == hashes[:-1])
-    words = 2 * SHAPES * SHAPES + ((hashes >> np.uint64(33)) % np.uint64(WORDS)).astype(np.int64)
+    words = 2 * SHAPES * SHAPES + ((hashes >> np.uint64(33)) % np.uint64(space.words)).astype(np.int64)
     cells = np.concatenate(
         [
-            row * FEATURES + first * SHAPES + last,
-            (row[1:] * FEATURES + junction)[same_text],
-            row * FEATURES + words,
+            row * width + first * SHAPES + last,
+            (row[1:] * width + junction)[same_text],
+            row * width + words,
         ]
     )
-    counts = np.bincount(cells, minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES)
+    counts = np.bincount(cells, minlength=len(texts) * width).reshape(len(texts), width)
     n_words = np.bincount(row, minlength=len(texts))
     repeating = np.bincount(row[1:][again], minlength=len(texts)) / np.maximum(n_words, 1)
     some = np.flatnonzero(n_words)
-    counts[some, BLOCKS[-1][0] + np.searchsorted(REPEATS, repeating[some])] = 1
+    counts[some, space.blocks[-1][0] + np.searchsorted(REPEATS, repeating[some])] = 1
     return counts
 
 
-def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in runs(batches, text, RUN_BYTES):
+        for at in range(0, batch.num_rows, RUN_ROWS):
+            yield batch.slice(at, RUN_ROWS)
+
+
+def _weighted(counts: np.ndarray, rarity: np.ndarray, space: Space = Space()) -> np.ndarray:
     values = np.log1p(counts).astype(np.float32) * rarity
-    ends = [start for start, _ in BLOCKS[1:]] + [FEATURES]
-    for (start, weight), end in zip(BLOCKS, ends):
+    ends = [start for start, _ in space.blocks[1:]] + [space.features]
+    for (start, weight), end in zip(space.blocks, ends):
         values[:, start:end] = _unit(values[:, start:end]) * np.float32(weight)
     return values
 
@@ -116,10 +146,13 @@ def _unit(values: np.ndarray) -> np.ndarray:
 class Voters:
     """The fitted space and the labelled vectors in it; its size is bounded by ``most_labelled``."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, rarity: np.ndarray, dimensions: int, neighbours: int, power: float):
+    def __init__(
+        self, counts: np.ndarray, labels: np.ndarray, rarity: np.ndarray, dimensions: int, neighbours: int, power: float, space: Space = Space()
+    ):
+        self.space = space
         self.rarity, self.labels, self.neighbours, self.power = rarity, labels.astype(np.float32), neighbours, power
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        values = _weighted(counts, rarity)
+        values = _weighted(counts, rarity, space)
         _, vectors = np.linalg.eigh(values.T.astype(np.float64) @ values)
         self.basis = np.ascontiguousarray(vectors[:, -dimensions:]).astype(np.float32)
         self.voters = _unit(values @ self.basis)
@@ -132,7 +165,7 @@ class Voters:
         k = min(self.neighbours, len(self.labels))
         for at in range(0, len(counts), BLOCK):
             some = counts[at : at + BLOCK]
-            products = _unit(_weighted(some, self.rarity) @ self.basis) @ self.voters.T
+            products = _unit(_weighted(some, self.rarity, self.space) @ self.basis) @ self.voters.T
             nearest = np.argpartition(-products, k - 1, axis=1)[:, :k]
             weights = np.maximum(np.take_along_axis(products, nearest, axis=1), 0).astype(np.float64) ** self.power
             total = weights.sum(axis=1)
@@ -147,19 +180,19 @@ def remainder(ident: Column, of: int) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def _frequencies(docs: DataFrame, space: Space) -> tuple[np.ndarray, int]:
     """In how many documents each feature occurs, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(FEATURES + 1, dtype=np.int64), 0
-        for batch in runs(batches, "_text", RUN_BYTES):
-            total[:-1] += (features(as_bytes(batch.column("_text"))) > 0).sum(axis=0)
+        total, rows = np.zeros(space.features + 1, dtype=np.int64), 0
+        for batch in _slices(batches, "_text"):
+            total[:-1] += (features(as_bytes(batch.column("_text")), space) > 0).sum(axis=0)
             rows += batch.num_rows
         total[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(total)], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(space.features + 1)), pa.array(total)], ["feature", "n"])
 
     sums = docs.select("_text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    n = np.zeros(FEATURES + 1, dtype=np.int64)
+    n = np.zeros(space.features + 1, dtype=np.int64)
     for r in sums.collect():
         n[r.feature] = r.n
     return n[:-1], int(n[-1])
@@ -176,6 +209,7 @@ def fit(
     neighbours: int = NEIGHBOURS,
     power: float = POWER,
     learn: Column | None = None,
+    space: Space = Space(),
 ) -> Voters:
     """Fit on the labelled documents that ``learn``, a condition on the labels' ``id_col``, admits."""
     known = labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
@@ -190,17 +224,17 @@ def fit(
     fitted = of_chosen.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "_text", RUN_BYTES):
-            counts = [c.astype("<u4").tobytes() for c in features(as_bytes(batch.column("_text")))]
+        for batch in _slices(batches, "_text"):
+            counts = [c.astype("<u4").tobytes() for c in features(as_bytes(batch.column("_text")), space)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(counts, pa.binary())], ["id", "label", "counts"])
 
     kind = fitted.schema["id"].dataType.simpleString()
     rows = fitted.select("id", "label", "_text").mapInArrow(run, f"id {kind}, label double, counts binary")
     rows = sorted(rows.collect(), key=lambda r: r.id)
-    counts = np.array([np.frombuffer(r.counts, "<u4") for r in rows]).reshape(len(rows), FEATURES)
-    in_documents, n_documents = _frequencies(plain)
+    counts = np.array([np.frombuffer(r.counts, "<u4") for r in rows]).reshape(len(rows), space.features)
+    in_documents, n_documents = _frequencies(plain, space)
     rarity = np.log((n_documents + 1) / (in_documents + 1)).astype(np.float32) + np.float32(1)
-    return Voters(counts, np.array([r.label for r in rows]), rarity, dimensions, neighbours, power)
+    return Voters(counts, np.array([r.label for r in rows]), rarity, dimensions, neighbours, power, space)
 
 
 def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,8 +242,8 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "_text", RUN_BYTES):
-            scores = shared.value.scores(features(as_bytes(batch.column(1))))
+        for batch in _slices(batches, "_text"):
+            scores = shared.value.scores(features(as_bytes(batch.column(1)), shared.value.space))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
     wanted = docs.select(F.col(f"`{id_col}`"), text_of(text_col).alias("_text"))

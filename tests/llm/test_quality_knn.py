@@ -98,3 +98,17 @@ def test_edges(spark):
     assert {r.score for r in quality_knn.score(docs, nothing).collect()} == {0.5}
     empty = docs.limit(0)
     assert quality_knn.score(empty, quality_knn.fit(empty, labels)).count() == 0
+
+
+def test_words_carry_the_space():
+    """Of texts of equal shapes those with the same words are nearer; without shapes nothing else counts."""
+    one, same, other = (quality_knn.features([t]) for t in (b"red apples and green pears.", b"green apples and red pears.", b"tin soldiers can catch trams."))
+    rarity = np.ones(quality_knn.Space().features, dtype=np.float32)
+    a, b, c = (quality_knn._unit(quality_knn._weighted(x, rarity)) for x in (one, same, other))
+    assert (a @ b.T).item() > 0.99 > 0.5 > (a @ c.T).item() - 0.1
+    squares = [w**2 for _, w in quality_knn.BLOCKS]
+    assert squares[2] / sum(squares) > 0.5
+    few = quality_knn.Space(words=64, shape_weight=0.0, repeat_weight=0.0)
+    counts = quality_knn.features([b"THE!!", b"the"], few)
+    assert counts.shape == (2, few.features)
+    assert (quality_knn._weighted(counts, np.ones(few.features, np.float32), few)[:, :512] == 0).all()
