@@ -6,7 +6,8 @@ edge's weight are counts of distinct entities; the entities themselves stay in e
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tallyproof.functions import fixed_values as V
 from tallyproof.functions.names import is_agent
 from tallyproof.functions.text import is_control_name, normalize_name, strip
 from tallyproof.operators.measure import restrict
-from tallyproof.session import durable, keep, number_report_rows, number_rows, one_row, small
+from tallyproof.session import collected, delete_paths, durable, keep, number_report_rows, number_rows, one_row, small
 
 MERGED_PREFIX = "rxcui:"
 #: Entities with more keys give pairs only where those can be edges.
@@ -33,9 +34,13 @@ class Graph:
     edge_evidence: DataFrame
     totals: DataFrame
     held: list[DataFrame] = field(default_factory=list)
+    #: Paths of the tables that the graph reads.
+    made: list[str] = field(default_factory=list)
 
     def release(self) -> None:
-        """Drop what was kept for reading the graph more than once."""
+        """Drop what was kept for reading the graph more than once, and delete what was written. The
+        graph cannot be read after that."""
+        delete_paths(self.made)
         for table in self.held:
             table.unpersist()
 
@@ -357,6 +362,20 @@ def _connected_hubs(
         hubs, pool = pooled, pool * 4
 
 
+def _owning(build):
+    """A graph that knows, and deletes on an error, the tables that were written for it."""
+
+    @wraps(build)
+    def run(*given, **more) -> Graph:
+        made: list[str] = []
+        with collected(made):
+            graph = build(*given, **more)
+        return replace(graph, made=made)
+
+    return run
+
+
+@_owning
 def cooccurrence(
     names: DataFrame,
     min_weight: int = V.MIN_EDGE_WEIGHT,
@@ -406,6 +425,7 @@ def cooccurrence(
     return Graph(nodes, numbered, evidence, totals, held)
 
 
+@_owning
 def bipartite(
     left: DataFrame,
     right: DataFrame,

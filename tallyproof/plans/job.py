@@ -511,6 +511,7 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
             checks.not_empty(graph.edges, result.manifest),
         ]
         result.held.extend(again.held)
+        result.made.extend(again.made)
         if merged is not None:
             claims = merged.select("key", F.col("sources").alias("merged_names")).distinct()
             key = F.substring_index(F.col("id"), ":", -2)

@@ -293,3 +293,16 @@ def test_each_turn_counts_its_new_hubs_only(spark, monkeypatch):
     graph = network.cooccurrence(names, min_weight=2, max_nodes=4, first_pool=2)
     assert [r.id for r in graph.nodes.collect()] == [f"drug:b{k}" for k in range(4)]
     assert len(met) == len(set(met)) == 3 * 15
+
+
+def test_release_deletes_what_a_graph_wrote(spark):
+    import pathlib
+
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    names = spark.createDataFrame([(i, f"k{j}", "x") for i in range(3) for j in range(4)], "entity_id long, key string, label string")
+    for more in ({}, {"max_nodes": 2}):
+        graph = network.cooccurrence(names, **more)
+        assert graph.edges.count() > 0 and set(folder.iterdir()) - before
+        graph.release()
+        assert set(folder.iterdir()) <= before
