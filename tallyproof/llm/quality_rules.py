@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import BLANKS, as_bytes, text_of
+from tallyproof.llm.common import BLANKS, as_bytes, runs, text_of
 from tallyproof.session import stored
 
 SYMBOLS = b"#*$%&|<>{}~^\\"
@@ -106,7 +106,7 @@ def hot_lines(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -
     """The hashes of short lines that are boilerplate by the number of documents that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, "_text"):
             lines: list[int | None] = []
             marks: list[int] = []
             for text in as_bytes(batch.column(0)):
