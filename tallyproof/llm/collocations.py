@@ -38,6 +38,8 @@ from tallyproof.session import stored
 
 UNKNOWN = "und"
 SEED = 42
+#: Parts of a language that are ranked apart before the whole.
+PARTS = 16
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -53,7 +55,8 @@ class Sizes:
     grams: int = 1 << 17  # of each length that have one
     word_bytes: int = 64  # of a word that may have one, so the table of those is bounded in bytes
     side: int = 9  # bits of an address on each side of a tile
-    buffer: int = 1 << 21  # neighbours that are counted at a time
+    buffer: int = 1 << 20  # neighbours that are counted at a time
+    passed: int = 1 << 16  # counts that are passed on at a time
     filter_bits: int = 1 << 26
     held_words: int = 200_000  # different words that a task counts before it passes the counts on
     slice: int = 1 << 20  # bytes of a text that are cut into words at a time
@@ -305,12 +308,14 @@ def gram_counts(docs: DataFrame, words, shorter: list, length: int, sizes: Sizes
         left, right, counts = tile_counts(first[near], found[near, -1], sizes.side)
         if len(left):
             begin = left[:, None] if length == 2 else shorter[-1].value.ids[left]
-            yield batch(np.concatenate([begin, right[:, None]], axis=1), counts)
+            yield from passed_on(np.concatenate([begin, right[:, None]], axis=1), counts)
         if not near.all():
-            yield batch(*_coordinates(found[~near]))
+            yield from passed_on(*_coordinates(found[~near]))
 
-    def batch(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*ids.T, counts.astype(np.int64))], [*columns, "c"])
+    def passed_on(ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), sizes.passed):
+            some = slice(at, at + sizes.passed)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*ids[some].T, counts[some].astype(np.int64))], [*columns, "c"])
 
     schema = ", ".join(f"{c} long" for c in [*columns, "c"])
     return docs.mapInArrow(run, schema).groupBy(*columns).agg(F.sum("c").alias("c"))
@@ -423,7 +428,11 @@ def collocations(
     found = kinds[0]
     for more in kinds[1:]:
         found = found.unionByName(more)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # A part of each language first, so that what one task ranks does not grow with the number of tasks.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    best = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))
+    found = found.withColumn("_part", part).withColumn("_rank", best).filter(F.col("_rank") <= most).drop("_part", "_rank")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= most)
     totals = words.groupBy("lang").agg(F.sum("c").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -70,7 +70,7 @@ def test_equals_brute_force(spark, settings):
 def test_words_and_phrases_without_addresses(spark):
     """The same with next to no addresses, tiny tiles and slices, and counts passed on often."""
     rows = texts(2, 40, 80, 250)
-    sizes = C.Sizes(words=6, grams=5, word_bytes=2, side=1, buffer=64, filter_bits=64, held_words=20, slice=40)
+    sizes = C.Sizes(words=6, grams=5, word_bytes=2, side=1, buffer=64, passed=10, filter_bits=64, held_words=20, slice=40)
     assert rows_of(C.collocations(frame(spark, rows), sizes=sizes)) == brute(rows)
 
 
