@@ -220,7 +220,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, "_text"):
             rows = [judge(t, rules, hot) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array([r[n] for r in rows], kinds[n]) for n in names]], [id_col, *names]
@@ -240,13 +240,12 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, text_col):
             rows = [judge(t, rules, hot) for t in as_bytes(batch.column(at))]
-            arrays = list(batch.columns)
-            arrays[at] = pa.array([r["clean_text"].decode() for r in rows], batch.schema.field(at).type)
+            arrays, texts = list(batch.columns), [r["clean_text"].decode() for r in rows]
+            arrays[at] = pa.array(texts, batch.schema.field(at).type)
             if length_at is not None:
-                kind = batch.schema.field(length_at).type
-                arrays[length_at] = pa.array([len(r["clean_text"].decode()) for r in rows], pa.int64()).cast(kind)
+                arrays[length_at] = pa.array(list(map(len, texts)), pa.int64()).cast(batch.schema.field(length_at).type)
             whole = pa.RecordBatch.from_arrays(arrays, batch.schema.names)
             yield whole.filter(pa.array([r["kept"] for r in rows], pa.bool_()))
 
