@@ -22,6 +22,7 @@ columns are read from the tables, so other columns never clash.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,10 +153,15 @@ class Voters:
         self.space = space
         self.rarity, self.labels, self.neighbours, self.power = rarity, labels.astype(np.float32), neighbours, power
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        values = _weighted(counts, rarity, space)
-        _, vectors = np.linalg.eigh(values.T.astype(np.float64) @ values)
+        products = np.zeros((space.features, space.features))
+        for at in range(0, len(counts), BLOCK):  # a block at a time, so that the counts are held once
+            values = _weighted(counts[at : at + BLOCK], rarity, space).astype(np.float64)
+            products += values.T @ values
+        _, vectors = np.linalg.eigh(products)
         self.basis = np.ascontiguousarray(vectors[:, -dimensions:]).astype(np.float32)
-        self.voters = _unit(values @ self.basis)
+        del products, vectors
+        projected = [_weighted(counts[at : at + BLOCK], rarity, space) @ self.basis for at in range(0, len(counts), BLOCK)]
+        self.voters = _unit(np.concatenate(projected)) if projected else np.zeros((0, self.basis.shape[1]), np.float32)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Between 0 and 1 for each row of counts."""
@@ -225,13 +231,15 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "_text"):
-            counts = [c.astype("<u4").tobytes() for c in features(as_bytes(batch.column("_text")), space)]
+            counts = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in features(as_bytes(batch.column("_text")), space)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(counts, pa.binary())], ["id", "label", "counts"])
 
     kind = fitted.schema["id"].dataType.simpleString()
     rows = fitted.select("id", "label", "_text").mapInArrow(run, f"id {kind}, label double, counts binary")
     rows = sorted(rows.collect(), key=lambda r: r.id)
-    counts = np.array([np.frombuffer(r.counts, "<u4") for r in rows]).reshape(len(rows), space.features)
+    counts = np.empty((len(rows), space.features), dtype="<u4")
+    for row, r in zip(counts, rows):
+        row[:] = np.frombuffer(zlib.decompress(r.counts), "<u4")
     in_documents, n_documents = _frequencies(plain, space)
     rarity = np.log((n_documents + 1) / (in_documents + 1)).astype(np.float32) + np.float32(1)
     return Voters(counts, np.array([r.label for r in rows]), rarity, dimensions, neighbours, power, space)
