@@ -218,6 +218,12 @@ def check_clean(spark, sf):
     )
 
 
+def _per_check(found: DataFrame, *damaged: str) -> DataFrame:
+    """How often each check objected; a damaged property that no row had is counted too, as none."""
+    none = found.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in damaged])).alias("check"), F.lit(0).alias("n"))
+    return found.select("check", F.lit(1).alias("n")).unionByName(none).groupBy("check").agg(F.sum("n").alias("n"))
+
+
 @query(
     f"""
     with {_NATIONS_SQL},
@@ -258,7 +264,8 @@ def check_tampered(spark, sf):
         checks.citation_totals(rows, citations, miscounted, evidence, ["key"], 3),
         checks.citation_texts(misquoted, excerpts, ["key"], _URL),
     )
-    return found.groupBy("check").agg(F.count("*").alias("n"))
+    damaged = ["value_is_contributors", "rows_are_computed", "cited_non_contributor", "supporting_total", "excerpt", "link"]
+    return _per_check(found, *damaged)
 
 
 def _graph(spark, sf):
@@ -320,7 +327,7 @@ def check_graph_tampered(spark, sf):
         checks.published_graph(nodes, edges, graph.nodes, graph.edges),
         checks.node_contributors(graph.node_evidence, graph.edge_evidence),
     )
-    return found.groupBy("check").agg(F.count("*").alias("n"))
+    return _per_check(found, "node_size", "edge_weight", "dangling_edge", "published_node", "published_edge")
 
 
 @query(
@@ -459,7 +466,7 @@ def check_claims_tampered(spark, sf):
         checks.series_complete(promised.where(~F.col("series").endswith("E")), promised),
         checks.not_empty(orders, counted),
     )
-    return found.groupBy("check").agg(F.count("*").alias("n"))
+    return _per_check(found, "merge_of_one", "merge_without_identity", "processed_count", "series_complete")
 
 
 # --- whole jobs ------------------------------------------------------------------------------

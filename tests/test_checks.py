@@ -1,15 +1,20 @@
 """Damage one property of a right result at a time; exactly that check must object."""
 
+from pathlib import Path
+
 import pytest
+from compare import connect, difference
 from conftest import drugs, record, values
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyproof.operators import checks, measure, network
 from tallyproof.operators.citations import cite, evidence_totals, quote, study_excerpt
 from tallyproof.operators.dimensions import DIMENSIONS
 from tallyproof.functions.fixed_values import STUDY_URL_FORMAT
 
 KEYS = ["key"]
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -141,3 +146,16 @@ def test_manifest_checks(spark, four):
     assert names(checks.not_empty(four.where("false"), manifest(0, "NO_MATCHING_TRIALS"))) == []
     promised = spark.createDataFrame([("a",), ("b",)], "series string")
     assert values(checks.series_complete(promised.where("series = 'a'"), promised), "datum") == [("b",)]
+
+
+@pytest.mark.parametrize("name, absent", [("check_graph_tampered", "blue"), ("check_claims_tampered", "PROMO")])
+def test_damage_that_nothing_has_is_counted_as_none(spark, tmp_path, name, absent):
+    for path in Path(SF).glob("*.parquet"):
+        if path.stem != "part":
+            (tmp_path / path.name).symlink_to(path)
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    for column in ("p_name", "p_type"):
+        part = part.withColumn(column, F.replace(column, F.lit(absent), F.lit("other")))
+    part.write.parquet(str(tmp_path / "written"))
+    (tmp_path / "part.parquet").symlink_to(next((tmp_path / "written").glob("*.parquet")))
+    assert difference(entry.queries()[name](spark, str(tmp_path)), connect(str(tmp_path)), entry.oracle_sql()[name]) is None
