@@ -58,16 +58,20 @@ CONTROL_TOKENS = ["placebo", "saline", "vehicle"]
 
 PARENTHETICAL_PATTERN = r"\([^)]*\)"
 DOSAGE_PATTERN = (
-    r"(?iU)\b\d+(?:\.\d+)?\s*"
+    r"(?iU)(?=\d)\b\d+(?:\.\d+)?\s*"
     r"(?:mcg|mg|kg|ml|iu|units?|g|l|%)"
     r"(?:\s*/\s*(?:kg|m2|m\^2|day|dose|hour|hr|week|wk|min|body|bsa|l))*"
     r"(?![a-z0-9])"
 )
-ROUTE_PATTERN = (
-    r"(?iU)\b(iv|im|sc|po|oral(ly)?|intravenous(ly)?|subcutaneous(ly)?|"
-    r"injection|infusion|tablets?|capsules?|solution)\b"
+_ROUTES = (
+    r"iv|im|sc|po|oral(ly)?|intravenous(ly)?|subcutaneous(ly)?|"
+    r"injection|infusion|tablets?|capsules?|solution"
 )
+ROUTE_PATTERN = rf"(?iU)\b({_ROUTES})\b"
 PUNCTUATION_PATTERN = r"(?U)[^a-z0-9\s\-+]"
+#: ASCII words, one space between them, that none of the patterns above changes: no word begins with a
+#: digit, as a dose does, and none is a route.
+PLAIN_NAME_PATTERN = rf"^(?:(?!(?:{_ROUTES})(?![a-z0-9]))[a-z][a-z0-9]*+(?: (?=[a-z])|\z))+\z"
 
 # --- single-agent names ----------------------------------------------------------------------
 CONNECTIVE_PATTERN = r"(?U)\s(?:and|or|with|plus|versus|vs)\s|[+/,]"

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyproof.functions import fixed_values as V
-from tallyproof.functions.text import literal_map
+from tallyproof.functions.text import bind, literal_map
 
 
 def phase_mentions(text: Column) -> Column:
@@ -107,11 +107,6 @@ def _listed(bounded: str) -> str:
     return f"({near}|{words}|(?:{cues}){among}\\s*){bounded}"
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def status_mentions(text: Column) -> Column:
     """``struct<wanted, excluded>`` of sorted status codes.
 
@@ -146,12 +141,12 @@ def status_mentions(text: Column) -> Column:
 
     state = F.struct(F.lower(text).alias("rest"), none.alias("wanted"), none.alias("excluded"))
     for phrase, status in phrases:
-        state = _bind(state, note(phrase, status))
+        state = bind(state, note(phrase, status))
 
     def codes(found: Column) -> Column:
         return F.array_sort(F.array_distinct(found))
 
-    result = _bind(
+    result = bind(
         state,
         lambda s: F.struct(
             codes(F.array_except(s["wanted"], s["excluded"])).alias("wanted"),

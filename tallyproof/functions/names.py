@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyproof.functions import fixed_values as V
-from tallyproof.functions.text import is_control_name, normalize_name, strip
+from tallyproof.functions.text import bind, is_control_name, normalize_name, strip
 
 
 def is_agent(kind: Column, name: Column) -> Column:
@@ -27,6 +27,11 @@ def agent_labels(interventions: Column) -> Column:
         )
     )
     kept = F.filter(keyed, lambda e: (e["key"] != "") & ~is_control_name(e["key"]))
-    # Sorted by key, so an element is the first of its key when the one before has another.
-    firsts = F.filter(kept, lambda e, at: ~F.get(kept, at - 1)["key"].eqNullSafe(e["key"]))
-    return F.transform(firsts, lambda e: e["label"])
+
+    def labels(named: Column) -> Column:
+        # Sorted by key, so an element is the first of its key when the one before has another.
+        firsts = F.filter(named, lambda e, at: ~F.get(named, at - 1)["key"].eqNullSafe(e["key"]))
+        return F.transform(firsts, lambda e: e["label"])
+
+    # Bound: else the names of a record would be cleaned again for each of them.
+    return bind(kept, labels)

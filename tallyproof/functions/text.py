@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +14,10 @@ from tallyproof.functions import fixed_values as V
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not only U+0020."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    ends = [F.substring(text, 1, 1), F.substring(text, -1, 1)]
+    # Most texts begin and end with a printed ASCII character, and need no pattern.
+    bare = ends[0].between("!", "~") & ends[1].between("!", "~")
+    return F.when(bare, text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -64,6 +69,11 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_word(text: Column, words: list[str]) -> Column:
     """Whether one of ``words`` occurs in ``text`` between non-word characters, any case."""
     options = "|".join(re.escape(w) for w in words)
@@ -75,7 +85,7 @@ def any_word(text: Column, words: list[str]) -> Column:
 
 def normalize_name(name: Column) -> Column:
     """Comparison key of a free-text agent name."""
-    text = F.lower(name)
+    text = low = F.lower(name)
     for pattern in (
         V.PARENTHETICAL_PATTERN,
         V.DOSAGE_PATTERN,
@@ -83,13 +93,15 @@ def normalize_name(name: Column) -> Column:
         V.PUNCTUATION_PATTERN,
     ):
         text = F.regexp_replace(text, pattern, " ")
-    return F.regexp_replace(collapse_spaces(text), r"^[ \-+]+|[ \-+]+$", "")
+    cleaned = F.regexp_replace(collapse_spaces(text), r"^[ \-+]+|[ \-+]+$", "")
+    return F.when(low.rlike(V.PLAIN_NAME_PATTERN), low).otherwise(cleaned)
 
 
 def is_control_name(key: Column) -> Column:
     """Whether a normalised name is a control arm rather than an agent."""
     tokens = F.array(*[F.lit(t) for t in V.CONTROL_TOKENS])
-    return key.isin(V.CONTROL_NAMES) | F.arrays_overlap(F.split(key, " "), tokens)
+    within = reduce(lambda a, b: a | b, [F.contains(key, F.lit(t)) for t in V.CONTROL_TOKENS])
+    return key.isin(V.CONTROL_NAMES) | (within & F.arrays_overlap(F.split(key, " "), tokens))
 
 
 def is_single_agent(name: Column) -> Column:
@@ -133,8 +145,11 @@ def render_number(path: str, value: Column) -> Column:
 
 
 def render_list(path: str, values: Column) -> Column:
-    shown = F.concat(F.lit(f"{path}: ["), F.array_join(values, ", "), F.lit("]"))
-    return F.when(F.coalesce(F.size(values), F.lit(0)) == 0, F.lit(f"{path}: not reported")).otherwise(shown)
+    def shown(v: Column) -> Column:
+        listed = F.concat(F.lit(f"{path}: ["), F.array_join(v, ", "), F.lit("]"))
+        return F.when(F.coalesce(F.size(v), F.lit(0)) == 0, F.lit(f"{path}: not reported")).otherwise(listed)
+
+    return bind(values, shown)
 
 
 def excerpt(title: Column, *fragments: Column, limit: int | None = None) -> Column:

@@ -729,9 +729,10 @@ def dist_of_lists(spark, sf):
 def cite_agents(spark, sf):
     """Agent names of a record as evidence quotes them: the first form of each, by name."""
     studies = star.full_studies(spark, sf)
-    return studies.select(F.col(S.ID_PATH).alias("entity_id"), study_fragment("drug").alias("quoted")).where(
-        ~F.col("quoted").endswith("not reported")
-    )
+    quoted = studies.select(F.col(S.ID_PATH).alias("entity_id"), study_fragment("drug").alias("_q"))
+    # Opened from a list of one, so that the filter does not quote every record a second time.
+    opened = quoted.select("entity_id", F.explode(F.array("_q")).alias("quoted"))
+    return opened.where(~F.col("quoted").endswith("not reported"))
 
 
 @query(

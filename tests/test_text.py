@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from tallyproof.functions import mentions as M
 from tallyproof.functions import text as X
+from tallyproof.functions.names import agent_labels
+from tallyproof.operators import network
 
 
 def apply(spark, function, inputs):
@@ -232,3 +234,27 @@ def test_axis_graph_and_population(spark):
         M.names_whole_registry,
         {"across all clinical trials": True, "All studies": True, "all-trans retinoic acid": False},
     )
+
+
+def cleanings(df):
+    """How often the plan of ``df`` cleans a name."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("mcg|mg|kg")
+
+
+def test_a_quoted_list_cleans_its_names_once(spark):
+    df = spark.createDataFrame([([("DRUG", "Bolt (x)"), ("DRUG", "bolt"), ("DRUG", "Anvil 5 mg")],)], "i array<struct<type:string,name:string>>")
+    quoted = df.select(X.render_list("p", agent_labels(F.col("i"))).alias("q"))
+    assert cleanings(quoted) == 1
+    assert quoted.first().q == "p: [Anvil 5 mg, Bolt (x)]"
+
+
+def test_agents_clean_their_names_once(spark):
+    rows = spark.createDataFrame([("a", "Bolt 5 mg", 0), ("a", "Placebo", 1), ("b", "-", 0)], "entity_id string, name string, pos int")
+    agents = network.agent_rows(rows)
+    assert cleanings(agents) == 1
+    assert [tuple(r) for r in agents.collect()] == [("a", "bolt", "Bolt 5 mg", 0)]
+
+
+def test_plain_names(spark):
+    names = {"Bolt12": "bolt12", "blue bolt": "blue bolt", "5mg": "", "iv": "", "blue iv": "blue", "ivs po": "ivs", "bolt 12": "bolt 12", "bolt ": "bolt", "bolt\n": "bolt", "a  b": "a b"}
+    check(spark, X.normalize_name, names)
