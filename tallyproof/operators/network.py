@@ -84,11 +84,12 @@ def merge_names(names: DataFrame, crosswalk: DataFrame | None) -> DataFrame:
 def agent_rows(raw: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
     """``(entity_id, name, pos)`` -> ``(entity_id, key, label, pos)`` without control arms.
 
-    Names are cleaned in their rows, by built-in functions; only the crosswalk is joined.
+    Names are cleaned in their rows, by built-in functions; only the crosswalk is joined. The key is a list
+    of one that is opened: a plain column would be worked out again for each condition on it.
     """
     cleaned = raw.select(
         "entity_id",
-        normalize_name(F.col("name")).alias("key"),
+        F.explode(F.array(normalize_name(F.col("name")))).alias("key"),
         strip(F.col("name")).alias("label"),
         "pos",
     ).where((F.col("key") != "") & ~is_control_name(F.col("key")))
