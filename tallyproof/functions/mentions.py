@@ -7,6 +7,7 @@ one projection.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,10 +79,14 @@ def _cue_pattern(cues: list[str]) -> tuple[str, str]:
     return f"(?:{forms}){_SPACE}+", rf"(?<![\w'])(?:{words})((?:{_SPACE}+{_GAP}){{1,2}})\s+"
 
 
+def _ahead(cues: list[str]) -> str:
+    """The first letters of ``cues``, which most places of a text do not have, before any pattern of them."""
+    return f"(?={_options(sorted({c[:2] for c in cues}))})"
+
+
+_OTHER_CUES = [c for c in V.NEGATION_CUES if c not in V.LIST_CUES]
 #: The words between cue and phrase are captured so that they survive the masking.
-_NEGATED = "(?:{}|{})".format(
-    *_cue_pattern([c for c in V.NEGATION_CUES if c not in V.LIST_CUES])
-)
+_NEGATED = _ahead(_OTHER_CUES) + "(?:{}|{})".format(*_cue_pattern(_OTHER_CUES))
 #: Cues that govern a whole list reach over its other items, and stay for those.
 _ITEM = _options(
     dict.fromkeys(
@@ -104,7 +109,25 @@ def _listed(bounded: str) -> str:
     among = rf"(?:(?!\s*{bounded})(?:\s*[,;]|\s+(?:{_ITEM})-?(?=[\s,;])))*+"
     near, words = _cue_pattern(V.LIST_CUES)
     cues = "|".join(re.escape(c).replace(r"\ ", f"{_SPACE}+") for c in V.LIST_CUES)
-    return f"({near}|{words}|(?:{cues}){among}\\s*){bounded}"
+    return f"{_ahead(V.LIST_CUES)}({near}|{words}|(?:{cues}){among}\\s*){bounded}"
+
+
+#: Characters before a phrase in which words are looked for that no cue reaches over.
+_NEAR = 400
+#: Five words in a row that are no items of a list and have no list mark. A cue reaches over two words, or over
+#: items, and is two words itself at most, so one that begins before them governs nothing behind them.
+_UNREACHED = rf"(?U)\s[^\s,;]+(?:\s+(?!(?:{_ITEM})-?\s)[^\s,;]+(?=\s)){{5}}"
+
+
+def _around(text: Column, phrase: str) -> tuple[Column, Column, Column]:
+    """Three parts that make up a text with ``phrase`` in it: all places of the phrase and all cues that can
+    govern one are in the second, with what stands next to them."""
+    ahead = F.substring_index(text, phrase, 1)
+    reached = ~F.substring(ahead, -_NEAR, _NEAR).rlike(_UNREACHED)
+    start = F.when(reached, F.lit(0)).otherwise(F.greatest(F.length(ahead) - _NEAR, F.lit(0)))
+    behind = F.greatest(F.length(F.substring_index(text, phrase, -1)) - 2, F.lit(0))
+    length = F.length(text)
+    return F.left(text, start), F.substring(text, start + 1, length - behind - start), F.substring(text, length - behind + 1, behind)
 
 
 def status_mentions(text: Column) -> Column:
@@ -122,42 +145,46 @@ def status_mentions(text: Column) -> Column:
         """Note and mask the mentions of one phrase; texts without it pass unchanged."""
         bounded = rf"\b{re.escape(phrase)}\b"
         negated, listed = f"(?U){_NEGATED}{bounded}", f"(?U){_listed(bounded)}"
-        plain = rf"(?U)(?<!{_HYPHEN}){bounded}"
-
-        def apply(state: Column) -> Column:
-            rest = state["rest"]
-            unnegated = F.regexp_replace(rest, negated, " $1 ")
-            unlisted = F.regexp_replace(unnegated, listed, " $1 ")
-            out = rest.rlike(negated) | unnegated.rlike(listed)
-            mention = F.array(F.lit(status))
-            changed = F.struct(
-                F.regexp_replace(unlisted, plain, " ").alias("rest"),
+        plain = rf"(?U)(?={re.escape(phrase)})(?<!{_HYPHEN}){bounded}"
+        mention = F.array(F.lit(status))
+
+        def masked(state: Column, part: Column) -> Column:
+            # What is masked is longer than what stands in its place, so a mention changes the text.
+            unlisted = part["unlisted"]
+            return F.struct(
+                F.concat(part["before"], F.regexp_replace(unlisted, plain, " "), part["after"]).alias("rest"),
                 F.concat(state["wanted"], F.when(unlisted.rlike(plain), mention).otherwise(none)).alias("wanted"),
-                F.concat(state["excluded"], F.when(out, mention).otherwise(none)).alias("excluded"),
+                F.concat(state["excluded"], F.when(unlisted != part["near"], mention).otherwise(none)).alias("excluded"),
             )
-            return F.when(F.contains(rest, F.lit(phrase)), changed).otherwise(state)
 
-        return apply
+        def apply(state: Column) -> Column:
+            before, near, after = _around(state["rest"], phrase)
+            unlisted = F.regexp_replace(F.regexp_replace(near, negated, " $1 "), listed, " $1 ")
+            part = F.struct(before.alias("before"), near.alias("near"), after.alias("after"), unlisted.alias("unlisted"))
+            # One binding within another, no more: the analyzer takes a turn for each of them.
+            return F.when(F.contains(state["rest"], F.lit(phrase)), bind(part, lambda p: masked(state, p))).otherwise(state)
 
-    state = F.struct(F.lower(text).alias("rest"), none.alias("wanted"), none.alias("excluded"))
-    for phrase, status in phrases:
-        state = bind(state, note(phrase, status))
+        return apply
 
     def codes(found: Column) -> Column:
         return F.array_sort(F.array_distinct(found))
 
-    result = bind(
-        state,
-        lambda s: F.struct(
-            codes(F.array_except(s["wanted"], s["excluded"])).alias("wanted"),
-            codes(s["excluded"]).alias("excluded"),
-        ),
-    )
-    # Most texts name no status at all; one pattern spares them all the others.
-    any_phrase = F.lower(text).rlike(rf"(?U)\b(?:{_options(p for p, _ in phrases)})\b")
-    return F.when(any_phrase, result).otherwise(
-        F.struct(none.alias("wanted"), none.alias("excluded"))
-    )
+    def mentions(low: Column) -> Column:
+        state = F.struct(low.alias("rest"), none.alias("wanted"), none.alias("excluded"))
+        for phrase, status in phrases:
+            state = bind(state, note(phrase, status))
+        found = bind(
+            state,
+            lambda s: F.struct(
+                codes(F.array_except(s["wanted"], s["excluded"])).alias("wanted"),
+                codes(s["excluded"]).alias("excluded"),
+            ),
+        )
+        # Most texts name no status at all.
+        any_phrase = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p, _ in phrases])
+        return F.when(any_phrase, found).otherwise(F.struct(none.alias("wanted"), none.alias("excluded")))
+
+    return bind(F.lower(text), mentions)
 
 
 def _only_match(text: Column, words: dict[str, list[str]], end: str) -> Column:

@@ -258,3 +258,24 @@ def test_agents_clean_their_names_once(spark):
 def test_plain_names(spark):
     names = {"Bolt12": "bolt12", "blue bolt": "blue bolt", "5mg": "", "iv": "", "blue iv": "blue", "ivs po": "ivs", "bolt 12": "bolt 12", "bolt ": "bolt", "bolt\n": "bolt", "a  b": "a b"}
     check(spark, X.normalize_name, names)
+
+
+def test_status_far_into_a_long_text(spark):
+    """What stands long before a phrase changes nothing unless a cue reaches it; few patterns read it."""
+    prose = "many words of no use here, and not one of them counts; " * 20
+    texts = {
+        prose + "excluding recruiting": ([], ["RECRUITING"]),
+        prose + "recruiting " + prose + "never completed": (["RECRUITING"], ["COMPLETED"]),
+        "excluding " + "completed, " * 60 + "recruiting " + prose: ([], ["COMPLETED", "RECRUITING"]),
+        "excluding " + "trials, " * 90 + "recruiting": ([], ["RECRUITING"]),
+        "never" + " " * 900 + "really   recruiting": ([], ["RECRUITING"]),
+        "never " + "x" * 900 + " recruiting": ([], ["RECRUITING"]),
+        "never one two three four five six recruiting": (["RECRUITING"], []),
+        prose + "pre-recruiting " + prose: ([], []),
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select("i", F.inline(F.array(M.status_mentions(F.col("t")))))
+    assert [(r.wanted, r.excluded) for r in found.orderBy("i").collect()] == list(texts.values())
+    # Each phrase has the patterns of its negations once, on a part of the text.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("closed\\ to\\ enrolment\\b") <= 6
