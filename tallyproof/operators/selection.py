@@ -18,7 +18,7 @@ from tallyproof.session import broadcast_if_small, durable, number_rows
 #: Ranges that a pass divides the one before into, and rows that are sorted without another pass.
 RANGES, SORTED = 1024, 100_000
 #: Ranges over all ids in which the rows of a datum are counted.
-ID_RANGES = 1 << 16
+ID_RANGES = 1 << 12
 _BYTES = 6  # of a string, so that their number is exact in a double
 
 
@@ -114,7 +114,8 @@ def rows_at_ranks(
 
     Rows are counted by group and range of keys; only rows of ranges that hold a wanted rank are ranked by
     a sort, each range by itself. ``bounds`` may be a smaller table with all keys, for their least and
-    greatest. Keys of a type without numbers are all in one range.
+    greatest. Keys of a type without numbers are all in one range. ``rows`` is read twice, and best is a
+    table; what is found is written, so that its readers know how little it is.
     """
     kind = rows.schema[key].dataType
     low, high = (rows if bounds is None else bounds).agg(F.min(key), F.max(key)).first()
@@ -135,4 +136,4 @@ def rows_at_ranks(
     within = Window.partitionBy("_group", "_place").orderBy("_key")
     ranked = near.select("_group", F.col("_key").alias(key), (F.col("_start") + F.row_number().over(within) - 1).alias("_at"))
     found = ranked.join(broadcast_if_small(wanted.select("_group", "_at", "total", "nth")), ["_group", "_at"])
-    return found.select("_group.*", "total", "nth", key)
+    return durable(found.select("_group.*", "total", "nth", key))

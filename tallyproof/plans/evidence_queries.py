@@ -66,7 +66,8 @@ def _nation_members(spark, sf):
     """
 )
 def cite_sample(spark, sf):
-    return cite(_nation_members(spark, sf).select("key", "entity_id"), ["key"], 3)
+    evidence = durable(_nation_members(spark, sf).select("key", "entity_id"))
+    return cite(evidence, ["key"], 3, star.order_ids(spark, sf))
 
 
 @query(

@@ -101,3 +101,26 @@ def test_broadcast_by_bytes(spark):
     assert not hinted(session.small(wide, 20)) and hinted(session.small(narrow, 20))
     assert not hinted(session.small(narrow, session.BROADCAST_ROWS + 1))
     assert hinted(session.small(spark.range(5), 5))
+
+
+def test_kept_tables_are_computed_in_small_tasks(spark, monkeypatch):
+    advisory, files = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    coalesce = "spark.sql.adaptive.coalescePartitions"
+    small = {advisory: 1024, f"{coalesce}.minPartitionSize": 1, f"{coalesce}.initialPartitionNum": 32}
+    monkeypatch.setattr(session, "TASK_SETTINGS", {**session.TASK_SETTINGS, **small})
+    rows = spark.range(20_000).withColumn("g", F.col("id") % 5_000)
+    counts = session.durable(rows.groupBy("g").agg(F.collect_list("id").alias("ids")))
+    assert len(counts.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get(advisory, None) is None
+    spark.conf.set(files, "1m")
+    try:
+        with session.small_tasks(spark):
+            assert (spark.conf.get(files), spark.conf.get(advisory)) == ("1m", "1024")
+        assert spark.conf.get(files) == "1m"
+    finally:
+        spark.conf.unset(files)
+
+
+def test_rows_at_ranks_are_a_written_table(spark):
+    found = selection.rows_at_ranks(spark.range(100).withColumn("g", F.lit("a")), ["g"], "id", lambda n: F.array(n - 1))
+    assert found.inputFiles() and [tuple(r) for r in found.collect()] == [("a", 100, 0, 99)]
