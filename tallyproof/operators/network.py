@@ -17,7 +17,7 @@ from tallyproof.functions import fixed_values as V
 from tallyproof.functions.names import is_agent
 from tallyproof.functions.text import is_control_name, normalize_name, strip
 from tallyproof.operators.measure import restrict
-from tallyproof.session import collected, delete_paths, durable, keep, number_report_rows, number_rows, one_row, small
+from tallyproof.session import broadcast_if_small, collected, delete_paths, durable, keep, kept as kept_table, number_report_rows, number_rows, one_row, small
 
 MERGED_PREFIX = "rxcui:"
 #: Entities with more keys give pairs only where those can be edges.
@@ -165,14 +165,18 @@ def paired_names(names: DataFrame, min_weight: int, max_entities: int | None = N
     """``(entity_id, key)`` that can be on an edge of ``min_weight``.
 
     An edge is never heavier than its smaller end, so keys of fewer entities are dropped without
-    loss. Only a caller's ``max_entities`` leaves out whole entities.
+    loss; where those are few, rows stay where they are. ``names`` is best a table. Only a caller's ``max_entities`` leaves out whole entities.
     """
     rows = names.select("entity_id", "key")
     if max_entities is not None:
         rows = rows.join(dense_entities(names, max_entities), "entity_id", "left_anti")
     if min_weight > 1:
-        often = sizes(rows).where(F.col("size") >= min_weight).select("key")
-        rows = rows.join(often, "key", "left_semi")
+        counted = durable(sizes(rows).where(F.col("key").isNotNull()))
+        rare, rows = counted.where(F.col("size") < min_weight).select("key"), rows.where(F.col("key").isNotNull())
+        few = broadcast_if_small(rare)
+        if few is rare:
+            return durable(rows.join(counted.where(F.col("size") >= min_weight).select("key"), "key", "left_semi"))
+        rows = rows.join(few, "key", "left_anti")
     return rows
 
 
@@ -193,7 +197,8 @@ def hub_pairs(names: DataFrame, hubs: DataFrame, n_hubs: int) -> DataFrame:
     names times names."""
     marked = names.join(small(hubs.select("key", F.lit(True).alias("_is_hub")), n_hubs), "key", "left")
     marked = marked.withColumn("_is_hub", F.coalesce("_is_hub", F.lit(False)))
-    hub = restrict(names, hubs.select("key"), n_hubs).select("entity_id", F.col("key").alias("_hub"))
+    # Written, so that a few hubs are known to be few and the names need not move.
+    hub = durable(restrict(names, hubs.select("key"), n_hubs).select("entity_id", F.col("key").alias("_hub")))
     both = hub.join(marked, "entity_id")
     # Between two hubs the pair is met from both sides; one of them is enough.
     once = (F.col("key") != F.col("_hub")) & (~F.col("_is_hub") | (F.col("_hub") < F.col("key")))
@@ -256,7 +261,8 @@ def weighed_edges(rows: DataFrame, min_weight: int, dense: int = DENSE_KEYS) ->
     evidence = pairs(light)
     if heavy is None:
         edges = durable(weights(evidence, min_weight))
-        return edges, evidence.join(edges.select("source", "target"), ["source", "target"], "left_semi")
+        connected = rows.join(_ends(edges).distinct(), "key", "left_semi")
+        return edges, pairs(connected).join(edges.select("source", "target"), ["source", "target"], "left_semi")
     sets = durable(heavy.groupBy("key").agg(F.array_sort(F.collect_set("nth")).alias("entities")))
     of = {end: sets.select(F.col("key").alias(end), F.col("entities").alias(f"_{end}")) for end in ("source", "target")}
     none = F.array().cast("array<bigint>")
@@ -280,7 +286,7 @@ def edge_weights(
     names: DataFrame, min_weight: int = V.MIN_EDGE_WEIGHT, max_entities: int | None = None, dense: int = DENSE_KEYS
 ) -> DataFrame:
     """All edges ``(source, target, weight)`` of the unpruned co-occurrence graph."""
-    return weighed_edges(paired_names(names, min_weight, max_entities), min_weight, dense)[0]
+    return weighed_edges(paired_names(kept_table(names), min_weight, max_entities), min_weight, dense)[0]
 
 
 # --- published graph -------------------------------------------------------------------------
@@ -392,10 +398,9 @@ def cooccurrence(
     leaves out entities with more keys; by default none is left out, and without ``max_nodes`` those
     with more than ``dense`` keys give pairs only where they can be edges.
     """
-    held: list[DataFrame] = []
-    names = keep(names, held)
+    names = kept_table(names)
     # What can be paired is read in every turn of the search for the largest connected keys.
-    rows = keep(paired_names(names, min_weight, max_entities), held)
+    rows = paired_names(names, min_weight, max_entities)
     kept = found = None
     if max_nodes is None:
         edges, evidence = weighed_edges(rows, min_weight, dense)
@@ -408,7 +413,7 @@ def cooccurrence(
         edges = durable(weights(evidence, min_weight))
         drawn = small(edges.select("source", "target"), max_nodes * max_nodes)
         evidence = evidence.join(drawn, ["source", "target"], "left_semi")
-    evidence = _prefixed(evidence, kind, kind)
+    evidence = durable(_prefixed(evidence, kind, kind))
     nodes = _published_nodes(evidence, {kind: names}, kept, max_nodes)
     truncated = found is not None and found > max_nodes
     totals = one_row(
@@ -423,7 +428,7 @@ def cooccurrence(
         "dense_records_skipped",
     )
     numbered = _numbered_edges(_prefixed(edges, kind, kind), max_nodes is not None)
-    return Graph(nodes, numbered, evidence, totals, held)
+    return Graph(nodes, numbered, evidence, totals)
 
 
 @_owning

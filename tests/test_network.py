@@ -306,3 +306,12 @@ def test_release_deletes_what_a_graph_wrote(spark):
         assert graph.edges.count() > 0 and set(folder.iterdir()) - before
         graph.release()
         assert set(folder.iterdir()) <= before
+
+
+def test_rare_names_are_dropped_where_the_rows_lie(spark):
+    rows = spark.createDataFrame([(1, "a", "a"), (2, "a", "a"), (1, "b", "b"), (2, None, "c"), (3, None, "c")], "entity_id long, key string, label string")
+    paired = network.paired_names(rows, 2)
+    assert sorted((r.entity_id, r.key) for r in paired.collect()) == [(1, "a"), (2, "a")]
+    assert "Broadcast" in paired._jdf.queryExecution().executedPlan().toString()
+    graph = network.cooccurrence(rows, 1, max_nodes=2)
+    assert graph.edge_evidence.inputFiles() and graph.edge_evidence.count() == 1
