@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.functions.text import study_url
+from tallyproof.operators.citations import of_cited
 from tallyproof.operators.network import node_evidence
 from tallyproof.session import one_row
 
@@ -152,7 +153,8 @@ def citation_membership(
 ) -> DataFrame:
     """A cited entity is a known record and a contributor of that very datum."""
     datum = datum_text([*keys, "entity_id"])
-    unknown = cited.join(records.select("entity_id"), "entity_id", "left_anti").select(
+    records, evidence = of_cited(records.select("entity_id"), cited), of_cited(evidence, cited)
+    unknown = cited.join(records, "entity_id", "left_anti").select(
         *_row("cited_unknown_record", datum, "a record", F.col("entity_id"))
     )
     on = [*keys, "entity_id"]
@@ -219,7 +221,7 @@ def citation_texts(
     blank = cited.where(F.coalesce(F.trim("excerpt"), F.lit("")) == "").select(
         *_row("empty_excerpt", datum, "text", F.col("excerpt"))
     )
-    truth = expected.select("entity_id", F.col("excerpt").alias("_excerpt"))
+    truth = of_cited(expected.select("entity_id", F.col("excerpt").alias("_excerpt")), cited)
     both = cited.join(truth, "entity_id")
     quoted = both.where(~F.col("excerpt").eqNullSafe(F.col("_excerpt"))).select(
         *_row("excerpt", datum, F.col("_excerpt"), F.col("excerpt"))

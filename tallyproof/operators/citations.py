@@ -10,6 +10,7 @@ from tallyproof.functions import fixed_values as V
 from tallyproof.functions import text as X
 from tallyproof.functions.names import agent_labels
 from tallyproof.operators.selection import rows_at_ranks
+from tallyproof.session import broadcast_if_small
 
 
 def sample_positions(total: Column, limit: int) -> Column:
@@ -109,6 +110,13 @@ def study_excerpt(dimension: str, limit: int | None = None) -> Column:
     return X.excerpt(F.col(S.TITLE_PATH), *[study_fragment(p) for p in parts], limit=limit)
 
 
+def of_cited(rows: DataFrame, cited: DataFrame) -> DataFrame:
+    """``rows(entity_id, ...)`` of the entities of ``cited``, best a written table, when those are few; else all."""
+    ids = cited.select("entity_id").distinct()
+    few = broadcast_if_small(ids)
+    return rows if few is ids else rows.join(few, "entity_id", "left_semi")
+
+
 def quote(
     cited: DataFrame,
     records: DataFrame,
@@ -117,6 +125,6 @@ def quote(
     url: str = V.STUDY_URL_FORMAT,
 ) -> DataFrame:
     """Add excerpt and link to cited rows. Records are cut to id and excerpt first, so that the
-    join moves no record columns."""
-    quoted = records.select(F.col(id_col).alias("entity_id"), excerpt.alias("excerpt"))
+    join moves no record columns, and when few are cited, only those are quoted."""
+    quoted = of_cited(records.select(F.col(id_col).alias("entity_id"), excerpt.alias("excerpt")), cited)
     return cited.join(quoted, "entity_id").withColumn("url", X.study_url(F.col("entity_id"), url))

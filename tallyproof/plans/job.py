@@ -410,7 +410,7 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
     result = Result(rows, held=[records, members, rows])
 
     def citations() -> DataFrame:
-        return quote(cite(evidence, ["position"], job.max_citations, ids), records, S.ID_PATH, excerpt)
+        return durable(quote(cite(evidence, ["position"], job.max_citations, ids), records, S.ID_PATH, excerpt))
 
     def final() -> DataFrame:
         totals = measure.bucket_totals(members, dimension, job.top_n, show_unknown, records if series is None else None)
@@ -484,7 +484,7 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
             quote(cite(evidence, datum, job.max_citations, ids), records, S.ID_PATH, quoted[kind])
             for kind, evidence in data.items()
         ]
-        return reduce(DataFrame.unionByName, [p.withColumn("kind", F.lit(k)) for p, k in zip(parts, data)])
+        return durable(reduce(DataFrame.unionByName, [p.withColumn("kind", F.lit(k)) for p, k in zip(parts, data)]))
 
     def final() -> DataFrame:
         totals = graph.totals

@@ -2,6 +2,7 @@ import pytest
 from conftest import record, values
 from pyspark.sql import functions as F
 
+from tallyproof.operators import citations
 from tallyproof.operators.citations import cite, evidence_totals, quote, study_excerpt
 
 
@@ -103,3 +104,11 @@ def test_quote(four):
     assert sorted(values(found, "entity_id", "url")) == [
         (i, f"https://clinicaltrials.gov/study/{i}") for i in ("NCT00000001", "NCT00000004")
     ]
+
+
+def test_only_cited_records_are_quoted(spark):
+    records = spark.range(100).withColumnRenamed("id", "rid")
+    cited = cite(records.select(F.lit("a").alias("key"), F.col("rid").alias("entity_id")), ["key"], 2)
+    excerpt = F.when(F.col("rid").isin(0, 99), F.lit("quoted")).otherwise(F.raise_error(F.lit("not cited")))
+    assert citations.quote(cited, records, "rid", excerpt, "%s").count() == 2
+    assert {r.excerpt for r in citations.quote(cited, records, "rid", excerpt, "%s").collect()} == {"quoted"}
