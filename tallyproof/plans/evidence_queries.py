@@ -161,7 +161,7 @@ def render_evidence(spark, sf):
 
 def _published(spark, sf):
     """Bucket rows with citations over customers' nations, and what they rest on."""
-    members = _nation_members(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    members = durable(_nation_members(spark, sf))
     rows = durable(measure.bucket_counts(members, NATION, V.TOP_N["country"]))
     evidence = measure.restrict(
         members.select("key", "entity_id"), rows.select("key"), V.TOP_N["country"]
@@ -205,7 +205,7 @@ def check_clean(spark, sf):
     """A right result has no violations; the sizes of what was checked stand beside it."""
     rows, evidence, excerpts = _published(spark, sf)
     # Counted once more, from the line items.
-    again = measure.bucket_counts(_nation_members(spark, sf), NATION, V.TOP_N["country"])
+    again = durable(measure.bucket_counts(_nation_members(spark, sf), NATION, V.TOP_N["country"]))
     found = _row_checks(rows, again, evidence, _quoted(evidence, excerpts), excerpts)
     checked = rows.select(
         F.lit(1).alias("buckets"), F.col("value").alias("entities"), F.lit(0).alias("violations")
