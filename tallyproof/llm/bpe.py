@@ -22,11 +22,12 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Words in a generation of what a worker remembers; there are two.
-REMEMBERED = 120_000
+#: Words, and pre-tokens, in a generation of what a worker remembers; there are two. A run of texts should
+#: have fewer different ones.
+REMEMBERED, REMEMBERED_PIECES = 120_000, 240_000
 
-#: Pre-tokens that are encoded in one call.
-TOGETHER = 256
+#: Pre-tokens that are encoded in one call, and that are merged in one call.
+TOGETHER, MERGED = 256, 4096
 #: Bytes of a text that are cut into pre-tokens at a time, and where a longer text may be divided.
 PART = 4 << 20
 APART = re.compile(rb"[\t-\r 0-9]")
@@ -110,8 +111,10 @@ class Splitter:
     def __init__(self):
         known = [chr(c) for c in range(0x20AD)]
         self.kind = np.array([self._kind(c) for c in known], dtype=np.uint8)
-        self.width = np.array([len(c.encode("utf-8", "surrogatepass")) for c in known], dtype=np.uint8)
-        self.short = np.zeros(len(known), dtype=bool)
+        self.of_byte = bytes(self.kind[:128]) + bytes([self.UNSAFE]) * 128
+        # Characters of `SAFE` and their lower case take as many bytes.
+        self.lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in known], dtype=np.int32)
+        self.short = np.zeros(256, dtype=bool)
         self.short[[ord(c) for c in "stmd"]] = True
 
     def _kind(self, character: str) -> int:
@@ -126,26 +129,46 @@ class Splitter:
         """The different pre-tokens; for each place where one stands, which it is; and how many stand
         before each text, and in all."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        joined = "\n".join(texts).lower()
-        data = joined.encode()
-        codes = np.frombuffer(data, np.uint8) if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kinds = self.kind[codes]
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        data = bytearray("\n".join(texts).encode()).lower()
+        codes = np.frombuffer(data, np.uint8)
+        kinds = np.frombuffer(data.translate(self.of_byte), np.uint8)
+        inner = self._wide(codes, kinds)
         start = np.empty(len(kinds), dtype=bool)
         start[:1] = True
         np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
         start |= kinds == self.NUMBER
+        start[inner] = False
         filled = kinds != self.BLANK
         start &= filled
         self._contract(codes, kinds, start)
         places = np.flatnonzero(start)
-        widths = filled if codes.dtype == np.uint8 else self.width[codes] * filled
-        ends = np.cumsum(widths, dtype=np.int32)
-        offsets = np.append(ends[places] - widths[places], ends[-1:] if len(ends) else 0).astype(np.int32)
-        plain = pa.py_buffer(data.translate(None, b"\t\n\x0b\x0c\r "))
+        ends = np.cumsum(filled, dtype=np.int32)
+        offsets = np.append(ends[places] - 1, ends[-1:] if len(ends) else 0).astype(np.int32)
+        plain = pa.py_buffer(bytes(data.translate(None, b"\t\n\x0b\x0c\r ")))
         found = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), plain]).dictionary_encode()
-        begins = np.cumsum(lengths + 1) - lengths - 1
+        begins += np.searchsorted(inner - np.arange(len(inner)), begins, "right")  # from characters to bytes
         before = np.append(np.searchsorted(places, begins), len(places))
-        return found.dictionary.to_pylist(), found.indices.to_numpy(), before
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), before
+
+    def _wide(self, codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Lower-case characters of two bytes, and put the kinds of those of two and three at each of
+        their bytes; the places of the bytes after the first."""
+        wide = np.flatnonzero(codes >= 0x80)
+        if not len(wide):
+            return wide
+        own = codes[wide]
+        first = wide[own >= 0xC0]
+        lead, second = codes[first].astype(np.int32), codes[first + 1].astype(np.int32)
+        three = lead >= 0xE0
+        last = first[three] + 2
+        number = (lead & 0x1F) << 6 | second & 0x3F
+        number[three] = (lead[three] & 0x0F) << 12 | (second[three] & 0x3F) << 6 | codes[last] & 0x3F
+        two, lowered = first[~three], self.lower[number[~three]]
+        codes[two], codes[two + 1] = 0xC0 | lowered >> 6, 0x80 | lowered & 0x3F
+        kinds[first] = kinds[first + 1] = self.kind[number]
+        kinds[last] = self.kind[number[three]]
+        return wide[own < 0xC0]
 
     def _contract(self, codes: np.ndarray, kinds: np.ndarray, start: np.ndarray) -> None:
         at = np.flatnonzero((codes == 39) & start)
@@ -166,8 +189,8 @@ class Recent:
     """Results of words, of which the recently used stay: words live in two generations, and when the
     young one is full it becomes the old one, which is forgotten."""
 
-    def __init__(self, make: Callable[[list], list]):
-        self.make = make
+    def __init__(self, make: Callable[[list], list], most: int = REMEMBERED):
+        self.make, self.most = make, most
         self.young: dict = {}
         self.old: dict = {}
 
@@ -176,12 +199,11 @@ class Recent:
         found = list(map(self.young.get, words))
         places = [at for at, x in enumerate(found) if x is None]
         if places:
-            missing = {words[at] for at in places}
-            if len(self.young) + len(missing) > REMEMBERED:
+            missing = list(dict.fromkeys([words[at] for at in places]))
+            if len(self.young) + len(missing) > self.most:
                 self.old, self.young = self.young, {}
-            old = self.old
-            results = {w: old[w] for w in missing if w in old}
-            new = [w for w in missing if w not in results]
+            results = dict(zip(missing, map(self.old.get, missing)))
+            new = [w for w, x in results.items() if x is None]
             if new:
                 results.update(zip(new, self.make(new)))
             self.young.update(results)
@@ -206,7 +228,7 @@ class Encoder:
 
     def __init__(self, text: str):
         self.tokenizer = load(text)
-        self.recent, self.pieces = Recent(self._encode), Recent(self._encode_pieces)
+        self.recent, self.pieces = Recent(self._encode), Recent(self._encode_pieces, REMEMBERED_PIECES)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         pattern, self.last, self.special = splitting(self.tokenizer, text)
         spec = json.loads(text)
@@ -258,8 +280,8 @@ class Encoder:
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pre-tokens, many in one call: the vocabulary marks the last token of each."""
         result: list[bytes] = []
-        for at in range(0, len(pieces), TOGETHER):
-            some = pieces[at : at + TOGETHER]
+        for at in range(0, len(pieces), MERGED):
+            some = pieces[at : at + MERGED]
             shown = b"\n".join(some).decode("latin-1").translate(self.visible)
             ids = np.array(self.merger.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1

@@ -40,6 +40,8 @@ from tallyproof.session import delete_path, stored
 
 BLOCK_IDS = 1 << 18
 GROUP_IDS = 1 << 20
+#: Texts of so many bytes are cut into pre-tokens together: the larger the run, the fewer are looked up.
+RUN_BYTES = 4 << 20
 END_ID = 2
 _PIECE = np.dtype([("doc", "<i8"), ("ids", "<u4"), ("has_id", "u1"), ("ends", "u1")])
 _FRAME = struct.Struct("<III")  # bytes of the pieces, bytes of the block, checksum of the pieces
@@ -61,7 +63,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str | None, end_i
         words = encoder(shared)
         width = _width(len(words.tokens))
         end = np.array([end_id], width).tobytes()
-        for rows in runs(batches, "_text"):
+        for rows in runs(batches, "_text", RUN_BYTES):
             ids = words.ids_of_texts(as_bytes(rows.column(1)))
             found = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in ids]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], ["doc", "ids"])

@@ -170,6 +170,17 @@ def test_pre_tokens_by_classes_of_characters(words):
     assert words.splitter is not None and words.ids_of_texts([]) == []
 
 
+def test_recurring_pre_tokens_are_merged_once(words):
+    """Some 300,000 others stand between, more than were remembered before."""
+    made = []
+    recent = bpe.Recent(lambda new: made.extend(new) or new, words.pieces.most)
+    pieces = [b"%d" % i for i in range(300_000)]
+    for at in range(0, len(pieces), 50_000):
+        assert recent.of(pieces[at : at + 50_000]) == pieces[at : at + 50_000]
+    assert recent.of([*pieces[:50_000], b"0", b"new"]) == [*pieces[:50_000], b"0", b"new"]
+    assert len(made) == 300_001 and len(recent.young) + len(recent.old) <= 2 * words.pieces.most
+
+
 def test_long_texts_are_divided(words, monkeypatch):
     monkeypatch.setattr(bpe, "PART", 50)
     rng = random.Random(2)
