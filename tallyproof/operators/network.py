@@ -6,7 +6,8 @@ edge's weight are counts of distinct entities; the entities themselves stay in e
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,15 +25,37 @@ MERGED_PREFIX = "rxcui:"
 DENSE_KEYS = 1000
 
 
+class _Table:
+    """A table of a graph, or a function that gives it when it is first read. The paths of tables that are
+    written for it are noted in the graph."""
+
+    def __set_name__(self, owner, name: str) -> None:
+        self.name = name
+
+    def __set__(self, graph: Graph, given: DataFrame | Callable[[], DataFrame]) -> None:
+        vars(graph)[self.name] = given
+
+    def __get__(self, graph: Graph | None, owner=None) -> DataFrame:
+        if graph is None:
+            raise AttributeError(self.name)  # a field without a default
+        found = vars(graph)[self.name]
+        if callable(found):
+            made: list[str] = []
+            with collected(made):
+                found = vars(graph)[self.name] = found()
+            graph.made.extend(made)
+        return found
+
+
 @dataclass(frozen=True)
 class Graph:
     """``nodes(position, id, label, kind, size, rxcui)``, ``edges(position, source, target,
     weight)``, ``edge_evidence(source, target, entity_id)`` and a one-row ``totals``."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    edge_evidence: DataFrame
-    totals: DataFrame
+    nodes: DataFrame = _Table()
+    edges: DataFrame = _Table()
+    edge_evidence: DataFrame = _Table()
+    totals: DataFrame = _Table()
     held: list[DataFrame] = field(default_factory=list)
     #: Paths of the tables that the graph reads.
     made: list[str] = field(default_factory=list)
@@ -161,17 +184,22 @@ def dense_skipped(names: DataFrame, max_entities: int | None) -> DataFrame:
     return dense_entities(names, max_entities).agg(F.count("*").alias("dense_records_skipped"))
 
 
-def paired_names(names: DataFrame, min_weight: int, max_entities: int | None = None) -> DataFrame:
-    """``(entity_id, key)`` that can be on an edge of ``min_weight``.
+def paired_names(
+    names: DataFrame, min_weight: int, max_entities: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """``(entity_id, key)`` that can be on an edge of ``min_weight``. ``counted`` are the `sizes` of ``names``, if
+    they are at hand.
 
     An edge is never heavier than its smaller end, so keys of fewer entities are dropped without
     loss; where those are few, rows stay where they are. ``names`` is best a table. Only a caller's ``max_entities`` leaves out whole entities.
     """
     rows = names.select("entity_id", "key")
     if max_entities is not None:
-        rows = rows.join(dense_entities(names, max_entities), "entity_id", "left_anti")
+        rows, counted = rows.join(dense_entities(names, max_entities), "entity_id", "left_anti"), None
     if min_weight > 1:
-        counted = durable(sizes(rows).where(F.col("key").isNotNull()))
+        if counted is None:
+            counted = durable(sizes(rows))
+        counted = counted.where(F.col("key").isNotNull())
         rare, rows = counted.where(F.col("size") < min_weight).select("key"), rows.where(F.col("key").isNotNull())
         few = broadcast_if_small(rare)
         if few is rare:
@@ -192,13 +220,18 @@ def pairs(names: DataFrame) -> DataFrame:
     )
 
 
-def hub_pairs(names: DataFrame, hubs: DataFrame, n_hubs: int) -> DataFrame:
+def hub_rows(names: DataFrame, hubs: DataFrame, n_hubs: int) -> DataFrame:
+    """``(entity_id, _hub)`` of ``hubs(key)``: written, so that a few are known to be few and the names need
+    not move."""
+    return durable(restrict(names, hubs.select("key"), n_hubs).select("entity_id", F.col("key").alias("_hub")))
+
+
+def hub_pairs(names: DataFrame, hubs: DataFrame, n_hubs: int, hub: DataFrame | None = None) -> DataFrame:
     """As :func:`pairs`, but only pairs with one of ``hubs(key)`` in them: hubs times names, never
-    names times names."""
+    names times names. ``hub`` are their `hub_rows`, if they are at hand."""
+    hub = hub_rows(names, hubs, n_hubs) if hub is None else hub
     marked = names.join(small(hubs.select("key", F.lit(True).alias("_is_hub")), n_hubs), "key", "left")
     marked = marked.withColumn("_is_hub", F.coalesce("_is_hub", F.lit(False)))
-    # Written, so that a few hubs are known to be few and the names need not move.
-    hub = durable(restrict(names, hubs.select("key"), n_hubs).select("entity_id", F.col("key").alias("_hub")))
     both = hub.join(marked, "entity_id")
     # Between two hubs the pair is met from both sides; one of them is enough.
     once = (F.col("key") != F.col("_hub")) & (~F.col("_is_hub") | (F.col("_hub") < F.col("key")))
@@ -345,26 +378,29 @@ def _published_nodes(
 
 def _connected_hubs(
     ranked: DataFrame, rows: DataFrame, min_weight: int, max_nodes: int, pool: int
-) -> DataFrame:
-    """The ``max_nodes`` largest keys with a partner, and one more if there is one.
+) -> tuple[DataFrame, DataFrame]:
+    """The ``max_nodes`` largest keys with a partner, and one more if there is one; and the rows of all keys
+    that were looked at.
 
     Pairs are counted around the largest keys only: when more than ``max_nodes`` of them turn out
     to be connected, no smaller key can be drawn, and the answer is exact. Otherwise the pool grows
     fourfold, up to all keys. A turn counts the pairs of its new keys with each other and with smaller
     ones; those with larger keys were counted in the turns before, which are stored.
     """
-    hubs, touched, left = None, None, rows
+    hubs, touched, seen, left = None, None, None, rows
     while True:
         pooled = durable(ranked.orderBy(F.desc("size"), "key").limit(pool))
         new = pooled if hubs is None else pooled.join(small(hubs.select("key"), pool), "key", "left_anti")
-        counted = _ends(weights(hub_pairs(left, new, pool), min_weight)).distinct()
+        own = hub_rows(left, new, pool)
+        seen = own if seen is None else seen.unionByName(own)
+        counted = _ends(weights(hub_pairs(left, new, pool, own), min_weight)).distinct()
         counted = durable(counted)
         touched = counted if touched is None else touched.unionByName(counted)
         # Only what touches a hub was counted, so only hubs are known to be connected or not.
         connected = small(pooled, pool).join(touched.distinct(), "key")
         best = durable(connected.orderBy(F.desc("size"), "key").limit(max_nodes + 1))
         if best.count() > max_nodes or pooled.count() < pool:
-            return best
+            return best, seen.withColumnRenamed("_hub", "key")
         left = rows.join(small(pooled.select("key"), pool), "key", "left_anti")
         hubs, pool = pooled, pool * 4
 
@@ -377,7 +413,8 @@ def _owning(build):
         made: list[str] = []
         with collected(made):
             graph = build(*given, **more)
-        return replace(graph, made=made)
+        graph.made.extend(made)
+        return graph
 
     return run
 
@@ -399,36 +436,48 @@ def cooccurrence(
     with more than ``dense`` keys give pairs only where they can be edges.
     """
     names = kept_table(names)
+    ranked = None
+    if max_nodes is not None or min_weight > 1 and max_entities is None:
+        ranked = durable(sizes(names))
     # What can be paired is read in every turn of the search for the largest connected keys.
-    rows = paired_names(names, min_weight, max_entities)
+    rows = paired_names(names, min_weight, max_entities, ranked)
     kept = found = None
     if max_nodes is None:
         edges, evidence = weighed_edges(rows, min_weight, dense)
     else:
         pool = first_pool or max(4 * max_nodes, V.CANDIDATE_POOL)
-        best = _connected_hubs(sizes(names), rows, min_weight, max_nodes, pool)
+        best, seen = _connected_hubs(ranked, rows, min_weight, max_nodes, pool)
         found = best.count()
         kept = best.orderBy(F.desc("size"), "key").limit(max_nodes).withColumn("kind", F.lit(kind))
-        evidence = pairs(restrict(rows, kept.select("key"), max_nodes))
+        evidence = pairs(restrict(seen, kept.select("key"), max_nodes))
         edges = durable(weights(evidence, min_weight))
         drawn = small(edges.select("source", "target"), max_nodes * max_nodes)
         evidence = evidence.join(drawn, ["source", "target"], "left_semi")
-    evidence = durable(_prefixed(evidence, kind, kind))
-    nodes = _published_nodes(evidence, {kind: names}, kept, max_nodes)
-    truncated = found is not None and found > max_nodes
-    totals = one_row(
-        dense_skipped(names, max_entities),
-        nodes.agg(F.count("*").alias("nodes")),
-        edges.agg(F.count("*").alias("edges")),
-    ).select(
-        "nodes",
-        "edges",
-        (F.col("nodes") if truncated else F.lit(None).cast("bigint")).alias("truncated_to"),
-        F.lit(min_weight).cast("bigint").alias("min_edge_weight"),
-        "dense_records_skipped",
-    )
-    numbered = _numbered_edges(_prefixed(edges, kind, kind), max_nodes is not None)
-    return Graph(nodes, numbered, evidence, totals)
+
+    # Who reads the edges does not pay for what supports them.
+    def nodes() -> DataFrame:
+        return _published_nodes(graph.edge_evidence, {kind: names}, kept, max_nodes)
+
+    def totals() -> DataFrame:
+        truncated = found is not None and found > max_nodes
+        # Every end of an edge is a node, and no other key is.
+        return one_row(
+            dense_skipped(names, max_entities),
+            _ends(edges).distinct().agg(F.count("*").alias("nodes")),
+            edges.agg(F.count("*").alias("edges")),
+        ).select(
+            "nodes",
+            "edges",
+            (F.col("nodes") if truncated else F.lit(None).cast("bigint")).alias("truncated_to"),
+            F.lit(min_weight).cast("bigint").alias("min_edge_weight"),
+            "dense_records_skipped",
+        )
+
+    def numbered() -> DataFrame:
+        return _numbered_edges(_prefixed(edges, kind, kind), max_nodes is not None)
+
+    graph = Graph(nodes, numbered, lambda: durable(_prefixed(evidence, kind, kind)), totals)
+    return graph
 
 
 @_owning

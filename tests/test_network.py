@@ -315,3 +315,20 @@ def test_rare_names_are_dropped_where_the_rows_lie(spark):
     assert "Broadcast" in paired._jdf.queryExecution().executedPlan().toString()
     graph = network.cooccurrence(rows, 1, max_nodes=2)
     assert graph.edge_evidence.inputFiles() and graph.edge_evidence.count() == 1
+
+
+def test_edges_and_totals_come_without_evidence_and_labels(spark, monkeypatch):
+    """Nor are sizes counted more than once."""
+    names = spark.createDataFrame([(i, f"k{j}", "x") for i in range(3) for j in range(i + 2)], "entity_id long, key string, label string")
+    counted, real = [], network.sizes
+    monkeypatch.setattr(network, "sizes", lambda rows: counted.append(1) or real(rows))
+    labels = network.modal_labels
+    for more in ({}, {"max_nodes": 5}):
+        monkeypatch.setattr(network, "modal_labels", None)
+        graph = network.cooccurrence(names, **more)
+        assert counted.pop() and not counted
+        assert graph.totals.select("nodes", "edges").first() == (3, 3) and graph.edges.count() == 3
+        monkeypatch.setattr(network, "modal_labels", labels)
+        written = len(graph.made)
+        assert graph.nodes.count() == 3 and graph.edge_evidence.count() == 7 and len(graph.made) > written
+        graph.release()
