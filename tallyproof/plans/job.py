@@ -317,7 +317,7 @@ def _run(
     kept = F.lit(True)
     for step in steps.values():
         kept = kept & F.coalesce(step, F.lit(False))
-    records = used_fields(job, population.where(kept)).persist(StorageLevel.MEMORY_AND_DISK)
+    records = used_fields(job, population.where(kept))
     compute = _graph_result if job.graph else _rows_result
     result = compute(job, records, series, candidates, ingredients, provenance, facts)
     if steps:
@@ -393,6 +393,7 @@ def _report(job: Job, records: DataFrame, series: DataFrame | None, members: Dat
 
 
 def _rows_result(job, records, series, _candidates, _ingredients, provenance, facts) -> Result:
+    records = records.persist(StorageLevel.MEMORY_AND_DISK)
     dimension = DIMENSIONS[job.group_by]
     show_unknown = not job.time_series
     computed = measure.membership(records, dimension, S.ID_PATH, series)
@@ -448,7 +449,12 @@ def _rows_result(job, records, series, _candidates, _ingredients, provenance, fa
 
 def _graph_result(job, records, _series, candidates, ingredients, provenance, facts) -> Result:
     crosswalk = forms = merged = None
-    if candidates is not None and ingredients is not None:
+    resolved = candidates is not None and ingredients is not None
+    # A graph of names as they are reads the records once: they are kept for those who read more than that.
+    once = job.graph == "drug_drug" and not resolved
+    if not once:
+        records = records.persist(StorageLevel.MEMORY_AND_DISK)
+    if resolved:
         forms = durable(synonyms.study_surface_forms(records))
         pool = None
         if job.max_lookups is not None:
@@ -457,8 +463,14 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
         crosswalk = durable(synonyms.resolve_names(forms, candidates, ingredients, pool=pool))
         merged = synonyms.merge_sources(forms, crosswalk)
     named = network.study_agents(records, crosswalk)
-    agents = named.persist(StorageLevel.MEMORY_AND_DISK)
-    graph = _graph(job, records, agents)
+    held = [records]
+    if once:
+        graph = _graph(job, records, named)
+        records.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        agents = named.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(agents)
+        graph = _graph(job, records, agents)
     edge_data = graph.edge_evidence.select(
         F.lit("edge").alias("datum"), F.concat_ws("|", "source", "target").alias("name"), "entity_id"
     )
@@ -477,7 +489,7 @@ def _graph_result(job, records, _series, candidates, ingredients, provenance, fa
         F.lit("edge").alias("datum"), F.concat_ws("|", "source", "target").alias("name"), F.col("weight").alias("value")
     ).unionByName(graph.nodes.select(F.lit("node").alias("datum"), F.col("id").alias("name"), F.col("size").alias("value")))
     ids = records.select(F.col(S.ID_PATH).alias("entity_id"))
-    result = Result(None, graph, merged, held=[records, agents])
+    result = Result(None, graph, merged, held=held)
 
     def citations() -> DataFrame:
         parts = [

@@ -247,3 +247,13 @@ def test_a_published_graph_is_drawn_once_more(studies, monkeypatch):
     monkeypatch.setattr(plans, "_graph", damaged)
     found = run(Job(graph="drug_drug", max_citations=0), studies).violations.select("check").distinct().collect()
     assert {"published_node", "published_edge", "published_edge_repeated", "node_contributors"} <= {r.check for r in found}
+
+
+def test_edges_come_without_keeping_the_records(spark, studies):
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before = len(held())
+    result = run(Job(graph="drug_drug"), studies)
+    assert result.graph.edges.count() > 0 and len(held()) == before
+    assert result.citations.count() > 0 and result.violations.count() == 0 and len(held()) > before
+    result.release()
+    assert len(held()) == before
